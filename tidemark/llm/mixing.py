@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, materialize
 
-#: Documents of one key range of a source, about; the unit that one task sorts.
-RANGE_ROWS = 20_000
+#: A source of n documents has its keys cut into sqrt(n) / RANGE_PART ranges, so that both the rows of a range and the
+#: ranges of a source, which meet in one task each, grow with the square root only.
+RANGE_PART = 8.0
 
 
 def n_tokens(text: Column) -> Column:
@@ -52,8 +53,8 @@ def mix(documents: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
     doc_id, text and seed: reruns agree, equal rows follow each other in any order and their sum is the same. A null
     text has size 0, a null source is a source of its own, null ids are like any other; an empty table gives no rows.
 
-    Only one pass reads texts; what is sorted is (source, key, size). A source's keys are cut into ranges of about
-    RANGE_ROWS rows, each of which is summed and sorted by itself, so that no source meets in one task; offsets of the
+    Only one pass reads texts; what is sorted is (source, key, size). A source's keys are cut into even
+    ranges, each of which is summed and sorted by itself, so that no source meets in one task; offsets of the
     ranges come from their sums. The table of sources is small next to the documents but is never collected.
     """
     kind = documents.schema["doc_id"].dataType
@@ -61,7 +62,7 @@ def mix(documents: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
     rows = materialize(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sources, weight, epochs, share)
-    sources = sources.withColumn("cut", F.ceil(F.col("n") / RANGE_ROWS)).select(F.col("source").alias("s"), "source_size", "target", "cut")
+    sources = sources.withColumn("cut", F.ceil(F.sqrt("n") / RANGE_PART)).select(F.col("source").alias("s"), "source_size", "target", "cut")
     sources = materialize(sources, "sources")
     held = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # keys are even, so equal steps of the key's 63 upper bits are ranges of about as many rows
