@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UNITS = {"m": "MINUTE", "h": "HOUR", "d": "DAY", "w": "WEEK", "mo": "MONTH", "q": "MONTH", "y": "YEAR"}
 
@@ -91,19 +92,19 @@ def feature_config(name: str) -> dict:
     return json.loads(base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)))
 
 
-@F.pandas_udf("map<int,double>")
+@F.pandas_udf(T.MapType(T.IntegerType(), T.DoubleType()))
 def curve_nodes(cells: pd.Series) -> pd.Series:
     """Decodes base64(gzip(JSON {days: rate})) cells; Spark has no gzip function."""
     return cells.map(lambda c: None if c is None else {int(k): float(v) for k, v in json.loads(gzip.decompress(base64.b64decode(c))).items()})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def curve_cell(nodes: pd.Series) -> pd.Series:
     """Encodes days -> rate maps; the inverse of curve_nodes."""
     return nodes.map(lambda m: None if m is None else base64.b64encode(gzip.compress(json.dumps({str(k): v for k, v in sorted(dict(m).items())}).encode(), mtime=0)).decode())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function; Spark has no erf."""
     from math import erfc, sqrt

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import adjusted, normal_cdf, normal_density, year_fraction
 from .curves import curve_points, factor_at
@@ -54,7 +55,7 @@ def bond_prices(bonds: DataFrame, nodes: DataFrame, valuation: Column, basis: st
     return out.select("ins_id", "npv", "accrued", (dirty - F.col("accrued")).alias("clean"), dirty.alias("dirty"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def solve_yield(price: pd.Series, times: pd.Series, amounts: pd.Series) -> pd.Series:
     """Continuous yield at which the flows are worth the price, by Newton steps on all rows of a batch; null if it doesn't settle."""
     out = []

@@ -43,12 +43,14 @@ class PanelStore:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        self._overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        self._overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
 
     # -- descriptors
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current.json"
+        return f"{self.root}/{name}/current.json"
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(self._pointer(name)))
@@ -71,10 +73,7 @@ class PanelStore:
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps({"name": t.name, "keys": t.keys, "partition": t.partition, "schema": t.schema, "parts": t.parts}).encode()))
         out.close()
-        target = self._path(self._pointer(t.name))
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(staged, target)
+        self._context.rename(staged, self._path(self._pointer(t.name)), self._overwrite)
 
     # -- reads
 
