@@ -70,7 +70,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     rows = rows.withColumn("gaps", F.when(may, F.split("whole", say, -1))).withColumn("said", F.when(may, F.regexp_extract_all("whole", F.lit(say), F.lit(0))))
     label_of = F.create_map(*(F.lit(x) for kv in phrases.items() for x in kv)) if phrases else F.create_map().cast("map<string,string>")
     rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.greatest(_n_spaces(F.col("whole")) - 1, F.lit(0)).alias("n_words"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("whole") == "  ", 0).otherwise(_n_spaces(F.col("whole")) - 1).cast("long").alias("n_words"),
         F.coalesce(F.size("said"), F.lit(0)).cast("long").alias("n_base"),
         (_n_spaces(F.element_at("gaps", 1)) - 1).alias("first_word"),
         (_n_spaces(F.col("whole")) - 1 - _n_spaces(F.element_at("gaps", -1)) - _n_spaces(F.element_at("said", -1))).alias("last_word"),
