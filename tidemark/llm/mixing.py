@@ -50,7 +50,7 @@ def mix(documents: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
 
     Every source is taken whole as often as its target allows; the rest is cut from its documents in the order of
     their hash keys, the last one in part, so that the words taken are the target's whole number. The key is a hash of
-    doc_id, text and seed: reruns agree, equal rows follow each other in any order and their sum is the same. A null
+    seed and doc_id: reruns agree; rows of one id go by size, equal ones in any order with the same sum. A null
     text has size 0, a null source is a source of its own, null ids are like any other; an empty table gives no rows.
 
     Only one pass reads texts; what is sorted is (source, key, size). A source's keys are cut into even
@@ -58,20 +58,22 @@ def mix(documents: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
     ranges come from their sums. The table of sources is small next to the documents but is never collected.
     """
     kind = documents.schema["doc_id"].dataType
-    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")).alias("key"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("size"), key.alias("key"))
     rows = materialize(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sources, weight, epochs, share)
     sources = sources.withColumn("cut", F.ceil(F.sqrt("n") / RANGE_PART)).select(F.col("source").alias("s"), "source_size", "target", "cut")
     sources = materialize(sources, "sources")
     held = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # keys are even, so equal steps of the key's 63 upper bits are ranges of about as many rows
-    range_of = F.least(F.floor(F.shiftrightunsigned("key", 1) / F.lit(2.0**63) * F.col("cut")), F.col("cut") - 1).cast("long")
+    # keys are even over 60 bits, so equal steps are ranges of about as many rows
+    range_of = F.least(F.floor(F.col("key") / F.lit(2.0**60) * F.col("cut")), F.col("cut") - 1).cast("long")
     held = held.withColumn("range", range_of)
     sums = held.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     prior = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), prior.alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy(F.shiftrightunsigned("key", 1), "key", "doc_id", "size")
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.withColumn("before", before).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     words = F.floor(F.col("target") + F.lit(1e-6)).cast("long")
