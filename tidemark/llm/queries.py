@@ -46,7 +46,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
 
 
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,3 +56,61 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_pii, op3_licenses, op4_toxicity, op5_embedding_groups, op6_simhash_groups, op7_token_counts, op8_quality, op9_mixture, op10_contamination)}
 
 ORACLE_SQL: dict[str, str] = {}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORDS = f"regexp_extract_all({_LOW}, {_WORD})"
+
+ORACLE_SQL["op1_lm_scores"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM d),
+u AS (SELECT word, count(*) AS n FROM t GROUP BY ALL),
+a AS (SELECT sum(n) AS total, count(*) AS types, greatest(1, ceil(power(2, -18) * sum(n))) AS least FROM u),
+v AS (SELECT word, n FROM u, a WHERE n >= least),
+o AS (SELECT any_value(total) AS total, (any_value(total) - sum(n)) / greatest(1, any_value(types) - count(*)) AS other FROM v, a),
+x AS (SELECT t.doc_id, t.i, t.word, v.n FROM t LEFT JOIN v USING (word)),
+p AS (SELECT *, lag(word) OVER s AS prev, lag(n) OVER s AS prev_n FROM x WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT prev, word, count(*) AS c FROM p WHERE n IS NOT NULL AND prev_n IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, CASE WHEN p.n IS NOT NULL AND prev_n IS NOT NULL THEN CASE WHEN c >= 2 THEN ln(c / prev_n) ELSE ln(0.4) + ln(p.n / total) END WHEN p.n IS NOT NULL THEN ln(p.n / total) ELSE ln(other / total) END AS ls FROM p CROSS JOIN o LEFT JOIN g USING (prev, word))
+SELECT d.doc_id, any_value(len(w)) AS n_words, round(coalesce(sum(ls), 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def _places(phrase: str) -> str:
+    """Starts, from 0, at which the words of a phrase stand in the list w."""
+    same = " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(phrase.split()))
+    return f"list_transform(list_filter(generate_series(1, len(w)), lambda i: {same}), lambda i: {{'pos': i - 1, 'label': '{licenses.PHRASES[phrase]}'}})"
+
+
+ORACLE_SQL["op3_licenses"] = f"""
+WITH d AS (SELECT doc_id, {_LOW} AS low, {_WORDS} AS w FROM documents),
+b AS (SELECT doc_id, low, len(w) AS n_words, list_concat({', '.join(map(_places, licenses.PHRASES))}) AS hits FROM d),
+t AS (SELECT label, list_distinct(regexp_extract_all(lower(notice), {_WORD})) AS t FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}) AS x(label, notice)),
+l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM b),
+m AS (SELECT doc_id, label, len(list_intersect(t, regexp_extract_all(line, {_WORD}))) / len(t) AS containment FROM l, t WHERE len(list_intersect(t, regexp_extract_all(line, {_WORD}))) >= ceil(0.8 * len(t) - 1e-9)),
+k AS (SELECT doc_id, list(DISTINCT label) AS own, max(containment) AS best FROM m GROUP BY ALL)
+SELECT b.doc_id, n_words, len(hits) AS n_base, list_min(list_transform(hits, lambda x: x.pos)) AS first_word, list_max(list_transform(hits, lambda x: x.pos)) AS last_word,
+coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.label))), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform(hits, lambda x: x.label), coalesce(own, [])))), ','), '') AS labels,
+CASE WHEN len(hits) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score FROM b LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL["op9_mixture"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
+r AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(source_size * 3.0) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM s WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source)),
+f AS (SELECT *, first_value(CASE WHEN source_size * 3.0 > rate * weight THEN rate END IGNORE NULLS) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS final FROM r),
+t AS (SELECT source, source_size, coalesce(least(source_size * 3.0, final * weight), source_size * 3.0)::DOUBLE AS target FROM f),
+m AS (SELECT d.*, source_size, target, floor(target + 1e-6)::BIGINT AS words, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, round(target, 4) AS target, (CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END * size + greatest(0, least(size, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END - before)))::BIGINT AS taken FROM m
+"""
+
+ORACLE_SQL["op10_contamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+h AS (SELECT doc_id, item_id, i, k FROM dw JOIN bw USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM h) GROUP BY ALL),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM h GROUP BY ALL)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
