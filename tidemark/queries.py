@@ -529,3 +529,125 @@ def daily_gap_fill(spark, sf_dir):
 def common_report(spark, sf_dir):
     r = portfolio.common_report(_daily(spark, sf_dir), value="price")
     return r.select(TIME, KEY, r6("price", "price"), r6("rebased", "rebased", 4))
+
+
+@query(
+    D_SQL + """, s AS (SELECT DISTINCT time_index AS set_at FROM d WHERE time_index < TIMESTAMP '1995-06-01' AND dayofmonth(time_index) <= 3), w AS (SELECT d.* FROM d JOIN s ON d.time_index = s.set_at WHERE unique_identifier IN ('s1', 's2', 's3', 's4', 's5', 's6', 's7', 's8')),
+    t AS (SELECT DISTINCT time_index AS set_at FROM w), g AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '1995-06-10', INTERVAL 1 DAY)) AS time_index),
+    a AS (SELECT g.time_index, t.set_at FROM g ASOF JOIN t ON g.time_index >= t.set_at WHERE g.time_index < t.set_at + INTERVAL 10 DAY)
+    SELECT a.time_index, n.unique_identifier, coalesce(w.volume, 0) AS signal_weight FROM a CROSS JOIN (SELECT DISTINCT unique_identifier FROM w) n LEFT JOIN w ON w.time_index = a.set_at AND w.unique_identifier = n.unique_identifier"""
+)
+def weights_on_grid(spark, sf_dir):
+    d = panel_d(spark, sf_dir).where((F.col(TIME) < ntz(1995, 6, 1)) & (F.dayofmonth(TIME) <= 3) & F.col(KEY).isin([f"s{i}" for i in range(1, 9)]))
+    grid = spark.range(1).select(F.explode(F.sequence(ntz(1995, 1, 2), ntz(1995, 6, 10), F.expr("INTERVAL 1 DAY"))).alias(TIME))
+    return signals.weights_on_grid(d.withColumnRenamed("volume", "signal_weight"), grid, "10 DAYS")
+
+
+@query(
+    _BARS + """, y AS (SELECT unique_identifier, CAST(time_index AS DATE) AS day, arg_max(close, time_index) / arg_min(open, time_index) - 1 AS ret, count(*) AS n FROM b GROUP BY ALL),
+    z AS (SELECT *, CAST(sign(lag(ret) OVER (PARTITION BY unique_identifier ORDER BY day)) AS DOUBLE) AS dir FROM y), q AS (SELECT b.*, dir, n, lead(b.time_index) OVER w IS NULL AS last, sum(CASE WHEN sign(b.close - b.open) = dir THEN 1 ELSE 0 END) OVER w AS hits FROM b JOIN z ON b.unique_identifier = z.unique_identifier AND CAST(b.time_index AS DATE) = z.day WINDOW w AS (PARTITION BY b.unique_identifier, z.day ORDER BY b.time_index))
+    SELECT time_index, unique_identifier, round(CASE WHEN last THEN 0 ELSE coalesce(dir * hits / n, 0) END, 6) AS signal_weight FROM q"""
+)
+def intraday_trend(spark, sf_dir):
+    return signals.intraday_trend_weights(_bars(spark, sf_dir)).withColumn("signal_weight", r6("signal_weight", "signal_weight"))
+
+
+@query(
+    D_SQL + """, c AS (SELECT time_index, unique_identifier, price, price - lag(price) OVER w AS ch FROM d""" + _W + """), q AS (SELECT time_index, unique_identifier, count(price) OVER a AS n, avg(price) OVER a AS sma, count(ch) OVER a AS m, avg(greatest(ch, 0)) OVER a AS up, avg(greatest(-ch, 0)) OVER a AS down FROM c WHERE true WINDOW a AS (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+    SELECT time_index, unique_identifier, CASE WHEN n = 14 THEN round(sma, 5) END AS sma, CASE WHEN m = 14 THEN round(CASE WHEN up + down > 0 THEN 100 * up / (up + down) ELSE 50 END, 5) END AS rsi FROM q"""
+)
+def indicators(spark, sf_dir):
+    from .functions.scalar import feature_name
+
+    sma, rsi = {"name": "SMA", "length": 14}, {"name": "RSI", "length": 14}
+    out = rolling.indicators(panel_d(spark, sf_dir), [sma, rsi], price="price")
+    return out.select(TIME, KEY, r6(feature_name(sma), "sma", 5), r6(feature_name(rsi), "rsi", 5))
+
+
+@query(E_SQL + " SELECT unique_identifier, 'value' AS column_name, max(time_index) FILTER (value > 20) AS max_time FROM e GROUP BY ALL UNION ALL SELECT unique_identifier, 'k', max(time_index) FILTER (k > 20) FROM e GROUP BY ALL")
+def column_watermarks(spark, sf_dir):
+    e = panel_e(spark, sf_dir).select(TIME, KEY, F.when(F.col("value") > 20, F.col("value")).alias("value"), F.when(F.col("k") > 20, F.col("k")).alias("k"))
+    return wm.column_watermarks(e, ["value", "k"])
+
+
+@query(E_SQL + _STATS + " SELECT unique_identifier, CASE WHEN NOT (TIMESTAMP '2024-01-15' - max_time < INTERVAL 1 DAY) THEN max_time + INTERVAL 5 MILLISECOND END AS next_query FROM s")
+def next_query(spark, sf_dir):
+    return wm.next_query(_stats(panel_e(spark, sf_dir)), datetime(2024, 1, 15), "1 DAY").select(KEY, F.col("next_query").cast("timestamp_ntz").alias("next_query"))
+
+
+@query(E_SQL + _STATS.replace("SELECT unique_identifier, min", "SELECT unique_identifier, event_type, min") + ", w AS (SELECT u.unique_identifier, t.event_type FROM (SELECT DISTINCT unique_identifier FROM e) u, (SELECT DISTINCT event_type FROM e WHERE event_type <> 'view') t) SELECT w.unique_identifier, w.event_type, coalesce(max_time, TIMESTAMP '2023-12-31') AS max_time FROM w LEFT JOIN s USING (unique_identifier, event_type)")
+def pruned_watermarks(spark, sf_dir):
+    e = panel_e(spark, sf_dir)
+    nested = wm.watermarks(e.where((F.col(TIME) < ntz(2024, 1, 15)) & (F.col(KEY).cast("int") % 3 != 0)), (KEY, "event_type"))
+    types = spark.createDataFrame([(t,) for t in ("signup", "purchase", "error", "click")], "event_type string")
+    wanted = e.select(KEY).distinct().crossJoin(F.broadcast(types))
+    return wm.pruned(nested, wanted, datetime(2023, 12, 31)).withColumn("max_time", F.col("max_time").cast("timestamp_ntz"))
+
+
+@query(
+    _DENSE + """, t AS (SELECT m.time_index, m.unique_identifier, price AS new, coalesce(lag(price) OVER w, 0) AS old FROM m""" + _W + """)
+    SELECT a.time_index, a.unique_identifier, round(t.old + (t.new - t.old) * least(1, date_diff('second', t.time_index, a.time_index) / 432000.0) + 1e-8, 6) AS weights FROM g a ASOF LEFT JOIN t ON a.unique_identifier = t.unique_identifier AND a.time_index >= t.time_index"""
+)
+def time_weighted(spark, sf_dir):
+    targets = _daily(spark, sf_dir).withColumnRenamed("price", "weights")
+    out = portfolio.time_weighted(_dense(spark, sf_dir), targets, "5d")
+    return out.select(TIME, KEY, untied("weights", "weights"))
+
+
+@query(
+    _DENSE + """, o AS (SELECT time_index, avg(price) AS own FROM m GROUP BY ALL), s AS (SELECT time_index, price FROM m WHERE unique_identifier = 's3'), j AS (SELECT o.time_index, own, s.price FROM o ASOF LEFT JOIN s ON o.time_index >= s.time_index),
+    b AS (SELECT time_index, own, first_value(price IGNORE NULLS) OVER (ORDER BY time_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS close FROM j)
+    SELECT time_index, round(own, 6) AS calculated_close, close, round(coalesce(close / lag(close) OVER (ORDER BY time_index) - 1, 0), 6) AS ret FROM b"""
+)
+def override_close(spark, sf_dir):
+    m = _daily(spark, sf_dir)
+    own = m.groupBy(TIME).agg(F.avg("price").alias("close"))
+    out = portfolio.override_close(own, m, "s3", "price")
+    return out.select(TIME, r6("calculated_close", "calculated_close"), "close", r6("return", "ret"))
+
+
+@query(_DAILY + ", k AS (SELECT time_index, row_number() OVER (ORDER BY time_index) % 2 AS odd FROM (SELECT DISTINCT time_index FROM m)) SELECT time_index, n AS unique_identifier, CASE WHEN odd = 1 THEN w ELSE -w END AS signal_weight FROM k, (VALUES ('a', 0.25::DOUBLE), ('b', 0.75::DOUBLE)) x(n, w)")
+def alternating_signal(spark, sf_dir):
+    return signals.alternating(_daily(spark, sf_dir).select(TIME).distinct(), {"a": 0.25, "b": 0.75})
+
+
+@query("WITH b AS (SELECT s_suppkey AS ins_id, 100.0 * (1 + s_suppkey % 5) AS face, 0.01 * (s_suppkey % 4) AS coupon, DATE '2024-01-01' + CAST(s_suppkey % 20 AS INTEGER) AS a, DATE '2025-01-01' + CAST(s_suppkey % 20 AS INTEGER) AS z FROM supplier), q AS (SELECT *, unnest(generate_series(0, 3)) AS i FROM b), d AS (SELECT ins_id, face, coupon, i, CAST(a + INTERVAL 3 MONTH * i AS DATE) AS s0, CAST(a + INTERVAL 3 MONTH * (i + 1) AS DATE) AS s1, z FROM q), j AS (SELECT *, s0 + CAST(CASE isodow(s0) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER) AS p0, s1 + CAST(CASE isodow(s1) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER) AS p1 FROM d) SELECT ins_id, 'coupon' AS leg, CAST(p1 AS VARCHAR) AS payment_date, round(face * coupon * date_diff('day', p0, p1) / 360, 8) AS amount FROM j WHERE coupon <> 0 UNION ALL SELECT ins_id, 'redemption', CAST(p1 AS VARCHAR), face FROM j WHERE i = 3")
+def bond_cashflows(spark, sf_dir):
+    from .instruments import pricing
+
+    k = F.col("s_suppkey")
+    shift = (k % 20).cast("int")
+    b = table(spark, sf_dir, "supplier").select(k.alias("ins_id"), (100.0 * (1 + k % 5)).alias("face"), (0.01 * (k % 4)).alias("coupon"), F.date_add(F.lit("2024-01-01").cast("date"), shift).alias("start_date"), F.date_add(F.lit("2025-01-01").cast("date"), shift).alias("end_date"), F.lit(3).alias("months"))
+    return pricing.bond_cashflows(b).select("ins_id", "leg", F.col("payment_date").cast("string").alias("payment_date"), r6("amount", "amount", 8))
+
+
+@query(P_SQL + _HALVES + " SELECT coalesce(i.time_index, b.time_index) AS time_index, coalesce(i.unique_identifier, b.unique_identifier) AS unique_identifier, coalesce(i.price, b.price) AS price, coalesce(i.volume, b.volume) AS volume FROM (SELECT * FROM i WHERE time_index < TIMESTAMP '1995-06-01') i FULL JOIN (SELECT * FROM b WHERE time_index < TIMESTAMP '1995-06-01') b ON i.time_index = b.time_index AND i.unique_identifier = b.unique_identifier")
+def stored_upsert(spark, sf_dir):
+    """Two upserts into a stored table, read back; written to the shared folder."""
+    import uuid
+
+    from .sources.store import PanelStore
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    store = PanelStore(spark, f"{root}/store-{uuid.uuid4().hex}")
+    base, new = (x.where(F.col(TIME) < ntz(1995, 6, 1)) for x in _halves(spark, sf_dir))
+    store.upsert(base, "prices")
+    store.upsert(new.drop("flag"), "prices")
+    return store.scan("prices").select(TIME, KEY, "price", "volume")
+
+
+@query(_BARS + " SELECT day, click, view, error FROM (SELECT CAST(CAST(time_index AS DATE) AS VARCHAR) AS day, sum(trade_count) FILTER (unique_identifier = 'click')::BIGINT AS click, sum(trade_count) FILTER (unique_identifier = 'view')::BIGINT AS view, sum(trade_count) FILTER (unique_identifier = 'error')::BIGINT AS error FROM b GROUP BY ALL)")
+def node_graph(spark, sf_dir):
+    """Two nodes, hourly bars and daily counts made from them, updated through the runner into a store."""
+    import uuid
+
+    from .plans.node import FunctionNode, run
+    from .sources.store import PanelStore
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    store = PanelStore(spark, f"{root}/nodes-{uuid.uuid4().hex}")
+    hourly = FunctionNode("hourly", lambda c: _bars(spark, sf_dir))
+    counts = FunctionNode("counts", lambda c: c.tables["hourly"].groupBy(F.date_trunc("day", TIME).cast("timestamp_ntz").alias(TIME), KEY).agg(F.sum("trade_count").alias("n")), {"hourly": hourly})
+    run(store, counts)
+    wide = store.scan(counts.storage_name).groupBy(F.to_date(TIME).cast("string").alias("day")).pivot(KEY, ["click", "view", "error"]).agg(F.sum("n"))
+    return wide
