@@ -27,7 +27,10 @@ CLASSES = {
 _CLASS_OF = np.full(256, len(CLASSES), dtype=np.uint8)
 for _i, _b in enumerate(CLASSES.values()):
     _CLASS_OF[list(_b)] = _i
-OWN = len(CLASSES) + 4
+OWN = len(CLASSES) + 6
+_RANDOM = np.random.default_rng(0)
+_BYTE_KEY = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64)
+_PLACE_KEY = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FEATURES = 3 * OWN + 1
 
 
@@ -63,14 +66,30 @@ def lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     width = len(CLASSES) + 1
     counts = np.bincount(of * width + kinds, minlength=len(ends) * width).reshape(-1, width)[:, :-1].astype(np.float64)
     share = counts / np.maximum(length, 1)[:, None]
-    space = counts[:, 3]
-    n_words = np.where(length > 0, space + 1, 0)
+    n_words, twice = _repeats(raw, kinds, of, len(ends))
     text_ends = np.cumsum([len(t or b"") + 1 for t in texts]) - 1
     per = np.diff(np.append(-1, np.searchsorted(ends, text_ends)))
-    own = np.column_stack([share, np.log1p(length) / 5, length / np.maximum(n_words, 1) / 10, (length == 0), np.minimum(share[:, 7] + share[:, 6] + share[:, 5], 0.2) * 5])
+    own = np.column_stack([share, np.log1p(length) / 5, length / np.maximum(n_words, 1) / 10, (length == 0), np.minimum(share[:, 7] + share[:, 6] + share[:, 5], 0.2) * 5, twice])
     return own, length, per
 
 
+def _repeats(raw: np.ndarray, kinds: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each line, and what share of them equals the word before, and the word before that."""
+    inside = (raw != 10) & (kinds != 3)
+    start = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    if len(start) == 0:
+        return np.zeros(n), np.zeros((n, 2))
+    place = np.arange(len(raw)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(raw)]])))
+    keyed = np.where(inside, _BYTE_KEY[raw] * _PLACE_KEY[np.minimum(place, 63)], np.uint64(0))
+    word, line = np.add.reduceat(keyed, start), of[start]
+    n_words = np.bincount(line, minlength=n)
+    shares = []
+    for back in (1, 2):
+        same = (word[back:] == word[:-back]) & (line[back:] == line[:-back])
+        shares.append(np.bincount(line[back:][same], minlength=n) / np.maximum(n_words - back, 1))
+    return n_words, np.column_stack(shares)
+
+
 def with_neighbours(own: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Features of every line: its own, those of the line before and after (zero at the ends), and a constant."""
     before, after = np.zeros_like(own), np.zeros_like(own)
