@@ -106,7 +106,7 @@ def disclosing_terms(found: DataFrame, documents: DataFrame, reach: int, support
     left = F.substr("text", F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
     right = F.substr("text", F.col("s.end") + 1, F.lit(reach))
     context = F.concat_ws(" ", F.regexp_replace(left, rf"^{WORD}+", ""), F.regexp_replace(right, rf"{WORD}+$", ""))
-    context = F.array_distinct(F.filter(F.split(lower_ascii(context), f"{NON_WORD}+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$")))
+    context = F.array_sort(F.array_distinct(F.filter(F.split(lower_ascii(context), f"{NON_WORD}+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))))
     near = near.select("row", F.concat_ws(":", "s.kind", "s.value").alias("entity"), context.alias("terms"))
     # copies of a passage are one context; pre-aggregated before any term is listed
     contexts = near.groupBy("entity", "terms").agg(F.countDistinct("row").alias("docs"))
