@@ -30,9 +30,8 @@ class ImiConfig:
     #: Vectors of a cell, about; with it the codebooks grow, up to most_words for each half.
     cell_rows: int = 64
     most_words: int = 256
-    #: Fewest and most cells that a vector visits. Where the target takes more, all cells are visited: exact.
+    #: Fewest cells that a vector visits; the target decides how many more.
     least_visits: int = 4
-    most_visits: int = 64
     #: Stored vectors that one task verifies at a time; larger cells are dealt over several.
     block: int = 2048
     seed: int = 3
@@ -124,8 +123,6 @@ def fit(vectors: DataFrame, config: ImiConfig, n: int, dim: int) -> Imi:
     if len(need):
         reached = np.searchsorted(need["n"].cumsum().to_numpy(), c.target_recall * need["n"].sum())
         model.n_visits = max(c.least_visits, int(need["need"].iloc[min(reached, len(need) - 1)]))
-    if model.n_visits > c.most_visits:
-        model.n_visits = len(model.left) * len(model.right)
     return model
 
 
