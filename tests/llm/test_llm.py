@@ -139,6 +139,28 @@ def test_pii_terms(spark):
     assert pii.pii_digest(same).agg(F.sum("n_terms")).first()[0] == 0
 
 
+def test_pii_agrees_with_sql(spark, docs):
+    """The method's own spans too: the fixture has terms that disclose an address and terms that don't."""
+    import duckdb
+
+    from tidemark.llm.queries import ORACLE_SQL
+
+    rng = np.random.default_rng(1)
+    names = ["zorblax", "quux", "flim", "the", "of"]
+    rows = []
+    for i in range(500):
+        text = " ".join(f"w{x}" for x in rng.integers(0, 150, 25))
+        if i % 5 == 0:
+            k = int(rng.integers(0, 4))
+            text += f" {names[k].title()} the {names[rng.integers(0, 5)]} p{k}@h.example.com {names[rng.integers(3, 5)]} " + " ".join(f"w{x}" for x in rng.integers(0, 150, 5)) + f" {names[k]}!"
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = df.toPandas()  # noqa: F841
+    want = Counter(tuple(r) for r in duckdb.sql(f"SELECT doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms FROM ({ORACLE_SQL['op2_pii']})").fetchall())
+    got = Counter(tuple(r) for r in pii.pii_digest(df).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms").collect())
+    assert got == want and sum(r[-1] for r in got) > 50
+
+
 def test_pii_sanitise(spark, odd, none):
     df = spark.createDataFrame([(1, "to +4111111111111111 and a@b.cd!", "en", "s", 9)], SCHEMA)
     r = pii.sanitise(df).first()
@@ -192,7 +214,7 @@ def test_classifier_cases(spark, odd, none, labels, score):
     assert score(odd, nulls).count() == len(ODD)
 
 
-@pytest.mark.parametrize(("score", "label", "least"), [(toxicity.score_toxicity, "toxic", 0.97), (quality.score_quality, "quality", 0.93)])
+@pytest.mark.parametrize(("score", "label", "least"), [(toxicity.score_toxicity, "toxic", 0.97), (quality.score_quality, "quality", 0.98)])
 def test_classifier_accuracy(spark, score, label, least):
     big = "/root/testdata/sf0.1"
     out = score(spark.read.parquet(f"{big}/documents.parquet"), lab := spark.read.parquet(f"{big}/labels.parquet"))

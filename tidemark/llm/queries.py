@@ -114,3 +114,39 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(gene
 m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM h GROUP BY ALL)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS kind, {r} AS rank, regexp_extract_all(text, '{p}') AS vals, string_split_regex(text, '{p}') AS gaps FROM d" for r, (k, p) in enumerate(_KINDS.items()))
+_PLACED = "list_transform(generate_series(1, len(vals)), lambda i: {'s': list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(vals[1:i - 1], lambda x: length(x))), 0), 'v': vals[i]})"
+
+ORACLE_SQL["op2_pii"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, text, kind, rank, unnest({_PLACED}) AS p FROM ({_FOUND}) WHERE len(vals) > 0),
+g AS (SELECT doc_id, text, kind, rank, p.s::BIGINT AS s, (p.s + length(p.v))::BIGINT AS e, p.v AS v, regexp_replace(p.v, '[^0-9]', '', 'g') AS digits FROM f),
+b AS (SELECT * EXCLUDE (digits) FROM g WHERE CASE kind WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: CAST(x AS DOUBLE))) <= 255 WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+  WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(generate_series(1, length(digits)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[-i] AS INT) ELSE 2 * CAST(digits[-i] AS INT) - CASE WHEN CAST(digits[-i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 ELSE true END),
+c AS (SELECT doc_id, kind || ':' || v AS entity, list_sort(list_distinct(list_filter(regexp_extract_all({_LOW.replace("coalesce(text, '')", "ctx")}, {_WORD}), lambda w: NOT regexp_full_match(w, '[0-9]+')))) AS terms
+  FROM (SELECT doc_id, kind, v, regexp_replace(substr(text, greatest(s - 120, 0) + 1, least(s, 120)), '^[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', '') || ' ' || regexp_replace(substr(text, e + 1, 120), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+$', '') AS ctx FROM b)),
+x AS (SELECT entity, terms, count(DISTINCT doc_id) AS docs FROM c GROUP BY ALL),
+p AS (SELECT entity, term, count(*) AS contexts, sum(docs) AS together FROM (SELECT entity, docs, unnest(terms) AS term FROM x) GROUP BY ALL HAVING count(*) >= 3),
+en AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM c GROUP BY ALL),
+tn AS (SELECT term, count(*) AS n_term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_LOW}, {_WORD}))) AS term FROM d) GROUP BY ALL),
+a AS (SELECT entity, term, log2(least(together, n_entity)::DOUBLE * n / (n_entity * n_term)) / CASE WHEN n_entity < n THEN log2(n / n_entity) END AS disclosed FROM p JOIN en USING (entity) JOIN tn USING (term), (SELECT count(*)::DOUBLE AS n FROM d)),
+act AS (SELECT DISTINCT b.doc_id, term FROM b JOIN a ON b.kind || ':' || b.v = a.entity WHERE disclosed >= 0.7),
+w AS (SELECT doc_id, unnest({_PLACED}) AS p FROM (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS vals, string_split_regex({_LOW}, {_WORD}) AS gaps FROM d SEMI JOIN act USING (doc_id)) WHERE len(vals) > 0),
+t AS (SELECT w.doc_id, p.s::BIGINT AS s, (p.s + length(p.v))::BIGINT AS e FROM w JOIN act ON w.doc_id = act.doc_id AND act.term = p.v),
+k AS (SELECT t.* FROM t ANTI JOIN b ON b.doc_id = t.doc_id AND b.s < t.e AND t.s < b.e),
+l AS (SELECT doc_id, kind, rank, s, e FROM b UNION ALL SELECT doc_id, 'term', 4, s, e FROM k),
+r AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'term') AS n_terms,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM l GROUP BY ALL)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms FROM d LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE_SQL["op5_embedding_groups"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY ALL),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY ALL)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
