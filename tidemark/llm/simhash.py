@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, find, materialize, tokens, union
@@ -177,6 +177,16 @@ def _emit(b: pa.RecordBatch, most: int):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _labelled(documents: DataFrame, most: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (key, label, component_id) of every fingerprint; label names its component."""
+    fps = materialize(fingerprints(documents, width), "fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    linked = connected_components(link_edges(distinct.select("fp"), most))
+    named = distinct.join(linked, distinct.fp == linked.id, "left").select("fp", "first_id", F.coalesce("component_id", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return fps, named.join(least, "label").select(F.col("fp").alias("key"), "label", "component_id")
+
+
 def simhash_groups(documents: DataFrame, most: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of ``most`` bits or fewer).
 
@@ -184,28 +194,41 @@ def simhash_groups(documents: DataFrame, most: int = 2, width: int = 3) -> DataF
     and share a component; a null doc_id stays and is never the smallest of a component unless it has only nulls.
     Other columns are ignored; an empty table gives none.
     """
-    fps = materialize(fingerprints(documents, width), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = materialize(distinct, "distinct-fingerprints")
-    linked = connected_components(link_edges(distinct.select("fp"), most))
-    # (fp, label of its component) -> smallest doc_id of the component
-    named = distinct.join(linked, distinct.fp == linked.id, "left").select("fp", "first_id", F.coalesce("component_id", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "label").select(F.col("fp").alias("key"), "component_id")
+    fps, named = _labelled(documents, most, width)
     out = fps.join(named, fps.fp == named.key)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame, most: int = 2, width: int = 3) -> DataFrame:
-    """The documents, one of each group: the one with the smallest doc_id; of equal rows one stays.
+    """The documents, one row of each group: the one with the smallest doc_id.
 
-    Rows with a null doc_id that link with a row that has one go; among themselves one stays.
+    Of several rows with that id, or of rows without any id where a group has no other, the one with the least hash of
+    its text stays. Where ids are unique, as they should be, texts are not moved but by the one anti join with the ids
+    that go; rows whose id is null or repeated are few, and are ranked within their group.
     """
-    groups = simhash_groups(documents, most, width)
-    if dict(documents.dtypes)["doc_id"] in ("bigint", "int"):
-        gone = groups.where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select(F.col("doc_id").alias("gone"))
-        gone = materialize(gone.distinct(), "near-duplicates")
-        kept = documents.join(gone, documents.doc_id.eqNullSafe(gone.gone), "left_anti")
-    else:
-        raise TypeError("doc_id must be an integer")
-    return kept.select(*documents.columns)
+    fps, named = _labelled(documents, most, width)
+    named = materialize(named, "fingerprint-groups")
+    plain = documents.where("doc_id IS NOT NULL")
+    gone = fps.join(named, fps.fp == named.key).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    repeated = materialize(fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    gone = materialize(gone.join(repeated, F.col("gone") == F.col("again"), "left_anti"), "near-duplicates")
+    has_repeated = not repeated.isEmpty()
+    if has_repeated:
+        plain = plain.join(repeated, plain.doc_id == repeated.again, "left_anti")
+    kept = plain.join(gone, plain.doc_id == gone.gone, "left_anti").select(*documents.columns)
+    if not has_repeated and fps.where("doc_id IS NULL").isEmpty():
+        return kept
+    odd = documents.where("doc_id IS NULL").unionByName(documents.join(repeated, documents.doc_id == repeated.again, "left_semi"))
+    odd = odd.select(F.struct(*documents.columns).alias("doc"), F.col("doc_id").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
+    schema = odd.select("doc", "id").withColumn("fp", F.lit(0).cast("long")).schema
+
+    def add(batches):
+        for b in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(fps.view(np.int64))], names=["doc", "id", "fp"])
+
+    odd = odd.mapInArrow(add, schema)
+    odd = odd.join(named, odd.fp == named.key).where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc.text").cast("string")), F.col("doc.text").cast("string"))
+    odd = odd.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("doc.*")
+    return kept.unionByName(odd)
