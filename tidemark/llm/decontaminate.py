@@ -230,6 +230,33 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, wi
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10, width: int = 5) -> DataFrame:
-    """The documents in which no benchmark window occurs. A null doc_id among the hits drops the rows with a null id."""
-    bad = materialize(contamination(documents, benchmark, size, width).where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
-    return documents.join(bad, documents.doc_id.eqNullSafe(bad.bad), "left_anti").select(*documents.columns)
+    """The rows of documents in which no benchmark window occurs, with all their columns; cases as in benchmark_hits.
+
+    Each block of the benchmark takes two scans: one counts its shingles over the corpus, one verifies and filters. The
+    filter is of rows where they are: nothing is joined back, so null and repeated ids don't matter and no text is moved.
+    """
+    sc = documents.sparkSession.sparkContext
+    texts, kept = documents.select(F.col("text").cast("string").cast("binary").alias("text")), documents
+    for block in _blocks(benchmark, BLOCK_WORDS):
+        ix = sc.broadcast(index(block, size, width))
+
+        def count(batches, ix=ix):
+            for b in batches:
+                for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
+                    found, n = np.unique(np.concatenate([*_places(part, ix.value)[2], np.zeros(0, np.uint64)]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+        counted = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        prefix = sc.broadcast(_prefixes(ix.value, {r["shingle"] & (1 << 64) - 1: r["n"] for r in counted.toLocalIterator()}))
+
+        def keep(batches, ix=ix, prefix=prefix):
+            for b in batches:
+                clean = []
+                for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
+                    part = [t.encode() if isinstance(t, str) else t for t in part]
+                    for n, p, h in zip(*_places(part, ix.value), strict=True):
+                        clean.append(len(p) == 0 or not _verify(int(n), p, h, ix.value, prefix.value)[1])
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        kept = kept.mapInArrow(keep, documents.schema)
+    return kept
