@@ -116,10 +116,10 @@ def disclosing_terms(found: DataFrame, documents: DataFrame, reach: int, support
     # one row a term and task at most is shuffled; the terms of pairs are picked afterwards
     listed = F.array_distinct(F.split(lower_ascii(F.col("text").cast("string")), f"{NON_WORD}+"))
     seen = documents.select(F.explode(listed).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = documents.select(F.count("*").alias("n"))
-    pmi = F.log2(F.least("together", "n_entity").cast("double") * F.col("n") / (F.col("n_entity").cast("double") * F.col("n_term")))
-    disclosed = pmi / F.when(F.col("n_entity") < F.col("n"), F.log2(F.col("n") / F.col("n_entity")))
-    return pairs.join(seen, "term").crossJoin(F.broadcast(total)).select("entity", "term", disclosed.alias("disclosed")).where(F.col("disclosed") >= generalise)
+    n = F.lit(float(documents.count()))
+    pmi = F.log2(F.least("together", "n_entity").cast("double") * n / (F.col("n_entity").cast("double") * F.col("n_term")))
+    disclosed = pmi / F.when(F.col("n_entity") < n, F.log2(n / F.col("n_entity")))
+    return pairs.join(seen, "term").select("entity", "term", disclosed.alias("disclosed")).where(F.col("disclosed") >= generalise)
 
 
 def find_pii(documents: DataFrame, reach: int = 120, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
