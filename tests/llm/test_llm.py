@@ -365,10 +365,18 @@ def test_simhash_odd(odd, none):
     assert len(out) == len(ODD)
     assert {r.component_id for r in out if r.fingerprint == "0" * 16} == {1}
     kept = [r.doc_id for r in simhash.drop_near_duplicates(odd).collect()]
-    assert 1 in kept and 2 not in kept and None not in kept and 4 in kept
+    assert sorted(kept) == [1, 3, 4, 6]
     assert simhash.simhash_groups(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that are null or repeated, alone in a group and together with others."""
+    rows = [(None, "x y z"), (None, "x y z"), (None, "p q r s"), (7, "p q r s"), (8, "a b c"), (8, "a b c"), (8, "d e f"), (9, "a b c"), (10, "k l m"), (11, "n o p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("id", F.lit(2))
+    kept = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == [(-1, "x y z"), (7, "p q r s"), (8, "a b c"), (8, "d e f"), (10, "k l m"), (11, "n o p")]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000), (None, 3)]
     out = {r.id: r.component_id for r in shared.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -474,3 +482,6 @@ def test_contamination(spark, docs, odd, none, monkeypatch, block):
     assert decontaminate.contamination(odd, real.limit(0)).where("contaminated").count() == 0
     kept = Counter(r.doc_id for r in decontaminate.drop_contaminated(docs, real).collect())
     assert kept == Counter(d for d, *_, bad in hits_brute(texts(docs), texts(real.withColumnRenamed("item_id", "doc_id"))) if not bad)
+    # rows are filtered where they are: a clean row stays though its null or repeated id is also that of a bad one
+    mixed = spark.createDataFrame([(None, "same text here"), (None, "clean"), (4, "same text here"), (4, None)], "doc_id long, text string")
+    assert Counter(r.text for r in decontaminate.drop_contaminated(mixed, more).collect()) == Counter({"clean": 1, None: 1})
