@@ -184,3 +184,35 @@ def test_position(spark):
     assert {r.payment_date: r.amount for r in position.cashflows_by_leg(flows, pos, F.lit(V)).collect()} == {V: 20.0, date(2024, 1, 2): 3.0}
     g = spark.createDataFrame([("a", {"delta": 1.0}), ("b", {"delta": 3.0, "vega": 1.0})], "ins_id string, greeks map<string,double>")
     assert {r.name: r.value for r in position.greeks(g, pos).collect()} == {"delta": -1.0, "vega": -1.0}
+
+
+def test_spread_and_floater(spark):
+    b = spark.createDataFrame([("b", 100.0, 0.06, 0.0, date(2024, 1, 1), date(2026, 1, 1), 6, "c")], "ins_id string, face double, coupon double, margin double, start_date date, end_date date, months int, curve_id string")
+    nodes = spark.createDataFrame([("c", 360, 0.05), ("c", 1080, 0.05)], "curve_id string, days int, zero double")
+    flows = pricing.bond_cashflows(b)
+    worth = pricing.present_value(flows, b, nodes, F.lit(V), 0.01).select("ins_id", F.col("npv").alias("value"))
+    assert pricing.spreads(flows, b, nodes, worth, F.lit(V)).first().spread == pytest.approx(0.01, abs=1e-9)
+    floater = pricing.floating_bond_cashflows(b, nodes, F.lit(V))
+    assert pricing.present_value(floater, b, nodes, F.lit(V)).first().npv == pytest.approx(100, abs=0.2)
+
+
+def test_portfolio_plan(spark):
+    from tidemark.plans import portfolio as plan
+
+    days = [datetime(2024, 1, 1) + i * D for i in range(6)]
+    prices = spark.createDataFrame([(d, k, p * (1 + 0.1 * i), 1.0) for i, d in enumerate(days) for k, p in (("a", 10.0), ("b", 20.0))], "time_index timestamp, unique_identifier string, close double, volume double")
+    weights = spark.createDataFrame([(d, k, w) for d in days for k, w in (("a", 0.5), ("b", 0.5))], "time_index timestamp, unique_identifier string, signal_weight double")
+    config = plan.PortfolioConfig.of({"signal": "fixed", "fee": 0.01, "forward_fill": "2 DAYS"})
+    out = plan.build(config, weights, prices, weights.select("time_index").distinct()).orderBy("time_index").collect()
+    assert [r["return"] for r in out] == pytest.approx([-0.01, 0.1, 0.1 / 1.1, 0.1 / 1.2, 0.1 / 1.3, 0.1 / 1.4])
+    assert out[-1].close == pytest.approx(0.99 * 1.5) and out[0].rebalance_weights == '{"a":0.5,"b":0.5}'
+    moved = plan.build(plan.PortfolioConfig.of({"signal": "fixed", "override_asset": "a"}), weights, prices, weights.select("time_index").distinct(), keep_maps=False)
+    assert [r.close for r in moved.orderBy("time_index").collect()] == pytest.approx([10.0, 11.0, 12.0, 13.0, 14.0, 15.0])
+    with pytest.raises(ValueError):
+        plan.PortfolioConfig.of({"nothing": 1})
+    with pytest.raises(ValueError):
+        plan.PortfolioConfig.of({"signal": "unknown"})
+
+
+def test_latest(spark):
+    assert rows(live.latest(panel(spark, [(0, "a", 1.0), (1, "a", 2.0), (0, "b", 3.0)]))) == [(30, "b", 3.0), (31, "a", 2.0)]

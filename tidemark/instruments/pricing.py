@@ -34,6 +34,32 @@ def bond_cashflows(bonds: DataFrame, basis: str = "ACT/360", rule: str = "FOLLOW
     return coupons.where("amount <> 0").unionByName(redemption)
 
 
+def floating_bond_cashflows(bonds: DataFrame, nodes: DataFrame, valuation: Column, rule: str = "FOLLOWING") -> DataFrame:
+    """As bond_cashflows with coupons of the curve's forwards plus the bond's margin; needs margin and curve_id.
+
+    A period that began before the valuation date takes the forward from that date.
+    """
+    p = periods(bonds, rule).join(curve_points(nodes), "curve_id", "left")
+    tau = year_fraction(F.col("period_start"), F.col("payment_date"))
+    begin, end = F.greatest(F.datediff("period_start", valuation), F.lit(0)), F.datediff("payment_date", valuation)
+    forward = (factor_at(F.col("points"), begin) / factor_at(F.col("points"), end) - 1) / ((end - begin) / 360.0)
+    coupons = p.where(end > 0).select("ins_id", F.lit("coupon").alias("leg"), "payment_date", (F.col("face") * (forward + F.col("margin")) * tau).alias("amount"))
+    redemption = bonds.select("ins_id", F.lit("redemption").alias("leg"), adjusted(F.col("end_date"), rule).alias("payment_date"), F.col("face").cast("double").alias("amount"))
+    return coupons.unionByName(redemption)
+
+
+def spreads(cashflows: DataFrame, instruments: DataFrame, nodes: DataFrame, prices: DataFrame, valuation: Column) -> DataFrame:
+    """(ins_id, spread): the continuous spread over the curve at which the flows are worth the dirty value (ins_id, value).
+
+    Flows are discounted on the curve first, so that the spread is the yield of what is left.
+    """
+    rows = cashflows.join(instruments.select("ins_id", "curve_id"), "ins_id").join(curve_points(nodes), "curve_id", "left")
+    days = F.datediff("payment_date", valuation)
+    flow = F.struct((days / 365.0).alias("t"), (F.col("amount") * factor_at(F.col("points"), days)).alias("a"))
+    left = rows.where(days > 0).groupBy("ins_id").agg(F.array_sort(F.collect_list(flow)).alias("f"))
+    return left.join(prices, "ins_id").select("ins_id", solve_yield("value", F.col("f.t"), F.col("f.a")).alias("spread"))
+
+
 def present_value(cashflows: DataFrame, instruments: DataFrame, nodes: DataFrame, valuation: Column, spread: Column | float = 0.0) -> DataFrame:
     """(ins_id, npv): flows after the valuation date, discounted on the instrument's curve plus a continuous spread."""
     points = curve_points(nodes)

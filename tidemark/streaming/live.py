@@ -41,3 +41,9 @@ def sessions(df: DataFrame, gap: str, by: Sequence[str] = (KEY,), delay: str | N
     source = df.withWatermark(time, delay) if delay else df
     made = source.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n"))
     return made.select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def latest(df: DataFrame, by: Sequence[str] = (KEY,), time: str = TIME) -> DataFrame:
+    """The last row of each key so far: one row of state a key. A stream of it is written in update mode."""
+    rest = [c for c in df.columns if c not in by]
+    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.col(time)).alias("_row")).select(*by, "_row.*")
