@@ -12,10 +12,18 @@ from ..schema import KEY, TIME
 KEYS = (TIME, KEY)
 
 
-def keep_one(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = KEYS, last: bool = True) -> DataFrame:
-    """The last (or first) row of each key by an explicit order: Spark has no row order of its own."""
+def keep_one(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = KEYS, last: bool = True, colocate: Sequence[str] | None = None) -> DataFrame:
+    """The last (or first) row of each key by an explicit order: Spark has no row order of its own.
+
+    colocate: a part of the key by which later windows partition. Rows are then shuffled by it once, and what follows by
+    it in time order needs neither a shuffle nor a sort of its own. Without it a hot entity is spread over its times.
+    """
     by = [(c if isinstance(c, Column) else F.col(c)) for c in order]
-    w = Window.partitionBy(*keys).orderBy(*(c.desc() if last else c.asc() for c in by))
+    # the time comes last, so that the sort also serves windows by the other keys in time order
+    parts = [k for k in keys if k != TIME] + [k for k in keys if k == TIME]
+    w = Window.partitionBy(*parts).orderBy(*(c.desc() if last else c.asc() for c in by))
+    if colocate:
+        df = df.repartition(*colocate)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

@@ -50,13 +50,14 @@ def range_filter(df: DataFrame, ranges: DataFrame, key: str = KEY, time: str = T
 
 def range_read(
     df: DataFrame, start: datetime | None = None, end: datetime | None = None, great_or_equal: bool = True, less_or_equal: bool = True,
-    ids: Iterable[str] | DataFrame | None = None, columns: Iterable[str] | None = None, ranges: DataFrame | None = None,
+    ids: Iterable[str] | DataFrame | None = None, columns: Iterable[str] | None = None, ranges: DataFrame | Mapping[str, Range] | None = None,
     combine: str = "override", on_missing: str = "raise", ordered: bool = False, key: str = KEY, time: str = TIME,
 ) -> DataFrame:
     """A panel cut by time bounds, identifiers and ranges; key columns are always part of the result.
 
     ranges overrides the other row filters (combine="override") or is added to them ("and"). A column that the panel
-    doesn't have is an error, or with on_missing="empty" an empty result. ids and ranges together are an error.
+    doesn't have is an error, or with on_missing="empty" an empty result. ids and ranges together are an error. Ranges
+    given as a mapping also bound the scan: by their earliest start and latest end where all have one, and by their ids.
     """
     if ids is not None and ranges is not None:
         raise ValueError("ids and ranges exclude each other")
@@ -81,6 +82,14 @@ def range_read(
         else:
             listed = df.sparkSession.createDataFrame([(i,) for i in ids], "_id string")
             df = df.join(F.broadcast(listed) if len(ids) <= BROADCAST_ROWS else listed, F.col(key) == F.col("_id"), "left_semi")
+    if isinstance(ranges, Mapping):
+        if ranges and all(r.start is not None for r in ranges.values()):
+            df = df.where(F.col(time) >= F.lit(min(r.start for r in ranges.values())))
+        if ranges and all(r.end is not None for r in ranges.values()):
+            df = df.where(F.col(time) <= F.lit(max(r.end for r in ranges.values())))
+        if len(ranges) <= PUSHED_IDS:
+            df = df.where(F.col(key).isin(list(ranges)))
+        ranges = range_table(df.sparkSession, ranges, df.schema[time].dataType.simpleString())
     if ranges is not None:
         df = range_filter(df, ranges, key, time)
     return df.orderBy(time) if ordered else df

@@ -51,7 +51,7 @@ def panel_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.keep_one(panel_p(spark, sf_dir), ["l_orderkey", "l_linenumber"])
+    return merge.keep_one(panel_p(spark, sf_dir), ["l_orderkey", "l_linenumber"], colocate=(KEY,))
 
 
 def r6(c: Column | str, name: str, digits: int = 6) -> Column:
@@ -90,7 +90,7 @@ def range_read(spark, sf_dir):
 )
 def range_map_read(spark, sf_dir):
     made = {"1": ranges.Range(datetime(2024, 1, 3), datetime(2024, 1, 10)), "2": ranges.Range(datetime(2024, 1, 20), start_operand=">"), "3": ranges.Range(end=datetime(2024, 1, 4), end_operand="<"), "4": ranges.Range(), "none": ranges.Range()}
-    return ranges.range_read(panel_e(spark, sf_dir), columns=["value"], ranges=ranges.range_table(spark, made, "timestamp_ntz"))
+    return ranges.range_read(panel_e(spark, sf_dir), columns=["value"], ranges=made)
 
 
 @query(E_SQL + " SELECT unique_identifier, min(time_index) AS min_time, grouping(unique_identifier) = 1 AS is_total FROM e GROUP BY GROUPING SETS ((), (unique_identifier))")
