@@ -20,6 +20,8 @@ from .labelled import labelled_sample
 from .shared import chunks, crc_mod, words
 
 PARTS = 5
+#: Bytes of text that are scored at a time, about; a longer text is scored by itself.
+CHUNK = 2 << 20
 
 
 @dataclass
@@ -114,8 +116,10 @@ def logits(model: Cnn, texts: list[bytes | None]) -> np.ndarray:
     return np.maximum(pooled + model.bias, 0) @ model.out + model.shift[0]
 
 
-def scores(model: Cnn, texts: list[bytes | None]) -> np.ndarray:
-    return _sigmoid(model.shift[1] * logits(model, texts).astype(np.float64) + model.shift[2])
+def scores(model: Cnn, texts) -> np.ndarray:
+    """Calibrated scores, by groups of texts of about CHUNK bytes."""
+    raw = [logits(model, part) for part in chunks(texts, CHUNK)]
+    return _sigmoid(model.shift[1] * np.concatenate([*raw, np.zeros(0)]).astype(np.float64) + model.shift[2])
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -202,8 +206,9 @@ def fit(sample: pd.DataFrame, config: CnnConfig | None = None) -> Cnn:
             model.embed[0] = 0
     texts = sample["text"]
     if len(held) and 0 < y[held].sum() < len(held):
-        model.shift[1:] = _calibrate(logits(model, texts.iloc[held].tolist()).astype(np.float64), y[held])
-        s, lang = scores(model, texts.iloc[held].tolist()), sample["lang"].to_numpy()[held]
+        raw = np.concatenate([logits(model, part) for part in chunks(texts.iloc[held], CHUNK)]).astype(np.float64)
+        model.shift[1:] = _calibrate(raw, y[held])
+        s, lang = scores(model, texts.iloc[held]), sample["lang"].to_numpy()[held]
         for one in np.unique(lang):
             of = lang == one
             if c.least_positive <= y[held][of].sum() < of.sum():
@@ -227,8 +232,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, config: CnnConfig |
     def run(batches):
         m = model.value
         for b in batches:
-            s = [scores(m, part) for part in chunks((x.as_py() for x in b.column("text")), 4 << 20)]
-            s = np.concatenate(s) if s else np.zeros(0)
+            s = scores(m, (x.as_py() for x in b.column("text")))
             cut = np.array([m.thresholds.get(x, 0.5) for x in b.column("lang").to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(cut), pa.array(s >= cut)],
@@ -250,8 +254,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, config: CnnConfig | None
         m = model.value
         for b in batches:
             texts, lang = b.column("text"), b.column("lang").to_pylist()
-            s = [scores(m, [t if t is None else t.encode() for t in part]) for part in chunks((x.as_py() for x in texts), 4 << 20)]
-            s = np.concatenate(s) if s else np.zeros(0)
+            s = scores(m, (t.as_py() and t.as_py().encode() for t in texts))
             keep = s < np.array([m.thresholds.get(x or "", 0.5) for x in lang], dtype=np.float64)
             yield b.filter(pa.array(keep))
 
