@@ -69,7 +69,7 @@ def encode(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, list[np
         docs.append(np.array(ids + [0] * max(0, 3 - len(ids)), dtype=np.int32))
     table = np.zeros((len(seen) + 1, PARTS), dtype=np.int32)
     if seen:
-        table[1:] = [parts(w, buckets) for w in seen]
+        table[1:] = np.fromiter((p for w in seen for p in parts(w, buckets)), np.int32, len(seen) * PARTS).reshape(-1, PARTS)
     return table, docs
 
 
