@@ -39,6 +39,12 @@ def test_store(spark, store):
     assert store.scan("x").where("w = 1").count() == 2
     assert rows(store.read("x", start=datetime(2024, 2, 1), ids=["b"])) == [(3, "b", 5.0)]
     assert store.upsert(panel(spark, []), "x").parts == t.parts
+    added = store.upsert(panel(spark, [(5, "c", 6.0)]), "x")
+    assert set(t.parts) < set(added.parts) and [p for p, _ in added.parts] == ["202401", "202402", "202402"]
+    assert store.scan("x").where("unique_identifier = 'c' AND w IS NULL").count() == 1
+    assert len(store.upsert(panel(spark, [(5, "c", 7.0)]), "x").parts) == 2
+    store.upsert(panel(spark, [(5, "c", None)]), "x", mode="replace")
+    assert (4, "c", None) in [(r.time_index.day, r.unique_identifier, r.v) for r in store.scan("x").collect()]
     with pytest.raises(ValueError):
         store.upsert(panel(spark, [(0, "a", 1.0), (0, "a", 2.0)]), "x")
     store.upsert(panel(spark, [(0, "a", 1.0), (0, "a", 2.0)]), "x", order=["v"])
@@ -46,11 +52,11 @@ def test_store(spark, store):
     assert store.drop_columns("x", ["w", "time_index", "zzz"]) == {"dropped": ["w"], "skipped": ["time_index", "zzz"], "partitions_rebuilt": 2}
     assert "w" not in store.scan("x").columns
     store.compact("x")
-    assert store.vacuum("x") > 0 and store.scan("x").count() == 3
-    assert store.capped("x", max_rows=1).count() == 1 and store.capped("x").count() == 3
-    assert {(r.unique_identifier, r.is_total) for r in store.minima("x").collect()} == {(None, True), ("a", False), ("b", False)}
+    assert store.vacuum("x") > 0 and store.scan("x").count() == 4
+    assert store.capped("x", max_rows=1).count() == 1 and store.capped("x").count() == 4
+    assert {(r.unique_identifier, r.is_total) for r in store.minima("x").collect()} == {(None, True), ("a", False), ("b", False), ("c", False)}
     store.view("x", "x_view")
-    assert spark.sql("SELECT count(*) FROM x_view").first()[0] == 3
+    assert spark.sql("SELECT count(*) FROM x_view").first()[0] == 4
     assert store.reconcile(spark.createDataFrame([("y",)], "name string")) == {"only_local": ["x"], "only_remote": ["y"]}
     store.drop("x", files=True)
     assert store.names() == []

@@ -29,7 +29,7 @@ class Table:
     keys: tuple[str, ...] = (TIME, KEY)
     partition: str = "month"
     schema: str = "{}"
-    parts: tuple[tuple[str, str], ...] = ()  # (partition, path)
+    parts: tuple[tuple[str, str], ...] = ()  # (partition, path); a partition may have several paths, of different keys
 
 
 class PanelStore:
@@ -115,7 +115,7 @@ class PanelStore:
         t = self.describe(name)
         total, kept = 0, []
         lo = start.strftime("%Y%m%d") if start is not None else "0"
-        for part, _ in sorted(t.parts):
+        for part in sorted({p for p, _ in t.parts}):
             if _bounds(part)[1] < lo:
                 continue
             total += self.scan(name, [part]).count()
@@ -129,8 +129,9 @@ class PanelStore:
     def upsert(self, df: DataFrame, name: str, keys: Sequence[str] = (TIME, KEY), partition: str = "month", mode: str = "coalesce", order: Sequence[str] | None = None) -> Table:
         """Writes rows by key; see operators.merge.upsert. Repeated keys in the batch: the last by ``order``, or an error.
 
-        Only partitions that the batch has rows for are read and rewritten. A column's registered type stays: the batch is
-        cast to it, and a cast that loses a value raises.
+        Only partitions that the batch has rows for are read. If no key of the batch is stored yet, it is added to them as
+        further files; else they are rewritten. A column's registered type stays: the batch is cast to it, and a cast that
+        loses a value raises.
         """
         t = self.describe(name) or Table(name, tuple(keys), partition)
         df = validate_update(df, t.keys)
@@ -141,20 +142,23 @@ class PanelStore:
                 df = df.withColumn(c, F.col(c).cast(T.StructField.fromJson(known[c]).dataType))
         touched = sorted(r[0] for r in df.select(_part(t).alias("p")).distinct().collect())
         old = self.scan(name, touched) if known else None
-        merged = merge.upsert(old, df, t.keys, mode) if old is not None else df
-        return self._write(t, merged, touched)
+        if old is None or not merge.overlap_exists(old, df, t.keys):
+            wider = df if old is None else old.limit(0).unionByName(df, allowMissingColumns=True)
+            return self._write(t, wider, touched, keep=True)
+        return self._write(t, merge.upsert(old, df, t.keys, mode), touched)
 
-    def _write(self, t: Table, df: DataFrame, touched: Sequence[str]) -> Table:
+    def _write(self, t: Table, df: DataFrame, touched: Sequence[str], keep: bool = False) -> Table:
+        """Writes partitions next to the old ones; with keep, in addition to them, else in their place."""
         base = f"{self.root}/{t.name}/v={uuid.uuid4().hex}"
         laid = df.withColumn("_part", _part(t))
         n = self.spark.conf.get("spark.sql.shuffle.partitions")
         # a partition's rows are spread by key over tasks and lie sorted in each file
         laid = laid.repartition(int(n), "_part", *t.keys[1:]).sortWithinPartitions("_part", *t.keys[1:], t.keys[0])
         laid.write.partitionBy("_part").option("compression", "zstd").parquet(base)
-        made = {p: f"{base}/_part={p}" for p in touched if self._fs.exists(self._path(f"{base}/_part={p}"))}
-        parts = {p: path for p, path in t.parts if p not in touched} | made
+        made = [(p, f"{base}/_part={p}") for p in touched if self._fs.exists(self._path(f"{base}/_part={p}"))]
+        parts = [(p, path) for p, path in t.parts if keep or p not in touched] + made
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
-        out = Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts.items())))
+        out = Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts)))
         self._publish(out)
         return out
 
@@ -163,7 +167,7 @@ class PanelStore:
         t = self.describe(name)
         df = self.scan(name)
         gone = [c for c in columns if c in df.columns and c not in t.keys]
-        parts = [p for p, _ in t.parts]
+        parts = sorted({p for p, _ in t.parts})
         if gone:
             self._write(t, df.drop(*gone).dropDuplicates(list(t.keys)), parts)
         return {"dropped": gone, "skipped": [c for c in columns if c not in gone], "partitions_rebuilt": len(parts) if gone else 0}
@@ -171,7 +175,7 @@ class PanelStore:
     def compact(self, name: str) -> Table:
         """Rewrites all partitions, one row a key; small files are merged."""
         t = self.describe(name)
-        return self._write(t, self.scan(name).dropDuplicates(list(t.keys)), [p for p, _ in t.parts])
+        return self._write(t, self.scan(name).dropDuplicates(list(t.keys)), sorted({p for p, _ in t.parts}))
 
     def drop(self, name: str, files: bool = False) -> None:
         """Forgets a table; its files go only if asked for."""
