@@ -64,3 +64,10 @@ def resample_last(df: DataFrame, step: str, columns: Sequence[str], keys: Sequen
     grid = grid.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias("_step"))
     full = grid.join(stepped, [*keys, "_step"], "left").withColumnRenamed("_step", time)
     return ffill(full, columns, keys, time)
+
+
+def weekly_last(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (KEY,), time: str = TIME) -> DataFrame:
+    """Last known values of each week that ends on a Sunday, labelled by that Sunday."""
+    sunday = F.date_add(F.date_trunc("week", time).cast("date"), 6).cast(df.schema[time].dataType)
+    made = df.groupBy(*keys, sunday.alias("_week")).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in columns))
+    return made.withColumnRenamed("_week", time)
