@@ -224,6 +224,14 @@ def test_classifier_accuracy(spark, score, label, least):
     assert (pos[:, None] > neg[None]).mean() > 0.95
 
 
+def test_drop_toxic_keeps_columns(spark, odd, none, labels):
+    kept = toxicity.drop_toxic(odd, labels)
+    rejected = toxicity.score_toxicity(odd, labels).where("rejected").count()
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - rejected
+    assert toxicity.drop_toxic(odd.drop("lang"), labels).columns == odd.drop("lang").columns and toxicity.drop_toxic(none, labels).count() == 0
+    assert toxicity.drop_toxic(odd.drop("lang"), labels).count() <= len(ODD)
+
+
 def test_held_out_rows_are_not_learned(docs, labels):
     import zlib
 

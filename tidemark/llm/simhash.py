@@ -121,7 +121,9 @@ def link_edges(distinct: DataFrame, most: int = 2, bands: int = 5) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp long) that span all groups of fingerprints within ``most`` bits.
 
     Buckets of more than BLOCK fingerprints are dealt into blocks by hash; every pair of blocks is a unit of its own,
-    so that no task holds a whole large bucket, and no pair is left out. Each unit has its own tree.
+    so that no task holds a whole large bucket, and no pair is left out. Each unit has its own tree. Fingerprints of a
+    bucket share 38 bits, so that even one around a large group of near copies, which lie a few bits apart, holds
+    thousands of different ones, not a share of all documents.
     """
     picks = masks(most, bands)
     keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("pick"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(picks)))).alias("key")).select("fp", "key.pick", "key.bits")

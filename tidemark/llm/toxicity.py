@@ -253,7 +253,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, config: CnnConfig | None
     def run(batches):
         m = model.value
         for b in batches:
-            texts, lang = b.column("text"), b.column("lang").to_pylist()
+            texts, lang = b.column("text"), b.column("lang").to_pylist() if "lang" in b.schema.names else [""] * b.num_rows
             s = scores(m, (t.as_py() and t.as_py().encode() for t in texts))
             keep = s < np.array([m.thresholds.get(x or "", 0.5) for x in lang], dtype=np.float64)
             yield b.filter(pa.array(keep))
