@@ -55,7 +55,8 @@ def mix(documents: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
 
     Only one pass reads texts; what is sorted is (source, key, size). A source's keys are cut into even
     ranges, each of which is summed and sorted by itself, so that no source meets in one task; offsets of the
-    ranges come from their sums. The table of sources is small next to the documents but is never collected.
+    ranges come from their sums. The ranking of the sources and their caps
+    follow an order over all sources, so the table of sources, a row each, passes through one task.
     """
     kind = documents.schema["doc_id"].dataType
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
