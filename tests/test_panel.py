@@ -231,3 +231,19 @@ def test_replication(spark):
     w = signals.replication_weights(panel(spark, rows).withColumnRenamed("v", "close"), "t", ["a", "b"], 40)
     last = {x.unique_identifier: x.signal_weight for x in w.where(F.col("time_index") == T0 + 79 * H).collect()}
     assert last == pytest.approx({"a": 0.25, "b": 0.75}, abs=1e-4)
+
+
+def test_rolling_ols(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=40)
+    y = 2 + 3 * x + rng.normal(0, 0.1, 40)
+    rows = [(T0 + i * H, "a", None if i == 5 else float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    out = rolling.rolling_ols(spark.createDataFrame(rows, "time_index timestamp, unique_identifier string, x double, y double"), "y", "x", 20).orderBy("time_index").collect()
+    assert all(r.beta is None for r in out[:25]) and out[25].beta is not None
+    a = np.column_stack([np.ones(20), x[20:]])
+    b, *_ = np.linalg.lstsq(a, y[20:], rcond=None)
+    s2 = ((y[20:] - a @ b) ** 2).sum() / 19
+    t = b / np.sqrt(s2 * np.diag(np.linalg.inv(a.T @ a)))
+    last = out[-1]
+    assert (last.intercept, last.beta) == pytest.approx(tuple(b)) and (last.t_intercept, last.t_beta) == pytest.approx(tuple(t))
+    assert last.r_squared == pytest.approx(np.corrcoef(x[20:], y[20:])[0, 1] ** 2)

@@ -104,22 +104,28 @@ def ewm_std(x: Column, span: float, w: WindowSpec | None = None, memory: int | N
     return F.when(n > 1, sums)
 
 
-def rolling_ols(y: Column, x: Column, n: int, w: WindowSpec | None = None) -> dict[str, Column]:
-    """One factor and an intercept over the last n rows: beta, intercept, r2, t values. Null until n rows have both.
+def rolling_ols(df: DataFrame, y: str, x: str, n: int, w: WindowSpec | None = None) -> DataFrame:
+    """Adds beta, intercept, r_squared, t_beta, t_intercept of y on one factor and an intercept over the last n rows; null until n
+    rows have both and the factor varies.
 
-    The residual variance divides by n - 1 (n - k + 1 with k = 2 parameters), as in the analytics this follows.
+    The residual variance divides by n - 1 (n - k + 1 with k = 2 parameters), as in the analytics this follows. The
+    moments are columns of their own, as Spark would evaluate a window again wherever an expression repeats it.
     """
     frame = rows(n, w)
-    both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
-    full = F.count(both).over(frame) == n
-    beta, alpha, r2 = F.regr_slope(y, x).over(frame), F.regr_intercept(y, x).over(frame), F.regr_r2(y, x).over(frame)
-    sxx, syy, mx = F.regr_sxx(y, x).over(frame), F.regr_syy(y, x).over(frame), F.regr_avgx(y, x).over(frame)
-    s2 = F.greatest(syy - beta * beta * sxx, F.lit(0.0)) / (n - 1)
-    keep = lambda c: F.when(full & (sxx > 0), c)
-    return {
-        "beta": keep(beta), "intercept": keep(alpha), "r_squared": keep(r2),
-        "t_beta": keep(F.when(s2 > 0, beta / F.sqrt(s2 / sxx))), "t_intercept": keep(F.when(s2 > 0, alpha / F.sqrt(s2 * (1 / F.lit(float(n)) + mx * mx / sxx)))),
-    }
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    moments = {"_n": F.count(a), "_mx": F.avg(a), "_my": F.avg(b), "_vx": F.var_pop(a), "_vy": F.var_pop(b), "_cov": F.covar_pop(b, a)}
+    out = df.withColumns({k: m.over(frame) for k, m in moments.items()})
+    ok = (F.col("_n") == n) & (F.col("_vx") > 0)
+    out = out.withColumn("beta", F.when(ok, F.col("_cov") / F.col("_vx")))
+    out = out.withColumn("_s2", F.greatest(n * (F.col("_vy") - F.col("beta") * F.col("_cov")), F.lit(0.0)) / (n - 1))
+    out = out.withColumns({
+        "intercept": F.col("_my") - F.col("beta") * F.col("_mx"),
+        "r_squared": F.when(ok, F.when(F.col("_vy") > 0, F.col("_cov") * F.col("_cov") / (F.col("_vx") * F.col("_vy"))).otherwise(1.0)),
+        "t_beta": F.when(F.col("_s2") > 0, F.col("beta") / F.sqrt(F.col("_s2") / (n * F.col("_vx")))),
+    })
+    spread = F.sqrt(F.col("_s2") * (1 / F.lit(float(n)) + F.col("_mx") * F.col("_mx") / (n * F.col("_vx"))))
+    return out.withColumn("t_intercept", F.when(F.col("_s2") > 0, F.col("intercept") / spread)).drop(*moments, "_s2")
 
 
 def sma(x: Column, n: int, w: WindowSpec | None = None) -> Column:

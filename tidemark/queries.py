@@ -376,8 +376,8 @@ def portfolio_returns(spark, sf_dir):
     SELECT time_index, unique_identifier, CASE WHEN n = 30 THEN round(b, 4) END AS beta, CASE WHEN n = 30 THEN round(a, 4) END AS intercept, CASE WHEN n = 30 THEN round(r2, 5) END AS r2, CASE WHEN n = 30 THEN round(b / sqrt((syy - b * b * sxx) / 29 / sxx), 4) END AS t_beta FROM o"""
 )
 def rolling_ols(spark, sf_dir):
-    made = rolling.rolling_ols(F.col("price"), F.col("volume"), 30)
-    return panel_d(spark, sf_dir).select(TIME, KEY, r6(made["beta"], "beta", 4), r6(made["intercept"], "intercept", 4), r6(made["r_squared"], "r2", 5), r6(made["t_beta"], "t_beta", 4))
+    made = rolling.rolling_ols(panel_d(spark, sf_dir), "price", "volume", 30)
+    return made.select(TIME, KEY, r6("beta", "beta", 4), r6("intercept", "intercept", 4), r6("r_squared", "r2", 5), r6("t_beta", "t_beta", 4))
 
 
 @query(_DAILY + " SELECT time_index, unique_identifier, round(price, 6) AS price FROM m")
