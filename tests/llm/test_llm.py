@@ -86,6 +86,24 @@ def test_lm(docs, odd, config):
         assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2] for m in mine], [w[2] for w in want], atol=1e-3)
 
 
+@pytest.mark.parametrize("held", [0, 1, 40])
+def test_lm_words_without_a_number(spark, docs, odd, held):
+    """Words beyond those that are broadcast are counted and scored like any other."""
+    for df in (docs, odd, spark.createDataFrame([(1, "a foo foo foo b"), (2, "foo foo a b a"), (3, "a foo")], "doc_id long, text string")):
+        mine = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_score) for r in lm.score_lm(df, lm.LmConfig(held=held)).collect())
+        want = lm_brute(texts(df), lm.LmConfig(floor=0))
+        assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2] for m in mine], [w[2] for w in want], atol=1e-3)
+
+
+def test_lm_rare_words_keep_their_counts(spark):
+    """A word seen once or twice among more than 2^18 words is told apart from others as rare."""
+    many = " ".join(f"w{i % 1000}" for i in range(600_000))
+    rows = [(1, many), (2, "rare rare pair"), (3, "rare pair lone")]
+    got = {r.doc_id: r.log_score for r in lm.score_lm(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: s for i, _, s in lm_brute(rows, lm.LmConfig(floor=0))}
+    assert all(abs(got[i] - want[i]) < 1e-3 * max(1, abs(want[i])) for i in want)
+
+
 def test_lm_empty(none):
     assert lm.score_lm(none).count() == 0
 

@@ -1,14 +1,17 @@
 """LM scoring: stupid backoff, computed relationally from n-gram count tables.
 
-S(w | v) = c(v w) / c(v) if the table of bigrams has v w, else backoff * S(w), with S(w) = c(w) / N. The model has a
-closed vocabulary: a word has an entry of its own if its share of all running words is ``floor`` or more, so that there
-are 1 / floor entries at most and the word table has a proven bound; all other words are pooled: S(other) is the mean
-count of such a word, over N, and they give no context. Bigrams are of two vocabulary words; the table holds those
-seen ``cutoff`` times or more. All counts are over all documents.
-
-A bigram's key is exact: two word numbers in one long. Keys are shuffled by their hash; the count table is built and
-joined in the partitions of that shuffle. Bigrams of two words that are each very common, the only ones that could make
-a hot key, are counted apart, map-side first: there are at most (1 / common) ** 2 of them, and their table is broadcast.
+S(w | v) = c(v w) / c(v) if the table of bigrams has v w, else backoff * S(w), with S(w) = c(w) / N. Every word and every
+bigram is counted over all documents; the table of bigrams holds those seen ``cutoff`` times or more.
+
+The ``held`` most frequent words at most are numbered and broadcast, so that a bigram of two of them has an exact key of
+one long. Of the other words, each of which makes up less than 1 / held of all, and of the bigrams that hold one, the
+bytes are the key. Keys are shuffled by their hash; the count table is built and joined in the partitions of that
+shuffle, for words without a number by the word, so that its own count and those of its bigrams lie together.
+Bigrams of two words that are each very common, the only ones that could make a hot key, are counted apart, map-side
+first: there are at most (1 / common) ** 2 of them, and their table is broadcast.
+
+A caller may close the vocabulary by ``floor``: then words of a lesser share of all running words are pooled: S(other) is
+the mean count of such a word, over N, and they give no context and make no bigrams.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ HELD_ROWS = 1 << 16
 
 @dataclass(frozen=True)
 class LmConfig:
-    floor: float = 2.0**-18
+    floor: float = 0.0
+    held: int = 1 << 18
     common: float = 2.0**-9
     cutoff: int = 2
     backoff: float = 0.4
@@ -59,13 +63,74 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def _numbers(text: bytes | None, get) -> np.ndarray:
-    """Word numbers; -1 for words outside the vocabulary."""
+    """Word numbers; -1 for words without one."""
     w = words(text)
     return np.fromiter((get(x, -1) for x in w), dtype=np.int64, count=len(w))
 
 
+def _least_held(counts: DataFrame, held: int) -> int:
+    """The least count from which on words are numbered: at most ``held`` words have it. Steps are eighths of an octave."""
+    step = F.floor(F.log2("n") * 8)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, have = 1 << 62, 0
+    for r in steps:
+        have += r.words
+        if have > held:
+            break
+        least = r.least
+    return least
+
+
+def _unnumbered_parts(numbered: DataFrame, vocabulary, logs: DataFrame, c: LmConfig, log_all: float) -> DataFrame:
+    """(row, part): what words without a number, and bigrams that hold one, add to a text's score.
+
+    One row for each place of such a word, with its neighbours, is shuffled by the word: its count and those of its
+    bigrams are then at hand in one partition. A bigram of two such words is met at both: each takes off its own count.
+    """
+
+    def places(batches):
+        get = vocabulary.value.get
+        for b in batches:
+            word, before, after, before_id, after_id, row = [], [], [], [], [], []
+            for t, r in zip(b.column("text"), b.column("row").to_pylist(), strict=True):
+                w = words(t.as_py())
+                ids = [get(x) for x in w]
+                for i, k in enumerate(ids):
+                    if k is None:
+                        word.append(w[i])
+                        row.append(r)
+                        before_id.append(ids[i - 1] if i else None)
+                        before.append(w[i - 1] if i and ids[i - 1] is None else None)
+                        last = i + 1 == len(w)
+                        after_id.append(None if last else ids[i + 1])
+                        after.append(w[i + 1] if not last and ids[i + 1] is None else None)
+                if len(word) > HELD_ROWS:
+                    yield out(word, before_id, before, after_id, after, row)
+                    word, before, after, before_id, after_id, row = [], [], [], [], [], []
+            yield out(word, before_id, before, after_id, after, row)
+
+    def out(word, before_id, before, after_id, after, row):
+        columns = [pa.array(word, pa.binary()), pa.array(before_id, pa.int32()), pa.array(before, pa.binary()), pa.array(after_id, pa.int32()), pa.array(after, pa.binary()), pa.array(row, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "before_id", "before", "after_id", "after", "row"])
+
+    at = numbered.select("text", "row").mapInArrow(places, "word binary, before_id int, before binary, after_id int, after binary, row long").repartition("word")
+    side = lambda k, number, other: F.struct(F.lit(k).alias("side"), number.alias("number"), other.alias("other"))
+    none = F.lit(None)
+    sides = F.array(side(0, F.col("before_id"), F.col("before")), side(1, F.col("after_id"), F.col("after")), side(2, none.cast("int"), none.cast("binary")))
+    at = at.select("word", "row", F.explode(sides).alias("s")).select("word", "row", "s.side", "s.number", "s.other")
+    at = at.where((F.col("side") == 2) | F.col("number").isNotNull() | F.col("other").isNotNull())
+    at = at.withColumn("times", F.count("*").over(Window.partitionBy("word", "side", "number", "other")))
+    at = at.withColumn("own", F.sum((F.col("side") == 2).cast("long")).over(Window.partitionBy("word")))
+    at = at.where((F.col("side") == 2) | (F.col("times") >= c.cutoff))
+    known = F.broadcast(logs.select(F.col("number").cast("int").alias("known"), F.col("log_count").alias("log_known")))
+    at = at.join(known, F.col("number") == F.col("known"), "left")
+    gain = F.log("times") - F.lit(math.log(c.backoff)) + F.lit(log_all) - F.log("own")
+    part = F.when(F.col("side") == 2, F.log("own") - F.lit(log_all)).when(F.col("other").isNull(), gain - F.col("log_known"))
+    return at.select("row", part.when(F.col("side") == 1, gain).otherwise(-F.log("own")).alias("part"))
+
+
 def _pairs(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the neighbouring vocabulary words, and where their second word stands."""
+    """Keys of the neighbouring numbered words, and where their second word stands."""
     at = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0))
     return (ids[at] << bits) | ids[at + 1], at + 1
 
@@ -73,16 +138,17 @@ def _pairs(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def score_lm(documents: DataFrame, config: LmConfig | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S over the whole text), mean_log_score (null without words) for every row.
 
-    The first word of a text, and a word after one outside the vocabulary, is scored by S(w) without the backoff
-    factor, as it has no context. Null and empty texts have no words and score 0. Repeated rows are scored and
+    The first word of a text, and where the vocabulary is closed a pooled word and a word after one, is scored by S(w)
+    without the backoff factor, as it has no context. Null and empty texts have no words and score 0. Repeated rows are scored and
     counted each; null ids stay; other columns are ignored; an empty table gives none.
     """
     c = config or LmConfig()
     spark = documents.sparkSession
     counts = materialize(word_counts(documents), "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, math.ceil(c.floor * total))
-    # at most 1 / floor rows, as each holds that share of all words
+    closed = c.floor > 0
+    # at most 1 / floor rows, as each holds that share of all words, or at most ``held`` rows
+    least = max(1, math.ceil(c.floor * total)) if closed else _least_held(counts, c.held)
     kept = sorted(((bytes(r.word), r.n) for r in counts.where(F.col("n") >= least).toLocalIterator()), key=lambda x: (-x[1], x[0]))
     count = np.array([n for _, n in kept], dtype=np.float64)
     other = (total - count.sum()) / max(1, types - len(kept))
@@ -118,13 +184,14 @@ def score_lm(documents: DataFrame, config: LmConfig | None = None) -> DataFrame:
         words, and its score as far as no other bigram is in the table."""
         get = vocabulary.value.get
         count, grams, times = model.value
-        log_count = np.append(np.log(np.maximum(count, 1)), log_other + log_all)  # -1: a word outside
+        # -1: a pooled word, or one whose share of the score is added where its count is known
+        log_count = np.append(np.log(np.maximum(count, 1)), log_other + log_all if closed else log_all)
         for b in batches:
             held, first, size = [], 0, 0
             for i, (t, r) in enumerate(zip(b.column("text"), b.column("row").to_pylist(), strict=True)):
                 ids = _numbers(t.as_py(), get)
                 keys, _ = _pairs(ids, bits)
-                score = float((log_count[ids] - log_all).sum()) + back * len(keys)
+                score = float((log_count[ids] - log_all).sum()) + back * (len(keys) if closed else max(0, len(ids) - 1))
                 keys, many = np.unique(keys, return_counts=True)
                 common = ((keys >> bits) < n_common) & ((keys & mask) < n_common)
                 if len(grams) and common.any():
@@ -160,5 +227,9 @@ def score_lm(documents: DataFrame, config: LmConfig | None = None) -> DataFrame:
     hits = hits.join(v, F.shiftright("gram", bits) == F.col("v"), "left").join(w, F.col("gram").bitwiseAND(F.lit(mask)) == F.col("w"), "left")
     gain = F.col("n") * (F.log("times") - F.col("log_v") - F.lit(back) - F.col("log_w") + F.lit(log_all))
     part = F.when(F.col("gram") < 0, F.col("base")).otherwise(gain)
-    summed = hits.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.when(F.col("gram") < 0, F.col("n"))).alias("n_words"), F.sum(part).alias("log_score"))
+    parts = hits.select("row", "doc_id", F.when(F.col("gram") < 0, F.col("n")).alias("n_words"), part.alias("part"))
+    if not closed and types > len(count):
+        rest = _unnumbered_parts(numbered, vocabulary, logs, c, log_all)
+        parts = parts.union(rest.select("row", F.lit(None).cast(kind), F.lit(None).cast("int"), "part"))
+    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("part").alias("log_score"))
     return summed.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
