@@ -315,6 +315,19 @@ def test_embeddings_recall(spark):
     assert true > 0 and 0.9 * true <= out.n_links.sum() <= true
 
 
+def test_embeddings_rare_links_are_found(spark):
+    """Few links among many vectors, so that the calibration set holds next to none of them."""
+    rng = np.random.default_rng(8)
+    x = embeddings.unit(rng.normal(size=(6000, 64)))
+    u = rng.normal(size=(200, 64))
+    u -= (u * x[:200]).sum(1, keepdims=True) * x[:200]
+    y = 0.952 * x[:200] + np.sqrt(1 - 0.952**2) * embeddings.unit(u)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    c = embeddings.ImiConfig(cell_rows=16, calibration=128)
+    out = {r.vec_id: r for r in embeddings.embedding_groups(df, c).collect()}
+    assert sum(out[6000 + i].component_id == i for i in range(200)) >= 196
+
+
 def test_embeddings_empty(spark):
     assert embeddings.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

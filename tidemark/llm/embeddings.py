@@ -2,7 +2,8 @@
 
 Vectors are cut in halves; each half has a codebook of its own, so that the pairs of codewords form a product grid of
 cells. Every vector is stored in its cell, and visits cells in the order of their distance (multi-sequence traversal
-over the two sorted lists of codewords) until the number of cells that reached the target recall on a calibration set.
+over the two sorted lists of codewords) until the number of cells that reached the target recall on a calibration set:
+on pairs made at exactly the threshold around its vectors, whether links are drawn or not, and on the links it has.
 What it meets there is verified by cosine in double precision.
 """
 
@@ -27,6 +28,8 @@ class ImiConfig:
     #: Vectors of the calibration set at most; each is compared with all vectors.
     calibration: int = 256
     target_recall: float = 0.995
+    #: Pairs that are made around each vector of the calibration set.
+    made: int = 8
     #: Vectors of a cell, about; with it the codebooks grow, up to most_words for each half.
     cell_rows: int = 64
     most_words: int = 256
@@ -92,8 +95,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _reach(need: np.ndarray, weight: np.ndarray, share: float) -> int:
+    """The least number of cells with which ``share`` of the weight is met."""
+    order = np.argsort(need, kind="stable")
+    sums = weight[order].cumsum()
+    return int(need[order][min(np.searchsorted(sums, share * sums[-1] - 1e-9), len(need) - 1)])
+
+
+def _need(model: Imi, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each x[i]: how many cells it takes to meet y[i] in its own."""
+    cell = model.cells(y, 1)[:, 0]
+    d1, d2 = model.distances(x)
+    at = np.arange(len(x))
+    dist = d1[at, cell // len(model.right)] + d2[at, cell % len(model.right)]
+    full = len(model.left) * len(model.right)
+    return np.array([min(full, 1 + int((np.add.outer(d1[i], d2[i]) < dist[i]).sum())) for i in at], dtype=np.int64)
+
+
+def made_visits(model: Imi, x: np.ndarray, config: ImiConfig) -> int:
+    """Visits that find the target share of pairs at exactly the threshold, of x and random vectors; either side may find it."""
+    rng = np.random.default_rng(config.seed)
+    x = np.repeat(x, config.made, axis=0)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.maximum(np.sqrt((off * off).sum(1, keepdims=True)), 1e-300)
+    y = config.threshold * x + np.sqrt(max(0.0, 1 - config.threshold**2)) * off
+    return _reach(np.minimum(_need(model, x, y), _need(model, y, x)), np.ones(len(x)), config.target_recall)
+
+
 def fit(vectors: DataFrame, config: ImiConfig, n: int, dim: int) -> Imi:
-    """Codebooks from a bounded sample; the number of visits from the links of a calibration set with all vectors."""
+    """Codebooks from a bounded sample; the number of visits from pairs made around a calibration set, and from its links with
+    all vectors, where each vector of the set weighs the same."""
     c = config
     rng = np.random.default_rng(c.seed)
     drawn = vectors.where(F.size("v") == dim).select("rep", "v").orderBy(F.xxhash64(F.lit(c.seed), "rep"), "rep").limit(c.sample).toPandas()
@@ -116,13 +148,15 @@ def fit(vectors: DataFrame, config: ImiConfig, n: int, dim: int) -> Imi:
             cell = m.cells(y[i], 1)[:, 0] if len(i) else np.zeros(0, np.int64)
             dist = d1[j, cell // len(m.right)] + d2[j, cell % len(m.right)]
             need = [min(full, 1 + int((np.add.outer(d1[a], d2[a]) < d).sum())) for a, d in zip(j, dist, strict=True)]
-            took, times = np.unique(np.array(need, dtype=np.int64), return_counts=True)  # at most as many rows as cells
-            yield pa.RecordBatch.from_arrays([pa.array(took), pa.array(times)], names=["need", "n"])
+            # at most as many rows as vectors of the set and cells
+            took, times = np.unique(np.array([j, need], dtype=np.int64).reshape(2, -1), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(took[0]), pa.array(took[1]), pa.array(times)], names=["asks", "need", "n"])
 
-    need = vectors.where(F.size("v") == dim).select("rep", "v").mapInArrow(ranks, "need long, n long").groupBy("need").agg(F.sum("n").alias("n")).orderBy("need").toPandas()
+    need = vectors.where(F.size("v") == dim).select("rep", "v").mapInArrow(ranks, "asks long, need long, n long").groupBy("asks", "need").agg(F.sum("n").alias("n")).toPandas()
+    model.n_visits = max(c.least_visits, made_visits(model, x[: c.calibration], c))
     if len(need):
-        reached = np.searchsorted(need["n"].cumsum().to_numpy(), c.target_recall * need["n"].sum())
-        model.n_visits = max(c.least_visits, int(need["need"].iloc[min(reached, len(need) - 1)]))
+        weight = need["n"] / need.groupby("asks")["n"].transform("sum")
+        model.n_visits = max(model.n_visits, _reach(need["need"].to_numpy(), weight.to_numpy(), c.target_recall))
     return model
 
 
