@@ -60,48 +60,66 @@ def test_words_agree_with_their_patterns():
 
 def lm_brute(rows, c):
     d = [(i, WORDS.findall(low(t))) for i, t in rows]
-    u = Counter(w for _, x in d for w in x)
-    n = sum(u.values())
-    v = {w: k for w, k in u.items() if k >= max(1, math.ceil(c.floor * n))}
-    other = (n - sum(v.values())) / max(1, len(u) - len(v))
-    b = Counter(p for _, x in d for p in zip(x, x[1:], strict=False) if p[0] in v and p[1] in v)
-    out = []
+    gram = lambda x, k: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    every = [Counter(g for _, x in d for g in gram(x, k).elements()) for k in (1, 2, 3)]
+    words, out = sum(every[0].values()), []
     for i, x in d:
-        s = 0.0
-        for at, w in enumerate(x):
-            one = math.log(v[w] / n) if w in v else math.log(other / n)
-            if at and w in v and x[at - 1] in v:
-                k = b[(x[at - 1], w)]
-                one = math.log(k / v[x[at - 1]]) if k >= c.cutoff else one + math.log(c.backoff)
-            s += one
-        out.append((-1 if i is None else i, len(x), round(s, 4)))
+        own = [gram(x, k) if c.leave_out else Counter() for k in (1, 2, 3)]
+        left = lambda g: every[len(g) - 1][g] - own[len(g) - 1][g]
+        n, s = max(1, words - sum(own[0].values())), 0.0
+        for at in range(len(x)):
+            factor = 0.0
+            for k in (3, 2, 1):
+                g = tuple(x[at - k + 1 : at + 1])
+                if at + 1 < k:
+                    continue
+                if left(g):
+                    s += factor + math.log(left(g) / (left(g[:-1]) if k > 1 else n))
+                    break
+                factor += math.log(c.backoff)
+            else:
+                s += factor - math.log(n)
+        out.append((-1 if i is None else i, len(x), s))
     return sorted(out)
 
 
-@pytest.mark.parametrize("config", [lm.LmConfig(), lm.LmConfig(floor=1e-3, common=0.01), lm.LmConfig(common=2.0)])
-def test_lm(docs, odd, config):
-    for df in (docs, odd):
-        mine = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm.score_lm(df, config).collect())
-        want = lm_brute(texts(df), config)
-        assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2] for m in mine], [w[2] for w in want], atol=1e-3)
+def lm_close(df, config):
+    mine = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_score) for r in lm.score_lm(df, config).collect())
+    want = lm_brute(texts(df), config)
+    assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2] for m in mine], [w[2] for w in want], rtol=1e-9, atol=1e-6)
+
+
+@pytest.mark.parametrize("config", [lm.LmConfig(), lm.LmConfig(leave_out=False, backoff=0.1), lm.LmConfig(batch_words=9000, bucket_grams=20_000)])
+def test_lm(spark, docs, odd, config):
+    for df in (docs, odd, spark.createDataFrame([(1, "a foo foo foo b"), (2, "foo foo a b a"), (3, "a foo"), (4, "lone")], "doc_id long, text string")):
+        lm_close(df, config)
 
 
-@pytest.mark.parametrize("held", [0, 1, 40])
-def test_lm_words_without_a_number(spark, docs, odd, held):
-    """Words beyond those that are broadcast are counted and scored like any other."""
-    for df in (docs, odd, spark.createDataFrame([(1, "a foo foo foo b"), (2, "foo foo a b a"), (3, "a foo")], "doc_id long, text string")):
-        mine = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_score) for r in lm.score_lm(df, lm.LmConfig(held=held)).collect())
-        want = lm_brute(texts(df), lm.LmConfig(floor=0))
-        assert [m[:2] for m in mine] == [w[:2] for w in want] and np.allclose([m[2] for m in mine], [w[2] for w in want], atol=1e-3)
+def test_lm_alone(spark):
+    """One document: no other has a word of it."""
+    lm_close(spark.createDataFrame([("x", "a b a b c")], "doc_id string, text string").withColumn("doc_id", F.lit(7).cast("long")), lm.LmConfig())
+    assert lm.score_lm(spark.createDataFrame([("x", "a b")], "doc_id string, text string")).first().doc_id == "x"
 
 
 def test_lm_rare_words_keep_their_counts(spark):
-    """A word seen once or twice among more than 2^18 words is told apart from others as rare."""
+    """A word seen once or twice among very many is told apart from others as rare."""
     many = " ".join(f"w{i % 1000}" for i in range(600_000))
-    rows = [(1, many), (2, "rare rare pair"), (3, "rare pair lone")]
-    got = {r.doc_id: r.log_score for r in lm.score_lm(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = {i: s for i, _, s in lm_brute(rows, lm.LmConfig(floor=0))}
-    assert all(abs(got[i] - want[i]) < 1e-3 * max(1, abs(want[i])) for i in want)
+    lm_close(spark.createDataFrame([(1, many), (2, "rare rare pair"), (3, "rare pair lone")], "doc_id long, text string"), lm.LmConfig())
+
+
+def test_lm_documents_that_occur_twice_stand_out(spark):
+    """Every word and pair of them is common; only the order tells."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 80))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows[:30]]
+    got = {r.doc_id: r.mean_log_score for r in lm.score_lm(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in range(30)) > max(got[i] for i in range(30, 300)) + 1
+
+
+def test_word_pieces():
+    t = ("aB c-d " * 40 + "x" * 100).encode()
+    assert [w for piece in shared.word_pieces(t, 16) for w in piece] == shared.words(t)
+    assert list(shared.word_pieces(None)) == [] and [w for p in shared.word_pieces(b" - ", 1) for w in p] == []
 
 
 def test_lm_empty(none):

@@ -1,235 +1,267 @@
-"""LM scoring: stupid backoff, computed relationally from n-gram count tables.
+"""LM scoring: stupid backoff from trigrams to words, computed relationally from n-gram count tables.
 
-S(w | v) = c(v w) / c(v) if the table of bigrams has v w, else backoff * S(w), with S(w) = c(w) / N. Every word and every
-bigram is counted over all documents; the table of bigrams holds those seen ``cutoff`` times or more.
+    S(w | u v) = c(u v w) / c(u v)     if another document has u v w
+                 a c(v w) / c(v)       else, if another document has v w
+                 a^2 c(w) / N          else, if another document has w
+                 a^3 / N               else
 
-The ``held`` most frequent words at most are numbered and broadcast, so that a bigram of two of them has an exact key of
-one long. Of the other words, each of which makes up less than 1 / held of all, and of the bigrams that hold one, the
-bytes are the key. Keys are shuffled by their hash; the count table is built and joined in the partitions of that
-shuffle, for words without a number by the word, so that its own count and those of its bigrams lie together.
-Bigrams of two words that are each very common, the only ones that could make a hot key, are counted apart, map-side
-first: there are at most (1 / common) ** 2 of them, and their table is broadcast.
+c counts the n-grams of all documents but the one that is scored (``leave_out``): a model that held the text itself would
+find every n-gram of it and never back off. Every word, bigram and trigram of every document is counted; nothing is cut.
 
-A caller may close the vocabulary by ``floor``: then words of a lesser share of all running words are pooled: S(other) is
-the mean count of such a word, over N, and they give no context and make no bigrams.
+Documents are read once, into batches of about ``batch_words`` words: their different words and each text as numbers of
+them. A batch asks the count tables for each of its different n-grams once, with the times it has them, so that a hot
+n-gram is a row a batch at most. The tables are hash-partitioned: an n-gram's bucket is a range of its hash, trigrams lie
+with the bigram they continue, and the number of buckets grows with the corpus so that one holds about ``bucket_grams``.
+What other batches counted goes back to the batch, where the terms of each document are summed.
+
+N-grams are known by their hash: 64 bits for words and bigrams, and for a trigram those of its bigram and 40 of its last
+word. Among n different bigrams one is taken for another with a probability of n / 2^64.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_bytes, words
+from .shared import materialize, text_bytes, word_pieces
 
-#: Different words that one task counts before it hands its counts on.
-HELD_WORDS = 1 << 18
-#: Rows of bigrams that a task gathers, about, before it hands them on.
-HELD_ROWS = 1 << 16
+_P = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)))
+#: Bits of the last word of a trigram, beside the bigram that it continues.
+LAST = 40
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    floor: float = 0.0
-    held: int = 1 << 18
-    common: float = 2.0**-9
-    cutoff: int = 2
     backoff: float = 0.4
+    #: A document is scored by the counts of all others; False: of all documents, itself included.
+    leave_out: bool = True
+    batch_words: int = 1 << 21
+    bucket_grams: int = 1 << 21
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(word binary, n) over the whole texts of all rows; tasks pre-aggregate."""
-
-    def run(batches):
-        held: Counter[bytes] = Counter()
+def pack(a: np.ndarray) -> bytes:
+    """The numbers byte by byte (all lowest bytes, then the next), compressed; high bytes are mostly zero."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.zeros(0, np.uint8)
+    return len(a).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-        for b in batches:
-            for t in b.column("text"):
-                held.update(words(t.as_py()))
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
+def unpack(held: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(held[:8], "little"), np.dtype(kind).itemsize
+    if n == 0:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(held[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
-    return text_bytes(documents).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of the word pairs (a[i], b[i]), given as hashes."""
+    x = a * _P[0] + b
+    x ^= x >> np.uint64(32)
+    x *= _P[1]
+    x ^= x >> np.uint64(29)
+    x *= _P[2]
+    return x ^ (x >> np.uint64(32))
 
-def _numbers(text: bytes | None, get) -> np.ndarray:
-    """Word numbers; -1 for words without one."""
-    w = words(text)
-    return np.fromiter((get(x, -1) for x in w), dtype=np.int64, count=len(w))
 
+def encoded(documents: DataFrame, batch_words: int) -> DataFrame:
+    """(batch, doc_id array, n_words array, words, hashes): the texts of a batch end to end as numbers of its different words."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
-def _least_held(counts: DataFrame, held: int) -> int:
-    """The least count from which on words are numbered: at most ``held`` words have it. Steps are eighths of an octave."""
-    step = F.floor(F.log2("n") * 8)
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    least, have = 1 << 62, 0
-    for r in steps:
-        have += r.words
-        if have > held:
-            break
-        least = r.least
-    return least
-
+    def run(batches):
+        seen: dict[bytes, int] = {}
+        ids, sizes, names, held = [], [], [], 0
 
-def _unnumbered_parts(numbered: DataFrame, vocabulary, logs: DataFrame, c: LmConfig, log_all: float) -> DataFrame:
-    """(row, part): what words without a number, and bigrams that hold one, add to a text's score.
+        def out(doc_type):
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+            words = np.concatenate([*ids, np.zeros(0, np.uint32)])
+            columns = [pa.array([uuid.uuid4().hex]), pa.array([names], pa.list_(doc_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(words)], pa.binary()), pa.array([pack(hashes)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_id", "n_words", "words", "hashes"])
 
-    One row for each place of such a word, with its neighbours, is shuffled by the word: its count and those of its
-    bigrams are then at hand in one partition. A bigram of two such words is met at both: each takes off its own count.
-    """
+        kept_type = None
+        for b in batches:
+            kept_type = b.schema.field("doc_id").type
+            for t, d in zip(b.column("text"), b.column("doc_id").to_pylist(), strict=True):
+                n = 0
+                for w in word_pieces(t.as_py()):
+                    ids.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.uint32, len(w)))
+                    n += len(w)
+                names.append(d)
+                sizes.append(n)
+                held += n
+                if held >= batch_words:
+                    yield out(kept_type)
+                    seen.clear()
+                    ids, sizes, names, held = [], [], [], 0
+        if names:
+            yield out(kept_type)
+
+    return text_bytes(documents, "doc_id").mapInArrow(run, f"batch string, doc_id array<{kind}>, n_words array<long>, words binary, hashes binary")
+
+
+@dataclass
+class Grams:
+    """Different n-grams of a batch in the order of their hashes, how often each occurs, and which one ends at each place (-1: none)."""
+
+    keys: list[np.ndarray]  # words, bigrams: hash; trigrams: number of the bigram, then LAST bits of the last word
+    times: list[np.ndarray]
+    at: list[np.ndarray]
+
+
+def grams(words: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Grams:
+    """words: numbers into hashes; first: the place begins a text."""
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    one = rank[words]
+    out = Grams([hashes[order]], [np.bincount(one, minlength=len(order))], [one])
+    h = hashes[words]
+    ends = np.flatnonzero(~first)  # a bigram ends there
+    keys, inverse, n = np.unique(pair_hash(h[ends - 1], h[ends]), return_inverse=True, return_counts=True)
+    two = np.full(len(words), -1, np.int64)
+    two[ends] = inverse
+    out.keys.append(keys), out.times.append(n), out.at.append(two)
+    ends = ends[two[ends - 1] >= 0] if len(ends) else ends
+    last = (h[ends] * _P[3]) >> np.uint64(64 - LAST)
+    keys, inverse, n = np.unique((two[ends - 1].astype(np.uint64) << np.uint64(LAST)) | last, return_inverse=True, return_counts=True)
+    three = np.full(len(words), -1, np.int64)
+    three[ends] = inverse
+    out.keys.append(keys), out.times.append(n), out.at.append(three)
+    return out
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the hash, so that the order of hashes is that of buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words, hashes, first of a row of encoded()."""
+    words, hashes = unpack(row["words"], np.uint32), unpack(row["hashes"], np.uint64)
+    sizes = np.array(row["n_words"], dtype=np.int64)
+    first = np.zeros(len(words), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return words, hashes, first
+
+
+_ASKED = ("ones", "n_ones", "twos", "n_twos", "next", "lasts", "n_threes")
+
+
+def _ask(table: DataFrame, buckets: int) -> DataFrame:
+    """A row for each batch and bucket: the different n-grams, and how often the batch has them."""
 
-    def places(batches):
-        get = vocabulary.value.get
+    def run(batches):
         for b in batches:
-            word, before, after, before_id, after_id, row = [], [], [], [], [], []
-            for t, r in zip(b.column("text"), b.column("row").to_pylist(), strict=True):
-                w = words(t.as_py())
-                ids = [get(x) for x in w]
-                for i, k in enumerate(ids):
-                    if k is None:
-                        word.append(w[i])
-                        row.append(r)
-                        before_id.append(ids[i - 1] if i else None)
-                        before.append(w[i - 1] if i and ids[i - 1] is None else None)
-                        last = i + 1 == len(w)
-                        after_id.append(None if last else ids[i + 1])
-                        after.append(w[i + 1] if not last and ids[i + 1] is None else None)
-                if len(word) > HELD_ROWS:
-                    yield out(word, before_id, before, after_id, after, row)
-                    word, before, after, before_id, after_id, row = [], [], [], [], [], []
-            yield out(word, before_id, before, after_id, after, row)
-
-    def out(word, before_id, before, after_id, after, row):
-        columns = [pa.array(word, pa.binary()), pa.array(before_id, pa.int32()), pa.array(before, pa.binary()), pa.array(after_id, pa.int32()), pa.array(after, pa.binary()), pa.array(row, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "before_id", "before", "after_id", "after", "row"])
-
-    at = numbered.select("text", "row").mapInArrow(places, "word binary, before_id int, before binary, after_id int, after binary, row long").repartition("word")
-    side = lambda k, number, other: F.struct(F.lit(k).alias("side"), number.alias("number"), other.alias("other"))
-    none = F.lit(None)
-    sides = F.array(side(0, F.col("before_id"), F.col("before")), side(1, F.col("after_id"), F.col("after")), side(2, none.cast("int"), none.cast("binary")))
-    at = at.select("word", "row", F.explode(sides).alias("s")).select("word", "row", "s.side", "s.number", "s.other")
-    at = at.where((F.col("side") == 2) | F.col("number").isNotNull() | F.col("other").isNotNull())
-    at = at.withColumn("times", F.count("*").over(Window.partitionBy("word", "side", "number", "other")))
-    at = at.withColumn("own", F.sum((F.col("side") == 2).cast("long")).over(Window.partitionBy("word")))
-    at = at.where((F.col("side") == 2) | (F.col("times") >= c.cutoff))
-    known = F.broadcast(logs.select(F.col("number").cast("int").alias("known"), F.col("log_count").alias("log_known")))
-    at = at.join(known, F.col("number") == F.col("known"), "left")
-    gain = F.log("times") - F.lit(math.log(c.backoff)) + F.lit(log_all) - F.log("own")
-    part = F.when(F.col("side") == 2, F.log("own") - F.lit(log_all)).when(F.col("other").isNull(), gain - F.col("log_known"))
-    return at.select("row", part.when(F.col("side") == 1, gain).otherwise(-F.log("own")).alias("part"))
-
-
-def _pairs(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the neighbouring numbered words, and where their second word stands."""
-    at = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0))
-    return (ids[at] << bits) | ids[at + 1], at + 1
+            for row in b.to_pylist():
+                g = grams(*_read(row))
+                cut = [np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1)) for k in g.keys[:2]]
+                prefix = (g.keys[2] >> np.uint64(LAST)).astype(np.int64)
+                follow = np.bincount(prefix, minlength=len(g.keys[1]))
+                cut.append(np.append(0, np.cumsum(follow))[cut[1]])
+                last = g.keys[2] & np.uint64((1 << LAST) - 1)
+                n = [x.astype(np.uint32) for x in g.times]
+                made: list[list] = [[] for _ in range(len(_ASKED) + 1)]
+                for k in np.flatnonzero((np.diff(cut[0]) > 0) | (np.diff(cut[1]) > 0)).tolist():
+                    o, t, r = (slice(c[k], c[k + 1]) for c in cut)
+                    parts = (_gaps(g.keys[0][o]), n[0][o], _gaps(g.keys[1][t]), n[1][t], follow[t].astype(np.uint32), last[r], n[2][r])
+                    for held, value in zip(made, (k, *map(pack, parts)), strict=True):
+                        held.append(value)
+                columns = [pa.array([row["batch"]] * len(made[0]), pa.string()), pa.array(made[0], pa.int64()), *(pa.array(x, pa.binary()) for x in made[1:])]
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", "bucket", *_ASKED])
+
+    return table.select("batch", "n_words", "words", "hashes").mapInArrow(run, "batch string, bucket long, " + ", ".join(f"{x} binary" for x in _ASKED))
+
+
+def _others(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry how often the others have its key, and the key's number."""
+    every, inverse = np.unique(key, return_inverse=True)
+    return np.bincount(inverse, weights=n, minlength=len(every)).astype(np.int64)[inverse] - n, inverse
+
+
+def _count(asked: DataFrame) -> DataFrame:
+    """(batch, bucket, ones, twos, threes): how often other batches have the n-grams that were asked for, in their order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ("ones", "twos", "threes")
+        rows = table.to_pylist()
+        key = {x: [np.cumsum(unpack(r[x], np.uint64)) for r in rows] for x in ("ones", "twos")}
+        n = {x: [unpack(r[f"n_{x}"], np.uint32).astype(np.int64) for r in rows] for x in names}
+        out = {}
+        out["ones"], _ = _others(np.concatenate(key["ones"]), np.concatenate(n["ones"]))
+        out["twos"], number = _others(np.concatenate(key["twos"]), np.concatenate(n["twos"]))
+        follow = np.concatenate([unpack(r["next"], np.uint32) for r in rows])
+        last = np.concatenate([unpack(r["lasts"], np.uint64) for r in rows])
+        out["threes"], _ = _others(np.repeat(number.astype(np.uint64), follow) << np.uint64(LAST) | last, np.concatenate(n["threes"]))
+        cut = {x: np.append(0, np.cumsum([len(a) for a in n[x]])) for x in names}
+        packed = [pa.array([pack(out[x][cut[x][i] : cut[x][i + 1]]) for i in range(len(rows))], pa.binary()) for x in names]
+        return pa.Table.from_arrays([table["batch"].combine_chunks(), table["bucket"].combine_chunks(), *packed], names=["batch", "bucket", *names])
+
+    return asked.groupBy("bucket").applyInArrow(run, "batch string, bucket long, ones binary, twos binary, threes binary")
+
+
+def _own(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each place how often its document has the n-gram that ends there."""
+    some = np.flatnonzero(at >= 0)
+    out = np.zeros(len(at), np.int64)
+    if len(some):
+        _, inverse, n = np.unique(doc[some] * (int(at.max()) + 1) + at[some], return_inverse=True, return_counts=True)
+        out[some] = n[inverse]
+    return out
+
+
+def log_scores(g: Grams, counts: list[np.ndarray], sizes: np.ndarray, first: np.ndarray, total: int, c: LmConfig) -> np.ndarray:
+    """The sum of ln S over each text. counts: of the n-grams of g, over all documents."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    have = [np.append(k, 0)[a] - (_own(a, doc) if c.leave_out else 0) for k, a in zip(counts, g.at, strict=True)]
+    one, two, three = have[0], np.where(g.at[1] >= 0, have[1], 0), np.where(g.at[2] >= 0, have[2], 0)
+    n = np.maximum(1, total - (sizes[doc] if c.leave_out else 0))
+    back = math.log(c.backoff)
+    depth = (g.at[1] >= 0).astype(np.int64) + (g.at[2] >= 0)  # context words
+    score = depth * back + np.log(np.maximum(one, 1)) - np.log(n) + np.where(one > 0, 0.0, back)
+    before = lambda x: np.maximum(np.append(0, x[:-1]), 1)
+    score = np.where(two > 0, (depth - 1) * back + np.log(np.maximum(two, 1)) - np.log(before(one)), score)
+    score = np.where(three > 0, np.log(np.maximum(three, 1)) - np.log(before(two)), score)
+    return np.bincount(doc, weights=score, minlength=len(sizes)).astype(np.float64)
 
 
 def score_lm(documents: DataFrame, config: LmConfig | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S over the whole text), mean_log_score (null without words) for every row.
 
-    The first word of a text, and where the vocabulary is closed a pooled word and a word after one, is scored by S(w)
-    without the backoff factor, as it has no context. Null and empty texts have no words and score 0. Repeated rows are scored and
-    counted each; null ids stay; other columns are ignored; an empty table gives none.
+    The first word of a text has no context and the second one word; they are scored by what they have, without a
+    backoff factor for it. Null and empty texts have no words and score 0. Repeated rows are documents of their own,
+    each counted and scored; null ids stay; other columns are ignored; an empty table gives none. A text is held whole,
+    at some 100 bytes a word.
     """
     c = config or LmConfig()
-    spark = documents.sparkSession
-    counts = materialize(word_counts(documents), "word-counts")
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    closed = c.floor > 0
-    # at most 1 / floor rows, as each holds that share of all words, or at most ``held`` rows
-    least = max(1, math.ceil(c.floor * total)) if closed else _least_held(counts, c.held)
-    kept = sorted(((bytes(r.word), r.n) for r in counts.where(F.col("n") >= least).toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    count = np.array([n for _, n in kept], dtype=np.float64)
-    other = (total - count.sum()) / max(1, types - len(kept))
-    bits = max(1, math.ceil(math.log2(len(kept) + 1)))
-    # by number: the most frequent come first, so the common ones are those below n_common
-    n_common = int((count >= c.common * total).sum())
-    vocabulary = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(kept)})
-    del kept
-
-    texts = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-
-    def common_pairs(batches):
-        get = vocabulary.value.get
-        held = np.zeros((n_common, n_common), dtype=np.int64)
-        for b in batches:
-            for t in b.column("text"):
-                ids = _numbers(t.as_py(), get)
-                both = (ids[1:] >= 0) & (ids[1:] < n_common) & (ids[:-1] >= 0) & (ids[:-1] < n_common)
-                np.add.at(held, (ids[:-1][both], ids[1:][both]), 1)
-        v, w = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(v << bits | w), pa.array(held[v, w])], names=["gram", "n"])
-
-    # at most n_common ** 2 <= (1 / common) ** 2 rows
-    frequent = texts.select("text").mapInArrow(common_pairs, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    table = {r.gram: r.n for r in frequent.toLocalIterator() if r.n >= c.cutoff} if n_common else {}
-    grams = np.array(sorted(table), dtype=np.int64)
-    model = spark.sparkContext.broadcast((count, grams, np.array([table[g] for g in grams.tolist()], dtype=np.float64)))
-    back, mask = math.log(c.backoff), (1 << bits) - 1
-    log_all, log_other = math.log(max(1, total)), math.log(max(other, 1e-300)) - math.log(max(1, total))
-
-    def explode(batches):
-        """A row (gram, row, n) for each different bigram of a text, and one with a negative gram for the text itself: its id, its
-        words, and its score as far as no other bigram is in the table."""
-        get = vocabulary.value.get
-        count, grams, times = model.value
-        # -1: a pooled word, or one whose share of the score is added where its count is known
-        log_count = np.append(np.log(np.maximum(count, 1)), log_other + log_all if closed else log_all)
-        for b in batches:
-            held, first, size = [], 0, 0
-            for i, (t, r) in enumerate(zip(b.column("text"), b.column("row").to_pylist(), strict=True)):
-                ids = _numbers(t.as_py(), get)
-                keys, _ = _pairs(ids, bits)
-                score = float((log_count[ids] - log_all).sum()) + back * (len(keys) if closed else max(0, len(ids) - 1))
-                keys, many = np.unique(keys, return_counts=True)
-                common = ((keys >> bits) < n_common) & ((keys & mask) < n_common)
-                if len(grams) and common.any():
-                    k, at = keys[common], np.minimum(np.searchsorted(grams, keys[common]), len(grams) - 1)
-                    gain = np.log(times[at]) - log_count[k >> bits] - back - log_count[k & mask] + log_all
-                    score += float((gain * many[common])[grams[at] == k].sum())
-                held.append((np.append(keys[~common], -1 - r), np.append(many[~common], len(ids)), r, score))
-                size += len(held[-1][0])
-                if size > HELD_ROWS or i + 1 == b.num_rows:
-                    yield rows_of(held, b.column("doc_id").slice(first, len(held)))
-                    held, first, size = [], i + 1, 0
-
-    def rows_of(held, doc_id):
-        gram = np.concatenate([x[0] for x in held])
-        row = np.repeat([x[2] for x in held], [len(x[0]) for x in held])
-        text = gram < 0
-        score, doc = np.zeros(len(gram)), np.full(len(gram), -1)
-        score[text], doc[text] = [x[3] for x in held], np.arange(len(held))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(gram), pa.array(row), pa.array(np.concatenate([x[1] for x in held]), pa.int32()), pa.array(score, mask=~text), doc_id.take(pa.array(doc, mask=~text))],
-            names=["gram", "row", "n", "base", "doc_id"],
-        )
-
+    table = materialize(encoded(documents, c.batch_words), "encoded-texts", compression="zstd")
+    total = table.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    found = _count(_ask(table, max(1, -(-total // c.bucket_grams))))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    numbered = documents.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
-    exploded = numbered.mapInArrow(explode, f"gram long, row long, n int, base double, doc_id {kind}")
-    # the count table of a partition's grams, joined to their rows where they are
-    counted = exploded.withColumn("times", F.sum("n").over(Window.partitionBy("gram")))
-    logs = spark.createDataFrame(pa.table({"number": np.arange(len(count)), "log_count": np.log(np.maximum(count, 1))}), "number long, log_count double")
-    hits = counted.where((F.col("gram") < 0) | (F.col("times") >= c.cutoff))
-    v = F.broadcast(logs.select(F.col("number").alias("v"), F.col("log_count").alias("log_v")))
-    w = F.broadcast(logs.select(F.col("number").alias("w"), F.col("log_count").alias("log_w")))
-    hits = hits.join(v, F.shiftright("gram", bits) == F.col("v"), "left").join(w, F.col("gram").bitwiseAND(F.lit(mask)) == F.col("w"), "left")
-    gain = F.col("n") * (F.log("times") - F.col("log_v") - F.lit(back) - F.col("log_w") + F.lit(log_all))
-    part = F.when(F.col("gram") < 0, F.col("base")).otherwise(gain)
-    parts = hits.select("row", "doc_id", F.when(F.col("gram") < 0, F.col("n")).alias("n_words"), part.alias("part"))
-    if not closed and types > len(count):
-        rest = _unnumbered_parts(numbered, vocabulary, logs, c, log_all)
-        parts = parts.union(rest.select("row", F.lit(None).cast(kind), F.lit(None).cast("int"), "part"))
-    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("part").alias("log_score"))
-    return summed.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        row = texts.to_pylist()[0]
+        words, hashes, first = _read(row)
+        g, sizes = grams(words, hashes, first), np.array(row["n_words"], dtype=np.int64)
+        counts = []
+        answers = answers.sort_by("bucket")
+        for name, n in zip(("ones", "twos", "threes"), g.times, strict=True):
+            others = np.concatenate([*(unpack(x.as_py(), np.int64) for x in answers[name]), np.zeros(0, np.int64)])
+            if len(others) != len(n):
+                raise RuntimeError(f"{len(others)} counts for {len(n)} n-grams")
+            counts.append(others + n)
+        score = log_scores(g, counts, sizes, first, total, c)
+        mean = pa.array(score / np.maximum(sizes, 1), mask=sizes == 0)
+        return pa.Table.from_arrays([texts["doc_id"].combine_chunks().values, pa.array(sizes), pa.array(score), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+
+    both = table.groupBy("batch").cogroup(found.groupBy("batch"))
+    return both.applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double")

@@ -63,15 +63,14 @@ _WORDS = f"regexp_extract_all({_LOW}, {_WORD})"
 
 ORACLE_SQL["op1_lm_scores"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-t AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM d),
-u AS (SELECT word, count(*) AS n FROM t GROUP BY ALL),
-a AS (SELECT sum(n) AS total, count(*) AS types, greatest(1, ceil(power(2, -18) * sum(n))) AS least FROM u),
-v AS (SELECT word, n FROM u, a WHERE n >= least),
-o AS (SELECT any_value(total) AS total, (any_value(total) - sum(n)) / greatest(1, any_value(types) - count(*)) AS other FROM v, a),
-x AS (SELECT t.doc_id, t.i, t.word, v.n FROM t LEFT JOIN v USING (word)),
-p AS (SELECT *, lag(word) OVER s AS prev, lag(n) OVER s AS prev_n FROM x WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT prev, word, count(*) AS c FROM p WHERE n IS NOT NULL AND prev_n IS NOT NULL GROUP BY ALL),
-s AS (SELECT doc_id, CASE WHEN p.n IS NOT NULL AND prev_n IS NOT NULL THEN CASE WHEN c >= 2 THEN ln(c / prev_n) ELSE ln(0.4) + ln(p.n / total) END WHEN p.n IS NOT NULL THEN ln(p.n / total) ELSE ln(other / total) END AS ls FROM p CROSS JOIN o LEFT JOIN g USING (prev, word))
+t AS (SELECT doc_id, len(w) AS size, unnest(generate_series(1, len(w))) AS i, unnest(w) AS c FROM d),
+p AS (SELECT *, lag(c) OVER s AS b, lag(c, 2) OVER s AS a FROM t WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, count(*) OVER () - size AS rest, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS n1,
+  CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) ELSE 0 END AS n2,
+  CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) ELSE 0 END AS n3 FROM p),
+q AS (SELECT *, lag(n1) OVER s AS before1, lag(n2) OVER s AS before2 FROM n WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, CASE WHEN n3 > 0 THEN ln(n3 / before2) WHEN n2 > 0 THEN least(i - 2, 1) * ln(0.4) + ln(n2 / before1)
+  ELSE least(i - 1, 2) * ln(0.4) + ln(CASE WHEN n1 > 0 THEN n1 ELSE 0.4 END / greatest(rest, 1)) END AS ls FROM q)
 SELECT d.doc_id, any_value(len(w)) AS n_words, round(coalesce(sum(ls), 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
 

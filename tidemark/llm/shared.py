@@ -27,6 +27,16 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_TABLE).split() if text else []
 
 
+def word_pieces(text: bytes | None, most: int = 1 << 22):
+    """The words of the text, in lists of those in about ``most`` bytes each, so that no list holds a very long text."""
+    low, at = text.translate(_WORD_TABLE) if text else b"", 0
+    while at < len(low):
+        end = low.find(b" ", at + most)
+        end = len(low) if end < 0 else end
+        yield low[at:end].split()
+        at = end
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text with A-Z lower-cased; null has none."""
     return text.lower().split() if text else []
@@ -38,18 +48,26 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; a local default where unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master uses a folder of its own; a cluster, whose machines share no such folder, raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Writes the rows to a table in the shared folder and reads it: one pass, no lineage, safe when executors are lost."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
