@@ -14,8 +14,9 @@ n-gram is a row a batch at most. The tables are hash-partitioned: an n-gram's bu
 with the bigram they continue, and the number of buckets grows with the corpus so that one holds about ``bucket_grams``.
 What other batches counted goes back to the batch, where the terms of each document are summed.
 
-N-grams are known by their hash: 64 bits for words and bigrams, and for a trigram those of its bigram and 40 of its last
-word. Among n different bigrams one is taken for another with a probability of n / 2^64.
+N-grams are known by their hash: 64 bits for words and bigrams, and for a trigram those of its bigram and 32 of its last
+word. Among n different bigrams one is taken for another with a probability of n / 2^64, and a trigram for another one with
+the same first two words, of which m different words follow, with m / 2^32.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .shared import materialize, text_bytes, word_pieces
 
 _P = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)))
 #: Bits of the last word of a trigram, beside the bigram that it continues.
-LAST = 40
+LAST = 32
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class LmConfig:
     backoff: float = 0.4
     #: A document is scored by the counts of all others; False: of all documents, itself included.
     leave_out: bool = True
-    batch_words: int = 1 << 21
+    batch_words: int = 1 << 20
     bucket_grams: int = 1 << 21
 
 
@@ -71,7 +72,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def encoded(documents: DataFrame, batch_words: int) -> DataFrame:
-    """(batch, doc_id array, n_words array, words, hashes): the texts of a batch end to end as numbers of its different words."""
+    """(batch, doc_id array, n_words array, words, vocabulary): the texts of a batch end to end as numbers of its different words."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -79,10 +80,10 @@ def encoded(documents: DataFrame, batch_words: int) -> DataFrame:
         ids, sizes, names, held = [], [], [], 0
 
         def out(doc_type):
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+            vocabulary = np.frombuffer(b" ".join(seen), np.uint8)
             words = np.concatenate([*ids, np.zeros(0, np.uint32)])
-            columns = [pa.array([uuid.uuid4().hex]), pa.array([names], pa.list_(doc_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(words)], pa.binary()), pa.array([pack(hashes)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_id", "n_words", "words", "hashes"])
+            columns = [pa.array([uuid.uuid4().hex]), pa.array([names], pa.list_(doc_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(words)], pa.binary()), pa.array([pack(vocabulary)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_id", "n_words", "words", "vocabulary"])
 
         kept_type = None
         for b in batches:
@@ -102,7 +103,7 @@ def encoded(documents: DataFrame, batch_words: int) -> DataFrame:
         if names:
             yield out(kept_type)
 
-    return text_bytes(documents, "doc_id").mapInArrow(run, f"batch string, doc_id array<{kind}>, n_words array<long>, words binary, hashes binary")
+    return text_bytes(documents, "doc_id").mapInArrow(run, f"batch string, doc_id array<{kind}>, n_words array<long>, words binary, vocabulary binary")
 
 
 @dataclass
@@ -147,7 +148,8 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words, hashes, first of a row of encoded()."""
-    words, hashes = unpack(row["words"], np.uint32), unpack(row["hashes"], np.uint64)
+    words, vocabulary = unpack(row["words"], np.uint32), unpack(row["vocabulary"], np.uint8).tobytes().split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
     sizes = np.array(row["n_words"], dtype=np.int64)
     first = np.zeros(len(words), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
@@ -173,13 +175,13 @@ def _ask(table: DataFrame, buckets: int) -> DataFrame:
                 made: list[list] = [[] for _ in range(len(_ASKED) + 1)]
                 for k in np.flatnonzero((np.diff(cut[0]) > 0) | (np.diff(cut[1]) > 0)).tolist():
                     o, t, r = (slice(c[k], c[k + 1]) for c in cut)
-                    parts = (_gaps(g.keys[0][o]), n[0][o], _gaps(g.keys[1][t]), n[1][t], follow[t].astype(np.uint32), last[r], n[2][r])
+                    parts = (_gaps(g.keys[0][o]), n[0][o], _gaps(g.keys[1][t]), n[1][t], follow[t].astype(np.uint32), last[r].astype(np.uint32), n[2][r])
                     for held, value in zip(made, (k, *map(pack, parts)), strict=True):
                         held.append(value)
                 columns = [pa.array([row["batch"]] * len(made[0]), pa.string()), pa.array(made[0], pa.int64()), *(pa.array(x, pa.binary()) for x in made[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["batch", "bucket", *_ASKED])
 
-    return table.select("batch", "n_words", "words", "hashes").mapInArrow(run, "batch string, bucket long, " + ", ".join(f"{x} binary" for x in _ASKED))
+    return table.select("batch", "n_words", "words", "vocabulary").mapInArrow(run, "batch string, bucket long, " + ", ".join(f"{x} binary" for x in _ASKED))
 
 
 def _others(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +202,7 @@ def _count(asked: DataFrame) -> DataFrame:
         out["ones"], _ = _others(np.concatenate(key["ones"]), np.concatenate(n["ones"]))
         out["twos"], number = _others(np.concatenate(key["twos"]), np.concatenate(n["twos"]))
         follow = np.concatenate([unpack(r["next"], np.uint32) for r in rows])
-        last = np.concatenate([unpack(r["lasts"], np.uint64) for r in rows])
+        last = np.concatenate([unpack(r["lasts"], np.uint32) for r in rows])
         out["threes"], _ = _others(np.repeat(number.astype(np.uint64), follow) << np.uint64(LAST) | last, np.concatenate(n["threes"]))
         cut = {x: np.append(0, np.cumsum([len(a) for a in n[x]])) for x in names}
         packed = [pa.array([pack(out[x][cut[x][i] : cut[x][i + 1]]) for i in range(len(rows))], pa.binary()) for x in names]
