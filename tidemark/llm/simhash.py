@@ -1,27 +1,29 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Fingerprints within ``most`` differing bits agree on whole bands of bits (pigeonhole), so Spark shuffles each distinct
-fingerprint once per choice of bands that may agree. Inside such a bucket the fingerprints are sorted by Gray rank and
-packed into a tree: a node keeps the mask of the bits that all its fingerprints share and their pattern, so that a
-query adds up differences against the shared bits and drops whole groups as soon as they exceed the bound.
+The distinct fingerprints are sorted by Gray rank over the cluster and cut into blocks of neighbours. Fingerprints that are
+neighbours in this order share most bits, so each node of the tree factors out what all its fingerprints share: a node
+keeps only the bits that they share and its parent's don't, and a query carries its differences down and adds to them.
+As soon as they exceed the bound the whole group is left. The upper nodes, over the roots of the blocks, are broadcast;
+they send each fingerprint to the blocks that may hold a near one, where the block's own tree is searched.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, find, materialize, tokens, union
 
-LEAF = 32
-#: Fingerprints of a bucket in one block; larger buckets are cut into blocks, every pair of which is searched.
-BLOCK = 4096
-
+#: Children of a node.
+FAN = 8
+#: Fingerprints of a block, and the most blocks that there are: of more than BLOCK * MOST_BLOCKS fingerprints blocks grow.
+BLOCK = 1 << 14
+MOST_BLOCKS = 1 << 20
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     """64-bit SimHash over word shingles, repeats included; fewer words: the whole sequence; none: zero."""
@@ -56,127 +58,132 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """From the leaves' groups up: mask of the bits that a group shares, and their pattern. LEAF children a node."""
-    out = []
-    ones, zeros = fps, ~fps
-    while len(ones) > 1:
-        at = np.arange(0, len(ones), LEAF)
-        ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
-        out.append((ones | zeros, ones))
+def _gray_order(fp: Column) -> Column:
+    """Longs in the order of the Gray ranks of fp: the rank's sign bit is turned, as Spark sorts longs by sign."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+@dataclass
+class Tree:
+    """Levels from the root's children down to the leaves: of every node the bits that it adds to its parent's, and their pattern."""
+
+    bits: list[np.ndarray]
+    pattern: list[np.ndarray]
+
+
+def tree(ones: np.ndarray, zeros: np.ndarray) -> Tree:
+    """Over leaves in Gray order: bits that are one, and zero, in all fingerprints of a leaf."""
+    levels = [(ones, zeros)]
+    while len(levels[-1][0]) > FAN:
+        at = np.arange(0, len(levels[-1][0]), FAN)
+        levels.append(tuple(np.bitwise_and.reduceat(x, at) for x in levels[-1]))
+    out, above = Tree([], []), None
+    for one, zero in reversed(levels):
+        shared = one | zero
+        out.bits.append(shared if above is None else shared & ~above[np.arange(len(one)) // FAN])
+        out.pattern.append(one)
+        above = shared
     return out
 
 
-def search(fps: np.ndarray, queries: np.ndarray, most: int):
-    """Yields (query numbers, fingerprint numbers) within ``most`` bits; fps sorted by Gray rank."""
-    levels = _levels(fps)
-    for lo in range(0, len(queries), 1024):
-        q = np.arange(lo, min(lo + 1024, len(queries)))
-        node = np.zeros(len(q), dtype=np.int64)
-        for depth in range(len(levels) - 1, -2, -1):
-            if depth < 0:
-                mask, pattern = None, fps
-            else:
-                mask, pattern = levels[depth]
-            if depth < len(levels) - 1:  # children of the nodes that are left
-                child = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
-                q = np.repeat(q, LEAF)
-                ok = child < len(pattern)
-                q, node = q[ok], child[ok]
-            if len(node) == 0:
-                break
-            diff = queries[q] ^ pattern[node]
-            near = np.bitwise_count(diff if mask is None else diff & mask[node]) <= most
-            q, node = q[near], node[near]
-        else:
-            yield q, node
-
-
-def _bucket_edges(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the fingerprints of one bucket: never more edges than fingerprints."""
-    fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-    parent = np.arange(len(fps))
-    if len(fps) <= 2 * LEAF:
-        i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most)
-        union(parent, i, j)
-    else:
-        for i, j in search(fps, fps, most):
-            union(parent, i, j)
-    root = find(parent, np.arange(len(fps)))
-    tail = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[tail], fps[root[tail]]
-
-
-def masks(most: int, bands: int) -> list[int]:
-    """For every choice of the bands that may all agree, their bits."""
-    cut = [round(64 * i / bands) for i in range(bands + 1)]
-    return [sum(((1 << cut[i + 1]) - 1) ^ ((1 << cut[i]) - 1) for i in kept) for kept in combinations(range(bands), bands - most)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def link_edges(distinct: DataFrame, most: int = 2, bands: int = 5) -> DataFrame:
+def search(index: Tree, queries: np.ndarray, most: int, step: int = 2048):
+    """Yields (query numbers, leaf numbers) of the leaves that differ in at most ``most`` of the bits that they share."""
+    for lo in range(0, len(queries), step):
+        q = np.repeat(np.arange(lo, min(lo + step, len(queries))), len(index.bits[0]))
+        node = np.tile(np.arange(len(index.bits[0])), len(q) // max(1, len(index.bits[0])))
+        apart = np.zeros(len(q), dtype=np.uint8)
+        for depth, (bits, pattern) in enumerate(zip(index.bits, index.pattern, strict=True)):
+            if depth:  # the children of the nodes that are left
+                q, apart = np.repeat(q, FAN), np.repeat(apart, FAN)
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                there = node < len(bits)
+                q, node, apart = q[there], node[there], apart[there]
+            apart = apart + np.bitwise_count((queries[q] ^ pattern[node]) & bits[node])
+            near = apart <= most
+            q, node, apart = q[near], node[near], apart[near]
+        yield q, node
+
+
+def _blocks(distinct: DataFrame, block: int) -> DataFrame:
+    """(block, fps, ones, zeros): neighbours in Gray order, numbered in that order, and the bits that they share."""
+
+    def cut(batches):
+        held = np.zeros(0, np.uint64)
+        for b in batches:
+            held = np.append(held, b.column("fp").to_numpy().view(np.uint64))
+            whole = len(held) // block * block
+            yield from map(out, held[:whole].reshape(-1, block))
+            held = held[whole:]
+        if len(held):
+            yield out(held)
+
+    def out(fps):
+        one = lambda x: pa.array(np.array([x]).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([fps.tobytes()]), one(np.bitwise_and.reduce(fps)), one(np.bitwise_and.reduce(~fps))], names=["fps", "ones", "zeros"])
+
+    ranked = distinct.select("fp", _gray_order(F.col("fp")).alias("rank")).repartitionByRange("rank").sortWithinPartitions("rank")
+    made = ranked.select("fp").mapInArrow(cut, "fps binary, ones long, zeros long")
+    return made.withColumn("block", F.monotonically_increasing_id())
+
+
+def _forest(a: np.ndarray, b: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links a[i] - b[j]: never more links than fingerprints. a and b may be the same."""
+    every, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = np.arange(len(every))
+    for i, j in pairs:
+        union(parent, number[i], number[len(a) + j])
+    root = find(parent, np.arange(len(every)))
+    tail = np.flatnonzero(root != np.arange(len(every)))
+    return every[tail], every[root[tail]]
+
+
+def link_edges(distinct: DataFrame, most: int = 2, block: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp long) that span all groups of fingerprints within ``most`` bits.
 
-    Buckets of more than BLOCK fingerprints are dealt into blocks by hash; every pair of blocks is a unit of its own,
-    so that no task holds a whole large bucket, and no pair is left out. Each unit has its own tree. Fingerprints of a
-    bucket share 38 bits, so that even one around a large group of near copies, which lie a few bits apart, holds
-    thousands of different ones, not a share of all documents.
+    Every fingerprint is looked for in its own block and in the later ones that the upper nodes don't rule out, so that a
+    pair meets once. The upper nodes are built from one root a block, MOST_BLOCKS at most (16 bytes each), which pass
+    through the driver; no fingerprint does. A block is searched by one task, from one other block at a time.
     """
-    picks = masks(most, bands)
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("pick"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(picks)))).alias("key")).select("fp", "key.pick", "key.bits")
-    sizes = keyed.groupBy("pick", "bits").agg(F.count("*").alias("n"))
-    many = sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    keyed = keyed.join(many, ["pick", "bits"])
-    # a block joins every pair of blocks that it is part of; small buckets have the one pair (0, 0)
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    units = keyed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("fp", "pick", "bits", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def run(batches):
-        # rows of a unit lie together; one that a batch cuts is carried over
-        carry = None
+    spark = distinct.sparkSession
+    blocks = materialize(_blocks(distinct, block or max(BLOCK, -(-distinct.count() // MOST_BLOCKS))), "gray-blocks")
+    roots = blocks.select("block", "ones", "zeros").toPandas().sort_values("block")
+    if roots.empty:
+        return spark.createDataFrame([], "a long, b long")
+    number = roots["block"].to_numpy()
+    upper = spark.sparkContext.broadcast((number, tree(*(roots[c].to_numpy().view(np.uint64) for c in ("ones", "zeros")))))
+
+    def ask(batches):
+        """For each block that may hold near ones of this block's: those fingerprints of this one. from is null for a block itself."""
+        blocks, index = upper.value
+        for b in batches:
+            for me, held in zip(b.column("block").to_pylist(), b.column("fps"), strict=True):
+                fps = np.frombuffer(held.as_py(), np.uint64)
+                rows = [(me, None, fps.tobytes())]
+                found = [(q[later], t[later]) for q, t in search(index, fps, most, 512) for later in [blocks[t] > me]]
+                q, t = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(t, kind="stable")
+                at, first = np.unique(t[order], return_index=True)
+                rows += [(int(blocks[k]), me, fps[part].tobytes()) for k, part in zip(at, np.split(q[order], first[1:]), strict=False)]  # none: no block
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "asks", "fps"])
+
+    asked = blocks.select("block", "fps").mapInArrow(ask, "block long, asks long, fps binary")
+    # a block comes first, then those that ask
+    asked = asked.repartition("block").sortWithinPartitions("block", F.col("asks").asc_nulls_first())
+
+    def meet(batches):
+        stored = index = None
         for b in batches:
-            carry = b if carry is None else pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
-            done, carry = _split_last(carry)
-            if done is not None:
-                yield from _emit(done, most)
-        if carry is not None and carry.num_rows:
-            yield from _emit(carry, most)
-
-    return units.repartition("pick", "bits", "low", "high").sortWithinPartitions("pick", "bits", "low", "high").mapInArrow(run, "a long, b long")
-
-
-def _unit_keys(b: pa.RecordBatch) -> np.ndarray:
-    k = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pick", "bits", "low", "high")])
-    return np.append(0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1) if len(k) else np.zeros(0, np.int64)
-
-
-def _split_last(b: pa.RecordBatch) -> tuple[pa.RecordBatch | None, pa.RecordBatch]:
-    """The whole units, and the last one, which may go on."""
-    at = _unit_keys(b)
-    if len(at) < 2:
-        return None, b
-    return b.slice(0, int(at[-1])), b.slice(int(at[-1]))
-
-
-def _emit(b: pa.RecordBatch, most: int):
-    fps = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    at = np.append(_unit_keys(b), len(fps))
-    size = np.diff(at)
-    heads, tails = [], []
-    two = at[:-1][size == 2]
-    near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= most]
-    heads.append(fps[near])
-    tails.append(fps[near + 1])
-    for lo, hi in zip(at[:-1][size > 2], at[1:][size > 2], strict=True):
-        x, y = _bucket_edges(fps[lo:hi], most)
-        heads.append(x)
-        tails.append(y)
-    a, b = np.concatenate(heads).view(np.int64), np.concatenate(tails).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for asks, held in zip(b.column("asks").to_pylist(), b.column("fps"), strict=True):
+                fps = np.frombuffer(held.as_py(), np.uint64)
+                if asks is None:
+                    stored, index = fps, tree(fps, ~fps)
+                x, y = _forest(fps, stored, search(index, fps, most))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+
+    return asked.select("block", "asks", "fps").mapInArrow(meet, "a long, b long")
 
 
 def _labelled(documents: DataFrame, most: int, width: int) -> tuple[DataFrame, DataFrame]:
