@@ -1,214 +1,211 @@
 """Benchmark decontamination: prefix-filtered join of benchmark windows with documents.
 
-A window is ``size`` consecutive words of an item (an item of fewer words is one window). Its tokens are its shingles
-of ``width`` words. Spark finds the places of benchmark shingles in all documents, counts them over the corpus, and
-orders each window's shingles by rarity. As a window counts only when it occurs whole (containment 1), its necessary
-prefix is its rarest shingle: each place of that shingle proposes one start for the window; bounds on position and
-length and the exact match of the other shingles decide.
+A window is ``size`` consecutive words of an item (an item of fewer words is one window). Its tokens are its shingles of
+``width`` words (fewer words: one shingle). One scan counts the benchmark's shingles over the corpus, which orders each
+window's shingles by rarity. As a window counts only when it occurs whole (containment 1), its necessary prefix is its
+rarest shingle, and a window with a shingle that no document has is out. A second scan yields the places of prefix
+shingles; each proposes one start for the window, bounds on position and length drop those that can't fit, and the
+window's words are compared with the text's, one by one.
+
+Shingles are looked up by 64-bit hashes, which only propose; words decide. A scan keeps the places that pass a bitmap of
+the hashes, SIEVE bits at any size of the benchmark; what passes is joined by Spark, which moves the smaller side where
+that is small (BROADCAST_ROWS) and shuffles both where it isn't.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import chunks, materialize, words
 
-#: Benchmark words that one broadcast holds at most; a larger benchmark is joined in blocks of items of that size.
-BLOCK_WORDS = 2_000_000
-_SHIFT = tuple(np.uint64(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "little") | 1) for k in range(16))
+#: log2 of the bits of the bitmap that the scans carry.
+SIEVE = 24
+#: Rows of prefixes, or digests of contaminated texts, that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+#: Different words whose hashes a task keeps.
+KEPT_WORDS = 1 << 20
+_P = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 
-def word_hash(w: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+class _Hashes(dict):
+    """Hashes of words, kept up to a bound."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
-def _mix(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words from the words' hashes; bijective mixing keeps order and content apart."""
-    n = len(h) - width + 1
-    out = np.full(max(n, 0), width, dtype=np.uint64)
+
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words from the words' hashes; order counts, as does the width."""
+    n = max(0, len(h) - width + 1)
+    out = np.full(n, width, dtype=np.uint64)
     for k in range(width):
-        out = (out ^ h[k : k + len(out)]) * _SHIFT[k]
+        out = out * _P[0] + h[k : k + n]
+        out ^= out >> np.uint64(32)
+        out *= _P[1]
         out ^= out >> np.uint64(29)
-    return out
+    return out * _P[2]
+
+
+def windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """(window, length, items): the different windows, as words with spaces between, and the ids, as strings, of their items."""
+
+    def run(batches):
+        for b in batches:
+            for item, text in zip(b.column("item"), b.column("text"), strict=True):
+                w = words(text.as_py())
+                made = [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1) if w else 0)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in made], pa.string()), pa.array([item.as_py()] * len(made), pa.string())], names=["window", "item"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = rows.mapInArrow(run, "window string, item string")
+    return rows.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("length", F.size(F.split("window", " ")))
+
 
+def _shingles(held: DataFrame, width: int) -> DataFrame:
+    """(window, length, width, offset, shingle) of every shingle of the windows."""
 
-@dataclass
-class Windows:
-    """The distinct windows of a block of items; broadcast, at most BLOCK_WORDS words."""
-
-    vocabulary: dict[bytes, int]  # word -> hash
-    widths: list[int]  # shingle widths in use
-    shingles: dict[int, np.ndarray]  # width -> sorted hashes
-    length: np.ndarray  # words of each window
-    first: np.ndarray  # its first entry in parts
-    parts: np.ndarray  # shingle hashes of all windows, end to end
-    items: list[np.ndarray]  # items of each window
-
-
-def index(items: list[tuple[int, bytes]], size: int, width: int) -> Windows:
-    vocabulary: dict[bytes, int] = {}
-    found: dict[tuple, set[int]] = {}
-    for item, text in items:
-        w = words(text)
-        for x in w:
-            if x not in vocabulary:
-                vocabulary[x] = word_hash(x)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + size]), set()).add(item)
-    length, first, parts, of = [], [], [], []
-    by_width: dict[int, list[np.ndarray]] = {}
-    for window, who in found.items():
-        h = np.array([vocabulary[x] for x in window], dtype=np.uint64)
-        k = min(width, len(h))
-        s = _mix(h, k)
-        length.append(len(h))
-        first.append(sum(map(len, parts)) if not first else first[-1] + len(parts[-1]))
-        parts.append(s)
-        of.append(np.array(sorted(who)))
-        by_width.setdefault(k, []).append(s)
-    return Windows(vocabulary, sorted(by_width), {k: np.unique(np.concatenate(v)) for k, v in by_width.items()}, np.array(length, dtype=np.int64), np.array(first, dtype=np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64), of)
-
-
-def _blocks(benchmark: DataFrame, most: int):
-    """Items in blocks of at most ``most`` words; only one block at a time is on the driver."""
-    held, size = [], 0
-    rows = benchmark.where("item_id IS NOT NULL").select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    for r in rows.toLocalIterator():
-        n = len(r.text) // 2 + 1
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((r.item_id, bytes(r.text)))
-        size += n
-    yield held
-
-
-def _places(texts: list[bytes | None], ix: Windows):
-    """For each text: number of words, positions and hashes of its benchmark shingles."""
-    get = ix.vocabulary.get
-    docs = [words(t) for t in texts]
-    lens = np.array([len(d) for d in docs], dtype=np.int64)
-    h = np.fromiter((get(w, 0) for d in docs for w in d), dtype=np.uint64, count=int(lens.sum()))
-    ends = np.cumsum(lens)
-    pos, hashes = [], []
-    for k in ix.widths:
-        # runs of k benchmark words within one text
-        known = np.concatenate([[0], np.cumsum(h != 0)])
-        n = len(h) - k + 1
-        if n <= 0:
-            continue
-        at = np.flatnonzero(known[k:] - known[: n] == k)
-        at = at[np.searchsorted(ends, at, side="right") == np.searchsorted(ends, at + k - 1, side="right")]
-        s = np.full(len(at), k, dtype=np.uint64)
-        for j in range(k):
-            s = (s ^ h[at + j]) * _SHIFT[j]
-            s ^= s >> np.uint64(29)
-        table = ix.shingles[k]
-        hit = table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
-        pos.append(at[hit])
-        hashes.append(s[hit])
-    pos = np.concatenate(pos) if pos else np.zeros(0, np.int64)
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    of = np.searchsorted(ends, pos, side="right")
-    order = np.lexsort((pos, of))
-    pos, hashes, of = pos[order], hashes[order], of[order]
-    cut = np.searchsorted(of, np.arange(len(docs) + 1))
-    starts = ends - lens
-    return lens, [pos[cut[i] : cut[i + 1]] - starts[i] for i in range(len(docs))], [hashes[cut[i] : cut[i + 1]] for i in range(len(docs))]
-
-
-def _verify(n: int, pos: np.ndarray, hashes: np.ndarray, ix: Windows, by_prefix: dict[int, list[tuple[int, int]]]) -> tuple[np.ndarray, set[int]]:
-    """Which words are inside an occurring window, and the items of those windows."""
-    at = set(zip(pos.tolist(), hashes.tolist(), strict=True))
-    marks, items = np.zeros(n + 1, dtype=np.int64), set()
-    for p, s in zip(pos.tolist(), hashes.tolist(), strict=True):
-        for window, offset in by_prefix.get(s, ()):
-            start, length, first = p - offset, int(ix.length[window]), int(ix.first[window])
-            if start < 0 or start + length > n:
-                continue
-            last = int(ix.first[window + 1]) if window + 1 < len(ix.first) else len(ix.parts)
-            if all((start + j, int(x)) in at for j, x in enumerate(ix.parts[first:last])):
-                marks[start] += 1
-                marks[start + length] -= 1
-                items.update(ix.items[window].tolist())
-    return np.cumsum(marks[:-1]) > 0, items
-
-
-def _prefixes(ix: Windows, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """Rarest shingle of each window -> (window, offset of the shingle). A window with a shingle that no document has is left out."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    bounds = np.append(ix.first, len(ix.parts))
-    for w in range(len(ix.length)):
-        s = ix.parts[bounds[w] : bounds[w + 1]].tolist()
-        if all(x in counts for x in s):
-            j = min(range(len(s)), key=lambda j: (counts[s[j]], s[j], j))
-            out.setdefault(s[j], []).append((w, j))
+    def run(batches):
+        hashes = _Hashes()
+        for b in batches:
+            for window, length in zip(b.column("window").to_pylist(), b.column("length").to_pylist(), strict=True):
+                k = min(width, length)
+                h = shingle_hashes(np.fromiter((hashes[x] for x in window.encode().split(b" ")), np.uint64, length), k)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array([window] * n), pa.array([length] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(h.view(np.int64))], names=["window", "length", "width", "offset", "shingle"])
+
+    return held.select("window", "length").mapInArrow(run, "window string, length int, width int, offset int, shingle long")
+
+
+def _sieve(shingles: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes' first SIEVE bits, as bytes: 2^(SIEVE - 15) rows of 4 kB at most."""
+    at = F.shiftrightunsigned("shingle", 64 - SIEVE) + 1
+    rows = shingles.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((1 << SIEVE) // 8, dtype=np.uint8)
+    for r in rows:
+        out[(r.bucket - 1) * 4096 :][:4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def _places(docs: list[list[bytes]], hashes: _Hashes, sieve: np.ndarray, widths: list[int]) -> tuple[np.ndarray, ...]:
+    """Where shingles stand that pass the sieve: text, position in it, width, hash; in order."""
+    size = np.array([len(d) for d in docs], dtype=np.int64)
+    ends = np.cumsum(size)
+    h = np.fromiter((hashes[w] for d in docs for w in d), np.uint64, int(size.sum()))
+    found = []
+    for k in widths:
+        s = shingle_hashes(h, k)
+        at = (s >> np.uint64(65 - (8 * len(sieve)).bit_length())).astype(np.int64)
+        at = np.flatnonzero(sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        of = np.searchsorted(ends, at, side="right")
+        inside = at + k <= ends[of]
+        at, of = at[inside], of[inside]
+        found.append((of, at - (ends - size)[of], np.full(len(at), k), s[at]))
+    out = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    order = np.lexsort((out[1], out[0]))
+    return tuple(x[order] for x in out)
+
+
+def prefixes(documents: DataFrame, benchmark: DataFrame, size: int, width: int) -> tuple[DataFrame, list[int]]:
+    """(shingle, offset, window, length, items) of every window that may occur, by its rarest shingle; and the widths in use."""
+    held = materialize(windows(benchmark, size), "windows")
+    parts = materialize(_shingles(held, width), "window-shingles")
+    widths = sorted(r.width for r in parts.select("width").distinct().collect())  # at most ``width``
+    sieve = documents.sparkSession.sparkContext.broadcast(_sieve(parts))
+
+    def count(batches):
+        hashes = _Hashes()
+        for b in batches:
+            for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
+                found, n = np.unique(_places([words(t) for t in part], hashes, sieve.value, widths)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+    counts = documents.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(count, "hash long, n long")
+    counts = counts.groupBy("hash").agg(F.sum("n").alias("n"))
+    known = parts.join(counts, F.col("shingle") == F.col("hash"), "left")
+    rarest = known.groupBy("window", "length").agg(F.min(F.struct("n", "shingle", "offset")).alias("p"), F.count(F.when(F.col("n").isNull(), 1)).alias("lost")).where("lost = 0")
+    rarest = rarest.select(F.col("window").alias("w"), "length", "p.shingle", "p.offset")
+    return materialize(rarest.join(held.select("window", "items"), F.col("w") == F.col("window")).drop("w"), "prefixes"), widths
+
+
+def _candidates(documents: DataFrame, prefix: DataFrame, widths: list[int], size: int, *columns: str | Column) -> DataFrame:
+    """columns, digest (of texts with a candidate), n_words, places (array of pos, shingle, at, near) for every row of documents.
+
+    near: the words around the place, as far as a window that has it may reach; at: the place in them.
+    """
+    sieve = documents.sparkSession.sparkContext.broadcast(_sieve(prefix))
+    place = pa.list_(pa.struct([("pos", pa.int32()), ("shingle", pa.int64()), ("at", pa.int32()), ("near", pa.string())]))
+    wide = max(widths, default=0)
+    rows = documents.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
+
+    def run(batches):
+        hashes = _Hashes()
+        for b in batches:
+            n_words, digests, places = [], [], []
+            for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
+                docs = [words(t) for t in part]
+                held: list[list] = [[] for _ in docs]
+                for of, pos, k, h in zip(*(x.tolist() for x in _places(docs, hashes, sieve.value, widths)), strict=True):
+                    # a shingle of fewer words than ``width`` is its window
+                    lo, hi = (max(0, pos - size + k), pos + size) if k == wide else (pos, pos + k)
+                    held[of].append({"pos": pos, "shingle": h - (h >> 63 << 64), "at": pos - lo, "near": b" ".join(docs[of][lo:hi]).decode()})
+                n_words += map(len, docs)
+                places += held
+                digests += [hashlib.sha256(t).hexdigest() if p else None for t, p in zip(part, held, strict=True)]
+            kept = [b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.string()), pa.array(n_words, pa.int64()), pa.array(places, place)], names=[*b.schema.names[:-1], "digest", "n_words", "places"])
+
+    before = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{before}digest string, n_words long, places array<struct<pos:int,shingle:long,at:int,near:string>>")
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """Broadcast where its rows are few enough; else the join is left to Spark, which shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _verified(found: DataFrame, prefix: DataFrame) -> DataFrame:
+    """The candidates of found (with a struct ``p``) at which the window stands, with window, items, start and end."""
+    held = _checked(prefix.withColumnRenamed("shingle", "key"))
+    met = found.join(held, F.col("p.shingle") == F.col("key"))
+    start = F.col("p.pos") - F.col("offset")
+    met = met.where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    same = F.array_join(F.slice(F.split("p.near", " "), F.col("p.at") - F.col("offset") + 1, F.col("length")), " ") == F.col("window")
+    # bounds first: a slice may not begin before the array
+    fits = (F.col("p.at") >= F.col("offset")) & F.when(F.col("p.at") >= F.col("offset"), same).otherwise(False)
+    return met.where(fits).withColumns({"start": start.cast("long"), "end": (start + F.col("length")).cast("long")})
+
+
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, width: int = 5) -> DataFrame:
-    """Every row of documents with doc_id, row, n_words, hit (runs of hit words: start, end), items (item ids, distinct).
+    """Every row of documents with doc_id, row, n_words, hit (runs of hit words: start, end), items (ids as strings, distinct).
 
-    row numbers the rows, so that repeated or null ids stay apart. One scan of the texts for each block of the
-    benchmark; a benchmark of at most BLOCK_WORDS words is one block. What is kept of a text is the places of
-    benchmark shingles in it. Null texts and items have no words; an empty benchmark hits nothing; items with a null
-    id are left out; equal items count each.
+    row numbers the rows, so that repeated or null ids stay apart. Two scans of the texts at any size of the benchmark.
+    Null texts and items have no words; an empty benchmark hits nothing; an item with a null id hits words like any other,
+    but can't be named among the items; equal items count each; ids may be of any type; other columns are ignored; an
+    empty table gives none.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    sc, parts = documents.sparkSession.sparkContext, []
-    for block in _blocks(benchmark, BLOCK_WORDS):
-        ix = sc.broadcast(index(block, size, width))
-
-        def scan(batches, ix=ix):
-            for b in batches:
-                got = ([], [], [])
-                for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
-                    for mine, more in zip(got, _places(part, ix.value), strict=True):
-                        mine.extend(more)
-                flat = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([*x, np.zeros(0, kind)]).astype(kind)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got[0], pa.int64()), flat(got[1], np.int32), flat([h.view(np.int64) for h in got[2]], np.int64)], names=["doc_id", "n_words", "pos", "shingle"])
-
-        texts = documents.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-        places = texts.mapInArrow(scan, f"doc_id {kind}, n_words long, pos array<int>, shingle array<long>").withColumn("row", F.monotonically_increasing_id())
-        places = materialize(places, "shingle-places")
-        # at most as many rows as the block has shingles
-        counted = places.select(F.explode("shingle").alias("shingle")).groupBy("shingle").count()
-        counts = {r["shingle"] & (1 << 64) - 1: r["count"] for r in counted.toLocalIterator()}
-        prefix = sc.broadcast(_prefixes(ix.value, counts))
-
-        def verify(batches, ix=ix, prefix=prefix):
-            for b in batches:
-                hits, items = [], []
-                for n, p, s in zip(b.column("n_words").to_pylist(), b.column("pos"), b.column("shingle"), strict=True):
-                    if len(p) == 0:
-                        hits.append([])
-                        items.append([])
-                        continue
-                    inside, who = _verify(n, np.array(p.values), np.array(s.values).view(np.uint64), ix.value, prefix.value)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-                    hits.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                    items.append(sorted(who))
-                run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("n_words"), pa.array(hits, run), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "hit", "items"])
-
-        parts.append(places.mapInArrow(verify, f"doc_id {kind}, row long, n_words long, hit array<struct<start:long,end:long>>, items array<long>"))
-    if len(parts) == 1:
-        return parts[0]
-    # the scan numbers rows alike in every block; runs of different blocks may overlap and are merged by union_runs
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return every.select("doc_id", "row", "n_words", union_runs("hit").alias("hit"), "items")
-
-
-def union_runs(column: str):
+    prefix, widths = prefixes(documents, benchmark, size, width)
+    rows = _candidates(documents, prefix, widths, size, "doc_id").withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows.drop("digest"), "benchmark-places")
+    met = _verified(rows.select("row", "n_words", F.explode("places").alias("p")), prefix)
+    # a text may hold a window many times, and a window belong to many items: each is listed once
+    met = met.groupBy("row", "window").agg(F.collect_set(F.struct("start", "end")).alias("runs"), F.first("items").alias("items"))
+    met = met.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    met = met.select(F.col("row").alias("at"), union_runs("runs").alias("runs"), "items")
+    out = rows.drop("places").join(met, F.col("row") == F.col("at"), "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return out.select("doc_id", "row", "n_words", F.coalesce("runs", none).alias("hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def union_runs(column: str) -> Column:
     """Merges overlapping or touching runs."""
     start = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return F.aggregate(
@@ -225,38 +222,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, wi
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents; cases as in benchmark_hits."""
     hits = benchmark_hits(documents, benchmark, size, width)
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("items"), ",")
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10, width: int = 5) -> DataFrame:
     """The rows of documents in which no benchmark window occurs, with all their columns; cases as in benchmark_hits.
 
-    Each block of the benchmark takes two scans: one counts its shingles over the corpus, one verifies and filters. The
-    filter is of rows where they are: nothing is joined back, so null and repeated ids don't matter and no text is moved.
+    Whether a text is contaminated is a matter of the text alone, so the rows that go are known by its SHA-256: null and
+    repeated ids don't matter.
     """
-    sc = documents.sparkSession.sparkContext
-    texts, kept = documents.select(F.col("text").cast("string").cast("binary").alias("text")), documents
-    for block in _blocks(benchmark, BLOCK_WORDS):
-        ix = sc.broadcast(index(block, size, width))
-
-        def count(batches, ix=ix):
-            for b in batches:
-                for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
-                    found, n = np.unique(np.concatenate([*_places(part, ix.value)[2], np.zeros(0, np.uint64)]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
-
-        counted = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        prefix = sc.broadcast(_prefixes(ix.value, {r["shingle"] & (1 << 64) - 1: r["n"] for r in counted.toLocalIterator()}))
-
-        def keep(batches, ix=ix, prefix=prefix):
-            for b in batches:
-                clean = []
-                for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
-                    part = [t.encode() if isinstance(t, str) else t for t in part]
-                    for n, p, h in zip(*_places(part, ix.value), strict=True):
-                        clean.append(len(p) == 0 or not _verify(int(n), p, h, ix.value, prefix.value)[1])
-                yield b.filter(pa.array(clean, pa.bool_()))
-
-        kept = kept.mapInArrow(keep, documents.schema)
-    return kept
+    prefix, widths = prefixes(documents, benchmark, size, width)
+    found = _candidates(documents, prefix, widths, size).where(F.size("places") > 0)
+    found = materialize(found, "benchmark-places").select("digest", "n_words", F.explode("places").alias("p"))
+    bad = materialize(_verified(found, prefix).select("digest").distinct(), "contaminated-texts")
+    return documents.join(_checked(bad), F.sha2(documents["text"].cast("string").cast("binary"), 256) == bad["digest"], "left_anti")
