@@ -1,10 +1,12 @@
 """Token counts: a separator scan over flat token files without an index.
 
-A token file is nothing but token ids of two bytes, high byte first, documents one after the other, each closed by
-``eod``. Spark's text writer writes such files on any file system: a row is a document's ids, the line separator is
-the separator's two bytes, which is why eod must be a two-byte character of UTF-8 (0xC480 is) and no id of the
-vocabulary. The scan reads blocks, searches each for separators at once, and stitches documents that cross blocks
-by a prefix sum over the blocks' tails.
+A token file is nothing but token ids of two bytes, low byte first, documents one after the other, each closed by ``eod``.
+A task writes its tokens to a file of its own and hands on which document is at which place of it, so that names and
+tokens come from the same run of the same task. The scan knows the files only: Spark deals their byte ranges over tasks,
+each searches its range for separators at once, and documents that cross ranges are stitched by prefix sums over the
+ranges' heads and tails.
+
+Files are opened by Arrow's file systems (local paths, s3://, gs://, hdfs://), so the folder must be one that these reach.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
-from functools import lru_cache
+import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,44 +27,72 @@ from .shared import materialize, new_path
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-EOD = 0xC480
-#: Token ids of one block.
-BLOCK = 1 << 20
-
+#: No id of a vocabulary of fewer than 65,535 tokens.
+EOD = 0xFFFF
+#: Bytes of a range.
+BLOCK = 8 << 20
 
-@lru_cache(maxsize=2)
-def encoder(folder: str, vocabulary: str):
-    """The byte-pair encoder over a public vocabulary file; the folder's module holds the pattern that cuts texts."""
-    import tiktoken
 
+def vocabulary_of(folder: str, vocabulary: str) -> tuple[str, bytes]:
+    """The pattern that cuts texts, and the vocabulary file; read on the driver and broadcast, some megabytes."""
     spec = importlib.util.spec_from_file_location("vocabulary_folder", os.path.join(folder, "__init__.py"))
     about = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(about)
     with open(os.path.join(folder, vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=about.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return about.PATTERN, f.read()
 
 
-def write_token_files(documents: DataFrame, path: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD) -> None:
-    """One flat file for each partition of documents, in the partition's order; null texts are documents of no tokens."""
-    separator = eod.to_bytes(2, "big").decode("utf-8")
-    if len(separator) != 1:
-        raise ValueError("eod must be one character of two UTF-8 bytes")
+def encoder(pattern: str, content: bytes):
+    """The byte-pair encoder over a public vocabulary."""
+    import tiktoken
 
-    def run(batches):
-        enc = encoder(folder, vocabulary)
-        if enc.n_vocab > eod:
-            raise ValueError("eod is an id of the vocabulary")
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                ids = [np.array(enc.encode_ordinary(t.as_py() or ""), dtype=">u2").tobytes() for t in b.column("text").slice(lo, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it."""
+    scheme, found, rest = path.partition(":")
+    if not found:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
-    flat = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary")
-    flat.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).text(path)
 
+def write_token_files(documents: DataFrame, path: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
+    """One flat file for each task that has rows; returns (doc_id, file, ordinal): which document is where. Null texts have no tokens.
 
-def scan_block(ids: np.ndarray, eod: int) -> tuple[int, np.ndarray, int]:
+    The rows come back as a table that is already written. A task that is run again writes another file; only the files
+    that the table names count.
+    """
+    spark = documents.sparkSession
+    shown = spark.sparkContext.broadcast(vocabulary_of(folder, vocabulary))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    open_path(path)[0].create_dir(open_path(path)[1], recursive=True)
+
+    def run(batches):
+        enc = encoder(*shown.value)
+        if enc.n_vocab > eod:
+            raise ValueError("eod is an id of the vocabulary")
+        name, n, out = f"tokens-{uuid.uuid4().hex}.bin", 0, None
+        system, at = open_path(path)
+        try:
+            for b in batches:
+                out = out or system.open_output_stream(f"{at}/{name}")
+                for t in b.column("text"):
+                    out.write(np.array([*enc.encode_ordinary(t.as_py() or ""), eod], dtype="<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([name] * b.num_rows, pa.string()), pa.array(range(n, n + b.num_rows), pa.int64())], names=["doc_id", "file", "ordinal"])
+                n += b.num_rows
+        finally:
+            if out is not None:
+                out.close()
+
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    return materialize(rows.mapInArrow(run, f"doc_id {kind}, file string, ordinal long"), "document-places")
+
+
+def scan_range(ids: np.ndarray, eod: int) -> tuple[int, np.ndarray, int]:
     """Tokens before the first separator, lengths between separators, tokens after the last; without one all is tail and head is -1."""
     at = np.flatnonzero(ids == eod)
     if len(at) == 0:
@@ -68,35 +100,43 @@ def scan_block(ids: np.ndarray, eod: int) -> tuple[int, np.ndarray, int]:
     return int(at[0]), np.diff(at) - 1, len(ids) - 1 - int(at[-1])
 
 
-def scan_token_files(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) -> DataFrame:
-    """(file, ordinal, n_tokens) for each document of the files, ordinals from 0.
+def scan_token_files(spark: SparkSession, path: str, files: Iterable[str] | DataFrame | None = None, eod: int = EOD, block: int = BLOCK) -> DataFrame:
+    """(file, ordinal, n_tokens) for each document of the files in path, ordinals from 0. files: names, one a row (column file); None: all.
 
-    A file is cut in blocks of ``block`` ids, each searched by itself. Tokens that a file holds after its last
-    separator are a document that was never closed and are left out. Files are read one to a row, so one may hold 2 GiB
-    at most; write more files, not larger ones. An empty file holds no document.
+    A file of any size is cut in ranges of ``block`` bytes, each read and searched by itself. Tokens that a file holds
+    after its last separator are a document that was never closed and are left out. An empty file holds no document.
     """
+    step = block // 2 * 2
 
-    def run(batches):
+    def ranges(batches):
+        system, at = open_path(path)
+        for b in batches:
+            for name in b.column("file").to_pylist():
+                size = system.get_file_info(f"{at}/{name}").size // 2 * 2
+                begin = np.arange(0, size, step, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(begin), pa.string()), pa.array(begin), pa.array(np.minimum(step, size - begin))], names=["file", "begin", "n"])
+
+    def scan(batches):
+        system, at = open_path(path)
         for b in batches:
-            for name, content in zip(b.column("path"), b.column("content"), strict=True):
-                ids = np.frombuffer(content.as_buffer(), dtype=np.uint8)
-                ids = ids[: len(ids) // 2 * 2].view(">u2")
-                cols = ([], [], [], [])
-                for n, lo in enumerate(range(0, len(ids), block)):
-                    head, inner, tail = scan_block(ids[lo : lo + block], eod)
-                    for c, v in zip(cols, (n, head, inner, tail), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(cols[0]), pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int64())], names=["file", "block", "head", "inner", "tail"])
-
-    blocks = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, head long, inner array<long>, tail long")
-    # documents closed before the block, and how many blocks with a separator: both prefix sums
-    order = Window.partitionBy("file").orderBy("block")
+            for name, begin, n in zip(*(b.column(c).to_pylist() for c in ("file", "begin", "n")), strict=True):
+                with system.open_input_file(f"{at}/{name}") as f:
+                    head, inner, tail = scan_range(np.frombuffer(f.read_at(n, begin), dtype="<u2"), eod)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([begin]), pa.array([head]), pa.array([inner], pa.list_(pa.int64())), pa.array([tail])], names=["file", "begin", "head", "inner", "tail"])
+
+    if files is None:
+        system, at = open_path(path)
+        files = [x.base_name for x in system.get_file_info(fs.FileSelector(at)) if x.is_file and not x.base_name.startswith((".", "_"))]
+    named = files if isinstance(files, DataFrame) else spark.createDataFrame([(x,) for x in files], "file string")
+    held = named.select("file").mapInArrow(ranges, "file string, begin long, n long")
+    blocks = held.repartition(F.col("file"), F.col("begin")).mapInArrow(scan, "file string, begin long, head long, inner array<long>, tail long")
+    # documents closed before the range, and tokens that earlier ranges left open: prefix sums over a file's ranges
+    order = Window.partitionBy("file").orderBy("begin")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     closed = F.when(F.col("head") >= 0, F.size("inner") + 1).otherwise(0).cast("long")
-    before = F.coalesce(F.sum(closed).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # tokens that earlier blocks left open: all tails since the last block with a separator, that one's included
-    run_tail = F.sum("tail").over(order)
-    stitched = blocks.withColumn("before", before).withColumn("sum_tail", run_tail)
-    restart = F.last(F.when(F.col("head") >= 0, F.col("sum_tail") - F.col("tail")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    stitched = blocks.withColumns({"before": F.coalesce(F.sum(closed).over(earlier), F.lit(0)), "sum_tail": F.sum("tail").over(order)})
+    # all tails since the last range with a separator, that one's included
+    restart = F.last(F.when(F.col("head") >= 0, F.col("sum_tail") - F.col("tail")), ignorenulls=True).over(earlier)
     stitched = stitched.withColumn("open", F.col("sum_tail") - F.col("tail") - F.coalesce(restart, F.lit(0)))
     lengths = F.when(F.col("head") >= 0, F.concat(F.array(F.col("head") + F.col("open")), F.col("inner")))
     return stitched.select("file", "before", F.posexplode(lengths).alias("i", "n_tokens")).select("file", (F.col("before") + F.col("i")).alias("ordinal"), "n_tokens")
@@ -105,20 +145,13 @@ def scan_token_files(spark: SparkSession, path: str, eod: int = EOD, block: int
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
     """doc_id, n_tokens for every row of documents: writes the token files to the shared folder, then counts by scan.
 
-    The files hold no ids. A document is known by its file's number and its place there, which the same scan of
-    documents gives again; that the counts agree is checked. documents must therefore be a plain read of files
-    (select and filter allowed), not the outcome of a shuffle, whose order may change: materialise such rows first.
-    Null and empty texts have 0 tokens; repeated rows and null ids are counted each; an empty table gives none.
+    Null and empty texts have 0 tokens; repeated rows and null ids are counted each; other columns are ignored; an empty
+    table gives none. documents may be any DataFrame: it is computed once. A document that the scan doesn't find raises.
     """
     spark = documents.sparkSession
     path = new_path(spark, "token-files")
-    write_token_files(documents, path, folder, vocabulary, eod)
-    found = scan_token_files(spark, path, eod)
-    found = materialize(found.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("part"), F.col("ordinal"), "n_tokens"), "token-counts")
-    # a separate column of the same read: partition and place of each document
-    ids = documents.select("doc_id", F.col("text").isNull().alias("_")).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("o"))
-    ids = materialize(ids, "document-places")
-    a, b = ids.groupBy("p").agg(F.count("*").alias("n")), found.groupBy("part").agg(F.count("*").alias("n_found"))
-    if not a.join(b, F.col("p") == F.col("part"), "full").where(~F.col("n").eqNullSafe(F.col("n_found"))).isEmpty():
-        raise RuntimeError("the token files and the documents differ in number: documents is no stable read")
-    return ids.join(found, (F.col("p") == F.col("part")) & (F.col("o") == F.col("ordinal"))).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+    places = write_token_files(documents, path, folder, vocabulary, eod)
+    found = materialize(scan_token_files(spark, path, places.select("file").distinct(), eod), "token-counts")
+    out = places.join(found.withColumnsRenamed({"file": "f", "ordinal": "o"}), (F.col("file") == F.col("f")) & (F.col("ordinal") == F.col("o")), "left")
+    lost = F.when(F.col("n_tokens").isNull(), F.raise_error(F.lit("a document isn't in the token files"))).otherwise(F.col("n_tokens"))
+    return out.select("doc_id", lost.cast("long").alias("n_tokens"))
