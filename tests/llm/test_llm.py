@@ -368,12 +368,12 @@ def fp_brute(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def groups_brute(fps):
+def groups_brute(fps, most=2):
     """fps: id -> fingerprint; smallest id of each component."""
     ids = sorted(fps)
     parent = np.arange(len(ids))
     x = np.array([fps[i] for i in ids], dtype=np.uint64)
-    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 2)
+    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= most)
     shared.union(parent, a, b)
     return {i: ids[r] for i, r in zip(ids, shared.find(parent, np.arange(len(ids))), strict=True)}
 
@@ -388,21 +388,22 @@ def test_simhash(spark, docs):
     assert kept == sorted(set(groups_brute(fps).values()))
 
 
-def test_simhash_links_with_hot_buckets(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 50)
+@pytest.mark.parametrize(("block", "most"), [(50, 2), (7, 3), (1 << 14, 2), (1 << 14, 0)])
+def test_simhash_links(spark, block, most):
+    """Dense and thin places of the Gray order, blocks that cut them, and bounds."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 6, dtype=np.uint64)
     near = {int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(120)}
-    near |= {0, 1, 3, 7, 2**63}
+    near |= {0, 1, 3, 7, 2**63, *map(int, rng.integers(0, 2**64, 300, dtype=np.uint64))}
     fps = dict(enumerate(sorted(near)))
-    df = spark.createDataFrame([(simhash._signed(v),) for v in fps.values()], "fp long")
-    edges = simhash.link_edges(df).collect()
+    df = spark.createDataFrame([(v - (v >> 63 << 64),) for v in fps.values()], "fp long")
+    edges = simhash.link_edges(df, most, block).collect()
     at = {v: i for i, v in fps.items()}
     parent = np.arange(len(fps))
-    pairs = np.array([(at[e.a % 2**64], at[e.b % 2**64]) for e in edges])
-    assert all(((fps[i] ^ fps[j]).bit_count() <= 2 or True) for i, j in pairs)
+    pairs = np.array([(at[e.a % 2**64], at[e.b % 2**64]) for e in edges], dtype=np.int64).reshape(-1, 2)
     shared.union(parent, *pairs.T)
-    assert {i: int(r) for i, r in enumerate(shared.find(parent, np.arange(len(fps))))} == groups_brute(fps)
+    assert {i: int(r) for i, r in enumerate(shared.find(parent, np.arange(len(fps))))} == groups_brute(fps, most)
+    assert len(edges) < 3 * len(fps)
 
 
 def test_gray_tree_finds_all():
@@ -411,10 +412,27 @@ def test_gray_tree_finds_all():
     x[1500:] = x[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
     x = np.unique(x)
     x = x[np.argsort(simhash.gray_rank(x))]
-    found = {(int(a), int(b)) for i, j in simhash.search(x, x, 2) for a, b in zip(i, j, strict=True)}
+    index = simhash.tree(x, ~x)
+    found = [(int(a), int(b)) for i, j in simhash.search(index, x, 2) for a, b in zip(i, j, strict=True)]
     i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 2)
-    assert found == set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(found) == len(set(found)) and set(found) == set(zip(i.tolist(), j.tolist(), strict=True))
     assert simhash.gray_rank(np.array([0, 1, 3, 2], dtype=np.uint64)).tolist() == [0, 1, 2, 3]
+    # every bit of a leaf stands in one node on its way: differences add up to the whole distance
+    for leaf in (0, 777, len(x) - 1):
+        ways = [leaf // simhash.FAN ** (len(index.bits) - 1 - d) for d in range(len(index.bits))]
+        assert sum(int(b[n]) for b, n in zip(index.bits, ways, strict=True)) == 2**64 - 1
+
+
+def test_gray_tree_prunes(spark, monkeypatch):
+    """On a real table the tree decides: of the leaves only a small part is compared."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    x = np.array(sorted({r.fp for r in simhash.fingerprints(d).select("fp").collect()})).view(np.uint64)
+    x = x[np.argsort(simhash.gray_rank(x))]
+    seen, index = [], simhash.tree(x, ~x)
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda y: seen.append(len(y)) or count(y))
+    list(simhash.search(index, x, 2))
+    assert len(index.bits) >= 4 and sum(seen) < 0.6 * len(x) ** 2
 
 
 def test_simhash_odd(odd, none):
@@ -444,30 +462,32 @@ def test_components(spark):
 
 
 def test_token_counts(spark, docs, odd, none, tmp_path):
-    enc = token_files.encoder(token_files.TOKENIZERS, token_files.VOCABULARY)
+    enc = token_files.encoder(*token_files.vocabulary_of(token_files.TOKENIZERS, token_files.VOCABULARY))
     out = {r.doc_id: r.n_tokens for r in token_files.token_counts(docs).collect()}
     assert out == {i: len(enc.encode_ordinary(t)) for i, t in texts(docs)}
+    # a shuffled input too
+    assert {r.doc_id: r.n_tokens for r in token_files.token_counts(docs.repartition(7)).collect()} == out
     assert Counter((r.doc_id, r.n_tokens) for r in token_files.token_counts(odd).collect()) == Counter((i, len(enc.encode_ordinary(t or ""))) for i, t, *_ in ODD)
     assert token_files.token_counts(none).count() == 0
     # the files hold the ids and nothing else
     path = f"file://{tmp_path}/flat"
     token_files.write_token_files(docs.coalesce(1), path)
-    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect())
-    want = b"".join(np.array([*enc.encode_ordinary(r.text), token_files.EOD], dtype=">u2").tobytes() for r in docs.coalesce(1).collect())
-    assert raw == want
+    (file,) = (tmp_path / "flat").iterdir()
+    want = b"".join(np.array([*enc.encode_ordinary(r.text), token_files.EOD], dtype="<u2").tobytes() for r in docs.coalesce(1).collect())
+    assert file.read_bytes() == want
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
-def test_blocks_are_stitched(spark, tmp_path, block):
+@pytest.mark.parametrize("block", [2, 4, 6, 15, 2000])
+def test_ranges_are_stitched(spark, tmp_path, block):
     rng = np.random.default_rng(block)
     want = {}
     for f in range(4):
         lengths = [int(x) for x in rng.choice([0, 0, 1, 2, 5, 40], 30)] if f else []
         ids = np.concatenate([np.zeros(0, np.int64), *(np.append(rng.integers(0, 999, n), token_files.EOD) for n in lengths)])
-        (tmp_path / f"f{f}").write_bytes(np.append(ids, [5, 6] if f == 3 else []).astype(">u2").tobytes())
+        (tmp_path / f"f{f}").write_bytes(np.append(ids, [5, 6] if f == 3 else []).astype("<u2").tobytes() + b"x" * (f == 2))
         want |= {(f"f{f}", i): n for i, n in enumerate(lengths)}
     out = token_files.scan_token_files(spark, f"file://{tmp_path}", block=block).collect()
-    assert {(r.file.rsplit("/")[-1], r.ordinal): r.n_tokens for r in out} == want
+    assert {(r.file, r.ordinal): r.n_tokens for r in out} == want
 
 
 # 9
@@ -511,34 +531,53 @@ def hits_brute(rows, items):
     for i, t in items:
         w = WORDS.findall(low(t))
         for j in range(max(1, len(w) - 9) if w else 0):
-            if i is not None:
-                windows[tuple(w[j : j + 10])].add(i)
+            windows[tuple(w[j : j + 10])] |= {i} - {None}
     out = []
     for d, t in rows:
         w = WORDS.findall(low(t))
         hit, who = [False] * len(w), set()
         for k in {len(x) for x in windows}:
             for j in range(len(w) - k + 1):
-                if x := windows.get(tuple(w[j : j + k])):
-                    who |= x
+                if tuple(w[j : j + k]) in windows:
+                    who |= windows[tuple(w[j : j + k])]
                     hit[j : j + k] = [True] * k
         out.append((d, len(w), sum(hit), len(who), hashlib.sha256(",".join(sorted(map(str, who))).encode()).hexdigest(), any(hit)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
-def test_contamination(spark, docs, odd, none, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("small", [True, False])
+def test_contamination(spark, docs, odd, none, monkeypatch, small):
+    """With the prefixes broadcast, and shuffled; with a sieve that lets much pass."""
+    if not small:
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontaminate, "SIEVE", 16)
     real = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    more = spark.createDataFrame([(900, "same text here"), (901, "same text"), (902, "Word"), (903, None), (904, ""), (None, "same text here"), (905, "word " * 12), (906, "same text here")], "item_id long, text string")
+    more = [(900, "same text here"), (901, "same text"), (902, "Word"), (903, None), (904, ""), (None, "Ünï CÖDÉ"), (905, "word " * 12), (906, "same text here")]
+    more = spark.createDataFrame(more, "item_id long, text string").withColumn("window", F.lit("x"))
     for df in (docs, odd):
-        bench = real.unionByName(more)
+        bench = real.unionByName(more.drop("window"))
         got = Counter(tuple(r) for r in decontaminate.contamination(df, bench).collect())
         assert got == hits_brute(texts(df), texts(bench.withColumnRenamed("item_id", "doc_id")))
     assert decontaminate.contamination(none, real).count() == 0
     assert decontaminate.contamination(odd, real.limit(0)).where("contaminated").count() == 0
     kept = Counter(r.doc_id for r in decontaminate.drop_contaminated(docs, real).collect())
     assert kept == Counter(d for d, *_, bad in hits_brute(texts(docs), texts(real.withColumnRenamed("item_id", "doc_id"))) if not bad)
-    # rows are filtered where they are: a clean row stays though its null or repeated id is also that of a bad one
-    mixed = spark.createDataFrame([(None, "same text here"), (None, "clean"), (4, "same text here"), (4, None)], "doc_id long, text string")
+    # a clean row stays though its null or repeated id is also that of a bad one
+    mixed = spark.createDataFrame([(None, "same text here"), (None, "clean"), (4, "same text here"), (4, None)], "doc_id long, text string").withColumn("digest", F.lit(1))
     assert Counter(r.text for r in decontaminate.drop_contaminated(mixed, more).collect()) == Counter({"clean": 1, None: 1})
+
+
+def test_contamination_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("k", "one two three"), ("b", "two three four"), (None, "nine ten")], "item_id string, text string")
+    docs = spark.createDataFrame([("d", "One, two THREE four nine"), (None, "nine ten")], "doc_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert (got["d"].n_hit, got["d"].n_items, got["d"].items_sha256) == (4, 2, hashlib.sha256(b"b,k").hexdigest())
+    assert (got[None].n_hit, got[None].n_items, got[None].contaminated) == (2, 0, True)
+
+
+def test_words_decide_not_hashes(spark):
+    """Candidates of one hash: only the window whose words stand there is left."""
+    prefix = spark.createDataFrame([(7, 1, "b c d", 3, ["1"]), (7, 0, "c d e", 3, ["2"]), (7, 1, "b x d", 3, ["3"]), (7, 2, "a b c d e f", 6, ["4"]), (7, 0, "c d e f g", 5, ["5"])], "shingle long, offset int, window string, length int, items array<string>")
+    found = spark.createDataFrame([("k", 6, (2, 7, 2, "a b c d e f"))], "doc string, n_words long, p struct<pos:int,shingle:long,at:int,near:string>")
+    got = {(r["items"][0], r.start, r.end) for r in decontaminate._verified(found, prefix).collect()}
+    assert got == {("1", 1, 4), ("2", 2, 5), ("4", 0, 6)}
