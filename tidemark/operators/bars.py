@@ -88,15 +88,21 @@ def infer_unit(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).agg(F.mode(F.length(F.abs(F.col(column).cast("long")).cast("string")), True).alias("_n")).select(epoch_unit(F.col("_n")).alias("unit"))
 
 
-def _repaired(df: DataFrame, keys: list[str], parity: bool, lookahead: bool) -> DataFrame:
-    """Fills empty grid rows from the last bar: flat at its close, no volume, marked interpolated."""
+def _repaired(df: DataFrame, keys: list[str], any_null: bool, lookahead: bool) -> DataFrame:
+    """Fills grid rows from the last bar, flat at its close, and marks them interpolated: rows without a close, or with any_null without any value.
+
+    Volume and trade count are 0 where they are missing, and stay where they aren't.
+    """
     values = [c for c in COLUMNS if c in df.columns and c != "open_time"]
-    empty = F.greatest(*(F.col(c).isNull().cast("int") for c in values)) == 1 if parity else F.col("close").isNull()
+    empty = F.greatest(*(F.col(c).isNull().cast("int") for c in values)) == 1 if any_null else F.col("close").isNull()
     out = df.withColumn("interpolated", empty)
-    filled = ffill(out, [c for c in ("close", "vwap") if c in values], keys)
+    carried = [c for c in ("close", "vwap") if c in values]
+    filled = ffill(out, carried, keys)
     if lookahead:
-        filled = bfill(filled, [c for c in ("close", "vwap") if c in values], keys)
-    return filled.withColumns({c: F.when(F.col("interpolated"), F.col("close") if c in ("open", "high", "low") else F.lit(0)).otherwise(F.col(c)).cast(df.schema[c].dataType) for c in values if c not in ("close", "vwap")})
+        filled = bfill(filled, carried, keys)
+    flat = {c: F.when(F.col("interpolated"), F.col("close")).otherwise(F.col(c)) for c in ("open", "high", "low") if c in values}
+    none = {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in ("volume", "trade_count") if c in values}
+    return filled.withColumns(flat | none)
 
 
 def fill_daily(bars: DataFrame, schedule: DataFrame, seed: DataFrame | None = None, parity: bool = True, key: str = KEY, time: str = TIME) -> DataFrame:
@@ -105,17 +111,13 @@ def fill_daily(bars: DataFrame, schedule: DataFrame, seed: DataFrame | None = No
     seed holds each identifier's last stored bar and is not part of the result. Identifiers without a seed are also
     filled backward, which looks ahead. parity: a bar with any missing value counts as missing, not just without close.
     """
-    known = bars if seed is None else bars.unionByName(seed, allowMissingColumns=True).withColumn("_seed", F.lit(False))
+    known = bars if seed is None else bars.unionByName(seed, allowMissingColumns=True)
     bounds = bars.groupBy(key).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    closes = schedule.select(F.col("market_close").alias(time), F.col("market_open").alias("_open"))
-    grid = bounds.join(F.broadcast(closes), F.col(time).between(F.to_date("_lo").cast("timestamp"), F.col("_hi"))).select(key, time, F.lit(True).alias("_close"), "_open")
-    full = grid.join(known.drop("_seed"), [time, key], "full_outer")
-    keys = [key]
-    if seed is None:
-        done = _repaired(full, keys, parity, True)
-    else:
-        done = _repaired(full, keys, parity, False)
-    done = done.where(F.col("_close"))
+    days = bounds.select(key, "_lo", "_hi", F.explode(F.sequence(F.to_date("_lo"), F.to_date("_hi"))).alias("_day"))
+    closes = schedule.select(F.to_date("market_close").alias("_day"), F.col("market_close").alias(time), F.col("market_open").alias("_open"))
+    grid = days.join(F.broadcast(closes), "_day").where(F.col(time) <= F.col("_hi")).select(key, time, F.lit(True).alias("_close"), "_open")
+    full = grid.join(known, [time, key], "full_outer")
+    done = _repaired(full, [key], parity, seed is None).where(F.col("_close"))
     if seed is not None:
         done = done.join(seed.select(key, F.col(time).alias("_at")), key, "left").where(F.col("_at").isNull() | (F.col(time) > F.col("_at"))).drop("_at")
     if "open_time" in done.columns:
@@ -123,15 +125,21 @@ def fill_daily(bars: DataFrame, schedule: DataFrame, seed: DataFrame | None = No
     return done.drop("_close", "_open")
 
 
-def fill_intraday(bars: DataFrame, schedule: DataFrame, step: str | None, parity: bool = True, key: str = KEY, time: str = TIME) -> DataFrame:
+def in_sessions(bars: DataFrame, schedule: DataFrame, time: str = TIME) -> DataFrame:
+    """The bars inside a session, with _s, _open and _close of it: an equal join on the days that a session touches."""
+    touched = F.explode(F.sequence(F.to_date("market_open"), F.to_date("market_close"))).alias("_day")
+    s = schedule.select(F.col("session").alias("_s"), F.col("market_open").alias("_open"), F.col("market_close").alias("_close"), touched)
+    return bars.join(F.broadcast(s), (F.to_date(time) == F.col("_day")) & F.col(time).between(F.col("_open"), F.col("_close"))).drop("_day")
+
+
+def fill_intraday(bars: DataFrame, schedule: DataFrame, step: str | None, key: str = KEY, time: str = TIME) -> DataFrame:
     """A regular grid of ``step`` within each session that an identifier has a complete bar in; the last day's grid ends at its last bar.
 
-    Repeated bars keep the first by values; gaps carry the last bar across days. step None returns the bars in sessions
-    unchanged. A key with a single bar at midnight passes through.
+    Repeated bars keep the first by values; gaps carry the last bar across days; a bar without close counts as missing.
+    step None returns the bars in sessions unchanged. A key with a single bar at midnight passes through.
     """
     once = keep_one(bars, [F.struct(*(c for c in bars.columns if c not in (time, key)))], [time, key], last=False)
-    s = schedule.select(F.col("session").alias("_s"), F.col("market_open").alias("_open"), F.col("market_close").alias("_close"))
-    marked = once.join(F.broadcast(s), F.col(time).between(F.col("_open"), F.col("_close")))
+    marked = in_sessions(once, schedule, time)
     if step is None:
         return marked.drop("_s", "_open", "_close").withColumn("interpolated", F.lit(False))
     whole = F.lit(True)
@@ -142,7 +150,7 @@ def fill_intraday(bars: DataFrame, schedule: DataFrame, step: str | None, parity
     days = days.withColumn("_end", F.when(F.col("_s") == F.max("_s").over(latest), F.col("_last")).otherwise(F.col("_close")))
     grid = days.select(key, F.explode(F.sequence("_open", "_end", F.expr(f"INTERVAL {interval(step)}"))).alias(time), F.lit(True).alias("_grid"))
     full = grid.join(marked.drop("_s", "_open", "_close"), [time, key], "full_outer")
-    done = _repaired(full, [key], parity, False).where(F.col("_grid") & F.col("close").isNotNull()).drop("_grid")
+    done = _repaired(full, [key], False, False).where(F.col("_grid") & F.col("close").isNotNull()).drop("_grid")
     lone = once.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where((F.col("_n") == 1) & (F.col(time) == F.date_trunc("day", time))).drop("_n")
     return done.unionByName(lone.join(done.select(key).distinct(), key, "left_anti").withColumn("interpolated", F.lit(False)), allowMissingColumns=True)
 

@@ -16,13 +16,14 @@ def watermarks(df: DataFrame, keys: Sequence[str] = (KEY,), time: str = TIME) ->
     return df.groupBy(*keys).agg(F.min(time).alias("min_time"), F.max(time).alias("max_time"))
 
 
-def span(stats: DataFrame) -> DataFrame:
-    """Earliest and latest time of all."""
+def span(stats: DataFrame, entities: DataFrame | None = None, key: str = KEY) -> DataFrame:
+    """Earliest and latest time of all, or of the entities asked for."""
+    stats = stats if entities is None else stats.join(entities.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_semi")
     return stats.agg(F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"))
 
 
 def newer(df: DataFrame, stats: DataFrame, keys: Sequence[str] = (KEY,), time: str = TIME, order: Sequence[str | Column] | None = None) -> DataFrame:
-    """Rows after their key's watermark and rows of keys without one; of repeated keys the first by ``order``.
+    """Rows after their key's watermark and rows of keys without one; of repeated keys the first by ``order``, or by their values.
 
     Without keys (a table by time alone) rows at the watermark stay, as they may still be complete.
     """
@@ -32,10 +33,11 @@ def newer(df: DataFrame, stats: DataFrame, keys: Sequence[str] = (KEY,), time: s
     marks = stats.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("max_time").alias("_max"))
     cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     out = df.join(marks, cond, "left").where(F.col("_max").isNull() | (F.col(time) > F.col("_max"))).select(*df.columns)
-    if order is None:
-        return out.dropDuplicates([time, *keys])
     from .merge import keep_one
 
+    if order is None:
+        order = [F.struct(*(c for c in df.columns if c not in (time, *keys)))] if set(df.columns) - {time, *keys} else [time]
+
     return keep_one(out, order, [time, *keys], last=False)
 
 

@@ -54,6 +54,14 @@ def panel_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.keep_one(panel_p(spark, sf_dir), ["l_orderkey", "l_linenumber"], colocate=(KEY,))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a local session without one uses its own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
 def r6(c: Column | str, name: str, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c
@@ -235,11 +243,11 @@ def epoch_unit(spark, sf_dir):
     return bars.infer_unit(e, "at")
 
 
-_DAILY = P_SQL + ", m AS (SELECT time_index, unique_identifier, avg(price) AS price, sum(volume) AS volume FROM p WHERE time_index < TIMESTAMP '1996-01-01' GROUP BY ALL)"
+_DAILY = P_SQL + ", m AS (SELECT time_index, unique_identifier, avg(price) AS price, sum(volume) AS volume FROM p GROUP BY ALL)"
 
 
 def _daily(spark, sf_dir) -> DataFrame:
-    p = panel_p(spark, sf_dir).where(F.col(TIME) < ntz(1996, 1, 1))
+    p = panel_p(spark, sf_dir)
     return p.groupBy(TIME, KEY).agg(F.avg("price").alias("price"), F.sum("volume").alias("volume"))
 
 
@@ -251,11 +259,11 @@ def _dense(spark, sf_dir) -> DataFrame:
     return fill.dense(m, m, m)
 
 
-@query(_DENSE + ", x AS (SELECT *, first_value(price IGNORE NULLS) OVER (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS back FROM f) SELECT time_index, unique_identifier, round(price, 6) AS forward, round(back, 6) AS both FROM x")
+@query(_DENSE + ", x AS (SELECT *, first_value(price IGNORE NULLS) OVER (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS back FROM f) SELECT time_index, unique_identifier, round(price + 1e-8, 6) AS forward, round(back + 1e-8, 6) AS both FROM x")
 def dense_fill(spark, sf_dir):
     f = fill.ffill(_dense(spark, sf_dir), ["price"])
     f = fill.bfill(f.withColumn("both", F.col("price")), ["both"])
-    return f.select(TIME, KEY, r6("price", "forward"), r6("both", "both"))
+    return f.select(TIME, KEY, untied("price", "forward"), untied("both", "both"))
 
 
 _GRID = " , g AS (SELECT u.unique_identifier, t.time_index FROM (SELECT DISTINCT unique_identifier FROM e) u CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-29', INTERVAL 12 HOUR)) AS time_index) t)"
@@ -319,12 +327,12 @@ def rolling_stats(spark, sf_dir):
 
 
 @query(
-    D_SQL + """, l AS (SELECT time_index, unique_identifier, price, list(price) OVER (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN 344 PRECEDING AND CURRENT ROW) AS x FROM d WHERE time_index < TIMESTAMP '1995-07-01'),
+    D_SQL + """, l AS (SELECT time_index, unique_identifier, price, list(price) OVER (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN 344 PRECEDING AND CURRENT ROW) AS x FROM d),
     q AS (SELECT *, len(x) AS n, list_transform(generate_series(1, len(x)), lambda i: CASE WHEN i = 1 THEN power(1 - 2.0 / 21, len(x) - 1) ELSE 2.0 / 21 * power(1 - 2.0 / 21, len(x) - i) END) AS w FROM l)
     SELECT time_index, unique_identifier, CASE WHEN n > 1 THEN round(sqrt(greatest(0, (list_sum(list_transform(list_zip(w, x), lambda z: z[1] * z[2] * z[2])) - power(list_sum(list_transform(list_zip(w, x), lambda z: z[1] * z[2])), 2)) / (1 - list_sum(list_transform(w, lambda v: v * v))))), 4) END AS sd FROM q"""
 )
 def ewm_std(spark, sf_dir):
-    d = panel_d(spark, sf_dir).where(F.col(TIME) < ntz(1995, 7, 1))
+    d = panel_d(spark, sf_dir)
     return d.select(TIME, KEY, r6(rolling.ewm_std(F.col("price"), 20), "sd", 4))
 
 
@@ -334,7 +342,7 @@ def topn_average_rank(spark, sf_dir):
     return d.select(TIME, KEY, "rk", F.when(F.col("rk") <= 5, F.col("volume")).otherwise(0.0).alias("kept"))
 
 
-_MCAP = P_SQL + """, h AS (SELECT time_index, unique_identifier, avg(price * 50) AS market_cap, avg(price) AS price, avg(volume) AS volume FROM p WHERE time_index < TIMESTAMP '1995-07-01' GROUP BY ALL),
+_MCAP = P_SQL + """, h AS (SELECT time_index, unique_identifier, avg(price * 50) AS market_cap, avg(price) AS price, avg(volume) AS volume FROM p GROUP BY ALL),
     g AS (SELECT a.time_index, b.unique_identifier, h.* EXCLUDE (time_index, unique_identifier) FROM (SELECT DISTINCT time_index FROM h) a CROSS JOIN (SELECT DISTINCT unique_identifier FROM h) b LEFT JOIN h USING (time_index, unique_identifier)),
     f AS (SELECT time_index, unique_identifier, last_value(market_cap IGNORE NULLS) OVER w AS market_cap, last_value(price IGNORE NULLS) OVER w AS price, last_value(volume IGNORE NULLS) OVER w AS volume FROM g WINDOW w AS (PARTITION BY unique_identifier ORDER BY time_index ROWS UNBOUNDED PRECEDING)),
     b AS (SELECT time_index, unique_identifier, first_value(market_cap IGNORE NULLS) OVER w AS market_cap, first_value(price IGNORE NULLS) OVER w AS price, first_value(volume IGNORE NULLS) OVER w AS volume FROM f WINDOW w AS (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -345,7 +353,7 @@ _MCAP = P_SQL + """, h AS (SELECT time_index, unique_identifier, avg(price * 50)
 
 
 def _mcap(spark, sf_dir):
-    p = panel_p(spark, sf_dir).where(F.col(TIME) < ntz(1995, 7, 1)).withColumn("market_cap", F.col("price") * 50)
+    p = panel_p(spark, sf_dir).withColumn("market_cap", F.col("price") * 50)
     return p.select(TIME, KEY, "market_cap", "price", "volume")
 
 
@@ -356,7 +364,7 @@ def marketcap_weights(spark, sf_dir):
 
 
 @query(
-    _MCAP + """, m AS (SELECT time_index, unique_identifier, avg(price) AS close, avg(volume) AS volume FROM p WHERE time_index < TIMESTAMP '1995-07-01' GROUP BY ALL),
+    _MCAP + """, m AS (SELECT time_index, unique_identifier, avg(price) AS close, avg(volume) AS volume FROM p GROUP BY ALL),
     q AS (SELECT k.time_index, k.unique_identifier, k.signal_weight AS cur, coalesce(lag(k.signal_weight) OVER w, 0) AS bef, last_value(m.close IGNORE NULLS) OVER w AS close FROM k LEFT JOIN m USING (time_index, unique_identifier) WINDOW w AS (PARTITION BY k.unique_identifier ORDER BY k.time_index)),
     s AS (SELECT *, coalesce(close / lag(close) OVER w - 1, 0) AS r FROM q""" + _W + """),
     t AS (SELECT time_index, sum(bef * r) - sum(abs(cur - bef)) * 0.001 AS ret FROM s GROUP BY ALL HAVING count(*) = count(close))
@@ -380,23 +388,28 @@ def rolling_ols(spark, sf_dir):
     return made.select(TIME, KEY, r6("beta", "beta", 4), r6("intercept", "intercept", 4), r6("r_squared", "r2", 5), r6("t_beta", "t_beta", 4))
 
 
-@query(_DAILY + " SELECT time_index, unique_identifier, round(price, 6) AS price FROM m")
+@query(_DAILY + " SELECT time_index, unique_identifier, round(price + 1e-8, 6) AS price FROM m")
 def map_round_trip(spark, sf_dir):
-    m = _daily(spark, sf_dir).select(TIME, KEY, F.round("price", 6).alias("price"))
+    m = _daily(spark, sf_dir).select(TIME, KEY, untied("price", "price"))
     return reshape.from_map(reshape.to_map(m, "price", as_json=True), "price", "price", is_json=True).select(TIME, KEY, r6("price", "price"))
 
 
-@query(_DAILY + " SELECT time_index, max(CASE WHEN unique_identifier = 's1' THEN round(price, 6) END) AS s1, max(CASE WHEN unique_identifier = 's2' THEN round(price, 6) END) AS s2 FROM m GROUP BY ALL")
+_FLAGS = "WITH m AS (SELECT l_shipdate AS time_index, l_returnflag AS name, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY ALL)"
+
+
+def _by_flag(spark, sf_dir) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    return reshape.to_wide(l.select(F.col("l_shipdate").alias(TIME), F.col("l_returnflag").alias(KEY), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")), "price", ["A", "N", "R"])
+
+
+@query(_FLAGS + """ SELECT time_index, round(max(price) FILTER (name = 'A'), 6) AS "A", round(max(price) FILTER (name = 'N'), 6) AS "N", round(max(price) FILTER (name = 'R'), 6) AS "R" FROM m GROUP BY ALL""")
 def wide_pivot(spark, sf_dir):
-    p = panel_p(spark, sf_dir).where(F.col(TIME) < ntz(1996, 1, 1))
-    w = reshape.to_wide(p, "price", ["s1", "s2"])
-    return w.select(TIME, r6("s1", "s1"), r6("s2", "s2"))
+    return _by_flag(spark, sf_dir).select(TIME, r6("A", "A"), r6("N", "N"), r6("R", "R"))
 
 
-@query(_DAILY + " SELECT time_index, unique_identifier AS name, round(price, 6) AS price FROM m WHERE unique_identifier IN ('s1', 's2')")
+@query(_FLAGS + " SELECT time_index, name, round(price, 6) AS price FROM m")
 def wide_unpivot(spark, sf_dir):
-    p = panel_p(spark, sf_dir).where(F.col(TIME) < ntz(1996, 1, 1))
-    return reshape.to_long(reshape.to_wide(p, "price", ["s1", "s2"]), ["s1", "s2"], "price", "name").select(TIME, "name", r6("price", "price"))
+    return reshape.to_long(_by_flag(spark, sf_dir), ["A", "N", "R"], "price", "name").select(TIME, "name", r6("price", "price"))
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS c, 'l_quantity' AS a, 'l_extendedprice' AS b FROM lineitem UNION ALL SELECT round(corr(l_quantity, l_discount), 6), 'l_quantity', 'l_discount' FROM lineitem UNION ALL SELECT round(corr(l_extendedprice, l_discount), 6), 'l_extendedprice', 'l_discount' FROM lineitem")
@@ -494,10 +507,10 @@ def discount_curve(spark, sf_dir):
 
 @query(
     D_SQL + """, n AS (SELECT s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-    SELECT d.time_index, 'g' || substr(d.unique_identifier, 2) AS unique_identifier, CASE WHEN n_regionkey <= 1 THEN d.price ELSE -d.price END AS price FROM d JOIN n ON d.unique_identifier = 's' || n.s_suppkey WHERE d.time_index < TIMESTAMP '1995-04-01'"""
+    SELECT d.time_index, 'g' || substr(d.unique_identifier, 2) AS unique_identifier, CASE WHEN n_regionkey <= 1 THEN d.price ELSE -d.price END AS price FROM d JOIN n ON d.unique_identifier = 's' || n.s_suppkey"""
 )
 def translated_read(spark, sf_dir):
-    d = panel_d(spark, sf_dir).where(F.col(TIME) < ntz(1995, 4, 1)).select(TIME, KEY, "price")
+    d = panel_d(spark, sf_dir).select(TIME, KEY, "price")
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     entities = s.select(F.concat(F.lit("g"), F.col("s_suppkey")).alias(KEY), F.col("s_suppkey").alias("group_id"), "n_regionkey")
     assets = s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias(KEY), F.col("s_suppkey").alias("group_id"), F.lit("x").alias("exchange"))
@@ -525,21 +538,21 @@ def daily_gap_fill(spark, sf_dir):
     return bars.fill_daily(b, schedule).select(TIME, KEY, "close", "open", "volume", "interpolated")
 
 
-@query(_DENSE + " SELECT time_index, unique_identifier, round(price, 6) AS price, round(price / first_value(price) OVER w * 100, 4) AS rebased FROM f" + _W)
+@query(_DENSE + " SELECT time_index, unique_identifier, round(price + 1e-8, 6) AS price, round(price / first_value(price) OVER w * 100, 4) AS rebased FROM f" + _W)
 def common_report(spark, sf_dir):
     r = portfolio.common_report(_daily(spark, sf_dir), value="price")
-    return r.select(TIME, KEY, r6("price", "price"), r6("rebased", "rebased", 4))
+    return r.select(TIME, KEY, untied("price", "price"), r6("rebased", "rebased", 4))
 
 
 @query(
-    D_SQL + """, s AS (SELECT DISTINCT time_index AS set_at FROM d WHERE time_index < TIMESTAMP '1995-06-01' AND dayofmonth(time_index) <= 3), w AS (SELECT d.* FROM d JOIN s ON d.time_index = s.set_at WHERE unique_identifier IN ('s1', 's2', 's3', 's4', 's5', 's6', 's7', 's8')),
-    t AS (SELECT DISTINCT time_index AS set_at FROM w), g AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '1995-06-10', INTERVAL 1 DAY)) AS time_index),
+    D_SQL + """, w AS (SELECT * FROM d),
+    t AS (SELECT DISTINCT time_index AS set_at FROM w), g AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '2001-12-10', INTERVAL 1 DAY)) AS time_index),
     a AS (SELECT g.time_index, t.set_at FROM g ASOF JOIN t ON g.time_index >= t.set_at WHERE g.time_index < t.set_at + INTERVAL 10 DAY)
     SELECT a.time_index, n.unique_identifier, coalesce(w.volume, 0) AS signal_weight FROM a CROSS JOIN (SELECT DISTINCT unique_identifier FROM w) n LEFT JOIN w ON w.time_index = a.set_at AND w.unique_identifier = n.unique_identifier"""
 )
 def weights_on_grid(spark, sf_dir):
-    d = panel_d(spark, sf_dir).where((F.col(TIME) < ntz(1995, 6, 1)) & (F.dayofmonth(TIME) <= 3) & F.col(KEY).isin([f"s{i}" for i in range(1, 9)]))
-    grid = spark.range(1).select(F.explode(F.sequence(ntz(1995, 1, 2), ntz(1995, 6, 10), F.expr("INTERVAL 1 DAY"))).alias(TIME))
+    d = panel_d(spark, sf_dir)
+    grid = spark.range(1).select(F.explode(F.sequence(ntz(1995, 1, 2), ntz(2001, 12, 10), F.expr("INTERVAL 1 DAY"))).alias(TIME))
     return signals.weights_on_grid(d.withColumnRenamed("volume", "signal_weight"), grid, "10 DAYS")
 
 
@@ -621,16 +634,15 @@ def bond_cashflows(spark, sf_dir):
     return pricing.bond_cashflows(b).select("ins_id", "leg", F.col("payment_date").cast("string").alias("payment_date"), r6("amount", "amount", 8))
 
 
-@query(P_SQL + _HALVES + " SELECT coalesce(i.time_index, b.time_index) AS time_index, coalesce(i.unique_identifier, b.unique_identifier) AS unique_identifier, coalesce(i.price, b.price) AS price, coalesce(i.volume, b.volume) AS volume FROM (SELECT * FROM i WHERE time_index < TIMESTAMP '1995-06-01') i FULL JOIN (SELECT * FROM b WHERE time_index < TIMESTAMP '1995-06-01') b ON i.time_index = b.time_index AND i.unique_identifier = b.unique_identifier")
+@query(P_SQL + _HALVES + " SELECT coalesce(i.time_index, b.time_index) AS time_index, coalesce(i.unique_identifier, b.unique_identifier) AS unique_identifier, coalesce(i.price, b.price) AS price, coalesce(i.volume, b.volume) AS volume FROM i FULL JOIN b ON i.time_index = b.time_index AND i.unique_identifier = b.unique_identifier")
 def stored_upsert(spark, sf_dir):
     """Two upserts into a stored table, read back; written to the shared folder."""
     import uuid
 
     from .sources.store import PanelStore
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    store = PanelStore(spark, f"{root}/store-{uuid.uuid4().hex}")
-    base, new = (x.where(F.col(TIME) < ntz(1995, 6, 1)) for x in _halves(spark, sf_dir))
+    store = PanelStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    base, new = _halves(spark, sf_dir)
     store.upsert(base, "prices")
     store.upsert(new.drop("flag"), "prices")
     return store.scan("prices").select(TIME, KEY, "price", "volume")
@@ -644,8 +656,7 @@ def node_graph(spark, sf_dir):
     from .plans.node import FunctionNode, run
     from .sources.store import PanelStore
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    store = PanelStore(spark, f"{root}/nodes-{uuid.uuid4().hex}")
+    store = PanelStore(spark, f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}")
     hourly = FunctionNode("hourly", lambda c: _bars(spark, sf_dir))
     counts = FunctionNode("counts", lambda c: c.tables["hourly"].groupBy(F.date_trunc("day", TIME).cast("timestamp_ntz").alias(TIME), KEY).agg(F.sum("trade_count").alias("n")), {"hourly": hourly})
     run(store, counts)

@@ -1,17 +1,19 @@
 """A store of panel tables: Hive-partitioned Parquet, read by range, upserted by key.
 
-table/v=<version>/year=YYYY/month=MM[/day=DD]/*.parquet; a pointer file names the current version. A write makes a new
-version next to the old one and then moves the pointer, so a reader never sees half a write and a failed one leaves the
-table as it was. Partitions that a write doesn't touch aren't rewritten: they are read from where they are, through the
+table/v=<version>/_part=YYYYMM[DD]/*.parquet; the pointer file of the highest number names the current version. A write
+makes a new version next to the old one and then adds the next pointer, so a reader never sees half a write and a failed
+one leaves the table as it was; of two writers that began from the same pointer the second fails. Partitions that a write doesn't touch aren't rewritten: they are read from where they are, through the
 version's list of parts. All file work goes through Hadoop's FileSystem, so any URI that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from pyspark.sql import types as T
 from ..operators import merge, ranges
 from ..schema import KEY, TIME, reject_duplicates, validate_update
 
-PARTS = {"month": ("year", "month"), "day": ("year", "month", "day")}
+#: Pointer files that stay beside the current one, for readers that have just listed them.
+KEPT_POINTERS = 3
 
 
 @dataclass(frozen=True)
@@ -30,6 +33,7 @@ class Table:
     partition: str = "month"
     schema: str = "{}"
     parts: tuple[tuple[str, str], ...] = ()  # (partition, path); a partition may have several paths, of different keys
+    version: int = 0  # number of the pointer that it was read from; 0: not stored yet
 
 
 class PanelStore:
@@ -44,16 +48,21 @@ class PanelStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        self._overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        self._overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._no_option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     # -- descriptors
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current.json"
+    def _pointers(self, name: str) -> list[int]:
+        """Numbers of the table's pointer files, ascending."""
+        at = self._path(f"{self.root}/{name}")
+        found = [re.fullmatch(r"current-(\d+)\.json", s.getPath().getName()) for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(m[1]) for m in found if m)
+
+    def _pointer(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/current-{version:09d}.json"
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self._pointer(name)))
+        return bool(self._pointers(name))
 
     def names(self) -> list[str]:
         at = self._path(self.root)
@@ -62,18 +71,27 @@ class PanelStore:
         return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(at) if s.isDirectory()) if self.exists(n))
 
     def describe(self, name: str) -> Table | None:
-        if not self.exists(name):
+        held = self._pointers(name)
+        if not held:
             return None
-        text = self.spark.read.option("wholetext", True).text(self._pointer(name)).first()[0]
+        text = self.spark.read.option("wholetext", True).text(self._pointer(name, held[-1])).first()[0]
         d = json.loads(text)
-        return Table(d["name"], tuple(d["keys"]), d["partition"], d["schema"], tuple(map(tuple, d["parts"])))
+        return Table(d["name"], tuple(d["keys"]), d["partition"], d["schema"], tuple(map(tuple, d["parts"])), held[-1])
 
-    def _publish(self, t: Table) -> None:
+    def _publish(self, t: Table) -> Table:
+        """Makes t, which was read from pointer t.version, the current version; raises if another writer was faster."""
         staged = self._path(f"{self.root}/{t.name}/_staged-{uuid.uuid4().hex}.json")
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps({"name": t.name, "keys": t.keys, "partition": t.partition, "schema": t.schema, "parts": t.parts}).encode()))
         out.close()
-        self._context.rename(staged, self._path(self._pointer(t.name)), self._overwrite)
+        try:  # a rename that doesn't overwrite
+            self._context.rename(staged, self._path(self._pointer(t.name, t.version + 1)), self._no_option)
+        except Exception as e:
+            self._fs.delete(staged, False)
+            raise RuntimeError(f"{t.name} was written by another writer meanwhile: upsert again") from e
+        for old in self._pointers(t.name)[: -1 - KEPT_POINTERS]:
+            self._fs.delete(self._path(self._pointer(t.name, old)), False)
+        return replace(t, version=t.version + 1)
 
     # -- reads
 
@@ -94,8 +112,8 @@ class PanelStore:
             return None
         inside = None
         if options.get("ranges") is None and (start is not None or end is not None):
-            lo = start.strftime("%Y%m%d") if start is not None else "0"
-            hi = end.strftime("%Y%m%d") if end is not None else "9"
+            lo = _utc_day(start) if start is not None else "0"
+            hi = _utc_day(end) if end is not None else "9"
             inside = [p for p, _ in t.parts if _bounds(p)[1] >= lo and _bounds(p)[0] <= hi]
         df = self.scan(name, inside)
         return ranges.range_read(df, start, end, key=t.keys[1] if len(t.keys) > 1 else KEY, time=t.keys[0], **options)
@@ -114,7 +132,7 @@ class PanelStore:
         """
         t = self.describe(name)
         total, kept = 0, []
-        lo = start.strftime("%Y%m%d") if start is not None else "0"
+        lo = _utc_day(start) if start is not None else "0"
         for part in sorted({p for p, _ in t.parts}):
             if _bounds(part)[1] < lo:
                 continue
@@ -158,9 +176,7 @@ class PanelStore:
         made = [(p, f"{base}/_part={p}") for p in touched if self._fs.exists(self._path(f"{base}/_part={p}"))]
         parts = [(p, path) for p, path in t.parts if keep or p not in touched] + made
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
-        out = Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts)))
-        self._publish(out)
-        return out
+        return self._publish(Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts)), t.version))
 
     def drop_columns(self, name: str, columns: Sequence[str]) -> dict:
         """Rewrites the table without the columns; keys stay. Says what was dropped and what was skipped."""
@@ -169,20 +185,28 @@ class PanelStore:
         gone = [c for c in columns if c in df.columns and c not in t.keys]
         parts = sorted({p for p, _ in t.parts})
         if gone:
-            self._write(t, df.drop(*gone).dropDuplicates(list(t.keys)), parts)
+            self._write(t, self._newest(t).drop(*gone), parts)
         return {"dropped": gone, "skipped": [c for c in columns if c not in gone], "partitions_rebuilt": len(parts) if gone else 0}
 
     def compact(self, name: str) -> Table:
-        """Rewrites all partitions, one row a key; small files are merged."""
+        """Rewrites all partitions, one row a key, that of the newest file; small files are merged."""
         t = self.describe(name)
-        return self._write(t, self.scan(name).dropDuplicates(list(t.keys)), sorted({p for p, _ in t.parts}))
+        return self._write(t, self._newest(t), sorted({p for p, _ in t.parts}))
+
+    def _newest(self, t: Table) -> DataFrame:
+        """One row a key: of the file written last, then that of the largest values."""
+        df = self.scan(t.name)
+        rest = [F.col(c) for c in df.columns if c not in t.keys]
+        aged = df.select("*", F.col("_metadata.file_modification_time").alias("_written"))
+        return merge.keep_one(aged, ["_written", F.struct(*rest)] if rest else ["_written"], t.keys).drop("_written")
 
     def drop(self, name: str, files: bool = False) -> None:
         """Forgets a table; its files go only if asked for."""
         if files:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
-        elif self.exists(name):
-            self._fs.delete(self._path(self._pointer(name)), False)
+        else:
+            for version in self._pointers(name):
+                self._fs.delete(self._path(self._pointer(name, version)), False)
 
     def vacuum(self, name: str) -> int:
         """Deletes versions that no partition refers to; readers of older versions must be done."""
@@ -200,6 +224,11 @@ class PanelStore:
         return {k: sorted(r.name for r in v.collect()) for k, v in both.items()}
 
 
+def _utc_day(at: datetime) -> str:
+    """The day in UTC, in which partitions are; a time without a zone is UTC."""
+    return (at.astimezone(timezone.utc) if at.tzinfo else at).strftime("%Y%m%d")
+
+
 def _part(t: Table):
     form = "yyyyMM" if t.partition == "month" else "yyyyMMdd"
     return F.date_format(F.col(t.keys[0]), form)
@@ -209,10 +238,34 @@ def _bounds(part: str) -> tuple[str, str]:
     return (f"{part}01", f"{part}31") if len(part) == 6 else (part, part)
 
 
-def read_database(spark: SparkSession, url: str, table: str, columns: Sequence[str], bounds: Sequence[tuple[str, str]], properties: Mapping[str, str] | None = None, time: str = TIME) -> DataFrame:
-    """A range read over JDBC: one query, and so one partition, for each time band; filters and columns reach the database."""
-    predicates = [f"{time} >= '{a}' AND {time} < '{b}'" for a, b in bounds]
-    return spark.read.jdbc(url, table, predicates=predicates, properties=dict(properties or {})).select(*columns)
+def _quoted(value) -> str:
+    """A literal of standard SQL."""
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def database_predicates(bounds: Sequence[tuple] = (), ids: Sequence | None = None, ranges: Mapping[str, ranges.Range] | None = None, key: str = KEY, time: str = TIME, group: int = 100) -> list[str]:
+    """WHERE conditions that reach the database, one query and so one partition each.
+
+    Time bands [a, b); ids in groups of ``group``; or ranges by id (start, end and their operands), ids of equal ranges together.
+    """
+    bands = [" AND ".join(f"{time} {op} {_quoted(x)}" for op, x in ((">=", a), ("<", b)) if x is not None) or "1 = 1" for a, b in bounds] or ["1 = 1"]
+    grouped = lambda names: [list(names)[i : i + group] for i in range(0, len(names), group)]
+    among = lambda names: f"{key} IN ({', '.join(map(_quoted, names))})"
+    if ranges is not None:
+        alike: dict[str, list] = {}
+        for name, r in ranges.items():
+            sides = [f"{time} {r.start_operand} {_quoted(r.start)}"] * (r.start is not None) + [f"{time} {r.end_operand} {_quoted(r.end)}"] * (r.end is not None)
+            alike.setdefault(" AND ".join(sides) or "1 = 1", []).append(name)
+        of_ids = [f"{among(g)} AND {c}" for c, names in alike.items() for g in grouped(names)]
+    else:
+        of_ids = ["1 = 1"] if ids is None else [among(g) for g in grouped(ids)]
+    return [" AND ".join(x for x in (a, b) if x != "1 = 1") or "1 = 1" for a in bands for b in of_ids]
+
+
+def read_database(spark: SparkSession, url: str, table: str, columns: Sequence[str], bounds: Sequence[tuple] = (), ids: Sequence | None = None, ranges: Mapping[str, ranges.Range] | None = None, properties: Mapping[str, str] | None = None, key: str = KEY, time: str = TIME) -> DataFrame:
+    """A range read over JDBC; filters and columns reach the database. See database_predicates. No ids: no rows."""
+    predicates = database_predicates(bounds, ids, ranges, key, time)
+    return spark.read.jdbc(url, table, predicates=predicates or ["1 = 0"], properties=dict(properties or {})).select(*columns)
 
 
 def write_database(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None, rows: int = 10_000, tasks: int = 4) -> None:
@@ -220,6 +273,41 @@ def write_database(df: DataFrame, url: str, table: str, properties: Mapping[str,
     df.coalesce(tasks).write.option("batchsize", rows).jdbc(url, table, mode="append", properties=dict(properties or {}))
 
 
+def replacement_sql(table: str, staging: str, columns: Sequence[str], key: str | None = KEY, time: str = TIME) -> list[str]:
+    """Statements of one transaction: delete what lies in the staged rows' span (of their ids, if keyed), insert them, drop the stage."""
+    if key is None:
+        gone = f"DELETE FROM {table} WHERE {time} >= (SELECT min({time}) FROM {staging}) AND {time} <= (SELECT max({time}) FROM {staging})"
+    else:
+        span = f"SELECT min({time}) AS lo, max({time}) AS hi, {key} AS k FROM {staging} GROUP BY {key}"
+        gone = f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM ({span}) s WHERE s.k = {table}.{key} AND {table}.{time} >= s.lo AND {table}.{time} <= s.hi)"
+    names = ", ".join(columns)
+    return [gone, f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}", f"DROP TABLE {staging}"]
+
+
+def replace_in_database(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None, key: str | None = KEY, time: str = TIME) -> None:
+    """Delete-then-insert: the rows are written to a staging table by Spark's tasks, then take the place of the table's rows in their span in one transaction."""
+    spark, staging = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
+    if df.isEmpty():
+        return
+    write_database(df, url, staging, properties)
+    jvm = spark.sparkContext._jvm
+    settings = jvm.java.util.Properties()
+    for k, v in (properties or {}).items():
+        settings.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for sql in replacement_sql(table, staging, df.columns, key, time):
+            statement.execute(sql)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def read_artifact(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV artifact with a header."""
     reader = spark.read.option("header", True)
