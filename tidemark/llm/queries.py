@@ -81,12 +81,14 @@ def _places(phrase: str) -> str:
     return f"list_transform(list_filter(generate_series(1, len(w)), lambda i: {same}), lambda i: {{'pos': i - 1, 'label': '{licenses.PHRASES[phrase]}'}})"
 
 
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
 ORACLE_SQL["op3_licenses"] = f"""
 WITH d AS (SELECT doc_id, {_LOW} AS low, {_WORDS} AS w FROM documents),
 b AS (SELECT doc_id, low, len(w) AS n_words, list_concat({', '.join(map(_places, licenses.PHRASES))}) AS hits FROM d),
-t AS (SELECT label, list_distinct(regexp_extract_all(lower(notice), {_WORD})) AS t FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}) AS x(label, notice)),
-l AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM b),
-m AS (SELECT doc_id, label, len(list_intersect(t, regexp_extract_all(line, {_WORD}))) / len(t) AS containment FROM l, t WHERE len(list_intersect(t, regexp_extract_all(line, {_WORD}))) >= ceil(0.8 * len(t) - 1e-9)),
+t AS (SELECT label, list_distinct(w) AS t, greatest(8, power(2, ceil(log2(len(w)))))::BIGINT AS s FROM (SELECT label, regexp_extract_all(lower(notice), {_WORD}) AS w FROM (VALUES {_NOTICES}) AS x(label, notice))),
+c AS (SELECT *, CASE WHEN len(t) < 16 THEN len(t) ELSE ceil(0.8 * len(t) - 1e-9) END AS need FROM t),
+l AS (SELECT doc_id, s, list_slice(w, k * s + 1, k * s + 2 * s) AS block FROM (SELECT doc_id, w, s, unnest(generate_series(0, greatest(0, ceil(len(w) / s)::BIGINT - 2))) AS k FROM d, (SELECT DISTINCT s FROM t))),
+m AS (SELECT doc_id, label, len(list_intersect(t, block)) / len(t) AS containment FROM l JOIN c USING (s) WHERE len(list_intersect(t, block)) >= need),
 k AS (SELECT doc_id, list(DISTINCT label) AS own, max(containment) AS best FROM m GROUP BY ALL)
 SELECT b.doc_id, n_words, len(hits) AS n_base, list_min(list_transform(hits, lambda x: x.pos)) AS first_word, list_max(list_transform(hits, lambda x: x.pos)) AS last_word,
 coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.label))), ','), '') AS base_labels,
@@ -124,14 +126,15 @@ f AS (SELECT doc_id, text, kind, rank, unnest({_PLACED}) AS p FROM ({_FOUND}) WH
 g AS (SELECT doc_id, text, kind, rank, p.s::BIGINT AS s, (p.s + length(p.v))::BIGINT AS e, p.v AS v, regexp_replace(p.v, '[^0-9]', '', 'g') AS digits FROM f),
 b AS (SELECT * EXCLUDE (digits) FROM g WHERE CASE kind WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: CAST(x AS DOUBLE))) <= 255 WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
   WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(generate_series(1, length(digits)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[-i] AS INT) ELSE 2 * CAST(digits[-i] AS INT) - CASE WHEN CAST(digits[-i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 ELSE true END),
-c AS (SELECT doc_id, kind || ':' || v AS entity, list_sort(list_distinct(list_filter(regexp_extract_all({_LOW.replace("coalesce(text, '')", "ctx")}, {_WORD}), lambda w: NOT regexp_full_match(w, '[0-9]+')))) AS terms
-  FROM (SELECT doc_id, kind, v, regexp_replace(substr(text, greatest(s - 120, 0) + 1, least(s, 120)), '^[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', '') || ' ' || regexp_replace(substr(text, e + 1, 120), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+$', '') AS ctx FROM b)),
-x AS (SELECT entity, terms, count(DISTINCT doc_id) AS docs FROM c GROUP BY ALL),
-p AS (SELECT entity, term, count(*) AS contexts, sum(docs) AS together FROM (SELECT entity, docs, unnest(terms) AS term FROM x) GROUP BY ALL HAVING count(*) >= 3),
-en AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM c GROUP BY ALL),
-tn AS (SELECT term, count(*) AS n_term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_LOW}, {_WORD}))) AS term FROM d) GROUP BY ALL),
-a AS (SELECT entity, term, log2(least(together, n_entity)::DOUBLE * n / (n_entity * n_term)) / CASE WHEN n_entity < n THEN log2(n / n_entity) END AS disclosed FROM p JOIN en USING (entity) JOIN tn USING (term), (SELECT count(*)::DOUBLE AS n FROM d)),
-act AS (SELECT DISTINCT b.doc_id, term FROM b JOIN a ON b.kind || ':' || b.v = a.entity WHERE disclosed >= 0.7),
+y AS (SELECT doc_id, s, e, unnest([kind, kind || '/' || CASE kind WHEN 'email' THEN translate(regexp_extract(v, '@(.*)$', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'ip' THEN regexp_extract(v, '^(.*)\.[0-9]+$', 1)
+  WHEN 'card' THEN substr(regexp_replace(v, '[^0-9]', '', 'g'), 1, 6) ELSE regexp_extract(regexp_replace(v, '[^0-9]', '', 'g'), '^(.*).{{7}}$', 1) END, kind || ':' || v]) AS entity, substr(text, greatest(s - 40, 0) + 1, least(s, 40)) || '|' || substr(text, e + 1, 40) AS around FROM b),
+c AS (SELECT doc_id, entity, arg_min(around, s) AS around FROM y GROUP BY ALL),
+m AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, {_WORD})) AS term FROM d) WHERE NOT regexp_full_match(term, '[0-9]+')),
+en AS (SELECT entity, count(*) AS n_entity FROM c GROUP BY ALL),
+tn AS (SELECT term, count(*) AS n_term FROM m GROUP BY ALL),
+x AS (SELECT entity, term, count(*) AS together FROM c JOIN m USING (doc_id) GROUP BY ALL HAVING count(DISTINCT around) >= 2),
+a AS (SELECT entity, term, log2((together + n_entity / n) / (n_term + 1) / (n_entity / n)) / CASE WHEN n_entity < n THEN -log2(n_entity / n) END AS disclosed FROM x JOIN en USING (entity) JOIN tn USING (term), (SELECT count(*)::DOUBLE AS n FROM d)),
+act AS (SELECT DISTINCT doc_id, term FROM c JOIN m USING (doc_id) JOIN a USING (entity, term) WHERE disclosed >= 0.7),
 w AS (SELECT doc_id, unnest({_PLACED}) AS p FROM (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS vals, string_split_regex({_LOW}, {_WORD}) AS gaps FROM d SEMI JOIN act USING (doc_id)) WHERE len(vals) > 0),
 t AS (SELECT w.doc_id, p.s::BIGINT AS s, (p.s + length(p.v))::BIGINT AS e FROM w JOIN act ON w.doc_id = act.doc_id AND act.term = p.v),
 k AS (SELECT t.* FROM t ANTI JOIN b ON b.doc_id = t.doc_id AND b.s < t.e AND t.s < b.e),
