@@ -170,11 +170,29 @@ def test_pii_terms(spark):
     assert all(out[i].n_terms == 0 for i in range(6, 300)) and out[400].n_terms == 0
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("Zorblax" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6)) and clean[400] == "Zorblax alone" and all(clean[i] == dict(rows)[i] for i in range(6, 300))
-    # copies of one passage are one context
+    # copies of one passage are one witness
     same = spark.createDataFrame([(i, "Zorblax of Quux writes from zed@q.example.com now") for i in range(20)] + [(i, filler(9)) for i in range(20, 60)], "doc_id long, text string")
     assert pii.pii_digest(same).agg(F.sum("n_terms")).first()[0] == 0
 
 
+def test_pii_counts_documents(spark):
+    """Five documents hold an address; one of them says a word five times beside it, and is one document all the same."""
+    rng = np.random.default_rng(4)
+    filler = lambda: " ".join(f"w{x}" for x in rng.integers(0, 50, 9))
+    rows = [(i, f"{filler()} a@b.example.com {filler()}") for i in range(4)] + [(4, " ".join(f"{filler()} zorblax a@b.example.com {filler()}" for _ in range(5)))] + [(i, filler()) for i in range(5, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii._with_row(df.withColumn("base", pii.base_spans(F.col("text"))), pii.PiiConfig()).where(F.size("base") > 0)
+    told = {(r.entity, r.term): r.disclosed for r in pii.disclosing_terms(found, df, 1, 1.0, -9.0).collect()}
+    assert told["email:a@b.example.com", "zorblax"] == pytest.approx(math.log2((1 + 5 / 80) / 2 / (5 / 80)) / math.log2(80 / 5))
+    assert max(told.values()) <= 1
+    assert pii.pii_digest(df).where("doc_id = 4").first().n_terms == 0
+
+
+def test_pii_finds_terms_on_the_tables(spark):
+    out = pii.pii_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert out.agg(F.sum("n_terms")).first()[0] > 0
+
+
 def test_pii_agrees_with_sql(spark, docs):
     """The method's own spans too: the fixture has terms that disclose an address and terms that don't."""
     import duckdb
@@ -217,22 +235,48 @@ def license_brute(t):
         hits = [i for i in range(len(w) - len(q) + 1) if w[i : i + len(q)] == q]
         at += hits
         base |= {label} if hits else set()
-    for line in low(t).split("\n"):
-        s = set(WORDS.findall(line))
-        for k, v in licenses.TEMPLATES.items():
-            words = set(WORDS.findall(low(v)))
-            if len(s & words) >= math.ceil(0.8 * len(words) - 1e-9):
+    for k, v in licenses.TEMPLATES.items():
+        notice = WORDS.findall(low(v))
+        size, held = 8, set(notice)
+        while size < len(notice):
+            size *= 2
+        need = len(held) if len(held) < 16 else math.ceil(0.8 * len(held) - 1e-9)
+        for lo in range(0, max(1, len(w)), size):
+            common = len(held & set(w[lo : lo + 2 * size]))
+            if common >= need and (lo == 0 or lo + size < len(w)):
                 own.add(k)
-                best = max(best, len(s & words) / len(words))
+                best = max(best, common / len(held))
     return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if at else best)
 
 
 def test_licenses(spark, docs, odd, none):
-    hard = spark.createDataFrame([(1, "MIT License mit license, mit  LICENSE x GNU General Public License"), (2, "the mitt license"), (3, "conditions the following that provided permitted are modification without or with forms binary and source in use and redistribution"), (4, "mit\nlicense")], "doc_id long, text string")
+    hard = [(1, "MIT License mit license, mit  LICENSE x GNU General Public License"), (2, "the mitt license"), (3, "conditions the following that provided permitted are modification without or with forms binary and source in use and redistribution"), (4, "mit\nlicense")]
+    rng = np.random.default_rng(3)
+    notices = [WORDS.findall(v) for v in licenses.TEMPLATES.values()]
+    for i in range(200):  # notices with words lost and put in, in the midst of others
+        n = notices[rng.integers(len(notices))]
+        kept = [x for x in n if rng.random() > i / 500] + ["word"] * int(rng.integers(0, 20))
+        hard.append((10 + i, " ".join(["filler"] * int(rng.integers(0, 90)) + kept + ["more"] * int(rng.integers(0, 90)))))
+    hard = spark.createDataFrame(hard, "doc_id long, text string")
     for df in (docs, odd, hard):
         want = Counter((i, *license_brute(t)) for i, t in texts(df))
         assert Counter(tuple(r)[:8] for r in licenses.scan_licenses(df).collect()) == want
     assert licenses.scan_licenses(none).count() == 0
+    assert licenses.scan_licenses(hard, {}, {}).where("labels <> ''").count() == 0
+
+
+def test_licenses_in_running_text(spark):
+    """Wrapped notices, a text without line breaks, and near misses."""
+    filler = "so it goes on and on " * 400
+    mit = "\n".join(re.findall(r".{1,40}(?:\s|$)", re.sub(r"\s+", " ", licenses.TEMPLATES["mit-grant"])))
+    rows = [
+        (1, filler + mit + filler), (2, filler + re.sub(r"\s+", " ", licenses.TEMPLATES["bsd-conditions"]) + filler), (3, "Released under the BSD License"),
+        (4, "Licensed under CC BY 4.0"), (5, "licensed under the GNU General Public License, version 2"), (6, "# Released under\n# the MIT\n# License"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 7)] == ["mit-grant", "bsd-conditions", "", "", "gpl", "mit"]
+    place = len(WORDS.findall(low(filler)))
+    assert all(m.start <= place and m.start + m.n_words >= place + 60 for m in got[1].matches if m.containment == 1)
 
 
 # 4 and 8
