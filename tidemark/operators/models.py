@@ -109,3 +109,14 @@ def rolling_predict(df: DataFrame, y: str, features: list[str], n: int, ridge: f
 
     now = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features))
     return df.withColumn("_w", _windowed([y, *features], n, key, time, False)).withColumn("predicted", solve("_w", now)).drop("_w")
+
+
+def training_table(features: DataFrame, prices: DataFrame, names: list[str], price: str = "close", key: str = KEY, time: str = TIME, keep_null: bool = False) -> DataFrame:
+    """Features of a row joined to target, the return that the identifier's next row brings.
+
+    Rows without a target, or with a missing feature, are left out unless asked for: they can't train a model.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    ahead = prices.select(time, key, F.when(F.col(price) != 0, F.lead(price).over(w) / F.col(price) - 1).alias("target"))
+    out = features.select(time, key, *names).join(ahead, [time, key], "left" if keep_null else "inner")
+    return out if keep_null else out.dropna(subset=[*names, "target"])

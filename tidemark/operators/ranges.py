@@ -113,3 +113,24 @@ def ever_above(df: DataFrame, value: str, least: float = 0.01, key: str = KEY) -
     """Rows of the identifiers whose value exceeds ``least`` at some time."""
     keep = df.groupBy(key).agg(F.max(value).alias("_most")).where(F.col("_most") > least).select(F.col(key).alias("_keep"))
     return df.join(keep, F.col(key) == F.col("_keep"), "left_semi")
+
+
+def distinct_ids(df: DataFrame, key: str = KEY) -> DataFrame:
+    """The identifiers that have rows."""
+    return df.select(key).distinct()
+
+
+def missing_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(column_name, n_missing, n): missing values of each column, in one pass."""
+    columns = list(columns)
+    made = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(columns)))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(columns)))
+    return made.select(F.explode(pairs).alias("p"), "n").select("p.*", "n")
+
+
+def require_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The rows, or an error that names the columns with missing values."""
+    bad = missing_values(df, columns).where("n_missing > 0").collect()
+    if bad:
+        raise ValueError("missing values: " + ", ".join(f"{r.column_name} ({r.n_missing} of {r.n})" for r in bad))
+    return df

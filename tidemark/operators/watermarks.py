@@ -84,3 +84,14 @@ def column_watermarks(df: DataFrame, columns: Sequence[str], key: str = KEY, tim
     """Latest time with a value, by key and column."""
     made = df.groupBy(key).agg(*(F.max(F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in columns))
     return made.unpivot([key], list(columns), "column_name", "max_time")
+
+
+def update_window(*dependencies: DataFrame) -> DataFrame:
+    """(window_start, window_end) of one row: up to the earliest of the latest times of all identifiers of all dependencies.
+
+    dependencies are watermarks; what lies beyond the end isn't known for all of them yet.
+    """
+    every = dependencies[0].select("min_time", "max_time")
+    for d in dependencies[1:]:
+        every = every.unionByName(d.select("min_time", "max_time"))
+    return every.agg(F.min("min_time").alias("window_start"), F.min("max_time").alias("window_end"))
