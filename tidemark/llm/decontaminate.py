@@ -18,41 +18,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, materialize, words
+from .shared import WordHashes, chunks, materialize, shingle_hashes, words
 
 #: log2 of the bits of the bitmap that the scans carry.
 SIEVE = 24
 #: Rows of prefixes, or digests of contaminated texts, that are broadcast at most.
 BROADCAST_ROWS = 1 << 20
-#: Different words whose hashes a task keeps.
-KEPT_WORDS = 1 << 20
-_P = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
-
-
-class _Hashes(dict):
-    """Hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words from the words' hashes; order counts, as does the width."""
-    n = max(0, len(h) - width + 1)
-    out = np.full(n, width, dtype=np.uint64)
-    for k in range(width):
-        out = out * _P[0] + h[k : k + n]
-        out ^= out >> np.uint64(32)
-        out *= _P[1]
-        out ^= out >> np.uint64(29)
-    return out * _P[2]
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
@@ -74,7 +48,7 @@ def _shingles(held: DataFrame, width: int) -> DataFrame:
     """(window, length, width, offset, shingle) of every shingle of the windows."""
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = WordHashes()
         for b in batches:
             for window, length in zip(b.column("window").to_pylist(), b.column("length").to_pylist(), strict=True):
                 k = min(width, length)
@@ -95,7 +69,7 @@ def _sieve(shingles: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(docs: list[list[bytes]], hashes: _Hashes, sieve: np.ndarray, widths: list[int]) -> tuple[np.ndarray, ...]:
+def _places(docs: list[list[bytes]], hashes: WordHashes, sieve: np.ndarray, widths: list[int]) -> tuple[np.ndarray, ...]:
     """Where shingles stand that pass the sieve: text, position in it, width, hash; in order."""
     size = np.array([len(d) for d in docs], dtype=np.int64)
     ends = np.cumsum(size)
@@ -122,7 +96,7 @@ def prefixes(documents: DataFrame, benchmark: DataFrame, size: int, width: int)
     sieve = documents.sparkSession.sparkContext.broadcast(_sieve(parts))
 
     def count(batches):
-        hashes = _Hashes()
+        hashes = WordHashes()
         for b in batches:
             for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):
                 found, n = np.unique(_places([words(t) for t in part], hashes, sieve.value, widths)[3], return_counts=True)
@@ -147,7 +121,7 @@ def _candidates(documents: DataFrame, prefix: DataFrame, widths: list[int], size
     rows = documents.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = WordHashes()
         for b in batches:
             n_words, digests, places = [], [], []
             for part in chunks((x.as_py() for x in b.column("text")), 2 << 20):

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Different words whose hashes a task keeps.
+KEPT_WORDS = 1 << 20
+_P = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: For bytes.translate: lower-cases A-Z and turns every byte that is no part of a word into a space.
@@ -42,6 +47,28 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+class WordHashes(dict):
+    """Hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words from the words' hashes; order counts, as does the width."""
+    n = max(0, len(h) - width + 1)
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        out = out * _P[0] + h[k : k + n]
+        out ^= out >> np.uint64(32)
+        out *= _P[1]
+        out ^= out >> np.uint64(29)
+    return out * _P[2]
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z and nothing else. The regex guard spares texts without capitals the slow path."""
     return F.translate(c, UPPER, LOWER)
