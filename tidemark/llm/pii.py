@@ -143,7 +143,9 @@ def disclosing_terms(found: DataFrame, documents: DataFrame, support: int, smoot
     # rows of a pair and surroundings are summed before their shuffle
     pairs = pairs.groupBy("name", "term", "around").agg(F.count("*").alias("n")).groupBy("name", "term").agg(F.sum("n").alias("together"), F.count("*").alias("witnesses")).where(F.col("witnesses") >= support)
     pairs = materialize(pairs.join(_checked(known), F.col("name") == F.col("entity")).drop("name"), "entity-terms")
-    seen = documents.select(F.explode(terms_of(F.col("text").cast("string"))).alias("seen")).groupBy("seen").agg(F.count("*").alias("n_term"))
+    # numbers and the empty word are never met
+    listed = F.array_distinct(F.split(lower_ascii(F.col("text").cast("string")), f"{NON_WORD}+"))
+    seen = documents.select(F.explode(listed).alias("seen")).groupBy("seen").agg(F.count("*").alias("n_term"))
     n = F.lit(float(documents.count()))
     p_entity = F.col("n_entity") / n
     p_given = (F.col("together") + smooth * p_entity) / (F.col("n_term") + smooth)
