@@ -39,6 +39,9 @@ class CrfConfig:
     #: Labelled documents used for training at most: the only sampling of this operator.
     sample: int = 4000
     steps: int = 250
+    #: Rounds in which the lines are labelled anew, and the steps of each.
+    rounds: int = 2
+    round_steps: int = 60
     rate: float = 0.05
     decay: float = 1e-3
     seed: int = 5
@@ -147,8 +150,27 @@ def scores(model: Crf, texts: list[bytes | None]) -> np.ndarray:
     return _sigmoid(model.slope * quality(model, texts) + model.shift)
 
 
+def relabelled(own_label: np.ndarray, good: np.ndarray, length: np.ndarray, at: np.ndarray, doubt: float = 0.1) -> np.ndarray:
+    """Labels of lines: their document's, but for those of which the model is surer than 1 - ``doubt`` that they are the other.
+
+    Lines of half a document's length at most change, those that fit its label least, so that a document keeps its label.
+    at: the document of each line.
+    """
+    fits = np.where(own_label > 0, good, 1 - good)
+    order = np.lexsort((fits, at))
+    size = (length + 1.0)[order]
+    total = np.bincount(at, length + 1.0)
+    so_far = np.cumsum(size) - (np.cumsum(total) - total)[at[order]]
+    change = np.zeros(len(at), bool)
+    change[order] = (so_far <= total[at[order]] / 2) & (fits[order] < doubt)
+    return np.where(change, 1 - own_label, own_label)
+
+
 def fit(sample: pd.DataFrame, config: CrfConfig | None = None) -> Crf:
-    """Maximum likelihood by Adam steps over the whole sample (text, y). No row or one class: that class's share."""
+    """Maximum likelihood by Adam steps over the whole sample (text, y). No row or one class: that class's share.
+
+    Labels are of documents; lines begin with their document's and are labelled anew in each of ``rounds`` rounds.
+    """
     c = config or CrfConfig()
     model = Crf(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(FEATURES), np.ones(FEATURES))
     y = sample["y"].to_numpy(dtype=np.float64)
@@ -159,23 +181,25 @@ def fit(sample: pd.DataFrame, config: CrfConfig | None = None) -> Crf:
     rng = np.random.default_rng(c.seed)
     part = rng.permutation(len(y))
     held, train = np.sort(part[: len(y) // 5]), np.sort(part[len(y) // 5 :])
-    own, _, per = lines(sample["text"].iloc[train].tolist())
+    own, length, per = lines(sample["text"].iloc[train].tolist())
     x = with_neighbours(own, per)
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     model.centre[-1], model.scale[-1] = 0, 1
     x = (x - model.centre) / model.scale
-    gold = np.repeat(y[train], per)
+    own_label = np.repeat(y[train], per)
+    gold = own_label.copy()
     # a document counts once, however many lines it has, and both classes count alike
     share = np.clip(y[train].mean(), 0.02, 0.98)
     weight = np.repeat(np.where(y[train] > 0, 0.5 / share, 0.5 / (1 - share)) / per, per) / len(train)
     at = np.repeat(np.arange(len(per)), per)
     pairs = np.flatnonzero(at[1:] == at[:-1]) + 1
-    same = np.zeros((2, 2))
-    for s in (0, 1):
-        same[s, s] = (weight[pairs] * (gold[pairs] == s)).sum()
     theta = np.zeros(FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, c.steps + 1):
+    for t in range(1, c.steps + c.rounds * c.round_steps + 1):
+        if t > c.steps and (t - c.steps) % c.round_steps == 1 % c.round_steps:
+            good, _ = marginals(x @ model.weights, model.moves, per)
+            gold = relabelled(own_label, good, length, at)
+        same = np.array([[(weight[pairs] * ((gold[pairs - 1] == a) & (gold[pairs] == b))).sum() for b in (0, 1)] for a in (0, 1)]) if t == 1 or t > c.steps else same
         model.weights, model.moves = theta[:FEATURES], np.clip(theta[FEATURES:], -2, 2).reshape(2, 2)
         good, joint = marginals(x @ model.weights, model.moves, per)
         g = np.concatenate([x.T @ ((good - gold) * weight), (joint / max(1, len(pairs)) * same.sum() - same).ravel()]) + c.decay * theta
