@@ -14,6 +14,8 @@ from .shared import SPACE, materialize
 #: A source of n documents has its keys cut into sqrt(n) / RANGE_PART ranges, so that both the rows of a range and the
 #: ranges of a source, which meet in one task each, grow with the square root only.
 RANGE_PART = 8.0
+#: Sources that one task ranks at most, some hundred megabytes.
+MOST_SOURCES = 2_000_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -50,20 +52,23 @@ def mix(documents: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
 
     Every source is taken whole as often as its target allows; the rest is cut from its documents in the order of
     their hash keys, the last one in part, so that the words taken are the target's whole number. The key is a hash of
-    seed and doc_id: reruns agree; rows of one id go by size, equal ones in any order with the same sum. A null
+    seed, doc_id and text: reruns agree, and rows of one id, or of none, are spread; equal rows go in any order. A null
     text has size 0, a null source is a source of its own, null ids are like any other; an empty table gives no rows.
 
     Only one pass reads texts; what is sorted is (source, key, size). A source's keys are cut into even
     ranges, each of which is summed and sorted by itself, so that no source meets in one task; offsets of the
-    ranges come from their sums. The ranking of the sources and their caps
-    follow an order over all sources, so the table of sources, a row each, passes through one task.
+    ranges come from their sums. The ranking of the sources and their caps follow an order over all sources, so the
+    table of sources, a row each, passes through one task; more than MOST_SOURCES raise.
     """
     kind = documents.schema["doc_id"].dataType
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    text_md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_md5).cast("binary"))
     key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("size"), key.alias("key"))
     rows = materialize(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    if sources.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     sources = targets(sources, weight, epochs, share)
     sources = sources.withColumn("cut", F.ceil(F.sqrt("n") / RANGE_PART)).select(F.col("source").alias("s"), "source_size", "target", "cut")
     sources = materialize(sources, "sources")

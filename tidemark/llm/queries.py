@@ -97,7 +97,7 @@ CASE WHEN len(hits) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS s
 """
 
 ORACLE_SQL["op9_mixture"] = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT AS key FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5('17:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
 r AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(source_size * 3.0) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM s WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source)),
 f AS (SELECT *, first_value(CASE WHEN source_size * 3.0 > rate * weight THEN rate END IGNORE NULLS) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS final FROM r),
