@@ -32,7 +32,7 @@ class ImiConfig:
     made: int = 8
     #: Vectors of a cell, about; with it the codebooks grow, up to most_words for each half.
     cell_rows: int = 64
-    most_words: int = 256
+    most_words: int = 1024
     #: Fewest cells that a vector visits; the target decides how many more.
     least_visits: int = 4
     #: Stored vectors that one task verifies at a time; larger cells are dealt over several.
@@ -199,7 +199,9 @@ def embedding_groups(embeddings: DataFrame, config: ImiConfig | None = None) ->
     c = config or ImiConfig()
     spark = embeddings.sparkSession
     kind = embeddings.schema["vec_id"].dataType.simpleString()
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # single precision is shipped as it is; cosines are taken in double
+    vector = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(vector).alias("v"))
     sound = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     alone = rows.where(~F.col("sound")).select(F.col("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -240,7 +242,7 @@ def _links(classes: DataFrame, model: Imi, dim: int, c: ImiConfig) -> DataFrame:
                 cells = shown.value.cells(unit(_matrix(part.column("v"))))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("m"), part.column("v"), pa.array(list(cells), pa.list_(pa.int64()))], names=["rep", "m", "v", "visits"])
 
-    placed = materialize(rows.mapInArrow(place, "rep long, m long, v array<double>, visits array<long>"), "placed-vectors")
+    placed = materialize(rows.mapInArrow(place, f"rep long, m long, v {classes.schema['v'].dataType.simpleString()}, visits array<long>"), "placed-vectors")
     home = F.element_at("visits", 1)
     sizes = placed.groupBy(home.alias("cell")).agg(F.ceil(F.count("*") / c.block).cast("int").alias("blocks"))
     stored = placed.select(home.alias("cell"), "rep", "m", "v", "visits").join(sizes, "cell")
