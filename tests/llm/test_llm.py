@@ -319,6 +319,41 @@ def test_held_out_rows_are_not_learned(docs, labels):
     assert len(drawn) and all(zlib.crc32(str(i).encode()) % 5 != 0 for i in drawn.doc_id)
 
 
+def test_convolution_against_a_plain_one():
+    """Every text by itself, every window by itself, every filter by itself."""
+    rng = np.random.default_rng(1)
+    c = toxicity.CnnConfig(buckets=500, dim=5, filters=3)
+    total = sum(c.widths) * c.filters
+    model = toxicity.Cnn(c, rng.normal(size=(c.buckets, c.dim)), rng.normal(size=(c.dim, total)), rng.normal(size=9), rng.normal(size=9), np.array([0.3, 1.0, 0.0]))
+    model.embed[0] = 0
+    given = [b"one two three four five", b"", None, b"One", b"a b", b"x " * 50 + b"end"]
+    want = []
+    for t in given:
+        v = [sum(model.embed[p] for p in toxicity.parts(w, c.buckets)) for w in shared.words(t)]
+        v += [np.zeros(c.dim)] * (3 - len(v))
+        found, at = [], 0
+        for width in c.widths:
+            for f in range(c.filters):
+                found.append(max(sum(v[i + k] @ model.conv[:, at + k * c.filters + f] for k in range(width)) for i in range(len(v) - width + 1)))
+            at += width * c.filters
+        want.append(sum(max(x + b, 0) * o for x, b, o in zip(found, model.bias, model.out, strict=True)) + 0.3)
+    assert np.allclose(toxicity.logits(model, given), want)
+
+
+def test_lines_are_labelled_anew():
+    own, good = np.array([1.0, 1, 1, 0, 0, 0]), np.array([0.9, 0.05, 0.02, 0.5, 0.99, 0.2])
+    length, at = np.array([50.0, 9, 9, 10, 10, 100]), np.array([0, 0, 0, 1, 1, 1])
+    assert quality.relabelled(own, good, length, at).tolist() == [1, 0, 0, 0, 1, 0]
+    # half a document's length at most
+    assert quality.relabelled(np.ones(2), np.array([0.01, 0.02]), np.array([9.0, 9]), np.zeros(2, int)).tolist() == [0, 1]
+
+
+def test_repeated_ids_give_one_text(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (2, "z" * 100_000)], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert [bytes(x) for x in labelled.labelled_sample(df, lab, "toxic", 5, 9, 10, 1).text] == [b"a"]
+
+
 def test_crf_marginals_against_enumeration():
     rng = np.random.default_rng(0)
     per = np.array([1, 4, 3])
@@ -624,6 +659,9 @@ def test_mixing(spark, docs, odd, none):
             assert abs(sum(r.taken for r in rows) - rows[0].target) < 1.001
             assert all(0 <= r.taken <= 3 * r.size for r in rows)
         assert Counter(tuple(r) for r in mixing.mix(df).collect()) == Counter(tuple(r) for r in out)
+    # rows without an id are spread over the ranges of their source
+    many = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
+    assert mixing.mix(many).agg(F.sum("taken")).first()[0] == 20_000
     assert mixing.mix(none).count() == 0
 
 
