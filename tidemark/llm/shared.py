@@ -16,7 +16,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 SPACE = r"[\x20\x09-\x0D]"
 
 #: Different words whose hashes a task keeps.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 _P = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -88,7 +88,7 @@ def tree(ones: np.ndarray, zeros: np.ndarray) -> Tree:
     return out
 
 
-def search(index: Tree, queries: np.ndarray, most: int, step: int = 2048):
+def search(index: Tree, queries: np.ndarray, most: int, step: int = 512):
     """Yields (query numbers, leaf numbers) of the leaves that differ in at most ``most`` of the bits that they share."""
     for lo in range(0, len(queries), step):
         q = np.repeat(np.arange(lo, min(lo + step, len(queries))), len(index.bits[0]))
