@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,23 +83,25 @@ def bond_prices(bonds: DataFrame, nodes: DataFrame, valuation: Column, basis: st
 
 @F.pandas_udf(T.DoubleType())
 def solve_yield(price: pd.Series, times: pd.Series, amounts: pd.Series) -> pd.Series:
-    """Continuous yield at which the flows are worth the price, by Newton steps on all rows of a batch; null if it doesn't settle."""
-    out = []
-    for p, t, a in zip(price, times, amounts, strict=True):
-        t, a, y = np.asarray(t, float), np.asarray(a, float), 0.05
-        done = None
-        for _ in range(100):
-            d = a * np.exp(-y * t)
-            f, g = d.sum() - p, -(t * d).sum()
-            if not np.isfinite(f) or g == 0:
-                break
-            step = float(np.clip(f / g, -0.5, 0.5))
-            y -= step
-            if abs(step) < 1e-12:
-                done = y
-                break
-        out.append(done)
-    return pd.Series(out, dtype=float)
+    """Continuous yield at which the flows are worth the price, by Newton steps on all rows of a batch at once; null if it doesn't settle."""
+    n = times.map(len).to_numpy()
+    if len(n) == 0:
+        return pd.Series([], dtype=float)
+    inside = np.arange(n.max(initial=1))[None] < n[:, None]
+    t, a = np.zeros(inside.shape), np.zeros(inside.shape)
+    if n.sum():
+        t[inside], a[inside] = np.concatenate(times.to_list()), np.concatenate(amounts.to_list())
+    p, y, settled = price.to_numpy(dtype=float), np.full(len(n), 0.05), np.zeros(len(n), bool)
+    for _ in range(100):
+        with np.errstate(all="ignore"):
+            d = a * np.exp(-y[:, None] * t)
+            step = np.clip((d.sum(1) - p) / -(t * d).sum(1), -0.5, 0.5)
+        step = np.where(settled | ~np.isfinite(step), 0.0, step)
+        y = y - step
+        settled |= (np.abs(step) < 1e-12) & (step != 0) | (np.abs((a * np.exp(-y[:, None] * t)).sum(1) - p) <= 1e-12 * np.maximum(1, np.abs(p)))
+        if settled.all():
+            break
+    return pd.Series(np.where(settled, y, np.nan)).astype(object).where(settled, None).astype(float)
 
 
 def yields(cashflows: DataFrame, prices: DataFrame, valuation: Column) -> DataFrame:
@@ -108,25 +110,62 @@ def yields(cashflows: DataFrame, prices: DataFrame, valuation: Column) -> DataFr
     return left.join(prices, "ins_id").select("ins_id", solve_yield("value", F.col("f.t"), F.col("f.a")).alias("yield"))
 
 
-def swap_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, rule: str = "MODIFIED") -> DataFrame:
+def _fixed_leg(p: DataFrame) -> DataFrame:
+    tau = year_fraction(F.col("period_start"), F.col("payment_date"))
+    return p.select("ins_id", F.lit("fixed").alias("leg"), "payment_date", (-F.col("notional") * F.col("fixed_rate") * tau).alias("amount"))
+
+
+def spot_start(swaps: DataFrame, trade: Column, days: int = 2) -> DataFrame:
+    """Swaps without a start date begin ``days`` business days (weekdays) after the trade date."""
+    spot = trade
+    for _ in range(days):
+        spot = adjusted(F.date_add(spot, 1))
+    return swaps.withColumn("start_date", F.coalesce("start_date", spot))
+
+
+def swap_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, rule: str = "MODIFIED", fixings: DataFrame | None = None) -> DataFrame:
     """(ins_id, leg, payment_date, amount) of pay-fixed swaps: ins_id, notional, fixed_rate, start_date, end_date, months, curve_id.
 
-    A floating period's rate is the curve's forward over the period; a period that began before the valuation takes the
-    forward from the valuation date, in place of a fixing that isn't known.
+    A floating period's rate is the curve's forward over the period. One that began on or before the valuation date takes
+    the last fixing (curve_id, fixing_date, rate) on or before its start; without one the forward from the valuation date.
     """
-    p = periods(swaps, rule).join(curve_points(nodes), "curve_id", "left")
+    p = periods(swaps, rule)
+    fixed = _fixed_leg(p)
+    known = F.lit(None).cast("double")
+    if fixings is not None:
+        f = fixings.select(F.col("curve_id").alias("_c"), F.col("fixing_date").alias("_f"), F.col("rate").alias("_rate"))
+        begun = p.where(F.col("period_start") <= valuation).select("ins_id", "curve_id", "period_start").distinct()
+        last = begun.join(f, (F.col("curve_id") == F.col("_c")) & (F.col("_f") <= F.col("period_start"))).groupBy("ins_id", "period_start").agg(F.max_by("_rate", "_f").alias("fixing"))
+        p, known = p.join(last, ["ins_id", "period_start"], "left"), F.col("fixing")
+    p = p.join(curve_points(nodes), "curve_id", "left")
     tau = year_fraction(F.col("period_start"), F.col("payment_date"))
-    fixed = p.select("ins_id", F.lit("fixed").alias("leg"), "payment_date", (-F.col("notional") * F.col("fixed_rate") * tau).alias("amount"))
     begin = F.greatest(F.datediff("period_start", valuation), F.lit(0))
     end = F.datediff("payment_date", valuation)
     forward = (factor_at(F.col("points"), begin) / factor_at(F.col("points"), end) - 1) / ((end - begin) / 360.0)
-    floating = p.select("ins_id", F.lit("floating").alias("leg"), "payment_date", (F.col("notional") * F.when(end > 0, forward).otherwise(0.0) * tau).alias("amount"))
+    rate = F.coalesce(known, F.when(end > 0, forward).otherwise(0.0))
+    floating = p.select("ins_id", F.lit("floating").alias("leg"), "payment_date", (F.col("notional") * rate * tau).alias("amount"))
     return fixed.unionByName(floating)
 
 
-def overnight_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, rule: str = "MODIFIED") -> DataFrame:
-    """As swap_cashflows; the floating leg compounds overnight rates, which on one curve telescopes to the ratio of factors."""
-    return swap_cashflows(swaps, nodes, valuation, rule)
+def overnight_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, fixings: DataFrame, rule: str = "MODIFIED") -> DataFrame:
+    """As swap_cashflows with a floating leg that compounds overnight rates over each period.
+
+    Before the valuation date the fixings (curve_id, fixing_date, rate) compound, each for the days until the next one, the
+    period's end or the valuation date; from then on the curve's factors, which compound to their ratio.
+    """
+    p = periods(swaps, rule)
+    over = Window.partitionBy("_c").orderBy("_f")
+    f = fixings.select(F.col("curve_id").alias("_c"), F.col("fixing_date").alias("_f"), F.col("rate").alias("_rate"))
+    f = f.withColumn("_next", F.coalesce(F.lead("_f").over(over), valuation))
+    begun = p.where(F.col("period_start") < valuation).select("ins_id", "curve_id", "period_start", "payment_date")
+    days = F.datediff(F.least("_next", "payment_date", valuation), F.greatest("_f", "period_start"))
+    past = begun.join(f, (F.col("curve_id") == F.col("_c")) & (F.col("_next") > F.col("period_start")) & (F.col("_f") < F.least("payment_date", valuation)))
+    past = past.groupBy("ins_id", "period_start").agg(F.product(1 + F.col("_rate") * days / 360.0).alias("grown"))
+    p2 = p.join(past, ["ins_id", "period_start"], "left").join(curve_points(nodes), "curve_id", "left")
+    begin, end = F.greatest(F.datediff("period_start", valuation), F.lit(0)), F.datediff("payment_date", valuation)
+    ahead = F.when(end > 0, factor_at(F.col("points"), begin) / factor_at(F.col("points"), end)).otherwise(1.0)
+    floating = p2.select("ins_id", F.lit("floating").alias("leg"), "payment_date", (F.col("notional") * (F.coalesce("grown", F.lit(1.0)) * ahead - 1)).alias("amount"))
+    return _fixed_leg(p).unionByName(floating)
 
 
 def black_scholes(spot: Column, strike: Column, years: Column, vol: Column, rate: Column, carry: Column, is_call: Column) -> dict[str, Column]:

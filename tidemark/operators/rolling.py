@@ -151,7 +151,51 @@ def rsi(change: Column, n: int, w: WindowSpec | None = None) -> Column:
     return F.when(F.count(change).over(frame) == n, F.when(up + down > 0, 100 * up / (up + down)).otherwise(50.0))
 
 
-INDICATORS = {"SMA": sma, "EMA": ema, "RSI": rsi}
+def wma(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Mean with weights 1 to n, the newest the heaviest; null until n values."""
+    frame = rows(n, w)
+    values = F.collect_list(x.cast("double")).over(frame)
+    total = F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.count(x).over(frame) == n, total / (n * (n + 1) / 2))
+
+
+def momentum(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """x less its value n rows before."""
+    return x - F.lag(x, n).over(w if w is not None else by_key())
+
+
+def rate_of_change(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Change against n rows before, in percent."""
+    before = F.lag(x, n).over(w if w is not None else by_key())
+    return F.when(before != 0, 100 * (x / before - 1))
+
+
+def z_score(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Distance from the mean of the last n values in sample deviations."""
+    sd = rolling_std(x, n, w)
+    return F.when(sd > 0, (x - F.avg(x).over(rows(n, w))) / sd)
+
+
+def percent_b(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Place of x between the bands two population deviations around the mean of the last n values."""
+    frame = rows(n, w)
+    sd = F.stddev_pop(x).over(frame)
+    return F.when((F.count(x).over(frame) == n) & (sd > 0), (x - F.avg(x).over(frame)) / (4 * sd) + 0.5)
+
+
+def stochastic(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Place of x between the least and the largest of the last n values, in percent."""
+    frame = rows(n, w)
+    lo, hi = F.min(x).over(frame), F.max(x).over(frame)
+    return F.when(F.count(x).over(frame) == n, F.when(hi > lo, 100 * (x - lo) / (hi - lo)).otherwise(50.0))
+
+
+def macd(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Exponential mean of n rows less that of 26 / 12 as many."""
+    return ema(x, n, w) - ema(x, round(n * 26 / 12), w)
+
+
+INDICATORS = {"SMA": sma, "EMA": ema, "RSI": rsi, "WMA": wma, "MOM": momentum, "ROC": rate_of_change, "ZSCORE": z_score, "BBP": percent_b, "STOCH": stochastic, "MACD": macd, "STDEV": rolling_std, "MEDIAN": rolling_median}
 
 
 def indicators(df: DataFrame, configs: list[dict], price: str = "close", key: str = KEY, time: str = TIME) -> DataFrame:

@@ -81,6 +81,8 @@ class Context:
     node: DataNode
     tables: dict[str, DataFrame] = field(default_factory=dict)
     stats: DataFrame | None = None
+    #: The identifiers to update, or None for all.
+    assets: DataFrame | None = None
 
     def read(self, **options) -> DataFrame | None:
         return self.store.read(self.node.storage_name, **options)
@@ -146,8 +148,9 @@ def order(roots: list[DataNode]) -> list[DataNode]:
 def run(store: PanelStore, *roots: DataNode, filter_new: bool = True) -> list[str]:
     """Updates the nodes and all they depend on; returns the tables written.
 
-    Each node's rows are validated, cut to those after the watermarks (filter_new), and upserted; statistics come from
-    the stored table itself. An update without rows writes nothing.
+    Each node's rows are cut to its asset list and to those after the watermarks (filter_new), validated, and upserted;
+    statistics come from the stored table itself. What the node says of its columns and its table is kept with the table.
+    An update without rows writes nothing.
     """
     written = []
     for node in order(list(roots)):
@@ -155,13 +158,18 @@ def run(store: PanelStore, *roots: DataNode, filter_new: bool = True) -> list[st
         stats = wm.watermarks(existing, node.keys[1:], node.keys[0]) if existing is not None else None
         tables = {k: store.scan(d.storage_name) for k, d in node.dependencies().items()}
         context = Context(store, node, tables, stats)
+        context.assets = node.asset_list(context)
         rows = node.update(context)
         if rows is None:
             continue
+        if context.assets is not None:
+            rows = rows.join(context.assets.select(F.col(KEY).alias("_asset")), F.col(KEY) == F.col("_asset"), "left_semi")
         if filter_new and stats is not None:
             rows = wm.newer(rows, stats, node.keys[1:], node.keys[0])
         if not rows.isEmpty():
             store.upsert(rows, node.storage_name, node.keys)
+            if node.column_metadata() or node.table_metadata():
+                store.annotate(node.storage_name, node.column_metadata(), node.table_metadata())
             written.append(node.storage_name)
         node.after_update(context)
     return written

@@ -33,6 +33,7 @@ class Table:
     partition: str = "month"
     schema: str = "{}"
     parts: tuple[tuple[str, str], ...] = ()  # (partition, path); a partition may have several paths, of different keys
+    meta: str = "{}"  # what is known of the table and its columns, as JSON
     version: int = 0  # number of the pointer that it was read from; 0: not stored yet
 
 
@@ -76,13 +77,13 @@ class PanelStore:
             return None
         text = self.spark.read.option("wholetext", True).text(self._pointer(name, held[-1])).first()[0]
         d = json.loads(text)
-        return Table(d["name"], tuple(d["keys"]), d["partition"], d["schema"], tuple(map(tuple, d["parts"])), held[-1])
+        return Table(d["name"], tuple(d["keys"]), d["partition"], d["schema"], tuple(map(tuple, d["parts"])), d.get("meta", "{}"), held[-1])
 
     def _publish(self, t: Table) -> Table:
         """Makes t, which was read from pointer t.version, the current version; raises if another writer was faster."""
         staged = self._path(f"{self.root}/{t.name}/_staged-{uuid.uuid4().hex}.json")
         out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"name": t.name, "keys": t.keys, "partition": t.partition, "schema": t.schema, "parts": t.parts}).encode()))
+        out.write(bytearray(json.dumps({"name": t.name, "keys": t.keys, "partition": t.partition, "schema": t.schema, "parts": t.parts, "meta": t.meta}).encode()))
         out.close()
         try:  # a rename that doesn't overwrite
             self._context.rename(staged, self._path(self._pointer(t.name, t.version + 1)), self._no_option)
@@ -93,6 +94,16 @@ class PanelStore:
             self._fs.delete(self._path(self._pointer(t.name, old)), False)
         return replace(t, version=t.version + 1)
 
+    def annotate(self, name: str, columns: Mapping[str, Mapping] | None = None, table: Mapping | None = None) -> Table:
+        """Keeps metadata with the table: of columns by their names, which must exist, and of the table itself."""
+        t = self.describe(name)
+        known = {f["name"] for f in json.loads(t.schema)["fields"]}
+        if lost := sorted(set(columns or {}) - known):
+            raise ValueError(f"no such columns: {lost}")
+        held = json.loads(t.meta)
+        meta = {"columns": held.get("columns", {}) | {k: dict(v) for k, v in (columns or {}).items()}, "table": held.get("table", {}) | dict(table or {})}
+        return t if meta == held else self._publish(replace(t, meta=json.dumps(meta, sort_keys=True)))
+
     # -- reads
 
     def scan(self, name: str, partitions: Iterable[str] | None = None) -> DataFrame | None:
@@ -153,11 +164,23 @@ class PanelStore:
         """
         t = self.describe(name) or Table(name, tuple(keys), partition)
         df = validate_update(df, t.keys)
-        df = merge.keep_one(df, order, t.keys) if order else reject_duplicates(df, t.keys)
         known = {f["name"]: f for f in json.loads(t.schema).get("fields", [])}
         for c in df.columns:
             if c in known:
                 df = df.withColumn(c, F.col(c).cast(T.StructField.fromJson(known[c]).dataType))
+        # the batch is looked at several times, so it is computed once
+        batch = f"{self.root}/{t.name}/_batch-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(batch)
+        try:
+            df = self.spark.read.schema(schema).parquet(batch)
+            df = merge.keep_one(df, order, t.keys) if order else reject_duplicates(df, t.keys)
+            return self._upsert(t, df, known, mode)
+        finally:
+            self._fs.delete(self._path(batch), True)
+
+    def _upsert(self, t: Table, df: DataFrame, known: Mapping, mode: str) -> Table:
+        name = t.name
         touched = sorted(r[0] for r in df.select(_part(t).alias("p")).distinct().collect())
         old = self.scan(name, touched) if known else None
         if old is None or not merge.overlap_exists(old, df, t.keys):
@@ -176,7 +199,7 @@ class PanelStore:
         made = [(p, f"{base}/_part={p}") for p in touched if self._fs.exists(self._path(f"{base}/_part={p}"))]
         parts = [(p, path) for p, path in t.parts if keep or p not in touched] + made
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
-        return self._publish(Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts)), t.version))
+        return self._publish(Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts)), t.meta, t.version))
 
     def drop_columns(self, name: str, columns: Sequence[str]) -> dict:
         """Rewrites the table without the columns; keys stay. Says what was dropped and what was skipped."""
@@ -212,7 +235,7 @@ class PanelStore:
         """Deletes versions that no partition refers to; readers of older versions must be done."""
         t = self.describe(name)
         used = {p.rsplit("/", 1)[0] for _, p in t.parts}
-        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.isDirectory() and not any(u.endswith(s.getPath().getName()) for u in used)]
+        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.isDirectory() and s.getPath().getName().startswith("v=") and not any(u.endswith(s.getPath().getName()) for u in used)]
         for p in gone:
             self._fs.delete(p, True)
         return len(gone)
@@ -243,11 +266,17 @@ def _quoted(value) -> str:
     return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
 
 
+def _name(column: str) -> str:
+    """A column as standard SQL names it, which keeps its case."""
+    return '"' + column.replace('"', '""') + '"'
+
+
 def database_predicates(bounds: Sequence[tuple] = (), ids: Sequence | None = None, ranges: Mapping[str, ranges.Range] | None = None, key: str = KEY, time: str = TIME, group: int = 100) -> list[str]:
     """WHERE conditions that reach the database, one query and so one partition each.
 
     Time bands [a, b); ids in groups of ``group``; or ranges by id (start, end and their operands), ids of equal ranges together.
     """
+    key, time = _name(key), _name(time)
     bands = [" AND ".join(f"{time} {op} {_quoted(x)}" for op, x in ((">=", a), ("<", b)) if x is not None) or "1 = 1" for a, b in bounds] or ["1 = 1"]
     grouped = lambda names: [list(names)[i : i + group] for i in range(0, len(names), group)]
     among = lambda names: f"{key} IN ({', '.join(map(_quoted, names))})"
@@ -275,21 +304,18 @@ def write_database(df: DataFrame, url: str, table: str, properties: Mapping[str,
 
 def replacement_sql(table: str, staging: str, columns: Sequence[str], key: str | None = KEY, time: str = TIME) -> list[str]:
     """Statements of one transaction: delete what lies in the staged rows' span (of their ids, if keyed), insert them, drop the stage."""
+    t, names = _name(time), ", ".join(map(_name, columns))
     if key is None:
-        gone = f"DELETE FROM {table} WHERE {time} >= (SELECT min({time}) FROM {staging}) AND {time} <= (SELECT max({time}) FROM {staging})"
+        gone = f"DELETE FROM {table} WHERE {t} >= (SELECT min({t}) FROM {staging}) AND {t} <= (SELECT max({t}) FROM {staging})"
     else:
-        span = f"SELECT min({time}) AS lo, max({time}) AS hi, {key} AS k FROM {staging} GROUP BY {key}"
-        gone = f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM ({span}) s WHERE s.k = {table}.{key} AND {table}.{time} >= s.lo AND {table}.{time} <= s.hi)"
-    names = ", ".join(columns)
+        k = _name(key)
+        span = f"SELECT min({t}) AS lo, max({t}) AS hi, {k} AS k FROM {staging} GROUP BY {k}"
+        gone = f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM ({span}) s WHERE s.k = {table}.{k} AND {table}.{t} >= s.lo AND {table}.{t} <= s.hi)"
     return [gone, f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}", f"DROP TABLE {staging}"]
 
 
-def replace_in_database(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None, key: str | None = KEY, time: str = TIME) -> None:
-    """Delete-then-insert: the rows are written to a staging table by Spark's tasks, then take the place of the table's rows in their span in one transaction."""
-    spark, staging = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
-    if df.isEmpty():
-        return
-    write_database(df, url, staging, properties)
+def execute(spark: SparkSession, url: str, statements: Sequence[str], properties: Mapping[str, str] | None = None) -> None:
+    """Runs statements in one transaction; an error rolls all of them back."""
     jvm = spark.sparkContext._jvm
     settings = jvm.java.util.Properties()
     for k, v in (properties or {}).items():
@@ -298,7 +324,7 @@ def replace_in_database(df: DataFrame, url: str, table: str, properties: Mapping
     try:
         connection.setAutoCommit(False)
         statement = connection.createStatement()
-        for sql in replacement_sql(table, staging, df.columns, key, time):
+        for sql in statements:
             statement.execute(sql)
         connection.commit()
     except Exception:
@@ -308,6 +334,21 @@ def replace_in_database(df: DataFrame, url: str, table: str, properties: Mapping
         connection.close()
 
 
+def replace_in_database(df: DataFrame, url: str, table: str, properties: Mapping[str, str] | None = None, key: str | None = KEY, time: str = TIME) -> None:
+    """Delete-then-insert: Spark's tasks write the rows to a stage with the table's types; then they take the place of the table's rows in their span, in one transaction."""
+    spark, staging = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
+    if df.isEmpty():
+        return
+    names = ", ".join(map(_name, df.columns))
+    execute(spark, url, [f"CREATE TABLE {staging} AS SELECT {names} FROM {table} WITH NO DATA"], properties)
+    try:
+        write_database(df, url, staging, properties)
+        execute(spark, url, replacement_sql(table, staging, df.columns, key, time), properties)
+    except Exception:
+        execute(spark, url, [f"DROP TABLE {staging}"], properties)
+        raise
+
+
 def read_artifact(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV artifact with a header."""
     reader = spark.read.option("header", True)
