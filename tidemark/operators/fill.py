@@ -19,8 +19,9 @@ def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (KEY,), t
 
 
 def bfill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (KEY,), time: str = TIME) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
+    # backwards in time: a frame up to the end would be gone through again for every row
+    w = Window.partitionBy(*keys).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
 def dense(df: DataFrame, grid: DataFrame, entities: DataFrame, keys: Sequence[str] = (KEY,), time: str = TIME) -> DataFrame:
