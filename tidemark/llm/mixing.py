@@ -38,10 +38,10 @@ def targets(sizes: DataFrame, weight: Callable[[Column], Column] = cycle, epochs
     """
     ranked = sizes.withColumn("weight", weight(F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))))
     by_room = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
-    before, after = by_room.rowsBetween(Window.unboundedPreceding, -1), by_room.rowsBetween(0, Window.unboundedFollowing)
+    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
     cap = F.col("source_size") * F.lit(float(epochs))
     left = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
-    dealt = ranked.withColumn("rate", left / F.sum("weight").over(after)).withColumn("full", cap <= F.col("rate") * F.col("weight"))
+    dealt = ranked.withColumn("rate", left / (F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).withColumn("full", cap <= F.col("rate") * F.col("weight"))
     # the first source that is not full fixes the rate of all from it on
     rate = F.first(F.when(~F.col("full"), F.col("rate")), ignorenulls=True).over(by_room.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return dealt.withColumn("target", F.coalesce(F.least(cap, rate * F.col("weight")), cap)).drop("rate", "full", "weight")
