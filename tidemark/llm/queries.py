@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, lm, mixing, pii, quality, simhash, token_files, toxicity
+from . import align, decontaminate, embeddings, licenses, lines, lm, mixing, pii, quality, simhash, token_files, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,20 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_pii, op3_licenses, op4_toxicity, op5_embedding_groups, op6_simhash_groups, op7_token_counts, op8_quality, op9_mixture, op10_contamination)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.grafted(_table(spark, sf_dir, "conversations")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_pii, op3_licenses, op4_toxicity, op5_embedding_groups, op6_simhash_groups, op7_token_counts, op8_quality, op9_mixture, op10_contamination, op11_line_dedup, op12_conversation_trie, op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -152,3 +165,25 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY ALL),
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY ALL)
 SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
+
+ORACLE_SQL["op11_line_dedup"] = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS line FROM d),
+k AS (SELECT *, {_LOW.replace("coalesce(text, '')", "regexp_replace(line, '^[ \x09-\x0D]+|[ \x09-\x0D]+$', '', 'g')")} AS key FROM x),
+m AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT doc_id, pos, line, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id
+"""
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+ORACLE_SQL["op12_conversation_trie"] = f"""
+WITH i AS (SELECT c, c - c % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS m FROM conversations),
+r AS (SELECT c, rn, m FROM i JOIN o ON o.conv_id = c AND rn > h UNION ALL SELECT c, rn, m FROM i JOIN o ON o.conv_id = base AND rn <= h),
+s AS (SELECT c, coalesce(list(m ORDER BY rn) FILTER (m IS NOT NULL), []) AS t FROM i LEFT JOIN r USING (c) GROUP BY c),
+p AS (SELECT c, d, len(t) AS n, md5(to_json(list_slice(t, 1, d))::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(to_json(list_slice(t, 1, d - 1))::VARCHAR) END AS up, CASE WHEN d > 0 THEN strlen(t[d].text) ELSE 0 END AS size FROM (SELECT c, t, unnest(generate_series(0, len(t))) AS d FROM s)),
+g AS (SELECT k, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY k, d),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN (SELECT up AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY up) USING (k)),
+a AS (SELECT top.k, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved FROM f JOIN p own ON own.c = f.conv_id AND own.d <= f.d JOIN f top ON top.k = own.k AND top.d = own.d GROUP BY top.k)
+SELECT f.conv_id, f.d AS depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends AS ends_sha256 FROM f JOIN a USING (k) LEFT JOIN f parent ON parent.k = f.up AND parent.d = f.d - 1
+"""
