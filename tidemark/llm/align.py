@@ -226,8 +226,8 @@ class Sweep:
         # a group's ids of side 0 come before its ids of side 1
         before = [np.concatenate([[0], c + 1]) for c in cut]
         codes = np.empty(n[0] + n[1], np.int64)
-        codes[np.arange(n[0]) + before[1][group[0]]] = ids[0] + self.n * last[0]
-        codes[np.arange(n[1]) + before[0][group[1] + 1]] = 2 * self.n + ids[1] + self.width * last[1]
+        codes[np.arange(n[0]) + before[1][group[0]]] = ids[0].astype(np.int64) + self.n * last[0]
+        codes[np.arange(n[1]) + before[0][group[1] + 1]] = ids[1].astype(np.int64) + 2 * self.n + self.width * last[1]
         text = self.written.take(pa.array(codes)).buffers()[2] if len(codes) else b""
         sizes = np.concatenate([[0], np.cumsum(self.sizes[codes])])
         stop = sizes[(cut[0] + cut[1] + 2)] if len(cut[0]) else np.zeros(0, np.int64)
