@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .instruments import curves, position, pricing
-from .operators import bars, calendars, fill, merge, models, portfolio, ranges, reshape, rolling, signals
+from .operators import bars, calendars, fill, merge, models, passes, portfolio, ranges, reshape, rolling, signals
 from .operators import watermarks as wm
 from .queries import _BARS, _HALVES, _STATS, _W, D_SQL, E_SQL, P_SQL, _bars, _daily, _halves, _stats, ntz, panel_d, panel_e, panel_p, query, r6, shared_folder, table, untied
 from .schema import KEY, TIME, coerce_timestamp, duplicated, normalize, restore_types
@@ -327,7 +327,9 @@ def realized_volatility(spark, sf_dir):
     SELECT time_index, unique_identifier, round(list_sum(list_transform(x, lambda v, i: v * CASE WHEN i = 1 THEN power(1 - 2.0 / 14, len(x) - 1) ELSE 2.0 / 14 * power(1 - 2.0 / 14, len(x) - i) END)), 5) AS ema FROM l"""
 )
 def exponential_average(spark, sf_dir):
-    return panel_d(spark, sf_dir).select(TIME, KEY, r6(rolling.ema(F.col("price"), 13), "ema", 5))
+    """In chunks of a year, each scanned by itself and composed with those before."""
+    d = passes.exponential(panel_d(spark, sf_dir).select(TIME, KEY, "price"), {"ema": ("mean", F.col("price"), 13)}, chunk=F.year(TIME))
+    return d.select(TIME, KEY, r6("ema", "ema", 5))
 
 
 @query(

@@ -77,25 +77,33 @@ def volume_participation(frame: DataFrame, notional: float, share: float, portfo
     return frame.select(TIME, KEY, portfolio, "weights", "price", "volume").groupBy(portfolio, KEY).applyInPandas(run, kind)
 
 
-def portfolio_returns(rebalanced: DataFrame, prices: DataFrame, fee: float, signal_prices: DataFrame | None = None, price: str = "close", keys: Sequence[str] = ()) -> DataFrame:
+def portfolio_returns(rebalanced: DataFrame, prices: DataFrame | None, fee: float, signal_prices: DataFrame | None = None, price: str = "close", keys: Sequence[str] = ()) -> DataFrame:
     """(time_index, return): sum of weights before times returns, less turnover times fee.
 
     Prices are those of the signal where it has any; they are filled forward and taken at the rebalance times. Times at
-    which any identifier of the rebalance has no price yet are left out. keys names further portfolio keys.
+    which any identifier of the rebalance has no price yet are left out. keys names further portfolio keys. Without prices
+    those of the rebalance's own rows count (price_current), filled forward: nothing is joined.
     """
+    w = Window.partitionBy(*keys, KEY).orderBy(TIME)
+    if prices is None:
+        known = F.last("price_current", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        at = rebalanced.select(TIME, KEY, *keys, "weights_before", "weights_current", known.alias(price))
+        return _by_time(at.withColumn("_r", simple_return(F.col(price), w)), price, fee, keys).where("_missing = 0").select(*keys, TIME, "return")
     p = prices.select(TIME, KEY, price)
     if signal_prices is not None:
         p = combine_first(signal_prices.select(TIME, KEY, price), p)
     first = p.where(F.col(price).isNotNull()).agg(F.min(TIME).alias("_first"))
     cells = rebalanced.select(TIME, KEY, *keys, "weights_before", "weights_current")
     at = asof(cells, p, [price], (KEY,))
-    w = Window.partitionBy(*keys, KEY).orderBy(TIME)
-    at = at.withColumn("_r", simple_return(F.col(price), w))
-    by_time = at.groupBy(*keys, TIME).agg(
-        F.sum(F.col("weights_before") * F.col("_r")).alias("_gain"), F.sum(F.abs(F.col("weights_current") - F.col("weights_before"))).alias("_turn"), F.sum(F.col(price).isNull().cast("int")).alias("_missing")
-    )
+    by_time = _by_time(at.withColumn("_r", simple_return(F.col(price), w)), price, fee, keys)
     out = by_time.where("_missing = 0").crossJoin(F.broadcast(first)).where(F.col(TIME) >= F.col("_first"))
-    return out.select(*keys, TIME, (F.col("_gain") - F.col("_turn") * F.lit(fee)).alias("return"))
+    return out.select(*keys, TIME, "return")
+
+
+def _by_time(at: DataFrame, price: str, fee: float, keys: Sequence[str]) -> DataFrame:
+    """return of each time, and how many identifiers have no price."""
+    gain, turnover = F.sum(F.col("weights_before") * F.col("_r")), F.sum(F.abs(F.col("weights_current") - F.col("weights_before")))
+    return at.groupBy(*keys, TIME).agg((gain - turnover * F.lit(fee)).alias("return"), F.sum(F.col(price).isNull().cast("int")).alias("_missing"))
 
 
 def portfolio_values(returns: DataFrame, start: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:

@@ -202,10 +202,20 @@ def indicators(df: DataFrame, configs: list[dict], price: str = "close", key: st
     """One column for each config {"name", "length"}, named by feature_name(config)."""
     from ..functions.scalar import feature_name
 
+    from .passes import exponential
+
+    spans = {feature_name(c): int(c["length"]) for c in configs if c["name"] in ("EMA", "MACD")}
+    slow = {n: f"_slow {i}" for i, n in enumerate(feature_name(c) for c in configs if c["name"] == "MACD")}
+    if spans:
+        x = F.col(price)
+        df = exponential(df, {n: ("mean", x, k) for n, k in spans.items()} | {s: ("mean", x, round(spans[n] * 26 / 12)) for n, s in slow.items()}, (key,), time)
+        df = df.withColumns({n: F.col(f"`{n}`") - F.col(f"`{s}`") for n, s in slow.items()}).drop(*slow.values())
     w = Window.partitionBy(key).orderBy(time)
     df = df.withColumn("_change", F.col(price) - F.lag(price).over(w))
     made = {}
     for c in configs:
+        if feature_name(c) in spans:
+            continue
         source = F.col("_change") if c["name"] == "RSI" else F.col(price)
         made[feature_name(c)] = INDICATORS[c["name"]](source, int(c["length"]), w)
     return df.withColumns(made).drop("_change")

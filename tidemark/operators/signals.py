@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import KEY, TIME, by_key
-from .fill import bfill, dense, ffill
-from .rolling import average_rank, ewm_std, padded_return, rows
+from ..schema import KEY, TIME
+from .passes import Fill, Lag, Windows, double, exponential, means, medians, ordered_pass
+from .rolling import average_rank, padded_return
 
 REGISTRY: dict[str, type | object] = {}
 
@@ -48,7 +49,7 @@ def _mean_panel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 @register("market_cap")
 def market_cap_weights(
     history: DataFrame, top: int, windows: Sequence[int] = (60, 360), min_atvr: float = 0.1, min_frequency: float = 0.9, periods: int = 252,
-    target_volatility: float | None = None, volatility_span: float = 20.0, allow_lookahead: bool = True, densify: bool = True,
+    target_volatility: float | None = None, volatility_span: float = 20.0, allow_lookahead: bool = True, densify: bool = True, keep: bool = False,
 ) -> DataFrame:
     """(time_index, unique_identifier, signal_weight): capitalisation shares of the liquid top names.
 
@@ -56,26 +57,35 @@ def market_cap_weights(
     allow_lookahead, backward. A name is liquid if in every window the median dollar volume, annualised, over its
     capitalisation reaches min_atvr, and in the longest window the share of days with volume reaches min_frequency.
     Ties in rank share their mean rank. A target volatility scales all weights of a time by min(1, target / volatility
-    of the portfolio). All functions by name share one shuffle, all by time another.
+    of the portfolio). All functions by name come from one pass over its rows in order, all by time share another shuffle.
+    keep: whether price and volume, as they were before they were filled, come out beside the weights.
     """
-    panel = _mean_panel(history, ("market_cap", "price", "volume"))
-    if densify:
-        panel = dense(panel, panel, panel)
-    panel = ffill(panel, ("market_cap", "price", "volume"))
-    if allow_lookahead:
-        panel = bfill(panel, ("market_cap", "price", "volume"))
-    w = by_key()
-    panel = panel.withColumn("_dollar", F.col("price") * F.col("volume"))
+    fields = ("market_cap", "price", "volume")
+    panel = _mean_panel(history, fields)
+    # what stands before a name's first value, one row a name
+    names = panel.groupBy(KEY).agg(*((F.min_by(c, F.when(F.col(c).isNotNull(), F.col(TIME))) if allow_lookahead else F.lit(None).cast("double")).alias(f"_first_{c}") for c in fields))
+    cells = panel.select(TIME).distinct().crossJoin(names).join(panel, [TIME, KEY], "left") if densify else panel.join(names, KEY)
+    cells = cells.select(TIME, KEY, *fields, *(F.col(c).alias(f"_raw_{c}") for c in ("price", "volume") if keep), *(f"_first_{c}" for c in fields))
+    atvr = [f"_atvr{n}" for n in windows]
+
+    def make():
+        fills, log, traded = [Fill() for _ in fields], Lag(), Windows(max(windows))
+        medians_of = [Windows(n) for n in windows]
+
+        def step(x, begins):
+            cap, price, volume = (f.take(v, begins, v0) for f, v, v0 in zip(fills, x[:3], x[3:], strict=True))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                turnover = [np.where(cap > 0, medians(price * volume, begins, w) * periods / cap, np.nan) for w in medians_of]
+                logs = np.where(price > 0, np.log(price), np.nan)
+            share = means((volume > 0).astype(float), begins, traded)
+            return [cap, *turnover, share, logs - log.take(logs, begins)]
+
+        return step
+
+    panel = ordered_pass(cells, [F.col(c) for c in (*fields, *(f"_first_{c}" for c in fields))], [double(c) for c in ("market_cap", *atvr, "_traded", "_move")], make)
     liquid = F.lit(True)
-    made = {}
-    for n in windows:
-        median = F.percentile("_dollar", F.lit(0.5)).over(rows(n, w))
-        made[f"_atvr{n}"] = F.when(F.col("market_cap") > 0, median * periods / F.col("market_cap"))
-        liquid = liquid & (F.col(f"_atvr{n}") >= min_atvr)
-    made["_traded"] = F.avg(F.when(F.col("volume") > 0, 1.0).otherwise(0.0)).over(rows(max(windows), w))
-    made["_log"] = F.when(F.col("price") > 0, F.log("price"))
-    panel = panel.withColumns(made)
-    panel = panel.withColumn("_move", F.col("_log") - F.lag("_log").over(w))
+    for c in atvr:
+        liquid = liquid & (F.col(c) >= min_atvr)
     liquid = F.coalesce(liquid & (F.col("_traded") >= min_frequency), F.lit(False))
     # the cap of what is not liquid still has a rank, as ranks are taken before the filter
     panel = panel.withColumn("_rank", average_rank(F.col("market_cap"), TIME))
@@ -83,12 +93,14 @@ def market_cap_weights(
     panel = panel.withColumn("_cap", kept)
     total = F.sum("_cap").over(Window.partitionBy(TIME))
     panel = panel.withColumn("signal_weight", F.coalesce(F.when(total != 0, F.col("_cap") / total), F.lit(0.0)))
+    raw = [F.col(f"_raw_{c}").alias(c) for c in ("price", "volume")] if keep else []
     if target_volatility is None:
-        return panel.select(TIME, KEY, "signal_weight")
+        return panel.select(TIME, KEY, "signal_weight", *raw)
     moves = panel.groupBy(TIME).agg(F.coalesce(F.sum(F.col("_move") * F.col("signal_weight")), F.lit(0.0)).alias("_r"))
-    vol = ewm_std(F.col("_r"), volatility_span, Window.partitionBy(F.lit(0)).orderBy(TIME)) * F.sqrt(F.lit(float(periods)))
-    scale = moves.withColumn("_vol", vol).select(TIME, F.coalesce(F.least(F.lit(1.0), F.when(F.col("_vol") > 0, target_volatility / F.col("_vol"))), F.lit(1.0)).alias("_scale"))
-    return panel.join(scale, TIME).select(TIME, KEY, (F.col("signal_weight") * F.col("_scale")).alias("signal_weight"))
+    # one row a time: a calendar
+    vol = exponential(moves.withColumn("_one", F.lit(0)), {"_sd": ("std", F.col("_r"), volatility_span)}, ("_one",))
+    scale = vol.withColumn("_vol", F.col("_sd") * F.sqrt(F.lit(float(periods)))).select(TIME, F.coalesce(F.least(F.lit(1.0), F.when(F.col("_vol") > 0, target_volatility / F.col("_vol"))), F.lit(1.0)).alias("_scale"))
+    return panel.join(scale, TIME).select(TIME, KEY, (F.col("signal_weight") * F.col("_scale")).alias("signal_weight"), *raw)
 
 
 @register("replication")

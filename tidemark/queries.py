@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .instruments import curves, position
-from .operators import bars, fill, merge, portfolio, ranges, reshape, rolling, signals
+from .operators import bars, fill, merge, passes, portfolio, ranges, reshape, rolling, signals
 from .operators import watermarks as wm
 from .plans.node import Rule, wrapped_read
 from .schema import KEY, TIME, by_key
@@ -323,7 +323,8 @@ def nav(spark, sf_dir):
 def rolling_stats(spark, sf_dir):
     p = F.col("price")
     freq = rolling.rolling_mean(F.when(F.col("volume") > 25, 1.0).otherwise(0.0), 20)
-    return panel_d(spark, sf_dir).select(TIME, KEY, untied(rolling.rolling_median(p, 20), "med"), r6(rolling.rolling_std(p, 20), "sd"), r6(freq, "freq"), r6(rolling.sma(p, 5), "sma"))
+    d = passes.rolling_medians(panel_d(spark, sf_dir), {"med": (p, 20)})
+    return d.select(TIME, KEY, untied("med", "med"), r6(rolling.rolling_std(p, 20), "sd"), r6(freq, "freq"), r6(rolling.sma(p, 5), "sma"))
 
 
 @query(
@@ -332,8 +333,8 @@ def rolling_stats(spark, sf_dir):
     SELECT time_index, unique_identifier, CASE WHEN n > 1 THEN round(sqrt(greatest(0, (list_sum(list_transform(list_zip(w, x), lambda z: z[1] * z[2] * z[2])) - power(list_sum(list_transform(list_zip(w, x), lambda z: z[1] * z[2])), 2)) / (1 - list_sum(list_transform(w, lambda v: v * v))))), 4) END AS sd FROM q"""
 )
 def ewm_std(spark, sf_dir):
-    d = panel_d(spark, sf_dir)
-    return d.select(TIME, KEY, r6(rolling.ewm_std(F.col("price"), 20), "sd", 4))
+    d = passes.exponential(panel_d(spark, sf_dir).select(TIME, KEY, "price"), {"sd": ("std", F.col("price"), 20)})
+    return d.select(TIME, KEY, r6("sd", "sd", 4))
 
 
 @query(D_SQL + ", r AS (SELECT time_index, unique_identifier, volume, rank() OVER (PARTITION BY time_index ORDER BY volume DESC) + (count(*) OVER (PARTITION BY time_index, volume) - 1) / 2.0 AS rk FROM d) SELECT time_index, unique_identifier, CAST(rk AS DOUBLE) AS rk, CASE WHEN rk <= 5 THEN volume ELSE 0 END AS kept FROM r")
@@ -372,10 +373,10 @@ def marketcap_weights(spark, sf_dir):
 )
 def portfolio_returns(spark, sf_dir):
     h = _mcap(spark, sf_dir)
-    w = signals.market_cap_weights(h, 20, (20, 60), 120.0)
-    prices = h.groupBy(TIME, KEY).agg(F.avg("price").alias("close"), F.avg("volume").alias("volume"))
-    frame = w.join(prices, [TIME, KEY], "left").select(TIME, KEY, F.col("signal_weight").alias("weights"), F.col("close").alias("price"), "volume")
-    r = portfolio.portfolio_returns(portfolio.immediate(frame), prices, 0.001)
+    # the weights' panel has the prices of every time that the portfolio trades at
+    w = signals.market_cap_weights(h, 20, (20, 60), 120.0, keep=True)
+    frame = w.select(TIME, KEY, F.col("signal_weight").alias("weights"), "price", "volume")
+    r = portfolio.portfolio_returns(portfolio.immediate(frame), None, 0.001)
     return portfolio.portfolio_values(r).select(TIME, r6("return", "ret"), r6("close", "nav"))
 
 
