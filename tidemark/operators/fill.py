@@ -30,6 +30,21 @@ def dense(df: DataFrame, grid: DataFrame, entities: DataFrame, keys: Sequence[st
     return cells.join(df, [time, *keys], "left").select(*df.columns)
 
 
+def dense_ffill(df: DataFrame, grid: DataFrame, entities: DataFrame, columns: Sequence[str], ahead: Sequence[str] = (), keys: Sequence[str] = (KEY,), time: str = TIME) -> DataFrame:
+    """Every entity at every time of the grid with the last known values; columns in ``ahead``, copies, also have a key's first value before that.
+
+    The panel's rows are set among the grid's cells, so that one shuffle and one sort serve the grid and both fills. Rows of df
+    whose time isn't on the grid count for the cells after it.
+    """
+    cells = grid.select(time).distinct().crossJoin(entities.select(*keys).distinct()).withColumn("_cell", F.lit(1))
+    both = df.select(time, *keys, *columns, F.lit(0).alias("_cell")).unionByName(cells, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(time, "_cell")
+    so_far, all_rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {f"_f {c}": F.last(c, ignorenulls=True).over(so_far) for c in columns} | {f"_b {c}": F.first(c, ignorenulls=True).over(all_rows) for c in ahead}
+    both = both.withColumns(made).where("_cell = 1")
+    return both.select(time, *keys, *(F.col(f"_f {c}").alias(c) for c in columns), *(F.coalesce(f"_f {c}", f"_b {c}").alias(f"{c}_ahead") for c in ahead))
+
+
 def asof(grid: DataFrame, data: DataFrame, columns: Sequence[str], keys: Sequence[str] = (KEY,), time: str = TIME, tolerance: str | None = None, source_time: str | None = None, skip_null: bool = True) -> DataFrame:
     """The grid's rows with the last values of data at or before their time, by key.
 

@@ -47,11 +47,11 @@ def nullable(x: np.ndarray) -> pa.Array:
     return pa.array(x, pa.float64(), mask=np.isnan(x))
 
 
-def ordered_pass(df: DataFrame, inputs: Sequence[Column], added: Sequence[T.StructField], make: Callable[[], Step], keys: Sequence[str] = (KEY,), time: str = TIME, order: Sequence[str] = ()) -> DataFrame:
+def ordered_pass(df: DataFrame, inputs: Sequence[Column], added: Sequence[T.StructField], make: Callable[[], Step], keys: Sequence[str] = (KEY,), time: str = TIME, order: Sequence[str] = (), drops: bool = False) -> DataFrame:
     """df with the added columns, which ``make()`` computes: a function of the inputs (doubles, null as NaN) and of which rows begin a key.
 
     It is called for one batch after the other and may keep a state between them. Ties in time are ordered by ``order``. A column of df that has an added
-    column's name is replaced.
+    column's name is replaced. With ``drops`` it returns which rows stay before the columns, and columns of those rows only.
     """
     gone = {f.name for f in added}
     kept = [f for f in df.schema.fields if f.name not in gone]
@@ -68,7 +68,11 @@ def ordered_pass(df: DataFrame, inputs: Sequence[Column], added: Sequence[T.Stru
             own = b.columns[len(names) + k :]
             made = step([doubles(c) for c in b.columns[len(names) : len(names) + k]], starts(own, last))
             last = [c[-1].as_py() for c in own]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(nullable(x) if isinstance(x, np.ndarray) else x for x in made)], names=[*names, *(f.name for f in added)])
+            through = b.columns[: len(names)]
+            if drops:
+                stay, *made = made
+                through = [c.filter(pa.array(stay)) for c in through]
+            yield pa.RecordBatch.from_arrays([*through, *(nullable(x) if isinstance(x, np.ndarray) else x for x in made)], names=[*names, *(f.name for f in added)])
 
     return wide.mapInArrow(run, T.StructType([*kept, *added]))
 
@@ -136,6 +140,23 @@ class Lag:
         return out
 
 
+class Cells:
+    """Which of a key's rows are cells of a grid, and which cell is its first; other rows only bring values."""
+
+    def __init__(self):
+        self.met = False
+
+    def take(self, cell: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """For the rows that are cells: whether each is the first one of its key."""
+        key = np.cumsum(begins)
+        mine = key[cell]
+        out = np.append(True, mine[1:] != mine[:-1]) if len(mine) else np.zeros(0, bool)
+        if len(mine) and mine[0] == 0:  # the key goes on from the batch before
+            out[0] = not self.met
+        self.met = bool(len(mine) and mine[-1] == key[-1]) or (self.met and key[-1] == 0)
+        return out
+
+
 def medians(x: np.ndarray, begins: np.ndarray, windows: Windows) -> np.ndarray:
     every, first, old = windows.take(x, begins)
     low = np.maximum(first, np.arange(len(every)) - windows.n + 1).astype(np.int64)

@@ -75,7 +75,7 @@ def average_rank(x: Column, by: Column | str = TIME, descending: bool = True) ->
     """Rank within ``by``, ties sharing their mean rank; nulls have none and count for none."""
     order = x.desc_nulls_last() if descending else x.asc_nulls_last()
     ranked = Window.partitionBy(by).orderBy(order)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(by, x))
+    ties = F.count(F.lit(1)).over(ranked.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(x.isNotNull(), F.rank().over(ranked) + (ties - 1) / 2)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEY, TIME
-from .passes import Fill, Lag, Windows, double, exponential, means, medians, ordered_pass
+from .passes import Cells, Fill, Lag, Windows, double, exponential, means, medians, ordered_pass
 from .rolling import average_rank, padded_return
 
 REGISTRY: dict[str, type | object] = {}
@@ -64,25 +64,36 @@ def market_cap_weights(
     panel = _mean_panel(history, fields)
     # what stands before a name's first value, one row a name
     names = panel.groupBy(KEY).agg(*((F.min_by(c, F.when(F.col(c).isNotNull(), F.col(TIME))) if allow_lookahead else F.lit(None).cast("double")).alias(f"_first_{c}") for c in fields))
-    cells = panel.select(TIME).distinct().crossJoin(names).join(panel, [TIME, KEY], "left") if densify else panel.join(names, KEY)
-    cells = cells.select(TIME, KEY, *fields, *(F.col(c).alias(f"_raw_{c}") for c in ("price", "volume") if keep), *(f"_first_{c}" for c in fields))
+    # rows of the panel are no cells of the grid; each stands before its cell, to which its values go
+    rows = panel.select(TIME, KEY, *fields, F.lit(0).alias("_cell"))
+    cells = panel.select(TIME).distinct().crossJoin(names) if densify else panel.select(TIME, KEY).join(names, KEY)
+    both = rows.unionByName(cells.withColumn("_cell", F.lit(1)), allowMissingColumns=True)
     atvr = [f"_atvr{n}" for n in windows]
 
     def make():
-        fills, log, traded = [Fill() for _ in fields], Lag(), Windows(max(windows))
+        fills, before, known, log, traded, grid = [Fill() for _ in fields], [Lag() for _ in range(3)], [Fill() for _ in fields], Lag(), Windows(max(windows)), Cells()
         medians_of = [Windows(n) for n in windows]
 
         def step(x, begins):
-            cap, price, volume = (f.take(v, begins, v0) for f, v, v0 in zip(fills, x[:3], x[3:], strict=True))
+            cell = x[6] == 1
+            held = [f.take(v, begins) for f, v in zip(fills, x[:3], strict=True)]
+            from_row = before[2].take(x[6], begins) == 0
+            raw = [np.where(from_row, lag.take(v, begins), np.nan)[cell] for lag, v in zip(before, x[1:3], strict=False)]
+            first = grid.take(cell, begins)
+            if not cell.any():
+                return [cell, *[np.zeros(0)] * (5 + len(windows))]
+            cap, price, volume = (k.take(v[cell], first, v0[cell]) for k, v, v0 in zip(known, held, x[3:6], strict=True))
             with np.errstate(invalid="ignore", divide="ignore"):
-                turnover = [np.where(cap > 0, medians(price * volume, begins, w) * periods / cap, np.nan) for w in medians_of]
+                turnover = [np.where(cap > 0, medians(price * volume, first, w) * periods / cap, np.nan) for w in medians_of]
                 logs = np.where(price > 0, np.log(price), np.nan)
-            share = means((volume > 0).astype(float), begins, traded)
-            return [cap, *turnover, share, logs - log.take(logs, begins)]
+            share = means((volume > 0).astype(float), first, traded)
+            return [cell, cap, *raw, *turnover, share, logs - log.take(logs, first)]
 
         return step
 
-    panel = ordered_pass(cells, [F.col(c) for c in (*fields, *(f"_first_{c}" for c in fields))], [double(c) for c in ("market_cap", *atvr, "_traded", "_move")], make)
+    inputs = [F.col(c) for c in (*fields, *(f"_first_{c}" for c in fields), "_cell")]
+    made = ordered_pass(both.select(TIME, KEY, *fields, *(f"_first_{c}" for c in fields), "_cell"), inputs, [double(c) for c in ("_filled", "_raw_price", "_raw_volume", *atvr, "_traded", "_move")], make, order=["_cell"], drops=True)
+    panel = made.select(TIME, KEY, F.col("_filled").alias("market_cap"), "_raw_price", "_raw_volume", *atvr, "_traded", "_move")
     liquid = F.lit(True)
     for c in atvr:
         liquid = liquid & (F.col(c) >= min_atvr)

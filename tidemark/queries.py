@@ -261,9 +261,9 @@ def _dense(spark, sf_dir) -> DataFrame:
 
 @query(_DENSE + ", x AS (SELECT *, first_value(price IGNORE NULLS) OVER (PARTITION BY unique_identifier ORDER BY time_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS back FROM f) SELECT time_index, unique_identifier, round(price + 1e-8, 6) AS forward, round(back + 1e-8, 6) AS both FROM x")
 def dense_fill(spark, sf_dir):
-    f = fill.ffill(_dense(spark, sf_dir), ["price"])
-    f = fill.bfill(f.withColumn("both", F.col("price")), ["both"])
-    return f.select(TIME, KEY, untied("price", "forward"), untied("both", "both"))
+    m = _daily(spark, sf_dir)
+    f = fill.dense_ffill(m, m, m, ["price"], ["price"])
+    return f.select(TIME, KEY, untied("price", "forward"), untied("price_ahead", "both"))
 
 
 _GRID = " , g AS (SELECT u.unique_identifier, t.time_index FROM (SELECT DISTINCT unique_identifier FROM e) u CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-29', INTERVAL 12 HOUR)) AS time_index) t)"
