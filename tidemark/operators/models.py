@@ -64,36 +64,49 @@ def _finish(g, c, b, left, l1, l2, nonnegative, free) -> np.ndarray:
 
 
 class Moments:
-    """Sums of products of columns over the last n rows of a key, for every row of a batch, as differences of sums from the batch's first row on."""
+    """Sums over the last n rows of a key, for every row of a batch. Windows are put together from sums over 1, 2, 4, ... rows, so that nothing is
+    subtracted: large values elsewhere, in other keys too, take no digits from a window."""
 
     def __init__(self, n: int, inclusive: bool = True):
         self.n, self.inclusive, self.windows = n, inclusive, Windows(n + 1)
 
-    def take(self, x: np.ndarray, begins: np.ndarray):
-        """Returns (add, full): add(v) sums columns v, made by a function of the rows, over each row's window; full tells windows of n rows."""
+    def take(self, x: np.ndarray, begins: np.ndarray, centred: bool = False):
+        """Returns (add, full, shift): add(make) sums make(rows) over each row's window; full tells windows of n rows, others have no meaning.
+
+        With ``centred`` rows are taken relative to a row of their key, which leaves covariances as they are: shift, for each row.
+        """
         every, first, old = self.windows.take(x, begins)
+        shift = np.nan_to_num(every[first]) if centred else np.zeros_like(every)
         stop = np.arange(old, len(every)) + self.inclusive
-        low = np.maximum(first[old:], stop - self.n)
+        full = stop - np.maximum(first[old:], stop - self.n) == self.n
+        every = every - shift
 
         def add(make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-            v = make(every)
-            sums = np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0)])
-            return sums[stop] - sums[low]
+            power = make(every)
+            out, offset, size = np.zeros((len(power) + 1, *power.shape[1:])), 0, 1
+            while size <= self.n:
+                if self.n & size:
+                    out[offset + 1 :] += power[: len(power) - offset]
+                    offset += size
+                power = power.copy()
+                power[size:] = power[size:] + power[:-size]
+                size *= 2
+            return out[stop]
 
-        return add, stop - low == self.n
+        return add, full, shift[old:]
 
 
-def _gram(x: np.ndarray, begins: np.ndarray, moments: Moments):
-    """(count of rows with y, sums of v v' and of v over them for v = (y, factors), missing values of factors among them, full windows)."""
+def _gram(x: np.ndarray, begins: np.ndarray, moments: Moments, centred: bool = False):
+    """(count of rows with y, sums of v v' and of v over them for v = (y, factors), missing values of factors among them, full windows, shift)."""
 
     def with_y(rows: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(rows[:, :1]), np.where(np.isfinite(rows), rows, 0.0), 0.0)
 
-    add, full = moments.take(x, begins)
+    add, full, shift = moments.take(x, begins, centred)
     n = add(lambda r: np.isfinite(r[:, :1]).astype(float))[:, 0]
     gram = add(lambda r: (v := with_y(r))[:, :, None] * v[:, None, :])
     missing = add(lambda r: (np.isfinite(r[:, :1]) & ~np.isfinite(r)).astype(float))
-    return n, gram, add(with_y), missing, full
+    return n, gram, add(with_y), missing, full, shift
 
 
 def _lists(x: np.ndarray, there: np.ndarray) -> pa.Array:
@@ -123,7 +136,7 @@ def rolling_regression(df: DataFrame, y: str, factors: list[str], n: int, alpha:
         moments = Moments(n)
 
         def step(x, begins):
-            count, gram, _, missing, full = _gram(np.column_stack(x), begins, moments)
+            count, gram, _, missing, full, _ = _gram(np.column_stack(x), begins, moments)
             per = np.maximum(count, 1)[:, None, None]
             known = missing[:, 1:] == 0
             g = np.where(known[:, :, None] & known[:, None, :], gram[:, 1:, 1:] / per, 0.0)
@@ -149,14 +162,10 @@ def rolling_pca(df: DataFrame, columns: list[str], n: int, components: int = 1,
 
     def make():
         moments = Moments(n, inclusive)
-        centre = []
 
         def step(x, begins):
             x = np.nan_to_num(np.column_stack(x), nan=0.0, posinf=0.0, neginf=0.0)
-            # sums of what is near zero: any shift leaves covariances as they are
-            if not centre:
-                centre.append(x.mean(0))
-            add, full = moments.take(x - centre[0], begins)
+            add, full, _ = moments.take(x, begins, centred=True)
             mean = add(lambda r: r) / n
             cov = add(lambda r: r[:, :, None] * r[:, None, :]) / n - mean[:, :, None] * mean[:, None, :]
             cov[~full] = 0.0
@@ -186,13 +195,14 @@ class LinearModel:
     #: Added to the diagonal, in units of the mean of squares.
     ridge: float = 0.0
 
-    def fit(self, n: np.ndarray, gram: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Intercept and coefficients, (rows, 1 + k), from counts, sums of v v' and of v over v = (target, features)."""
+    def fit(self, n: np.ndarray, gram: np.ndarray, sums: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Intercept and coefficients, (rows, 1 + k), from counts, sums of v v' and of v over v = (target, features) less the shift."""
         per = np.maximum(n, 1)
         mean = sums / per[:, None] if self.intercept else np.zeros_like(sums)
         m = gram / per[:, None, None] - mean[:, :, None] * mean[:, None, :]
         g, c = m[:, 1:, 1:], m[:, 1:, 0]
         b = coordinate_descent(g, c, self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio) + self.ridge, self.nonnegative)
+        mean = mean + shift
         return np.column_stack([mean[:, 0] - np.einsum("nk,nk->n", mean[:, 1:], b), b])
 
 
@@ -207,11 +217,11 @@ def rolling_predict(df: DataFrame, y: str, features: list[str], n: int, ridge: f
         def step(x, begins):
             now = np.column_stack(x)
             whole = np.where(np.isfinite(now).all(1, keepdims=True), now, np.nan)
-            count, gram, sums, _, full = _gram(whole, begins, moments)
+            count, gram, sums, _, full, shift = _gram(whole, begins, moments, model.intercept)
             ok = full & (count > 0) & np.isfinite(now[:, 1:]).all(1)
             out = np.full(len(now), np.nan)
             if ok.any():
-                b = model.fit(count[ok], gram[ok], sums[ok])
+                b = model.fit(count[ok], gram[ok], sums[ok], shift[ok])
                 out[ok] = b[:, 0] + np.einsum("nk,nk->n", b[:, 1:], now[ok, 1:])
             return [out]
 
@@ -238,14 +248,14 @@ def fit_schedule(df: DataFrame, y: str, features: list[str], n: int, refit: Colu
         def step(x, begins):
             now = np.column_stack(x[2:])
             whole = np.where(np.isfinite(now).all(1, keepdims=True), now, np.nan)
-            count, gram, sums, _, full = _gram(whole, begins, moments)
+            count, gram, sums, _, full, shift = _gram(whole, begins, moments, model.intercept)
             due = begins | (x[0] != np.append(last[0], x[0][:-1]))
             before = np.append(last[1], x[1][:-1])
             last[:] = x[0][-1], x[1][-1]
             ok = due & full & (count > 0)
             b = np.zeros((len(now), 1 + len(features)))
             if ok.any():
-                b[ok] = model.fit(count[ok], gram[ok], sums[ok])
+                b[ok] = model.fit(count[ok], gram[ok], sums[ok], shift[ok])
             return [np.where(ok, count, np.nan), np.where(ok, before, np.nan), _lists(b, ok)]
 
         return step
