@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import merge, models, signals
+from .operators import merge, models, portfolio, signals
 from .queries import query, r6, table
 from .schema import KEY, TIME
 
@@ -121,3 +121,16 @@ def replication_weights(spark, sf_dir):
     prices = l.groupBy(F.col("l_shipdate").alias(TIME), F.concat(F.lit("n"), F.col("l_linenumber")).alias(KEY)).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
     out = signals.replication_weights(prices, "n1", ["n2", "n3", "n4"], 40)
     return out.select(TIME, KEY, r6(F.col("signal_weight") + 1e-8, "signal_weight", 5))
+
+
+@query(
+    "WITH RECURSIVE" + _D3.removeprefix("WITH") + """, s AS (SELECT time_index, unique_identifier, 'p' || (CAST(substr(unique_identifier, 2) AS INT) % 3) AS portfolio, (quarter(time_index) % 3) * 0.2 - 0.1 AS target, 0.05 * price * volume / 60000 AS room, row_number() OVER (PARTITION BY unique_identifier ORDER BY time_index) AS rn FROM d),
+    h AS (SELECT time_index, unique_identifier, portfolio, rn, least(greatest(target, -room), room) AS held FROM s WHERE rn = 1 UNION ALL SELECT s.time_index, s.unique_identifier, s.portfolio, s.rn, h.held + least(greatest(s.target - h.held, -s.room), s.room) FROM h JOIN s ON s.unique_identifier = h.unique_identifier AND s.rn = h.rn + 1)
+    SELECT time_index, unique_identifier, portfolio, round(held + 1e-9, 6) AS weights FROM h"""
+)
+def volume_participation(spark, sf_dir):
+    """Targets that change with the quarter, approached by a twentieth of each bar's dollar volume."""
+    d = _d3(spark, sf_dir)
+    frame = d.select(TIME, KEY, F.concat(F.lit("p"), (F.substring(KEY, 2, 9).cast("int") % 3).cast("string")).alias("portfolio"), ((F.quarter(TIME) % 3) * 0.2 - 0.1).alias("weights"), "price", "volume")
+    out = portfolio.volume_participation(frame, 60000.0, 0.05)
+    return out.select(TIME, KEY, "portfolio", r6(F.col("weights") + 1e-9, "weights"))

@@ -535,3 +535,39 @@ def streamed_upsert(spark, sf_dir):
 @query(E_SQL + _STATS + " SELECT unique_identifier, max_time FROM s WHERE max_time >= TIMESTAMP '2024-01-14'")
 def live_watermarks(spark, sf_dir):
     return _stats(panel_e(spark, sf_dir)).where(F.col("max_time") >= ntz(2024, 1, 14)).select(KEY, "max_time")
+
+
+@query(_BARS + _INTRA + " SELECT time_index, unique_identifier, open, high, close, volume, trade_count, round(vwap + 1e-8, 6) AS vwap, interpolated FROM i")
+def streamed_gap_fill(spark, sf_dir):
+    """Bars laid down as files by half months and read as a stream with state; it is stopped after each and started again."""
+    from .streaming import state
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    b = _holed(spark, sf_dir)
+    half = F.floor((F.dayofmonth(TIME) - 1) / 16)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.PROVIDER)
+    try:
+        for k in range(3):
+            part = b.where(half == k) if k < 2 else state.closing(b, datetime(2024, 6, 1))
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            filled = state.fill_stream(stream, _jan(spark), "1h", "1 hour")
+            filled.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    out = spark.read.schema(filled.schema).parquet(f"{folder}/out")
+    return out.select(TIME, KEY, "open", "high", "close", "volume", "trade_count", untied("vwap", "vwap"), "interpolated")
+
+
+@query(E_SQL + " SELECT time_index, unique_identifier, value, event_id FROM e WHERE time_index >= TIMESTAMP '2024-01-10' AND time_index < TIMESTAMP '2024-01-20 12:00:00' AND unique_identifier IN ('1', '4', '9', '12')")
+def paged_range_read(spark, sf_dir):
+    """Events laid down as pages of a hundred keys each and read by bounds of time and identifiers."""
+    from .sources import paged
+
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    e = panel_e(spark, sf_dir).select(TIME, KEY, "value", "event_id")
+    paged.write_pages(e, path)
+    paged.register(spark)
+    found = spark.read.format("paged").schema(e.schema).load(path)
+    return found.where((F.col(TIME) >= ntz(2024, 1, 10)) & (F.col(TIME) < ntz(2024, 1, 20) + F.expr("INTERVAL 12 HOURS")) & F.col(KEY).isin("1", "4", "9", "12"))

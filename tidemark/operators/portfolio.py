@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import KEY, TIME, by_key
 from .fill import asof, bfill, ffill
 from .merge import combine_first
+from .passes import double, ordered_pass
 from .reshape import from_map, to_map
 from .rolling import nav, simple_return
 
@@ -60,21 +61,35 @@ def time_weighted(frame: DataFrame, targets: DataFrame, window: str) -> DataFram
 def volume_participation(frame: DataFrame, notional: float, share: float, portfolio: str = "portfolio") -> DataFrame:
     """Weights approach their target no faster than ``share`` of a bar's dollar volume allows.
 
-    frame has weights (the target), price, volume by portfolio, key and time. A step depends on the one before, so each
-    (portfolio, key) is a recursion over its own rows; the groups are independent series, not whole portfolios.
+    frame has weights (the target), price, volume by portfolio, key and time; missing ones count as 0. Between two changes of a target
+    the way to it is the smaller of the gap and the room so far, a running sum; only from one target to the next does a step
+    depend on the one before. Series stream through tasks in batches: of a series a task keeps the weight held and the room used since the target was set.
     """
-    kind = f"{TIME} timestamp, {KEY} string, {portfolio} string, weights double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        room = share * (pdf["price"] * pdf["volume"]).fillna(0.0).to_numpy() / notional
-        held, out = 0.0, np.zeros(len(pdf))
-        for i, (target, most) in enumerate(zip(pdf["weights"].fillna(0.0), room, strict=True)):
-            held += float(np.clip(target - held, -most, most))
-            out[i] = held
-        return pd.DataFrame({TIME: pdf[TIME], KEY: pdf[KEY], portfolio: pdf[portfolio], "weights": out})
-
-    return frame.select(TIME, KEY, portfolio, "weights", "price", "volume").groupBy(portfolio, KEY).applyInPandas(run, kind)
+
+    def make():
+        held, target, used, begun = 0.0, np.nan, 0.0, 0.0
+
+        def step(x, begins):
+            nonlocal held, target, used, begun
+            want, room = np.nan_to_num(x[0]), np.nan_to_num(x[1])
+            cut = np.flatnonzero(begins | (want != np.append(target, want[:-1])))
+            out = np.empty(len(want))
+            for lo, hi in zip(np.append(0, cut), np.append(cut, len(want)), strict=True):
+                if lo in cut[:1] or lo > 0:  # a new target, or a new series
+                    begun, used = 0.0 if begins[lo] else held, 0.0
+                if hi > lo:
+                    sums = used + np.cumsum(room[lo:hi])
+                    gap = want[lo] - begun
+                    out[lo:hi] = begun + np.sign(gap) * np.minimum(np.abs(gap), sums)
+                    held, used = float(out[hi - 1]), float(sums[-1])
+            target = want[-1]
+            return [out]
+
+        return step
+
+    room = share * F.col("price") * F.col("volume") / notional
+    made = ordered_pass(frame.select(TIME, KEY, portfolio, "weights", "price", "volume"), [F.col("weights"), room], [double("_held")], make, (portfolio, KEY))
+    return made.select(TIME, KEY, portfolio, F.col("_held").alias("weights"))
 
 
 def portfolio_returns(rebalanced: DataFrame, prices: DataFrame | None, fee: float, signal_prices: DataFrame | None = None, price: str = "close", keys: Sequence[str] = ()) -> DataFrame:
