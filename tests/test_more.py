@@ -36,6 +36,21 @@ def test_bounds_with_an_offset(spark, tmp_path, hours):
         assert store.capped(f"p_{partition}", 1, start=times[-1].astimezone(zone)).count() == 1
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "Pacific/Kiritimati"])
+def test_partitions_are_in_utc_whatever_the_session(spark, tmp_path, zone):
+    times = [T0 + timedelta(hours=5 * i) for i in range(20)]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        store = PanelStore(spark, f"file://{tmp_path}")
+        for partition in ("day", "month"):
+            store.upsert(panel(spark, [(t, "a", float(i)) for i, t in enumerate(times)]), f"p_{partition}", partition=partition)
+            for lo in times:
+                end = lo + timedelta(hours=26)
+                assert sorted(r.x for r in store.read(f"p_{partition}", lo, end).collect()) == [float(i) for i, t in enumerate(times) if lo <= t <= end]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_second_writer_fails(spark, tmp_path):
     store = PanelStore(spark, f"file://{tmp_path}")
     store.upsert(panel(spark, [(T0, "a", 1.0)]), "p")

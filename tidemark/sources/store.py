@@ -181,7 +181,7 @@ class PanelStore:
 
     def _upsert(self, t: Table, df: DataFrame, known: Mapping, mode: str) -> Table:
         name = t.name
-        touched = sorted(r[0] for r in df.select(_part(t).alias("p")).distinct().collect())
+        touched = sorted(r[0] for r in df.select(_part(t, df).alias("p")).distinct().collect())
         old = self.scan(name, touched) if known else None
         if old is None or not merge.overlap_exists(old, df, t.keys):
             wider = df if old is None else old.limit(0).unionByName(df, allowMissingColumns=True)
@@ -191,7 +191,7 @@ class PanelStore:
     def _write(self, t: Table, df: DataFrame, touched: Sequence[str], keep: bool = False) -> Table:
         """Writes partitions next to the old ones; with keep, in addition to them, else in their place."""
         base = f"{self.root}/{t.name}/v={uuid.uuid4().hex}"
-        laid = df.withColumn("_part", _part(t))
+        laid = df.withColumn("_part", _part(t, df))
         n = self.spark.conf.get("spark.sql.shuffle.partitions")
         # a partition's rows are spread by key over tasks and lie sorted in each file
         laid = laid.repartition(int(n), "_part", *t.keys[1:]).sortWithinPartitions("_part", *t.keys[1:], t.keys[0])
@@ -252,9 +252,12 @@ def _utc_day(at: datetime) -> str:
     return (at.astimezone(timezone.utc) if at.tzinfo else at).strftime("%Y%m%d")
 
 
-def _part(t: Table):
-    form = "yyyyMM" if t.partition == "month" else "yyyyMMdd"
-    return F.date_format(F.col(t.keys[0]), form)
+def _part(t: Table, df: DataFrame):
+    """Month or day in UTC, whatever the session's zone; a time without a zone is UTC."""
+    form, at = "yyyyMM" if t.partition == "month" else "yyyyMMdd", F.col(t.keys[0])
+    if isinstance(df.schema[t.keys[0]].dataType, T.TimestampType):
+        at = F.date_from_unix_date(F.floor(F.unix_micros(at) / 86_400_000_000).cast("int"))
+    return F.date_format(at, form)
 
 
 def _bounds(part: str) -> tuple[str, str]:
