@@ -9,7 +9,6 @@ What it meets there is verified by cosine in double precision.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,18 +54,24 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def visits(d1: np.ndarray, d2: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` cells of the least d1[i] + d2[j], nearest first, as i * len(d2) + j: multi-sequence traversal."""
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    s1, s2 = d1[o1], d2[o2]
-    heap, seen, out = [(s1[0] + s2[0], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < most:
-        _, i, j = heapq.heappop(heap)
-        out.append(int(o1[i]) * len(d2) + int(o2[j]))
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(s1) and b < len(s2) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (s1[a] + s2[b], a, b))
-    return np.array(out, dtype=np.int64)
+    """For each row the ``most`` cells of the least d1[i] + d2[j], nearest first, as i * (columns of d2) + j: multi-sequence traversal.
+
+    Of two sorted lists the pair at places (i, j) comes after the (i + 1) (j + 1) - 1 pairs at or before both, so the pairs
+    that can be among the first are a staircase, the same for all rows, which are traversed together.
+    """
+    o1, o2 = np.argsort(d1, axis=1, kind="stable"), np.argsort(d2, axis=1, kind="stable")
+    s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+    wide = np.minimum(most // np.arange(1, min(most, d1.shape[1]) + 1), d2.shape[1])
+    i = np.repeat(np.arange(len(wide)), wide)
+    j = np.concatenate([np.arange(w) for w in wide])
+    out, step = np.empty((len(d1), most), np.int64), max(1, (1 << 21) // len(i))
+    for lo in range(0, len(d1), step):
+        part = slice(lo, lo + step)
+        sums = s1[part][:, i] + s2[part][:, j]
+        first = np.argpartition(sums, most - 1, axis=1)[:, :most]
+        first = np.take_along_axis(first, np.argsort(np.take_along_axis(sums, first, 1), axis=1, kind="stable"), 1)
+        out[part] = np.take_along_axis(o1[part], i[first], 1) * d2.shape[1] + np.take_along_axis(o2[part], j[first], 1)
+    return out
 
 
 @dataclass
@@ -83,11 +88,13 @@ class Imi:
         """For each vector the cells that it visits, the first being its own."""
         d1, d2 = self.distances(x)
         most = min(self.n_visits if most is None else most, len(self.left) * len(self.right))
-        return np.stack([visits(a, b, most) for a, b in zip(d1, d2, strict=True)]) if len(x) else np.zeros((0, most), np.int64)
+        return visits(d1, d2, most)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; they are scaled by their largest component first, as squares of very small or large ones have no place in a double."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
