@@ -228,9 +228,11 @@ def sanitise(documents: DataFrame, config: PiiConfig | None = None) -> DataFrame
     Only rows with spans are rewritten; cases as in find_pii.
     """
     c = config or PiiConfig()
-    plain = documents.withColumn("_base", F.coalesce(base_spans(F.col("text").cast("string")), F.array().cast(SPAN)))
-    some = plain.where(F.size("_base") > 0).select(F.struct(*documents.columns).alias("_doc"), F.col("_base").alias("base"), F.col("text").cast("string").alias("text"))
+    # the row is one column, so that no name of its columns meets those added here
+    packed = documents.select(F.struct(*(F.col(f"`{x}`") for x in documents.columns)).alias("doc"))
+    packed = packed.withColumn("base", F.coalesce(base_spans(F.col("doc.text").cast("string")), F.array().cast(SPAN)))
+    some = packed.where(F.size("base") > 0).select("doc", "base", F.col("doc.text").cast("string").alias("text"))
     done = with_terms(_with_row(some, c), documents, c).withColumn("text", rewritten(F.col("text"), F.col("spans")))
     size = {"n_chars": F.length("text")} if "n_chars" in documents.columns else {}
-    back = [(F.col("text") if c == "text" else size.get(c, F.col(f"_doc.`{c}`"))).cast(documents.schema[c].dataType).alias(c) for c in documents.columns]
-    return done.select(*back).unionByName(plain.where(F.size("_base") == 0).drop("_base"))
+    back = [(F.col("text") if c == "text" else size.get(c, F.col(f"doc.`{c}`"))).cast(documents.schema[c].dataType).alias(c) for c in documents.columns]
+    return done.select(*back).unionByName(packed.where(F.size("base") == 0).select("doc.*"))
