@@ -438,10 +438,51 @@ def test_embeddings_empty(spark):
 
 def test_multi_sequence_order():
     rng = np.random.default_rng(0)
-    d1, d2 = rng.random(7), rng.random(5)
-    order = embeddings.visits(d1, d2, 35)
-    cost = np.add.outer(d1, d2).ravel()
-    assert sorted(order) == list(range(35)) and np.all(np.diff(cost[order]) >= 0)
+    d1, d2 = rng.random((50, 7)), rng.random((50, 5))
+    for most in (1, 2, 9, 34, 35):
+        for a, b, order in zip(d1, d2, embeddings.visits(d1, d2, most), strict=True):
+            cost = np.add.outer(a, b).ravel()
+            assert len(set(order)) == most and np.array_equal(cost[order], np.sort(cost)[:most])
+
+
+def test_embeddings_of_any_magnitude(spark):
+    """Squares that leave the range of doubles neither make links nor lose them."""
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.05]), (3, [1e200, 1e200]), (4, [1.0, 1.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 8e306]), (7, [-1e-310, -1e-310])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 3: (2, 1), 4: (2, 1), 2: (2, 2), 5: (2, 2), 6: (2, 2), 7: (0, 7)}
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    names = ["_base", "base", "spans", "row", "terms", "entities", "acts", "at", "_doc", "name"]
+    df = spark.createDataFrame([(1, "write to a.b@c.de now", 25), (2, "nothing here", 12), (None, None, None)], "doc_id long, text string, n_chars long").select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1].text == "write to [EMAIL] now" and rows[1].n_chars == 20 and rows[2].text == "nothing here" and rows[None].text is None
+    assert all(r[n] == f"own {n}" for r in rows.values() for n in names)
+
+
+def test_targets_of_many_sources_in_ranges(spark):
+    """Ranks and caps by prefix sums over ranges are those of one pass over all sources in order."""
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i:04d}": int(rng.integers(0, 50) ** 3) for i in range(700)} | {None: 77}
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(df, share=0.8).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    weight = {s: float(i % 3 + 1) for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    left, open_, want = 0.8 * sum(sizes.values()), set(sizes), {}
+    while full := {s for s in open_ if 3 * sizes[s] <= left / sum(weight[t] for t in open_) * weight[s]}:
+        for s in full:
+            want[s] = 3.0 * sizes[s]
+            left -= want[s]
+        open_ -= full
+        if not open_:
+            break
+    want |= {s: left / sum(weight[t] for t in open_) * weight[s] for s in open_}
+    assert got == pytest.approx(want)
 
 
 # 6
