@@ -205,3 +205,41 @@ def test_required_values(spark):
     with pytest.raises(ValueError, match=r"x \(1 of 2\)"):
         ranges.require_values(df, ["x"])
     assert ranges.require_values(df, [KEY]).count() == 2
+
+
+def test_london_days():
+    from tidemark.operators.calendars import xlon_early, xlon_holidays
+
+    known = {2022: "01-03 04-15 04-18 05-02 06-02 06-03 08-29 09-19 12-26 12-27", 2021: "01-01 04-02 04-05 05-03 05-31 08-30 12-27 12-28", 2020: "01-01 04-10 04-13 05-08 05-25 08-31 12-25 12-28", 1999: "01-01 04-02 04-05 05-03 05-31 08-30 12-27 12-28 12-31"}
+    for year, days in known.items():
+        assert xlon_holidays(year) == {date.fromisoformat(f"{year}-{d}") for d in days.split()}
+    assert xlon_early(2021) == {date(2021, 12, 24), date(2021, 12, 31)} and xlon_early(2023) == {date(2023, 12, 22), date(2023, 12, 29)}
+
+
+def test_business_days(spark):
+    from tidemark.operators import calendars as c
+
+    days = c.open_days(spark, date(2023, 12, 1), date(2024, 2, 28), "XNYS")
+    df = spark.createDataFrame([(date(2023, 12, 30), date(2024, 1, 16)), (date(2023, 12, 29), date(2024, 1, 2)), (date(2024, 1, 13), date(2024, 1, 13)), (date(2025, 1, 1), None)], "a date, b date")
+    out = c.counted(c.moved(c.rolled(c.rolled(c.rolled(df, days, "a", "m"), days, "a", "f", "FOLLOWING"), days, "a", "p", "PRECEDING"), days, "a", 2, "spot"), days, "a", "b", "n")
+    got = [tuple(r)[2:] for r in out.orderBy("a").collect()]
+    d = lambda m, x, y=2024: date(y, m, x)
+    assert got == [(d(12, 29, 2023), d(12, 29, 2023), d(12, 29, 2023), d(1, 3), 1), (d(12, 29, 2023), d(1, 2), d(12, 29, 2023), d(1, 4), 10), (d(1, 16), d(1, 16), d(1, 12), d(1, 18), 0), (None,) * 5]
+
+
+def test_growth_by_running_products(spark):
+    """Against a plain loop over fixings, with spans before, between and after them and repeated spans."""
+    import random
+
+    rng = random.Random(1)
+    fixed = {c: sorted({date(2024, 1, 1) + timedelta(days=rng.randrange(200)) for _ in range(40)}) for c in "ab"}
+    rates = {(c, d): rng.random() / 5 for c in fixed for d in fixed[c]}
+    spans = [(c, s := date(2023, 12, 20) + timedelta(days=rng.randrange(230)), s + timedelta(days=rng.randrange(1, 60))) for c in "abz" for _ in range(60)]
+    fixings = spark.createDataFrame([(c, d, r) for (c, d), r in rates.items()], "curve_id string, fixing_date date, rate double")
+    out = pricing.growth(spark.createDataFrame(spans, "curve_id string, period_start date, period_end date"), fixings).collect()
+    assert len(out) == len(spans)
+    for c, s, e, grown in out:
+        want, at = 1.0, fixed.get(c, [])
+        for d, after in zip(at, [*at[1:], date(2100, 1, 1)], strict=False):
+            want *= 1 + rates[c, d] * max(0, (min(after, e) - max(d, s)).days) / 360 if d < e and after > s else 1.0
+        assert grown == pytest.approx(want, rel=1e-12)

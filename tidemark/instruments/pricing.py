@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import adjusted, normal_cdf, normal_density, year_fraction
+from ..operators.fill import asof
 from .curves import curve_points, factor_at
 
 
@@ -123,6 +124,29 @@ def spot_start(swaps: DataFrame, trade: Column, days: int = 2) -> DataFrame:
     return swaps.withColumn("start_date", F.coalesce("start_date", spot))
 
 
+def growth(spans: DataFrame, fixings: DataFrame) -> DataFrame:
+    """Adds grown to (curve_id, period_start, period_end): what 1 becomes at the fixings (curve_id, fixing_date, rate), each for the days until the next.
+
+    Running products of a curve's growth are taken once; a span is the ratio of two of them, with the fixings that its ends
+    cut in part. Both ends are looked up as of their day, so spans and fixings never meet in a join. Days before the first fixing don't grow.
+    """
+    w = Window.partitionBy("curve_id").orderBy("day")
+    f = fixings.select("curve_id", F.col("fixing_date").alias("day"), "rate").withColumns({"next": F.lead("day").over(w), "fixed": F.col("day")})
+    f = f.withColumn("step", F.coalesce(1 + F.col("rate") * F.datediff("next", "day") / 360.0, F.lit(1.0)))
+    before = F.coalesce(F.product("step").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    f = f.withColumn("before", before).select("curve_id", "day", F.struct("fixed", "next", "rate", "before", "step").alias("at"))
+    ends = spans.select("curve_id", F.explode(F.array("period_start", F.date_add("period_end", -1))).alias("day")).distinct()
+    found = asof(ends, f, ["at"], ("curve_id",), "day")
+    side = lambda x, day: found.select("curve_id", F.col("day").alias(day), F.col("at").alias(x))
+    out = spans.withColumn("_last", F.date_add("period_end", -1)).join(side("a", "period_start"), ["curve_id", "period_start"]).join(side("b", "_last"), ["curve_id", "_last"])
+    part = lambda x, lo, hi: 1 + F.col(f"{x}.rate") * F.datediff(hi, lo) / 360.0
+    whole = part("a", F.col("period_start"), F.col("a.next")) * F.col("b.before") / (F.col("a.before") * F.col("a.step")) * part("b", F.col("b.fixed"), F.col("period_end"))
+    none = F.col("b.before") * part("b", F.col("b.fixed"), F.col("period_end"))
+    same = part("b", F.greatest("b.fixed", "period_start"), F.col("period_end"))
+    made = F.when(F.col("b").isNull(), 1.0).when(F.col("a").isNull(), none).when(F.col("a.fixed") == F.col("b.fixed"), same).otherwise(whole)
+    return out.select("curve_id", "period_start", "period_end", made.alias("grown"))
+
+
 def swap_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, rule: str = "MODIFIED", fixings: DataFrame | None = None) -> DataFrame:
     """(ins_id, leg, payment_date, amount) of pay-fixed swaps: ins_id, notional, fixed_rate, start_date, end_date, months, curve_id.
 
@@ -133,10 +157,9 @@ def swap_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, rule:
     fixed = _fixed_leg(p)
     known = F.lit(None).cast("double")
     if fixings is not None:
-        f = fixings.select(F.col("curve_id").alias("_c"), F.col("fixing_date").alias("_f"), F.col("rate").alias("_rate"))
-        begun = p.where(F.col("period_start") <= valuation).select("ins_id", "curve_id", "period_start").distinct()
-        last = begun.join(f, (F.col("curve_id") == F.col("_c")) & (F.col("_f") <= F.col("period_start"))).groupBy("ins_id", "period_start").agg(F.max_by("_rate", "_f").alias("fixing"))
-        p, known = p.join(last, ["ins_id", "period_start"], "left"), F.col("fixing")
+        begun = p.where(F.col("period_start") <= valuation).select("curve_id", "period_start").distinct()
+        last = asof(begun, fixings.select("curve_id", F.col("fixing_date").alias("period_start"), F.col("rate").alias("fixing")), ["fixing"], ("curve_id",), "period_start")
+        p, known = p.join(last, ["curve_id", "period_start"], "left"), F.col("fixing")
     p = p.join(curve_points(nodes), "curve_id", "left")
     tau = year_fraction(F.col("period_start"), F.col("payment_date"))
     begin = F.greatest(F.datediff("period_start", valuation), F.lit(0))
@@ -154,14 +177,9 @@ def overnight_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, f
     period's end or the valuation date; from then on the curve's factors, which compound to their ratio.
     """
     p = periods(swaps, rule)
-    over = Window.partitionBy("_c").orderBy("_f")
-    f = fixings.select(F.col("curve_id").alias("_c"), F.col("fixing_date").alias("_f"), F.col("rate").alias("_rate"))
-    f = f.withColumn("_next", F.coalesce(F.lead("_f").over(over), valuation))
-    begun = p.where(F.col("period_start") < valuation).select("ins_id", "curve_id", "period_start", "payment_date")
-    days = F.datediff(F.least("_next", "payment_date", valuation), F.greatest("_f", "period_start"))
-    past = begun.join(f, (F.col("curve_id") == F.col("_c")) & (F.col("_next") > F.col("period_start")) & (F.col("_f") < F.least("payment_date", valuation)))
-    past = past.groupBy("ins_id", "period_start").agg(F.product(1 + F.col("_rate") * days / 360.0).alias("grown"))
-    p2 = p.join(past, ["ins_id", "period_start"], "left").join(curve_points(nodes), "curve_id", "left")
+    begun = p.where(F.col("period_start") < valuation).select("curve_id", "period_start", F.least("payment_date", valuation).alias("period_end")).distinct()
+    grown = growth(begun, fixings)
+    p2 = p.withColumn("period_end", F.least("payment_date", valuation)).join(grown, ["curve_id", "period_start", "period_end"], "left").join(curve_points(nodes), "curve_id", "left")
     begin, end = F.greatest(F.datediff("period_start", valuation), F.lit(0)), F.datediff("payment_date", valuation)
     ahead = F.when(end > 0, factor_at(F.col("points"), begin) / factor_at(F.col("points"), end)).otherwise(1.0)
     floating = p2.select("ins_id", F.lit("floating").alias("leg"), "payment_date", (F.col("notional") * (F.coalesce("grown", F.lit(1.0)) * ahead - 1)).alias("amount"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import merge, models, portfolio, signals
+from .instruments import pricing
+from .operators import calendars, merge, models, portfolio, signals
 from .queries import query, r6, table
 from .schema import KEY, TIME
 
@@ -134,3 +136,51 @@ def volume_participation(spark, sf_dir):
     frame = d.select(TIME, KEY, F.concat(F.lit("p"), (F.substring(KEY, 2, 9).cast("int") % 3).cast("string")).alias("portfolio"), ((F.quarter(TIME) % 3) * 0.2 - 0.1).alias("weights"), "price", "volume")
     out = portfolio.volume_participation(frame, 60000.0, 0.05)
     return out.select(TIME, KEY, "portfolio", r6(F.col("weights") + 1e-9, "weights"))
+
+
+# -- business days and fixings
+
+
+def _closed(*names: str) -> str:
+    return ", ".join(f"DATE '{d}'" for d in sorted({d for name in names for y in range(1995, 2003) for d in calendars.EXCHANGES[name][0](y)}))
+
+
+_OPEN = f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 91 AS b FROM orders),
+    y AS (SELECT d, isodow(d) < 6 AND d NOT IN ({_closed('XNYS')}) AS ny, isodow(d) < 6 AND d NOT IN ({_closed('XNYS', 'XLON')}) AS two FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d)),
+    f AS (SELECT d, min(CASE WHEN ny THEN d END) OVER (ORDER BY d ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) AS next, max(CASE WHEN ny THEN d END) OVER (ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS prev FROM y)"""
+
+
+@query(_OPEN + """ SELECT o_orderkey, CAST(f.next AS VARCHAR) AS following, CAST(CASE WHEN month(g.next) = month(b) THEN g.next ELSE g.prev END AS VARCHAR) AS modified, CAST((SELECT list_sort(list(d))[3] FROM y WHERE two AND d BETWEEN a AND a + 20) AS VARCHAR) AS spot, (SELECT count(*) FROM y WHERE ny AND d > a AND d <= b) AS n_days
+    FROM o JOIN f ON f.d = a JOIN f AS g ON g.d = b""")
+def business_day_schedule(spark, sf_dir):
+    """Orders' dates on the New York calendar, and spot dates on which London is open as well."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a")).withColumn("b", F.date_add("a", 91))
+    ny, both = (calendars.open_days(spark, date(1995, 1, 1), date(2002, 12, 31), *names) for names in (("XNYS",), ("XNYS", "XLON")))
+    o = calendars.rolled(o, ny, "a", "following", "FOLLOWING")
+    o = calendars.rolled(o, ny, "b", "modified")
+    o = calendars.moved(o, both, "a", 2, "spot")
+    o = calendars.counted(o, ny, "a", "b", "n_days")
+    return o.select("o_orderkey", *(F.col(c).cast("string").alias(c) for c in ("following", "modified", "spot")), "n_days")
+
+
+_SWAPS = """WITH x AS (SELECT o_orderkey AS ins_id, o_totalprice AS notional, CAST(o_orderdate AS DATE) AS start_date, 'c' || (o_custkey % 5) AS curve_id FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'),
+    r AS (SELECT 'c' || (l_suppkey % 5) AS curve_id, CAST(l_shipdate AS DATE) AS d, avg(l_discount) / 2 AS rate FROM lineitem WHERE dayofmonth(l_shipdate) % 3 = 0 GROUP BY ALL),"""
+
+
+def _spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Half-year spans of orders, and fixings by curve on every third day of the month."""
+    o = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP '1998-06-01'")
+    spans = o.select("o_orderkey", F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("curve_id"), F.col("o_orderdate").cast("date").alias("period_start")).withColumn("period_end", F.date_add("period_start", 182))
+    l = table(spark, sf_dir, "lineitem").where("dayofmonth(l_shipdate) % 3 = 0")
+    fixings = l.groupBy(F.concat(F.lit("c"), (F.col("l_suppkey") % 5).cast("string")).alias("curve_id"), F.col("l_shipdate").cast("date").alias("fixing_date")).agg((F.avg("l_discount") / 2).alias("rate"))
+    return spans, fixings
+
+
+@query(_SWAPS + """ n AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY curve_id ORDER BY d), DATE '2100-01-01') AS next FROM r),
+    g AS (SELECT ins_id, product(1 + rate * date_diff('day', greatest(d, start_date), least(next, start_date + 182)) / 360.0) AS grown FROM x JOIN n ON x.curve_id = n.curve_id AND next > start_date AND d < start_date + 182 GROUP BY ALL)
+    SELECT x.ins_id AS o_orderkey, round(coalesce(grown, 1), 8) AS grown FROM x LEFT JOIN g USING (ins_id)""")
+def overnight_growth(spark, sf_dir):
+    """What overnight fixings make of 1 over half a year from each order's date."""
+    spans, fixings = _spans(spark, sf_dir)
+    grown = pricing.growth(spans.select("curve_id", "period_start", "period_end").distinct(), fixings)
+    return spans.join(grown, ["curve_id", "period_start", "period_end"]).select("o_orderkey", r6("grown", "grown", 8))
