@@ -229,10 +229,15 @@ def knock_out(spot: Column, strike: Column, barrier: Column, years: Column, vol:
     y2 = F.log(h) / s2t + (1 + mu) * s2t
     plain = lambda x: phi * (spot * own * normal_cdf(phi * x) - strike * other * normal_cdf(phi * (x - s2t)))
     mirrored = lambda y: phi * (spot * own * F.pow(h, 2 * (mu + 1)) * normal_cdf(eta * y) - strike * other * F.pow(h, 2 * mu) * normal_cdf(eta * (y - s2t)))
-    a, b, c, d = plain(x1), plain(x2), mirrored(y1), mirrored(y2)
-    down = F.when(is_call, F.when(strike >= barrier, a - c).otherwise(b - d)).otherwise(F.when(strike >= barrier, a - b + c - d).otherwise(0.0))
-    up = F.when(is_call, F.when(strike >= barrier, F.lit(0.0)).otherwise(a - b + c - d)).otherwise(F.when(strike >= barrier, b - d).otherwise(a - c))
-    out = F.when(barrier < spot, down).otherwise(up)
+
+    def chosen(q: Column) -> Column:
+        a, b, c, d = (F.get(q, i) for i in range(4))
+        down = F.when(is_call, F.when(strike >= barrier, a - c).otherwise(b - d)).otherwise(F.when(strike >= barrier, a - b + c - d).otherwise(0.0))
+        up = F.when(is_call, F.when(strike >= barrier, F.lit(0.0)).otherwise(a - b + c - d)).otherwise(F.when(strike >= barrier, b - d).otherwise(a - c))
+        return F.when(barrier < spot, down).otherwise(up)
+
+    # the array names the four terms, so that each is computed once
+    out = F.get(F.transform(F.array(F.array(plain(x1), plain(x2), mirrored(y1), mirrored(y2))), chosen), 0)
     return F.when(barrier == spot, 0.0).otherwise(F.greatest(out, F.lit(0.0)))
 
 
