@@ -8,8 +8,10 @@ shingles; each proposes one start for the window, bounds on position and length
 window's words are compared with the text's, one by one.
 
 Shingles are looked up by 64-bit hashes, which only propose; words decide. A scan keeps the places that pass a bitmap of
-the hashes, SIEVE bits at any size of the benchmark; what passes is joined by Spark, which moves the smaller side where
-that is small (BROADCAST_ROWS) and shuffles both where it isn't.
+the hashes, 16 bits or more for each different one, up to MOST_SIEVE: 64 MB an executor, enough for 2^25 shingles. Beyond that more
+places pass than the benchmark has, and results stay whole. What passes is joined by Spark, which moves the smaller side where
+that is small (BROADCAST_ROWS) and shuffles both where it isn't. Items meet hits once those are verified, so that a window
+of very many items is never one row.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ from pyspark.sql import functions as F
 
 from .shared import WordHashes, chunks, materialize, shingle_hashes, words
 
-#: log2 of the bits of the bitmap that the scans carry.
+#: log2 of the bits of the bitmap that the scans carry, at least and at most.
 SIEVE = 24
+MOST_SIEVE = 29
 #: Rows of prefixes, or digests of contaminated texts, that are broadcast at most.
 BROADCAST_ROWS = 1 << 20
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(window, length, items): the different windows, as words with spaces between, and the ids, as strings, of their items."""
+    """(window, item), different pairs: windows as words with spaces between, and the ids, as strings, of items that have them."""
 
     def run(batches):
         for b in batches:
@@ -40,8 +43,7 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in made], pa.string()), pa.array([item.as_py()] * len(made), pa.string())], names=["window", "item"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = rows.mapInArrow(run, "window string, item string")
-    return rows.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("length", F.size(F.split("window", " ")))
+    return rows.mapInArrow(run, "window string, item string").distinct()
 
 
 def _shingles(held: DataFrame, width: int) -> DataFrame:
@@ -60,10 +62,12 @@ def _shingles(held: DataFrame, width: int) -> DataFrame:
 
 
 def _sieve(shingles: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes' first SIEVE bits, as bytes: 2^(SIEVE - 15) rows of 4 kB at most."""
-    at = F.shiftrightunsigned("shingle", 64 - SIEVE) + 1
-    rows = shingles.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros((1 << SIEVE) // 8, dtype=np.uint8)
+    """A bitmap of the hashes' first bits, as bytes: 2^(MOST_SIEVE - 15) rows of 4 kB at most."""
+    n = shingles.select("shingle").distinct().count()
+    bits = min(MOST_SIEVE, max(SIEVE, (16 * n).bit_length()))
+    at = F.shiftrightunsigned("shingle", 64 - bits) + 1
+    rows = shingles.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator()
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for r in rows:
         out[(r.bucket - 1) * 4096 :][:4096] = np.frombuffer(r.bits, np.uint8)
     return out
@@ -88,9 +92,9 @@ def _places(docs: list[list[bytes]], hashes: WordHashes, sieve: np.ndarray, widt
     return tuple(x[order] for x in out)
 
 
-def prefixes(documents: DataFrame, benchmark: DataFrame, size: int, width: int) -> tuple[DataFrame, list[int]]:
-    """(shingle, offset, window, length, items) of every window that may occur, by its rarest shingle; and the widths in use."""
-    held = materialize(windows(benchmark, size), "windows")
+def prefixes(documents: DataFrame, owned: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
+    """(shingle, offset, window, length) of every window of owned that may occur, by its rarest shingle; and the widths in use."""
+    held = owned.select("window").distinct().withColumn("length", F.size(F.split("window", " ")))
     parts = materialize(_shingles(held, width), "window-shingles")
     widths = sorted(r.width for r in parts.select("width").distinct().collect())  # at most ``width``
     sieve = documents.sparkSession.sparkContext.broadcast(_sieve(parts))
@@ -106,8 +110,7 @@ def prefixes(documents: DataFrame, benchmark: DataFrame, size: int, width: int)
     counts = counts.groupBy("hash").agg(F.sum("n").alias("n"))
     known = parts.join(counts, F.col("shingle") == F.col("hash"), "left")
     rarest = known.groupBy("window", "length").agg(F.min(F.struct("n", "shingle", "offset")).alias("p"), F.count(F.when(F.col("n").isNull(), 1)).alias("lost")).where("lost = 0")
-    rarest = rarest.select(F.col("window").alias("w"), "length", "p.shingle", "p.offset")
-    return materialize(rarest.join(held.select("window", "items"), F.col("w") == F.col("window")).drop("w"), "prefixes"), widths
+    return materialize(rarest.select("p.shingle", "p.offset", "window", "length"), "prefixes"), widths
 
 
 def _candidates(documents: DataFrame, prefix: DataFrame, widths: list[int], size: int, *columns: str | Column) -> DataFrame:
@@ -147,7 +150,7 @@ def _checked(df: DataFrame) -> DataFrame:
 
 
 def _verified(found: DataFrame, prefix: DataFrame) -> DataFrame:
-    """The candidates of found (with a struct ``p``) at which the window stands, with window, items, start and end."""
+    """The candidates of found (with a struct ``p``) at which the window stands, with window, start and end."""
     held = _checked(prefix.withColumnRenamed("shingle", "key"))
     met = found.join(held, F.col("p.shingle") == F.col("key"))
     start = F.col("p.pos") - F.col("offset")
@@ -166,15 +169,17 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, size: int = 10, w
     but can't be named among the items; equal items count each; ids may be of any type; other columns are ignored; an
     empty table gives none.
     """
-    prefix, widths = prefixes(documents, benchmark, size, width)
+    owned = materialize(windows(benchmark, size), "windows")
+    prefix, widths = prefixes(documents, owned, width)
     rows = _candidates(documents, prefix, widths, size, "doc_id").withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows.drop("digest"), "benchmark-places")
     met = _verified(rows.select("row", "n_words", F.explode("places").alias("p")), prefix)
-    # a text may hold a window many times, and a window belong to many items: each is listed once
-    met = met.groupBy("row", "window").agg(F.collect_set(F.struct("start", "end")).alias("runs"), F.first("items").alias("items"))
-    met = met.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    met = met.select(F.col("row").alias("at"), union_runs("runs").alias("runs"), "items")
-    out = rows.drop("places").join(met, F.col("row") == F.col("at"), "left")
+    # a text may hold a window many times
+    met = materialize(met.groupBy(F.col("row").alias("at"), "window").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "benchmark-hits")
+    runs = met.groupBy("at").agg(F.flatten(F.collect_list("runs")).alias("runs")).select("at", union_runs("runs").alias("runs"))
+    named = _checked(owned.where("item IS NOT NULL").withColumnRenamed("window", "of"))
+    items = met.select("at", "window").join(named, F.col("window") == F.col("of")).groupBy(F.col("at").alias("who")).agg(F.collect_set("item").alias("items"))
+    out = rows.drop("places").join(runs, F.col("row") == F.col("at"), "left").join(items, F.col("row") == F.col("who"), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return out.select("doc_id", "row", "n_words", F.coalesce("runs", none).alias("hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -206,7 +211,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10
     Whether a text is contaminated is a matter of the text alone, so the rows that go are known by its SHA-256: null and
     repeated ids don't matter.
     """
-    prefix, widths = prefixes(documents, benchmark, size, width)
+    prefix, widths = prefixes(documents, materialize(windows(benchmark, size), "windows"), width)
     found = _candidates(documents, prefix, widths, size).where(F.size("places") > 0)
     found = materialize(found, "benchmark-places").select("digest", "n_words", F.explode("places").alias("p"))
     bad = materialize(_verified(found, prefix).select("digest").distinct(), "contaminated-texts")

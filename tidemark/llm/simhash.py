@@ -215,7 +215,7 @@ class NearConfig:
     width: int = 5
     similarity: float = 0.8
     #: Fingerprints of 32 bits a text, 32 at most; the bits in which two may differ to make their texts candidates.
-    sketches: int = 16
+    sketches: int = 24
     most: int = 2
     #: Deviations by which the distance of all bits may exceed what the similarity lets expect.
     slack: float = 4.0
