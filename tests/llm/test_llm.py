@@ -610,6 +610,53 @@ def test_near_duplicates_recall(spark):
     assert gone(0.9, 1) == 1 and gone(0.85, 0.9) > 0.98 and gone(0.82, 0.85) > 0.95 and gone(0.8, 0.82) >= 0.9
 
 
+def test_near_duplicates_lose_no_group(spark):
+    """Groups are those of all pairs, even where few sketches find few of them: pairs just above 0.8, chains, short texts, texts of common words."""
+    rng = np.random.default_rng(3)
+    word = lambda n, of=4000: [f"w{x}" for x in rng.integers(0, of, n)]
+    rows, common = [], word(40)
+    for _ in range(150):
+        a = word(int(rng.integers(1, 200))) + (common if rng.random() < 0.3 else [])
+        rows.append(a)
+        for _ in range(2):
+            a = list(a)
+            for k in rng.choice(len(a), min(len(a), int(rng.integers(0, 1 + len(a) // 30))), replace=False):
+                a[k] = "changed"
+            rows.append(a)
+    rows += [word(30, 2) for _ in range(60)]
+    rows = [(int(i), " ".join(rows[k])) for k, i in enumerate(rng.permutation(len(rows)))] + [(1000, ""), (1001, "  "), (1002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_brute([(i, t or "") for i, t in rows])
+    few = simhash.NearConfig(sketches=2)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df, few).collect()) == want
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df.repartition(7)).collect()) == want
+    classes, links = (x.collect() for x in simhash.near_duplicate_links(df, simhash.NearConfig(sketches=2, sample=100, common=50)))
+    parent = {r["class"]: r["class"] for r in classes}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in links:
+        parent[max(top(r.a), top(r.b))] = min(top(r.a), top(r.b))
+    assert len({top(x) for x in parent}) == len(want)
+
+
+def test_rare_prefix_meets():
+    """Sets of the similarity share one of their uncommon shingles, whatever is known as common."""
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 500, n)).astype(np.uint64)
+        b = np.unique(np.append(rng.permutation(a)[: max(1, len(a) - int(rng.integers(0, 8)))], rng.integers(0, 500, int(rng.integers(0, 5))).astype(np.uint64)))
+        known = np.unique(rng.integers(0, 500, int(rng.integers(0, 200)))).astype(np.uint64)
+        often = rng.integers(2, 9, len(known))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert np.intersect1d(*(simhash.rare_prefix(x, known, often, 0.8) for x in (a, b))).size
+
+
 def test_sketch_codes_are_far_apart():
     codes = [simhash._code(t) for t in range(32)]
     assert min((a ^ b).bit_count() for i, a in enumerate(codes) for b in codes[:i]) == 16

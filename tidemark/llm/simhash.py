@@ -217,8 +217,11 @@ class NearConfig:
     #: Fingerprints of 32 bits a text, 32 at most; the bits in which two may differ to make their texts candidates.
     sketches: int = 24
     most: int = 2
-    #: Deviations by which the distance of all bits may exceed what the similarity lets expect.
+    #: Deviations by which the distance of all bits of a candidate of the sketches may exceed what the similarity lets expect.
     slack: float = 4.0
+    #: Different texts, at most about, in which common shingles are counted, and how many of them are known as common. They only order shingles.
+    sample: int = 50_000
+    common: int = 1 << 18
 
 
 def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -255,28 +258,81 @@ def _bits_apart(similarity: float, bits: int, slack: float) -> int:
     return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p))))
 
 
-def near_duplicate_links(documents: DataFrame, config: NearConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(class, text_md5, first_id) of every different text, and (a, b): classes of at least the similarity, verified on all shingles.
+def _common_shingles(held: DataFrame, c: NearConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, ascending, and in how many; drawn by the texts' hashes, so that reruns agree.
 
-    Candidates come from the Gray-order index: all sketches are searched at once, each under a code of its own. Texts with
-    one fingerprint in common are compared with the first of them, those of linked fingerprints first with first. Pairs
-    whose whole signatures are too far apart go; the shingles of the rest are compared. Pairs of equal sketches meet in
-    a star, so that a group of any size makes as many pairs as it has texts. What the sketches don't bring together is not
-    found: see the README for the recall that was measured.
+    They order the shingles of every text, and any one order of all shingles finds the same links: the sample decides how
+    many candidates there are, never which links.
+    """
+    every = -(-held.count() // c.sample) or 1
+    drawn = held.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).dropDuplicates(["text_md5"]).select("text")
+
+    def hashes_of(batches):
+        hashes = WordHashes()
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), c.width, hashes).view(np.int64))], names=["shingle"])
+
+    counts = drawn.mapInArrow(hashes_of, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(c.common).toPandas()
+    known, often = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], often[order]
+
+
+def rare_prefix(shingles: np.ndarray, known: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the shingles, uncommon ones first, that two sets of the similarity share one of them. An empty set has the shingle 0."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)
+    count = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        count = np.where(known[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, count))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+
+
+def _other_candidates(classes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes of different groups, every pair of the similarity among them: prefix filter, then lengths and positions.
+
+    labels (id, component_id) are the groups so far. Texts of one group never meet: a shingle's groups meet, then the texts of two
+    groups, so that a large group makes pairs only with texts that may join it.
     """
-    c = config or NearConfig()
+    named = classes.select("class", "n", "rare").join(labels, F.col("class") == F.col("id"), "left")
+    rows = named.select(F.posexplode("rare").alias("at", "shingle"), "class", "n", F.coalesce("component_id", "class").alias("label"))
+    w = Window.partitionBy("shingle")
+    mixed = rows.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").drop("lo", "hi")
+    mixed = materialize(mixed, "shared-shingles")
+    groups = mixed.select("shingle", "label").distinct()
+    side = lambda x: mixed.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("label", "class", "n", "at")))
+    two = groups.withColumnRenamed("label", "label_a").join(groups.withColumnRenamed("label", "label_b"), "shingle").where("label_a < label_b")
+    met = two.join(side("a"), ["shingle", "label_a"]).join(side("b"), ["shingle", "label_b"])
+    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
+    # what two sets can share if this is the first shingle that they share
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return met.where(near & enough).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Classes, links of the sketches' candidates, the groups that these make (id, component_id), and links between these groups."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     held = documents.select(text.alias("text"), F.md5(text).alias("text_md5"), F.col("doc_id").alias("doc_id"))
+    common = documents.sparkSession.sparkContext.broadcast(_common_shingles(held, c))
+    least_similar = c.similarity - 1e-9
 
     def sign(batches):
-        hashes = WordHashes()
+        hashes, (known, often) = WordHashes(), common.value
         for b in batches:
-            made = np.array([signature(shingle_set(t.as_py(), c.width, hashes), c.sketches) for t in b.column("text")], dtype=np.uint64).reshape(-1, c.sketches // 2)
-            yield pa.RecordBatch.from_arrays([b.column("text_md5"), pa.array(list(made.view(np.int64)), pa.list_(pa.int64())), b.column("doc_id")], names=["text_md5", "signature", "doc_id"])
+            sets = [shingle_set(t.as_py(), c.width, hashes) for t in b.column("text")]
+            made = np.array([signature(x, c.sketches) for x in sets], dtype=np.uint64).reshape(-1, c.sketches // 2)
+            rare = [rare_prefix(x, known, often, least_similar).view(np.int64) for x in sets]
+            longs = lambda x: pa.array(x, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("text_md5"), longs(list(made.view(np.int64))), pa.array([len(x) for x in sets], pa.int64()), longs(rare), b.column("doc_id")], names=["text_md5", "signature", "n", "rare", "doc_id"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    signed = held.mapInArrow(sign, f"text_md5 string, signature array<long>, doc_id {kind}")
-    classes = signed.groupBy("text_md5").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
+    signed = held.mapInArrow(sign, f"text_md5 string, signature array<long>, n long, rare array<long>, doc_id {kind}")
+    classes = signed.groupBy("text_md5").agg(F.min("doc_id").alias("first_id"), *(F.first(x).alias(x) for x in ("signature", "n", "rare")))
     classes = materialize(materialize(classes, "texts").withColumn("class", F.monotonically_increasing_id()), "text-classes")
     part = lambda t: F.get("signature", t // 2) if t % 2 == 0 else F.shiftrightunsigned(F.get("signature", t // 2), 32)
     code = lambda t: F.lit((_code(t) << 32) - (_code(t) >> 31 << 64))
@@ -300,15 +356,34 @@ def near_duplicate_links(documents: DataFrame, config: NearConfig | None = None)
             made = [shingle_set(t.as_py(), c.width, hashes).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(made, pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("text_md5").alias("md5")), "class")
-    # one text of each class that is asked for
-    texts = held.join(asked, F.col("text_md5") == F.col("md5")).groupBy("class").agg(F.first("text").alias("text"))
-    whole = materialize(texts.mapInArrow(sets, "class long, shingles array<long>"), "shingle-sets")
-    side = lambda x: whole.select(F.col("class").alias(f"c_{x}"), F.col("shingles").alias(f"s_{x}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    alike = F.when(F.size("s_a") + F.size("s_b") == 0, True).otherwise(both >= F.lit(c.similarity - 1e-9) * (F.size("s_a") + F.size("s_b") - both))
-    links = pairs.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b")).where(alike).select("a", "b")
-    return classes.select("class", "text_md5", "first_id"), links
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("text_md5").alias("md5")), "class")
+        # one text of each class that is asked for
+        texts = held.join(asked, F.col("text_md5") == F.col("md5")).groupBy("class").agg(F.first("text").alias("text"))
+        whole = materialize(texts.mapInArrow(sets, "class long, shingles array<long>"), "shingle-sets")
+        side = lambda x: whole.select(F.col("class").alias(f"c_{x}"), F.col("shingles").alias(f"s_{x}"))
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        alike = F.when(F.size("s_a") + F.size("s_b") == 0, True).otherwise(both >= F.lit(least_similar) * (F.size("s_a") + F.size("s_b") - both))
+        return pairs.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b")).where(alike).select("a", "b")
+
+    near = materialize(verified(pairs), "near-links")
+    labels = connected_components(near)
+    rest = materialize(verified(materialize(_other_candidates(classes, labels, least_similar), "other-candidates")), "other-links")
+    return classes, near, labels, rest
+
+
+def near_duplicate_links(documents: DataFrame, config: NearConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """(class, text_md5, first_id) of every different text, and (a, b): links between classes that span all groups of at least the similarity.
+
+    Candidates come from the Gray-order index: all sketches are searched at once, each under a code of its own. Texts with
+    one fingerprint in common are compared with the first of them, those of linked fingerprints first with first. Pairs
+    whose whole signatures are too far apart go; the shingles of the rest are compared. Pairs of equal sketches meet in
+    a star, so that a group of any size makes as many pairs as it has texts. What the sketches didn't bring together is found by an
+    exact join of the groups so far: two texts of the similarity share one of their uncommon shingles, and those that do and
+    are of different groups are compared too. So the groups are those of all pairs, in every run; pairs within a group aren't all listed.
+    """
+    classes, near, _, rest = _near_links(documents, config or NearConfig())
+    return classes.select("class", "text_md5", "first_id"), near.unionByName(rest)
 
 
 def drop_near_duplicates(documents: DataFrame, config: NearConfig | None = None) -> DataFrame:
@@ -319,8 +394,9 @@ def drop_near_duplicates(documents: DataFrame, config: NearConfig | None = None)
     should be, texts are not moved but by the one anti join with the ids that go; rows whose id is null or repeated are
     few, and are ranked within their group. Other columns are kept; an empty table gives none.
     """
-    classes, links = near_duplicate_links(documents, config)
-    labels = connected_components(materialize(links, "near-links"))
+    classes, _, labels, rest = _near_links(documents, config or NearConfig())
+    # groups of the sketches as stars, and the links between them
+    labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(rest))
     named = classes.join(labels, F.col("class") == F.col("id"), "left").select("text_md5", "first_id", F.coalesce("component_id", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.join(least, "label").select(F.col("text_md5").alias("key"), "label", "component_id"), "near-groups")
