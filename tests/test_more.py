@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import normal_cdf
-from tidemark.instruments import pricing
-from tidemark.operators import bars, ranges, rolling
+from tidemark.instruments import curves, pricing
+from tidemark.operators import bars, portfolio, ranges, rolling
 from tidemark.plans.node import FunctionNode, run
 from tidemark.schema import KEY, TIME
 from tidemark.sources import store as stores
@@ -243,3 +243,35 @@ def test_growth_by_running_products(spark):
         for d, after in zip(at, [*at[1:], date(2100, 1, 1)], strict=False):
             want *= 1 + rates[c, d] * max(0, (min(after, e) - max(d, s)).days) / 360 if d < e and after > s else 1.0
         assert grown == pytest.approx(want, rel=1e-12)
+
+
+def test_maps_are_not_filled_in_one_task(spark):
+    """Maps of a rebalance reach the portfolio's later rows by its time: no window holds maps, and the last row alone is parsed for its weights."""
+    at = lambda d: datetime(2024, 1, d)
+    moved = portfolio.immediate(spark.createDataFrame([(at(2), "a", 0.5, 1.0, None), (at(2), "b", 0.5, 2.0, 7.0), (at(4), "a", 1.0, None, 3.0), (at(4), "b", None, 2.5, 7.0)], "time_index timestamp, unique_identifier string, weights double, price double, volume double"))
+    rows = spark.createDataFrame([(at(d), float(d)) for d in (1, 2, 3, 4, 5)], "time_index timestamp, close double")
+    wide = portfolio.serialized(rows, moved)
+    out = {r.time_index.day: (r.close, r.rebalance_weights, r.weights_at_last_rebalance, r.last_rebalance_date) for r in wide.collect()}
+    first, second = ('{"a":0.5,"b":0.5}', '{"a":0.0,"b":0.0}', "2024-01-02 00:00:00"), ('{"a":1.0}', '{"a":0.5,"b":0.5}', "2024-01-04 00:00:00")
+    assert out == {2: (2.0, *first), 3: (3.0, *first), 4: (4.0, *second), 5: (5.0, *second)}
+    windows = [x for x in wide._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert windows and not any("rebalance_" in x and "map" in x or "rebalance_weights" in x for x in windows)
+    back = portfolio.last_weights(wide)
+    assert sorted((r.unique_identifier, r.weights, r.price, r.volume) for r in back.collect()) == [("a", 1.0, None, 3.0), ("b", None, 2.5, 7.0)]
+    assert "TakeOrdered" not in back._jdf.queryExecution().executedPlan().toString() and portfolio.last_weights(wide.limit(0)).count() == 0
+
+
+def test_rows_of_one_curve_are_dealt_to_many_tasks(spark):
+    """A curve that all rows share doesn't bring them into one task; rows of unknown curves stay."""
+    nodes = spark.createDataFrame([("c", 360, 0.05), ("d", 360, 0.02)], "curve_id string, days int, zero double")
+    rows = spark.range(400).selectExpr("id", "CASE WHEN id = 7 THEN NULL WHEN id = 8 THEN 'x' ELSE 'c' END AS curve_id", "CAST(id AS int) AS days")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        out = curves.discounted(rows, nodes).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(r.id for r in out) == list(range(400)) and {r.id for r in out if r.df is None} == {7, 8}
+    assert len({r.task for r in out}) > 1 and all(abs(r.df - (1 / (1.05)) ** (r.id / 360)) < 1e-2 for r in out if r.df is not None)

@@ -13,7 +13,7 @@ from ..schema import KEY, TIME, by_key
 from .fill import asof, bfill, ffill
 from .merge import combine_first
 from .passes import double, ordered_pass
-from .reshape import from_map, to_map
+from .reshape import to_map
 from .rolling import nav, simple_return
 
 REBALANCERS: dict[str, object] = {}
@@ -131,20 +131,27 @@ def serialized(portfolio: DataFrame, rebalanced: DataFrame) -> DataFrame:
     """Adds six JSON maps (weights, price, volume; current and before) and last_rebalance_date, filled forward; rows before the first are left out."""
     names = {"weights_current": "rebalance_weights", "price_current": "rebalance_price", "volume_current": "volume", "weights_before": "weights_at_last_rebalance", "price_before": "price_at_last_rebalance", "volume_before": "volume_at_last_rebalance"}
     maps = [F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(KEY).alias("k"), F.col(c).alias("v"))))))).alias(n) for c, n in names.items()]
-    wide = rebalanced.groupBy(TIME).agg(*maps).withColumn("last_rebalance_date", F.date_format(TIME, "yyyy-MM-dd HH:mm:ss"))
-    joined = portfolio.join(wide, TIME, "left").withColumn("_k", F.lit(0))
-    columns = [*names.values(), "last_rebalance_date"]
-    return ffill(joined, columns, ("_k",)).drop("_k").where(F.col("last_rebalance_date").isNotNull())
+    wide = rebalanced.where(F.col(TIME).isNotNull()).groupBy(TIME).agg(*maps)
+    # one series of times is filled, without the maps: each row meets those of the rebalance that it follows
+    times = lambda df, side: df.select(F.col(TIME).alias("_at"), F.lit(side).alias("_side")).where("_at IS NOT NULL").distinct()
+    w = Window.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = times(rebalanced, 0).unionByName(times(portfolio, 1))
+    last = both.withColumn("_set", F.last(F.when(F.col("_side") == 0, F.col("_at")), ignorenulls=True).over(w)).where("_side = 1 AND _set IS NOT NULL")
+    out = portfolio.join(last.select(F.col("_at").alias(TIME), "_set"), TIME).join(wide.withColumnRenamed(TIME, "_set"), "_set")
+    return out.select(*portfolio.columns, *names.values(), F.date_format("_set", "yyyy-MM-dd HH:mm:ss").alias("last_rebalance_date"))
 
 
 def last_weights(portfolio: DataFrame) -> DataFrame:
-    """(unique_identifier, weights, price, volume) of the last stored row."""
-    last = portfolio.orderBy(F.desc(TIME)).limit(1)
-    parts = [from_map(last.select(TIME, c), c, v, is_json=True) for c, v in (("rebalance_weights", "weights"), ("rebalance_price", "price"), ("volume", "volume"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, [TIME, KEY], "full_outer")
-    return out
+    """(unique_identifier, weights, price, volume) of the last stored row.
+
+    Its time is found from the times alone, so that of the maps only those of that time are made and moved.
+    """
+    last = portfolio.where(F.col(TIME) == portfolio.agg(F.max(TIME)).scalar()).limit(1)
+    maps = {"weights": "rebalance_weights", "price": "rebalance_price", "volume": "volume"}
+    of = lambda v: lambda e: F.struct(e["key"].alias("k"), F.lit(v).alias("of"), e["value"].alias("v"))
+    entries = [F.transform(F.map_entries(F.from_json(c, "map<string,double>")), of(v)) for v, c in maps.items()]
+    rows = last.select(TIME, F.explode(F.concat(*(F.coalesce(e, F.array()) for e in entries))).alias("_e")).select(TIME, F.col("_e.k").alias(KEY), "_e.of", "_e.v")
+    return rows.groupBy(TIME, KEY).agg(*(F.max(F.when(F.col("of") == v, F.col("v"))).alias(v) for v in maps))
 
 
 def override_close(portfolio: DataFrame, prices: DataFrame, entity: str, price: str = "close") -> DataFrame:
