@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import discount_factor
 
@@ -20,6 +21,18 @@ def curve_points(nodes: DataFrame, curve: str = "curve_id") -> DataFrame:
     return clean.groupBy(curve).agg(F.concat(start, points).alias("points"))
 
 
+#: Parts into which the rows of one curve are dealt.
+PARTS = 64
+
+
+def on_curve(rows: DataFrame, nodes: DataFrame, curve: str = "curve_id") -> DataFrame:
+    """Adds points, the curve's, null for an unknown curve. Many rows share few curves: they are dealt by a hash of the row as well, and every part gets the curves."""
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(PARTS)).cast("int")
+    points = curve_points(nodes, curve).withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_dealt", part).join(points, [curve, "_dealt"], "left").drop("_dealt")
+
+
 def factor_at(points: Column, days: Column) -> Column:
     """Discount factor, log-linear between nodes, the outer slopes carried on beyond them."""
     d = days.cast("double")
@@ -33,8 +46,7 @@ def factor_at(points: Column, days: Column) -> Column:
 
 def discounted(rows: DataFrame, nodes: DataFrame, days: str = "days", curve: str = "curve_id", name: str = "df") -> DataFrame:
     """Adds the discount factor of each row's days on its curve."""
-    points = curve_points(nodes, curve)
-    return rows.join(points, curve, "left").withColumn(name, factor_at(F.col("points"), F.col(days))).drop("points")
+    return on_curve(rows, nodes, curve).withColumn(name, factor_at(F.col("points"), F.col(days))).drop("points")
 
 
 def bumped(nodes: DataFrame, parallel: float = 0.0, key_rates: dict[int, float] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import adjusted, normal_cdf, normal_density, year_fraction
 from ..operators.fill import asof
-from .curves import curve_points, factor_at
+from .curves import factor_at, on_curve
 
 
 def schedule(start: Column, end: Column, months: Column, rule: str = "FOLLOWING") -> Column:
@@ -40,7 +40,7 @@ def floating_bond_cashflows(bonds: DataFrame, nodes: DataFrame, valuation: Colum
 
     A period that began before the valuation date takes the forward from that date.
     """
-    p = periods(bonds, rule).join(curve_points(nodes), "curve_id", "left")
+    p = on_curve(periods(bonds, rule), nodes)
     tau = year_fraction(F.col("period_start"), F.col("payment_date"))
     begin, end = F.greatest(F.datediff("period_start", valuation), F.lit(0)), F.datediff("payment_date", valuation)
     forward = (factor_at(F.col("points"), begin) / factor_at(F.col("points"), end) - 1) / ((end - begin) / 360.0)
@@ -54,7 +54,7 @@ def spreads(cashflows: DataFrame, instruments: DataFrame, nodes: DataFrame, pric
 
     Flows are discounted on the curve first, so that the spread is the yield of what is left.
     """
-    rows = cashflows.join(instruments.select("ins_id", "curve_id"), "ins_id").join(curve_points(nodes), "curve_id", "left")
+    rows = on_curve(cashflows.join(instruments.select("ins_id", "curve_id"), "ins_id"), nodes)
     days = F.datediff("payment_date", valuation)
     flow = F.struct((days / 365.0).alias("t"), (F.col("amount") * factor_at(F.col("points"), days)).alias("a"))
     left = rows.where(days > 0).groupBy("ins_id").agg(F.array_sort(F.collect_list(flow)).alias("f"))
@@ -63,8 +63,7 @@ def spreads(cashflows: DataFrame, instruments: DataFrame, nodes: DataFrame, pric
 
 def present_value(cashflows: DataFrame, instruments: DataFrame, nodes: DataFrame, valuation: Column, spread: Column | float = 0.0) -> DataFrame:
     """(ins_id, npv): flows after the valuation date, discounted on the instrument's curve plus a continuous spread."""
-    points = curve_points(nodes)
-    rows = cashflows.join(instruments.select("ins_id", "curve_id"), "ins_id").join(points, "curve_id", "left")
+    rows = on_curve(cashflows.join(instruments.select("ins_id", "curve_id"), "ins_id"), nodes)
     days = F.datediff("payment_date", valuation)
     s = F.lit(spread) if isinstance(spread, float) else spread
     value = F.when(days > 0, F.col("amount") * factor_at(F.col("points"), days) * F.exp(-s * days / 365.0)).otherwise(0.0)
@@ -160,7 +159,7 @@ def swap_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, rule:
         begun = p.where(F.col("period_start") <= valuation).select("curve_id", "period_start").distinct()
         last = asof(begun, fixings.select("curve_id", F.col("fixing_date").alias("period_start"), F.col("rate").alias("fixing")), ["fixing"], ("curve_id",), "period_start")
         p, known = p.join(last, ["curve_id", "period_start"], "left"), F.col("fixing")
-    p = p.join(curve_points(nodes), "curve_id", "left")
+    p = on_curve(p, nodes)
     tau = year_fraction(F.col("period_start"), F.col("payment_date"))
     begin = F.greatest(F.datediff("period_start", valuation), F.lit(0))
     end = F.datediff("payment_date", valuation)
@@ -179,7 +178,7 @@ def overnight_cashflows(swaps: DataFrame, nodes: DataFrame, valuation: Column, f
     p = periods(swaps, rule)
     begun = p.where(F.col("period_start") < valuation).select("curve_id", "period_start", F.least("payment_date", valuation).alias("period_end")).distinct()
     grown = growth(begun, fixings)
-    p2 = p.withColumn("period_end", F.least("payment_date", valuation)).join(grown, ["curve_id", "period_start", "period_end"], "left").join(curve_points(nodes), "curve_id", "left")
+    p2 = on_curve(p.withColumn("period_end", F.least("payment_date", valuation)).join(grown, ["curve_id", "period_start", "period_end"], "left"), nodes)
     begin, end = F.greatest(F.datediff("period_start", valuation), F.lit(0)), F.datediff("payment_date", valuation)
     ahead = F.when(end > 0, factor_at(F.col("points"), begin) / factor_at(F.col("points"), end)).otherwise(1.0)
     floating = p2.select("ins_id", F.lit("floating").alias("leg"), "payment_date", (F.col("notional") * (F.coalesce("grown", F.lit(1.0)) * ahead - 1)).alias("amount"))
