@@ -56,9 +56,11 @@ def ordered_pass(df: DataFrame, inputs: Sequence[Column], added: Sequence[T.Stru
     gone = {f.name for f in added}
     kept = [f for f in df.schema.fields if f.name not in gone]
     names, k = [f.name for f in kept], len(inputs)
-    wide = df.select(*(F.col(f"`{c}`") for c in names), *(c.cast("double").alias(f"in {i}") for i, c in enumerate(inputs)), *(F.col(f"`{c}`").alias(f"key {i}") for i, c in enumerate(keys)), F.col(f"`{time}`").alias("at"), *(F.col(f"`{c}`").alias(f"tie {i}") for i, c in enumerate(order)))
+    # rows are dealt before inputs and keys are set beside them, which would be shuffled twice
+    dealt = df.repartition(*(F.col(f"`{c}`") for c in keys))
+    wide = dealt.select(*(F.col(f"`{c}`") for c in names), *(c.cast("double").alias(f"in {i}") for i, c in enumerate(inputs)), *(F.col(f"`{c}`").alias(f"key {i}") for i, c in enumerate(keys)), F.col(f"`{time}`").alias("at"), *(F.col(f"`{c}`").alias(f"tie {i}") for i, c in enumerate(order)))
     by = [f"key {i}" for i in range(len(keys))]
-    wide = wide.repartition(*by).sortWithinPartitions(*by, "at", *(f"tie {i}" for i in range(len(order)))).drop("at", *(f"tie {i}" for i in range(len(order))))
+    wide = wide.sortWithinPartitions(*by, "at", *(f"tie {i}" for i in range(len(order)))).drop("at", *(f"tie {i}" for i in range(len(order))))
 
     def run(batches: Iterator[pa.RecordBatch]):
         step, last = make(), None

@@ -93,14 +93,16 @@ def market_cap_weights(
 
     inputs = [F.col(c) for c in (*fields, *(f"_first_{c}" for c in fields), "_cell")]
     made = ordered_pass(both.select(TIME, KEY, *fields, *(f"_first_{c}" for c in fields), "_cell"), inputs, [double(c) for c in ("_filled", "_raw_price", "_raw_volume", *atvr, "_traded", "_move")], make, order=["_cell"], drops=True)
-    panel = made.select(TIME, KEY, F.col("_filled").alias("market_cap"), "_raw_price", "_raw_volume", *atvr, "_traded", "_move")
     liquid = F.lit(True)
     for c in atvr:
         liquid = liquid & (F.col(c) >= min_atvr)
     liquid = F.coalesce(liquid & (F.col("_traded") >= min_frequency), F.lit(False))
+    # the shuffle by time carries what is needed there and no figures that liquidity comes from
+    carried = (["_raw_price", "_raw_volume"] if keep else []) + (["_move"] if target_volatility is not None else [])
+    panel = made.select(TIME, KEY, F.col("_filled").alias("market_cap"), liquid.alias("_liquid"), *carried).repartition(TIME)
     # the cap of what is not liquid still has a rank, as ranks are taken before the filter
     panel = panel.withColumn("_rank", average_rank(F.col("market_cap"), TIME))
-    kept = F.when(liquid & (F.coalesce(F.col("_rank"), F.lit(0.0)) <= top), F.coalesce("market_cap", F.lit(0.0))).otherwise(0.0)
+    kept = F.when(F.col("_liquid") & (F.coalesce(F.col("_rank"), F.lit(0.0)) <= top), F.coalesce("market_cap", F.lit(0.0))).otherwise(0.0)
     panel = panel.withColumn("_cap", kept)
     total = F.sum("_cap").over(Window.partitionBy(TIME))
     panel = panel.withColumn("signal_weight", F.coalesce(F.when(total != 0, F.col("_cap") / total), F.lit(0.0)))
