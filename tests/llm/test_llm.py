@@ -643,6 +643,22 @@ def test_near_duplicates_lose_no_group(spark):
     assert len({top(x) for x in parent}) == len(want)
 
 
+def test_common_shingles_are_not_merged_in_one_place(spark, monkeypatch):
+    """Those of the sample come in right numbers, in Arrow, a quota of each class of hashes; no task or driver sorts what all tasks propose."""
+    plans, arrow = [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), arrow(df))[1])
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda df: pytest.fail("rows as Python objects"))
+    often = [f"a b c d {'e' * k}" for k in range(1, 60)]
+    rows = [(f"{x} {i}",) for k, x in enumerate(often) for i in range(2 + k % 3)]
+    held = spark.createDataFrame(rows, "text string").select(F.col("text").cast("binary").alias("text"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    want = {int(simhash.shingle_set(x.encode(), 5, shared.WordHashes())[0]): 2 + k % 3 for k, x in enumerate(often)}
+    known, n = simhash._common_shingles(held, simhash.NearConfig())
+    assert dict(zip(known.tolist(), n.tolist(), strict=True)) == want and (np.diff(known.astype(object)) > 0).all()
+    known, n = simhash._common_shingles(held, simhash.NearConfig(common=8))
+    assert 0 < len(known) <= 8 and all(want[k] == x for k, x in zip(known.tolist(), n.tolist(), strict=True))
+    assert len(plans) == 2 and not any("TakeOrdered" in p or "GlobalLimit" in p or "SinglePartition" in p for p in plans)
+
+
 def test_rare_prefix_meets():
     """Sets of the similarity share one of their uncommon shingles, whatever is known as common."""
     rng = np.random.default_rng(5)
