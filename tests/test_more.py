@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import normal_cdf
 from tidemark.instruments import curves, pricing
-from tidemark.operators import bars, portfolio, ranges, rolling
+from tidemark.operators import bars, merge, portfolio, ranges, rolling
 from tidemark.plans.node import FunctionNode, run
 from tidemark.schema import KEY, TIME
 from tidemark.sources import store as stores
@@ -275,3 +275,22 @@ def test_rows_of_one_curve_are_dealt_to_many_tasks(spark):
             spark.conf.set(k, v)
     assert sorted(r.id for r in out) == list(range(400)) and {r.id for r in out if r.df is None} == {7, 8}
     assert len({r.task for r in out}) > 1 and all(abs(r.df - (1 / (1.05)) ** (r.id / 360)) < 1e-2 for r in out if r.df is not None)
+
+
+# -- tasks by the number of rows
+
+
+def test_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """A task's rows don't grow with the table, and neither the last row of a key nor an alignment deals them again."""
+    monkeypatch.setattr(merge, "TASK_ROWS", 100)
+    rows = [(T0 + timedelta(hours=i % 50), f"k{i % 7}", float(i)) for i in range(3000)]
+    p = merge.dealt(panel(spark, rows), len(rows))
+    assert p.rdd.getNumPartitions() == 30 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert merge.dealt(p, 5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    even, odd = (merge.keep_one(p.where(F.col("x") % 2 == k), ["x"]) for k in (0, 1))
+    both = merge.align({"even": even, "odd": odd}, "x", fill=0.0)
+    want: dict = {}
+    for t, k, x in rows:
+        want.setdefault((t, k), [0.0, 0.0])[int(x) % 2] = x
+    assert {(r[TIME].replace(tzinfo=timezone.utc), r[KEY]): [r.even, r.odd] for r in both.collect()} == want
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2

@@ -11,6 +11,17 @@ from ..schema import KEY, TIME
 
 KEYS = (TIME, KEY)
 
+#: Rows that a task sorts or groups by key, about.
+TASK_ROWS = 400_000
+
+
+def dealt(df: DataFrame, rows: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows dealt by key to so many tasks that each has about TASK_ROWS of ``rows``, whatever the size and the session's partitions.
+
+    A filter of the result is dealt before the shuffle. Of a Parquet table count() reads footers only.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
 
 def keep_one(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = KEYS, last: bool = True, colocate: Sequence[str] | None = None) -> DataFrame:
     """The last (or first) row of each key by an explicit order: Spark has no row order of its own.
