@@ -289,8 +289,33 @@ def test_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     assert merge.dealt(p, 5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     even, odd = (merge.keep_one(p.where(F.col("x") % 2 == k), ["x"]) for k in (0, 1))
     both = merge.align({"even": even, "odd": odd}, "x", fill=0.0)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2
     want: dict = {}
     for t, k, x in rows:
         want.setdefault((t, k), [0.0, 0.0])[int(x) % 2] = x
     assert {(r[TIME].replace(tzinfo=timezone.utc), r[KEY]): [r.even, r.odd] for r in both.collect()} == want
-    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_rewrites_make_few_files(spark, tmp_path, monkeypatch):
+    """A file a partition, or one for FILE_ROWS rows; a batch of new keys is written once; what fails leaves nothing; repeats go with a dropped column."""
+    import time
+
+    store = PanelStore(spark, f"file://{tmp_path}")
+    files = lambda: [len(list(tmp_path.glob(f"{path.split(str(tmp_path))[1][1:]}/*.parquet"))) for _, path in store.describe("p").parts]
+    folders = lambda: len(list(tmp_path.glob("p/v=*"))) + len(list(tmp_path.glob("p/_batch*")))
+    rows = [(T0 + timedelta(hours=i), f"k{k}", float(i), k) for i in range(60) for k in range(40)]
+    store.upsert(panel(spark, rows, "x double, y int").repartition(4), "p")
+    assert files() == [1, 1] and folders() == 1
+    with pytest.raises(ValueError, match="repeated key"):
+        store.upsert(panel(spark, [rows[0], rows[0]], "x double, y int"), "p")
+    assert folders() == 1
+    time.sleep(1.1)
+    store._write(store.describe("p"), panel(spark, [(T0, "k0", -5.0, 0)], "x double, y int"), ["202401"], keep=True)
+    store.drop_columns("p", ["y"])
+    monkeypatch.setattr(stores, "FILE_ROWS", 500)
+    assert files() == [1, 1]
+    store.compact("p")
+    assert all(1 < n <= 5 for n in files())
+    want = sorted((t, k, -5.0 if (t, k) == (T0, "k0") else x) for t, k, x, _ in rows)
+    assert sorted((r[TIME].replace(tzinfo=timezone.utc), r[KEY], r.x) for r in store.scan("p").collect()) == want

@@ -41,11 +41,11 @@ def stored_range_read(spark, sf_dir):
 
 @query(P_SQL + _HALVES + " SELECT time_index, unique_identifier, volume FROM b UNION ALL SELECT time_index, unique_identifier, volume FROM i ANTI JOIN b USING (time_index, unique_identifier)")
 def stored_compaction(spark, sf_dir):
-    """Two files of different keys, a column dropped, then compacted into one file a partition, read as a view."""
+    """Two files of different keys, a column dropped, then compacted, read as a view."""
     store = _store(spark)
     base, new = _halves(spark, sf_dir)
     store.upsert(base, "p", partition="month")
-    store.upsert(new.drop("flag").join(base.select(TIME, KEY), [TIME, KEY], "left_anti"), "p")
+    store.upsert(merge.insert_absent(store.scan("p").hint("merge"), new.drop("flag")), "p")
     store.drop_columns("p", ["price"])
     store.compact("p")
     store.vacuum("p")

@@ -24,6 +24,8 @@ from ..schema import KEY, TIME, reject_duplicates, validate_update
 
 #: Pointer files that stay beside the current one, for readers that have just listed them.
 KEPT_POINTERS = 3
+#: Rows of a file that a compaction writes, about.
+FILE_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -168,38 +170,54 @@ class PanelStore:
         for c in df.columns:
             if c in known:
                 df = df.withColumn(c, F.col(c).cast(T.StructField.fromJson(known[c]).dataType))
-        # the batch is looked at several times, so it is computed once
-        batch = f"{self.root}/{t.name}/_batch-{uuid.uuid4().hex}"
-        schema = df.schema
-        df.write.parquet(batch)
+        if order:
+            df = merge.keep_one(df, order, t.keys)
+        # the batch is looked at several times, so it is computed once; of new keys alone, it is the new files
+        base, schema = self._base(t), df.schema
+        self._lay(t, df.withColumn("_part", _part(t, df)).hint("rebalance", F.col("_part")), base)
+        added = False
         try:
-            df = self.spark.read.schema(schema).parquet(batch)
-            df = merge.keep_one(df, order, t.keys) if order else reject_duplicates(df, t.keys)
-            return self._upsert(t, df, known, mode)
+            made = self._parts(base)
+            df = self.spark.read.schema(schema).parquet(base).select(*df.columns)
+            if not order:
+                reject_duplicates(df, t.keys)
+            touched = [p for p, _ in made]
+            old = self.scan(name, touched) if known else None
+            # no broadcast: packed files of keys look much smaller than their rows are
+            if old is None or not merge.overlap_exists(old.hint("merge"), df, t.keys):
+                wider = df if old is None else old.limit(0).unionByName(df, allowMissingColumns=True)
+                done = self._commit(t, wider.schema, [*t.parts, *made])
+                added = True
+                return done
+            return self._write(t, merge.upsert(old, df, t.keys, mode), touched)
         finally:
-            self._fs.delete(self._path(batch), True)
+            if not added:
+                self._fs.delete(self._path(base), True)
 
-    def _upsert(self, t: Table, df: DataFrame, known: Mapping, mode: str) -> Table:
-        name = t.name
-        touched = sorted(r[0] for r in df.select(_part(t, df).alias("p")).distinct().collect())
-        old = self.scan(name, touched) if known else None
-        if old is None or not merge.overlap_exists(old, df, t.keys):
-            wider = df if old is None else old.limit(0).unionByName(df, allowMissingColumns=True)
-            return self._write(t, wider, touched, keep=True)
-        return self._write(t, merge.upsert(old, df, t.keys, mode), touched)
+    def _base(self, t: Table) -> str:
+        return f"{self.root}/{t.name}/v={uuid.uuid4().hex}"
+
+    def _lay(self, t: Table, df: DataFrame, base: str) -> None:
+        """Writes rows with their _part; in each file they lie sorted."""
+        df.sortWithinPartitions("_part", *t.keys[1:], t.keys[0]).write.partitionBy("_part").option("compression", "zstd").parquet(base)
+
+    def _parts(self, base: str) -> list[tuple[str, str]]:
+        """(partition, path) of what was written there."""
+        found = sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(base)) if s.isDirectory()) if n.startswith("_part="))
+        if bad := [n for n in found if not n.removeprefix("_part=").isdigit()]:
+            raise ValueError(f"rows without a time: {bad}")
+        return [(n.removeprefix("_part="), f"{base}/{n}") for n in found]
+
+    def _commit(self, t: Table, schema: T.StructType, parts: Iterable[tuple[str, str]]) -> Table:
+        kinds = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]).json()
+        return self._publish(Table(t.name, t.keys, t.partition, kinds, tuple(sorted(parts)), t.meta, t.version))
 
     def _write(self, t: Table, df: DataFrame, touched: Sequence[str], keep: bool = False) -> Table:
         """Writes partitions next to the old ones; with keep, in addition to them, else in their place."""
-        base = f"{self.root}/{t.name}/v={uuid.uuid4().hex}"
-        laid = df.withColumn("_part", _part(t, df))
-        n = self.spark.conf.get("spark.sql.shuffle.partitions")
-        # a partition's rows are spread by key over tasks and lie sorted in each file
-        laid = laid.repartition(int(n), "_part", *t.keys[1:]).sortWithinPartitions("_part", *t.keys[1:], t.keys[0])
-        laid.write.partitionBy("_part").option("compression", "zstd").parquet(base)
-        made = [(p, f"{base}/_part={p}") for p in touched if self._fs.exists(self._path(f"{base}/_part={p}"))]
-        parts = [(p, path) for p, path in t.parts if keep or p not in touched] + made
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
-        return self._publish(Table(t.name, t.keys, t.partition, schema, tuple(sorted(parts)), t.meta, t.version))
+        base = self._base(t)
+        # Spark makes a few files of a partition, more of a large one
+        self._lay(t, df.withColumn("_part", _part(t, df)).hint("rebalance", F.col("_part")), base)
+        return self._commit(t, df.schema, [*((p, path) for p, path in t.parts if keep or p not in touched), *self._parts(base)])
 
     def drop_columns(self, name: str, columns: Sequence[str]) -> dict:
         """Rewrites the table without the columns; keys stay. Says what was dropped and what was skipped."""
@@ -208,20 +226,33 @@ class PanelStore:
         gone = [c for c in columns if c in df.columns and c not in t.keys]
         parts = sorted({p for p, _ in t.parts})
         if gone:
-            self._write(t, self._newest(t).drop(*gone), parts)
+            self._rewrite(t, gone)
         return {"dropped": gone, "skipped": [c for c in columns if c not in gone], "partitions_rebuilt": len(parts) if gone else 0}
 
     def compact(self, name: str) -> Table:
         """Rewrites all partitions, one row a key, that of the newest file; small files are merged."""
-        t = self.describe(name)
-        return self._write(t, self._newest(t), sorted({p for p, _ in t.parts}))
+        return self._rewrite(self.describe(name))
+
+    def _rewrite(self, t: Table, gone: Sequence[str] = ()) -> Table:
+        """Writes all partitions anew without the columns, one row a key: of the file written last, then that of the largest values.
 
-    def _newest(self, t: Table) -> DataFrame:
-        """One row a key: of the file written last, then that of the largest values."""
+        Rows are dealt once, by partition and a hash of their other keys, so that no file has more than about FILE_ROWS rows; in the
+        order in which the last row of a key is found, they are also written.
+        """
         df = self.scan(t.name)
+        kept = df.drop(*gone)
+        if not t.parts:
+            return self._commit(t, kept.schema, [])
         rest = [F.col(c) for c in df.columns if c not in t.keys]
-        aged = df.select("*", F.col("_metadata.file_modification_time").alias("_written"))
-        return merge.keep_one(aged, ["_written", F.struct(*rest)] if rest else ["_written"], t.keys).drop("_written")
+        aged = df.select("*", F.col("_metadata.file_modification_time").alias("_written"), _part(t, df).alias("_part"))
+        most = aged.groupBy("_part").count().agg(F.max("count"), F.count("*")).first()
+        files = -(-(most[0] or 1) // FILE_ROWS)
+        spread = F.pmod(F.hash(*t.keys[1:]), F.lit(files)) if len(t.keys) > 1 else F.lit(0)
+        aged = aged.withColumn("_file", spread).repartition(max(1, most[1]) * files, "_part", "_file")
+        newest = merge.keep_one(aged, ["_written", F.struct(*rest)] if rest else ["_written"], ("_part", "_file", *t.keys[1:], t.keys[0]))
+        base = self._base(t)
+        self._lay(t, newest.select(*kept.columns, "_part"), base)
+        return self._commit(t, kept.schema, self._parts(base))
 
     def drop(self, name: str, files: bool = False) -> None:
         """Forgets a table; its files go only if asked for."""
