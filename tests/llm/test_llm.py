@@ -643,6 +643,28 @@ def test_near_duplicates_lose_no_group(spark):
     assert len({top(x) for x in parent}) == len(want)
 
 
+def test_near_duplicates_of_a_large_family_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with one to three words changed, which few sketches leave in many groups: the groups of all pairs, from about as many candidates as texts."""
+    rng = np.random.default_rng(17)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(600):
+        a = list(base)
+        for k in rng.choice(150, int(rng.integers(1, 4)) if i else 0, replace=False):
+            a[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(a)))
+    made, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag, *more: made.setdefault(tag, []).append(write(df, tag, *more)) or made[tag][-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(df, simhash.NearConfig(sketches=2)).collect())
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = np.arange(len(rows))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    shared.union(parent, *np.array(pairs, dtype=np.int64).T)
+    assert kept == sorted(set(shared.find(parent, np.arange(len(rows))).tolist()))
+    few = {tag: made[tag][-1].count() for tag in made if tag in ("hub-candidates", "other-candidates")}
+    assert sum(few.values()) <= 4 * len(rows), few
+
+
 def test_common_shingles_are_not_merged_in_one_place(spark, monkeypatch):
     """Those of the sample come in right numbers, in Arrow, a quota of each class of hashes; no task or driver sorts what all tasks propose."""
     plans, arrow = [], type(spark.range(0)).toArrow

@@ -298,26 +298,71 @@ def rare_prefix(shingles: np.ndarray, known: np.ndarray, often: np.ndarray, simi
     return shingles[np.lexsort((shingles, count))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
-def _other_candidates(classes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes of different groups, every pair of the similarity among them: prefix filter, then lengths and positions.
+def _may_share(similarity: float, x: str, y: str) -> Column:
+    """Whether the texts of x and y (columns n_x, at_x, ...) can be of the similarity if no shingle before the places at_x and at_y is in both.
 
-    labels (id, component_id) are the groups so far. Texts of one group never meet: a shingle's groups meet, then the texts of two
-    groups, so that a large group makes pairs only with texts that may join it.
+    They share at most n_x - at_x and n_y - at_y shingles, and must share similarity / (1 + similarity) of n_x + n_y.
     """
-    named = classes.select("class", "n", "rare").join(labels, F.col("class") == F.col("id"), "left")
-    rows = named.select(F.posexplode("rare").alias("at", "shingle"), "class", "n", F.coalesce("component_id", "class").alias("label"))
+    return (_left(similarity, f"n_{x}", f"at_{x}") >= _asks(similarity, f"n_{y}")) & (_left(similarity, f"n_{y}", f"at_{y}") >= _asks(similarity, f"n_{x}"))
+
+
+def _left(similarity: float, n: str, at: str) -> Column:
+    """What a text can share beyond what its own length asks for: at least as much as the other's length asks for, or they aren't alike."""
+    return F.col(n) / (1 + similarity) - F.col(at) + 1e-6
+
+
+def _asks(similarity: float, n: str) -> Column:
+    return F.col(n) * (similarity / (1 + similarity))
+
+
+def _shared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Of (shingle, class, label, n, at) the rows whose shingle is in texts of several groups, and that lengths and positions let meet one of them."""
     w = Window.partitionBy("shingle")
-    mixed = rows.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").drop("lo", "hi")
-    mixed = materialize(mixed, "shared-shingles")
-    groups = mixed.select("shingle", "label").distinct()
-    side = lambda x: mixed.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("label", "class", "n", "at")))
-    two = groups.withColumnRenamed("label", "label_a").join(groups.withColumnRenamed("label", "label_b"), "shingle").where("label_a < label_b")
-    met = two.join(side("a"), ["shingle", "label_a"]).join(side("b"), ["shingle", "label_b"])
-    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
-    # what two sets can share if this is the first shingle that they share
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    return met.where(near & enough).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    mixed = F.col("lo") != F.col("hi")
+    over = {"lo": F.min("label").over(w), "hi": F.max("label").over(w)}
+    meets = (_left(similarity, "n", "at") >= F.col("asks")) & (_asks(similarity, "n") <= F.col("left"))
+    rows = rows.withColumns(over | {"asks": F.min(_asks(similarity, "n")).over(w), "left": F.max(_left(similarity, "n", "at")).over(w)}).where(mixed & meets)
+    return rows.withColumns(over).where(mixed).select("shingle", "class", "label", "n", "at")
+
+
+def _uncommon_rows(classes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, class, label, n, at) of the uncommon shingles that different groups share. labels (id, component_id) are the groups so far."""
+    named = classes.select("class", F.col("n").cast("int").alias("n"), "rare").join(labels, F.col("class") == F.col("id"), "left")
+    return _shared(named.select(F.posexplode("rare").alias("at", "shingle"), "class", "n", F.coalesce("component_id", "class").alias("label")), similarity)
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """The rows that are left when groups have grown to the labels (id, component_id)."""
+    named = rows.drop("label").join(labels, F.col("class") == F.col("id"), "left")
+    return _shared(named.select("shingle", "class", F.coalesce("component_id", "class").alias("label"), "n", "at"), similarity)
+
+
+def _hub_candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes of different groups: each text of a shingle with that one of its texts that has fewest shingles before it.
+
+    A star for each shingle, so never more pairs than rows. That text has least of its own, so the others are likeliest to be near it.
+    """
+    hub = F.struct((F.col("at") / F.greatest("n", F.lit(1))).alias("before"), F.col("class").alias("class_b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    hubs = rows.groupBy("shingle").agg(F.min(hub).alias("hub")).select("shingle", "hub.*").drop("before")
+    side = rows.select("shingle", *(F.col(k).alias(f"{k}_a") for k in ("class", "label", "n", "at")))
+    met = side.join(hubs, "shingle").where((F.col("label_a") != F.col("label_b")) & _may_share(similarity, "a", "b"))
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def _other_candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes of different groups, every pair of the similarity among them: prefix filter, then lengths and positions.
+
+    Texts of one group never meet: a shingle's groups meet if the best of their texts may, then the texts of two groups, so that a
+    large group makes pairs only with texts that may join it.
+    """
+    groups = rows.groupBy("shingle", "label").agg(F.max(_left(similarity, "n", "at")).alias("left"), F.min(_asks(similarity, "n")).alias("asks"))
+    group = lambda x: groups.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("label", "left", "asks")))
+    side = lambda x: rows.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("label", "class", "n", "at")))
+    may = (F.col("label_a") < F.col("label_b")) & (F.col("left_a") >= F.col("asks_b")) & (F.col("left_b") >= F.col("asks_a"))
+    two = group("a").join(group("b"), "shingle").where(may)
+    some = (_left(similarity, "n_a", "at_a") >= F.col("asks_b")) & (_asks(similarity, "n_a") <= F.col("left_b"))
+    met = two.join(side("a"), ["shingle", "label_a"]).where(some).join(side("b"), ["shingle", "label_b"]).where(_may_share(similarity, "a", "b"))
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -374,8 +419,17 @@ def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFra
 
     near = materialize(verified(pairs), "near-links")
     labels = connected_components(near)
-    rest = materialize(verified(materialize(_other_candidates(classes, labels, least_similar), "other-candidates")), "other-links")
-    return classes, near, labels, rest
+    rows = materialize(_uncommon_rows(classes, labels, least_similar), "shared-shingles")
+    # groups grow by links to the hubs first, so that few are left to meet in pairs
+    found = materialize(verified(materialize(_hub_candidates(rows, least_similar), "hub-candidates")), "hub-links")
+    labels = connected_components(_stars(labels).unionByName(found))
+    rows = materialize(_relabelled(rows, labels, least_similar), "shared-shingles")
+    rest = materialize(verified(materialize(_other_candidates(rows, least_similar), "other-candidates")), "other-links")
+    return classes, near.unionByName(found), labels, rest
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
 
 
 def near_duplicate_links(documents: DataFrame, config: NearConfig | None = None) -> tuple[DataFrame, DataFrame]:
@@ -386,7 +440,7 @@ def near_duplicate_links(documents: DataFrame, config: NearConfig | None = None)
     whose whole signatures are too far apart go; the shingles of the rest are compared. Pairs of equal sketches meet in
     a star, so that a group of any size makes as many pairs as it has texts. What the sketches didn't bring together is found by an
     exact join of the groups so far: two texts of the similarity share one of their uncommon shingles, and those that do and
-    are of different groups are compared too. So the groups are those of all pairs, in every run; pairs within a group aren't all listed.
+    are of different groups are compared too, first with one text for each shingle and, as groups have grown, then with each other. So the groups are those of all pairs, in every run; pairs within a group aren't all listed.
     """
     classes, near, _, rest = _near_links(documents, config or NearConfig())
     return classes.select("class", "text_md5", "first_id"), near.unionByName(rest)
@@ -402,7 +456,7 @@ def drop_near_duplicates(documents: DataFrame, config: NearConfig | None = None)
     """
     classes, _, labels, rest = _near_links(documents, config or NearConfig())
     # groups of the sketches as stars, and the links between them
-    labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(rest))
+    labels = connected_components(_stars(labels).unionByName(rest))
     named = classes.join(labels, F.col("class") == F.col("id"), "left").select("text_md5", "first_id", F.coalesce("component_id", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = materialize(named.join(least, "label").select(F.col("text_md5").alias("key"), "label", "component_id"), "near-groups")
