@@ -1,8 +1,11 @@
 """The training-data operators against brute force, and their edge cases."""
 
+import glob
 import hashlib
 import math
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -665,6 +668,59 @@ def test_near_duplicates_of_a_large_family_make_few_pairs(spark, monkeypatch):
     assert sum(few.values()) <= 4 * len(rows), few
 
 
+def test_near_duplicates_take_little_disk(spark, monkeypatch):
+    """Texts that share a passage become candidates, but their shingles are written only if they may be alike; large tables go when they were read."""
+    rng = np.random.default_rng(23)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for i in range(200):
+        passage, a = word(30), word(150)
+        rows += [a + passage, passage + word(150)] + ([[*a[:60], f"changed{i}", *a[61:], *passage]] if i < 20 else [])
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    made, write = [], simhash.materialize
+
+    def noted(df, tag, *more):
+        made.append((tag, out := write(df, tag, *more), out.count(), out.inputFiles()[0]))
+        return made[-1][1]
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # hardly any shingle is known as common, so that passages are uncommon
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(df, simhash.NearConfig(common=1)).collect())
+    assert kept == near_brute(rows) and len(kept) == 400
+    rows_of = lambda *tags: sum(n for tag, _, n, _ in made if tag in tags)
+    assert rows_of("hub-candidates", "other-candidates") > 100 and 40 <= rows_of("shingle-sets") <= 60
+    there = {tag for tag, _, _, file in made if os.path.exists(file.removeprefix("file://"))}
+    assert not there & {"text-classes", "sketches", "shingle-sets", "shared-shingles"} and "near-groups" in there
+
+
+def test_shuffles_freed(spark):
+    """What a write has shuffled is gone after it, and only within; the session's setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    top = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in top for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, held = spark.conf.get(key, None), files()
+    rows = spark.range(1000).repartition(7, "id")
+    with shared.shuffles_freed(spark):
+        assert shared.materialize(rows, "freed").count() == 1000
+        for _ in range(100):
+            if not files() - held:
+                break
+            time.sleep(0.1)
+        assert not files() - held
+    assert spark.conf.get(key, None) == before
+
+
+def test_sifted(spark):
+    """Every row of a key passes, and few others; nulls don't."""
+    rows = spark.range(20000).select(F.col("id"), F.md5(F.col("id").cast("string").cast("binary")).alias("k")).unionByName(spark.createDataFrame([(-1, None)], "id long, k string"))
+    keys = shared.materialize(rows.where("id % 10 = 3").select(F.col("k").alias("key")), "keys")
+    got = shared.sifted(rows, "k", keys, "key")
+    ids = {r.id for r in got.collect()}
+    assert got.columns == rows.columns and {i for i in range(20000) if i % 10 == 3} <= ids and len(ids) < 2000 + 0.06 * 18000 and -1 not in ids
+    assert shared.sifted(rows, "k", keys.limit(0), "key").count() == 0
+
+
 def test_common_shingles_are_not_merged_in_one_place(spark, monkeypatch):
     """Those of the sample come in right numbers, in Arrow, a quota of each class of hashes; no task or driver sorts what all tasks propose."""
     plans, arrow = [], type(spark.range(0)).toArrow

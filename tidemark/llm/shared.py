@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -98,6 +99,48 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, when nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        folder = next(iter(t.inputFiles()), "").rpartition("/")[0]
+        if shared_dir(spark).partition(":")[2].strip("/") in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within, an execution's shuffle files go when it ends; else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: Bits of a sieve: for each key, and the binary logarithm of the most of all (16 MB). With more keys than these hold more rows pass.
+SIEVE_BITS, SIEVE_LOG = 32, 27
+
+
+def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the keys, and by chance few others; rows stay where they are.
+
+    A bitmap of the keys' hashes is broadcast, in pieces of 32,768 bits. keys should be a table, as it is read twice.
+    """
+    log = max(20, min(SIEVE_LOG, (SIEVE_BITS * keys.count()).bit_length()))
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << log) - 1))
+    places = keys.select(at(key).alias("place")).select(F.shiftright("place", 15).alias("piece"), F.col("place").bitwiseAND(F.lit(32767)).alias("bit"))
+    # dealt first, as parts of bitmaps are as large as whole ones
+    bitmaps = places.repartition("piece").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    bit = at(column).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(bitmaps), F.shiftright(at(column), 15) == F.col("piece")).where(there).select(*rows.columns)
+
+
 def find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Roots of x; paths are halved on the way."""
     while True:

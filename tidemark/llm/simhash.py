@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, connected_components, find, materialize, shingle_hashes, tokens, union
+from .shared import WordHashes, connected_components, discard, find, materialize, shingle_hashes, shuffles_freed, sifted, tokens, union
 
 #: Children of a node.
 FAN = 8
@@ -365,6 +365,20 @@ def _other_candidates(rows: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
+def _alike_so_far(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that can be of the similarity by how many of their uncommon shingles they share, with both texts' MD5.
+
+    All shingles of a text up to its last uncommon one are uncommon. Of two texts take the one whose last comes first: what the other has of
+    its uncommon ones is uncommon there too. So they share no more than uncommon ones that both have and the common ones of one of them.
+    """
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked-classes")
+    few = sifted(classes, "class", ends, "class")
+    side = lambda x: few.select(F.col("class").alias(x), F.col("text_md5").alias(f"md5_{x}"), F.col("n").alias(f"n_{x}"), F.col("rare").alias(f"r_{x}"))
+    most = F.size(F.array_intersect("r_a", "r_b")) + F.greatest(*(F.col(f"n_{x}") - F.size(f"r_{x}") for x in "ab"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.where(most * F.lit(1 + similarity) + 1e-6 >= (F.col("n_a") + F.col("n_b")) * F.lit(similarity)).select("a", "b", "md5_a", "md5_b")
+
+
 def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Classes, links of the sketches' candidates, the groups that these make (id, component_id), and links between these groups."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -384,7 +398,7 @@ def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFra
     kind = documents.schema["doc_id"].dataType.simpleString()
     signed = held.mapInArrow(sign, f"text_md5 string, signature array<long>, n long, rare array<long>, doc_id {kind}")
     classes = signed.groupBy("text_md5").agg(F.min("doc_id").alias("first_id"), *(F.first(x).alias(x) for x in ("signature", "n", "rare")))
-    classes = materialize(materialize(classes, "texts").withColumn("class", F.monotonically_increasing_id()), "text-classes")
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "text-classes")
     part = lambda t: F.get("signature", t // 2) if t % 2 == 0 else F.shiftrightunsigned(F.get("signature", t // 2), 32)
     code = lambda t: F.lit((_code(t) << 32) - (_code(t) >> 31 << 64))
     sketches = F.array(*(part(t).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(code(t)) for t in range(c.sketches)))
@@ -400,6 +414,7 @@ def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFra
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = pairs.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b"))
     pairs = materialize(pairs.where(apart <= _bits_apart(c.similarity, 32 * c.sketches, c.slack)).select("a", "b"), "near-candidates")
+    discard(first)
 
     def sets(batches):
         hashes = WordHashes()
@@ -407,24 +422,32 @@ def _near_links(documents: DataFrame, c: NearConfig) -> tuple[DataFrame, DataFra
             made = [shingle_set(t.as_py(), c.width, hashes).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(made, pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("text_md5").alias("md5")), "class")
-        # one text of each class that is asked for
-        texts = held.join(asked, F.col("text_md5") == F.col("md5")).groupBy("class").agg(F.first("text").alias("text"))
-        whole = materialize(texts.mapInArrow(sets, "class long, shingles array<long>"), "shingle-sets")
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        likely = materialize(_alike_so_far(pairs, classes, least_similar), "likely-pairs")
+        ends = F.explode(F.array(*(F.struct(F.col(x).alias("class"), F.col(f"md5_{x}").alias("md5")) for x in "ab")))
+        asked = materialize(likely.select(ends.alias("end")).select("end.*").distinct(), "asked-texts")
+        # one text of each class that is asked for; the others aren't moved
+        texts = sifted(held.select("text", "text_md5"), "text_md5", asked, "md5").join(asked, F.col("text_md5") == F.col("md5"))
+        texts = texts.groupBy("text_md5").agg(F.first("class").alias("class"), F.first("text").alias("text"))
+        whole = materialize(texts.select("class", "text").mapInArrow(sets, "class long, shingles array<long>"), "shingle-sets")
         side = lambda x: whole.select(F.col("class").alias(f"c_{x}"), F.col("shingles").alias(f"s_{x}"))
         both = F.size(F.array_intersect("s_a", "s_b"))
         alike = F.when(F.size("s_a") + F.size("s_b") == 0, True).otherwise(both >= F.lit(least_similar) * (F.size("s_a") + F.size("s_b") - both))
-        return pairs.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b")).where(alike).select("a", "b")
+        met = likely.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b"))
+        links = materialize(met.where(alike).select("a", "b"), tag)
+        discard(likely, asked, whole)
+        return links
 
-    near = materialize(verified(pairs), "near-links")
+    near = verified(pairs, "near-links")
     labels = connected_components(near)
     rows = materialize(_uncommon_rows(classes, labels, least_similar), "shared-shingles")
     # groups grow by links to the hubs first, so that few are left to meet in pairs
-    found = materialize(verified(materialize(_hub_candidates(rows, least_similar), "hub-candidates")), "hub-links")
+    found = verified(materialize(_hub_candidates(rows, least_similar), "hub-candidates"), "hub-links")
     labels = connected_components(_stars(labels).unionByName(found))
-    rows = materialize(_relabelled(rows, labels, least_similar), "shared-shingles")
-    rest = materialize(verified(materialize(_other_candidates(rows, least_similar), "other-candidates")), "other-links")
+    left = materialize(_relabelled(rows, labels, least_similar), "shared-shingles")
+    discard(rows)
+    rest = verified(materialize(_other_candidates(left, least_similar), "other-candidates"), "other-links")
+    discard(left)
     return classes, near.unionByName(found), labels, rest
 
 
@@ -454,12 +477,14 @@ def drop_near_duplicates(documents: DataFrame, config: NearConfig | None = None)
     should be, texts are not moved but by the one anti join with the ids that go; rows whose id is null or repeated are
     few, and are ranked within their group. Other columns are kept; an empty table gives none.
     """
-    classes, _, labels, rest = _near_links(documents, config or NearConfig())
-    # groups of the sketches as stars, and the links between them
-    labels = connected_components(_stars(labels).unionByName(rest))
-    named = classes.join(labels, F.col("class") == F.col("id"), "left").select("text_md5", "first_id", F.coalesce("component_id", "class").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = materialize(named.join(least, "label").select(F.col("text_md5").alias("key"), "label", "component_id"), "near-groups")
+    with shuffles_freed(documents.sparkSession):
+        classes, _, labels, rest = _near_links(documents, config or NearConfig())
+        # groups of the sketches as stars, and the links between them
+        labels = connected_components(_stars(labels).unionByName(rest))
+        named = classes.join(labels, F.col("class") == F.col("id"), "left").select("text_md5", "first_id", F.coalesce("component_id", "class").alias("label"))
+        least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        named = materialize(named.join(least, "label").select(F.col("text_md5").alias("key"), "label", "component_id"), "near-groups")
+        discard(classes)
 
     md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     rows = materialize(documents.select("doc_id", md5.alias("text_md5")), "text-digests")
